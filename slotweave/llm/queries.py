@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, mpeg_audio, simhash, url_filter
+from . import decontaminate, langid, mixing, mpeg_audio, pii, simhash, url_filter
 from .common import read_table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -39,16 +39,26 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_near_items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_mpeg_audio": op4_mpeg_audio,
+    "op7_pii": op7_pii,
     "op9_source_mixing": op9_source_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
@@ -72,5 +82,17 @@ u AS (SELECT key, d.source, ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHA
 n AS (SELECT key, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.u GROUP BY 1)
 SELECT doc_id, text, lang, d.source, n_chars, copy_no::INT AS copy_no, md5('order42:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no) AS mix_key
 FROM d JOIN n USING (key), unnest(range(1, n + 1)) t(copy_no)
+""",
+    "op10_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM b, unnest(range(1, greatest(2, len(w) - 8))) t(i) WHERE len(w) > 0),
+dw AS (SELECT k, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(w) + 1)) t(i) WHERE i + n - 1 <= len(w)),
+m AS (SELECT k, i, n, item_id FROM dw JOIN bw USING (n, g)),
+h AS (SELECT k, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + n)) t(p) GROUP BY 1),
+s AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS item_id FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN s USING (k)
 """,
 }
