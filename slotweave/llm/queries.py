@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, license_scan, mixing, mpeg_audio, pii, simhash, url_filter
+from . import decontaminate, html_text, langid, license_scan, mixing, mpeg_audio, pii, simhash, substring_dedup, url_filter
 from .common import read_table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -39,6 +39,10 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame(license_scan.TEMPLATES, "template_id string, text string")
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), templates)
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_mpeg_audio": op4_mpeg_audio,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
     "op8_html_text": op8_html_text,
