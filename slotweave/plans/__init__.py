@@ -1 +1,6 @@
+"""Views, composite jobs and the registered queries."""
 
+from . import scalar_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
