@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ids import digits_only, text
@@ -267,14 +267,21 @@ def without_placeholder(lines: Column) -> Column:
     return F.aggregate(lines, F.struct(none.alias("kept"), none.alias("held"), F.lit("").alias("word")), step, lambda a: F.concat(a["kept"], a["held"]))
 
 
-def parse_label(c: Column | str) -> Column:
-    """struct(name, last5, qty): first five-digit word, last word of 1-3 digits, lines that hold neither."""
-    lines = without_placeholder(F.filter(F.transform(F.split(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != ""))
-    whole = F.array_join(lines, " ")
-    five = F.regexp_extract(whole, r"\b([0-9]{5})\b", 1)
-    small = F.try_element_at(F.regexp_extract_all(whole, F.lit(r"\b([0-9]{1,3})\b"), 1), F.lit(-1)).cast("int")
-    name = F.filter(lines, lambda x: ~((five != "") & F.contains(x, five)) & ~(small.isNotNull() & (x == small.cast("string"))))
-    return F.struct(F.trim(F.array_join(name, " ")).alias("name"), five.alias("last5"), small.alias("qty"))
+def parse_labels(df: DataFrame, label: str) -> DataFrame:
+    """Adds name, last5, qty: lines that hold neither number, first five-digit word, last word of 1-3 digits.
+
+    Each step is a column of its own, so that no fold runs again inside another's lambda.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(label, F.lit("")), "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    keep = lambda x: ~((F.col("last5") != "") & F.contains(x, F.col("last5"))) & ~(F.col("qty").isNotNull() & (x == F.col("qty").cast("string")))
+    return (
+        df.withColumn("_lines", without_placeholder(lines))
+        .withColumn("_whole", F.array_join("_lines", " "))
+        .withColumn("last5", F.regexp_extract("_whole", r"\b([0-9]{5})\b", 1))
+        .withColumn("qty", F.try_element_at(F.regexp_extract_all("_whole", F.lit(r"\b([0-9]{1,3})\b"), 1), F.lit(-1)).cast("int"))
+        .withColumn("name", F.trim(F.array_join(F.filter("_lines", keep), " ")))
+        .drop("_lines", "_whole")
+    )
 
 
 def side_letter(c: Column | str) -> Column:

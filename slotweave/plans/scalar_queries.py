@@ -184,7 +184,7 @@ def b29_b30_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = ids.as_int("col") % 3
     part = F.when(third == 0, "WM\nGIFT\nCARD\n").when(third == 1, "Gift\nCard\n").otherwise("")
     label = F.concat("desc_2", F.lit("\n"), "desc_1", F.lit("\n"), part, F.lpad(F.regexp_replace("item_number", "[^0-9]", ""), 5, "0"), F.lit("\n"), "row")
-    return view(spark, sf_dir, "placement").withColumn("l", text.parse_label(label)).select("src_ord", "l.name", "l.last5", "l.qty")
+    return text.parse_labels(view(spark, sf_dir, "placement").select("src_ord", label.alias("label")), "label").select("src_ord", "name", "last5", "qty")
 
 
 STOP = ", ".join(f"'{x}'" for x in text.NAME_STOP)
