@@ -1,6 +1,6 @@
 """Views, composite jobs and the registered queries."""
 
-from . import quality_queries, scalar_queries  # noqa: F401
+from . import quality_queries, resolve_queries, scalar_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
