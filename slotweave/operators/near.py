@@ -98,17 +98,22 @@ def clear_winner(scored: DataFrame, least: float, margin: float, sure: float = 2
     return top.filter((F.col("score") >= least) & ((F.col("score") >= sure) | (F.col("margin") >= margin))).select("name", "id", "score", "margin")
 
 
-def linked_by_name_and_id(wanted: DataFrame, files: DataFrame, similarity, least: float = 0.78, margin: float = 0.08, sure: float = 0.86) -> DataFrame:
-    """name (the target), id (the image), score, margin: near identifiers first, names only among those pairs.
+def scored_near_pairs(wanted: DataFrame, files: DataFrame, similarity) -> DataFrame:
+    """target, image, score: names compared only among pairs of near identifiers; a contained name counts at least 0.88.
 
-    wanted(target, name), files(image, known_name). The best pair wins if it is sure, or
-    at least `least` and `margin` before the next image.
+    wanted(target, name), files(image, known_name); pairs under 0.5 are left out.
     """
     near = near_reasons(wanted.select("target").distinct(), files.select("image").distinct()).select("target", "image")
     pairs = near.join(wanted, "target").join(files, "image").filter("name <> '' AND known_name <> ''")
     inside = F.contains("name", F.col("known_name")) | F.contains("known_name", F.col("name"))
     scored = pairs.withColumn("s", similarity(F.col("name"), F.col("known_name"))).withColumn("score", F.when(inside, F.greatest("s", F.lit(0.88))).otherwise(F.col("s")))
-    return clear_winner(scored.filter("score >= 0.5").select(F.col("target").alias("name"), F.col("image").alias("id"), "score"), least, margin, sure)
+    return scored.filter("score >= 0.5").select("target", "image", "score")
+
+
+def linked_by_name_and_id(wanted: DataFrame, files: DataFrame, similarity, least: float = 0.78, margin: float = 0.08, sure: float = 0.86) -> DataFrame:
+    """name (the target), id (the image), score, margin: the best near pair if it is sure, or at least `least` and `margin` before the next image."""
+    scored = scored_near_pairs(wanted, files, similarity)
+    return clear_winner(scored.select(F.col("target").alias("name"), F.col("image").alias("id"), "score"), least, margin, sure)
 
 
 def best_of_key(rows: DataFrame, products: DataFrame, similarity) -> DataFrame:

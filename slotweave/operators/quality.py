@@ -111,7 +111,10 @@ def product_groups(df: DataFrame) -> DataFrame:
         "upc_digits", "item_digits", "first_ord", "first.*", F.array_join(F.filter("pogs", lambda p: F.trim(p) != ""), " | ").alias("pogs"),
         F.array_join(F.transform("positions", lambda p: p["at"]), " | ").alias("positions"), "n_rows",
     )
-    return global_rank(groups, "first_ord", "rank").withColumn("group_id", F.concat(F.lit("RG"), ids.pad_left(F.col("rank").cast("string"), 5))).drop("rank")
+    # ranks come from a light pass over the keys: the range sort reads its input several times
+    firsts = keyed.groupBy("upc_digits", "item_digits").agg(F.min("src_ord").alias("ord"))
+    ranks = global_rank(firsts, "ord", "rank").select("upc_digits", "item_digits", F.concat(F.lit("RG"), ids.pad_left(F.col("rank").cast("string"), 5)).alias("group_id"))
+    return groups.join(ranks, ["upc_digits", "item_digits"])
 
 
 def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:

@@ -30,22 +30,24 @@ def lookup(rows: DataFrame, row_id: str, keys: Column, index: DataFrame) -> Data
     return wanted.join(index.select("key", "path"), "key").groupBy(row_id).agg(F.min(F.struct("pos", "key", "path")).alias("hit")).select(row_id, "hit.path", "hit.key")
 
 
-def cascade(rows: DataFrame, row_id: str, steps: Sequence[tuple[str, Column, DataFrame]]) -> DataFrame:
+def cascade(rows: DataFrame, row_id: str, by: Sequence[str], steps: Sequence[tuple[str, Column, DataFrame]]) -> DataFrame:
     """row_id, path, source: the first step that resolves a row, keys in their order within a step.
 
-    steps: (source, array of keys, index(key, path)). All steps are one equi-join on
-    (step, key) and one pre-aggregated minimum, however many there are.
+    steps: (source, array of keys, index(key, path)); keys are worked out from the columns
+    `by` alone, once per distinct combination. All steps are one equi-join on (step, key)
+    and one pre-aggregated minimum, however many there are; the rows then take the answer
+    of their combination.
     """
     wanted = F.array(*[F.struct(F.lit(k).alias("step"), keys.alias("keys")) for k, (_, keys, _) in enumerate(steps)])
-    asked = rows.select(row_id, F.explode(wanted).alias("w")).select(row_id, "w.step", F.posexplode("w.keys").alias("pos", "key"))
+    asked = rows.select(*by).distinct().select(*by, F.explode(wanted).alias("w")).select(*by, "w.step", F.posexplode("w.keys").alias("pos", "key"))
     known = None
     for k, (_, _, index) in enumerate(steps):
         part = index.select(F.lit(k).alias("step"), "key", "path")
         known = part if known is None else known.unionByName(part)
-    best = asked.join(known, ["step", "key"]).groupBy(row_id).agg(F.min(F.struct("step", "pos", "path")).alias("hit"))
+    best = asked.join(known, ["step", "key"]).groupBy(*by).agg(F.min(F.struct("step", "pos", "path")).alias("hit"))
     names = F.array(*[F.lit(s) for s, _, _ in steps])
-    found = best.select(row_id, F.col("hit.path").alias("path"), F.element_at(names, F.col("hit.step") + 1).alias("source"))
-    return rows.select(row_id).join(found, row_id, "left").fillna({"source": "unresolved"})
+    found = best.select(*by, F.col("hit.path").alias("path"), F.element_at(names, F.col("hit.step") + 1).alias("source"))
+    return rows.select(*dict.fromkeys([row_id, *by])).join(found, list(by), "left").select(row_id, "path", F.coalesce("source", F.lit("unresolved")).alias("source"))
 
 
 def basename_keys(path: str) -> Column:

@@ -1,6 +1,6 @@
 """Views, composite jobs and the registered queries."""
 
-from . import layout_queries, near_queries, quality_queries, resolve_queries, scalar_queries  # noqa: F401
+from . import cards_queries, layout_queries, near_queries, quality_queries, resolve_queries, scalar_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ from slotweave.operators import layout as y
 
 from .quality_queries import TYPED, kept, valid
 from .registry import register
-from .resolve_queries import CASCADE, steps
+from .resolve_queries import CASCADE, IDENTITY, steps
 from .views import sql, view
 
 WORDS = sql("words")
@@ -213,7 +213,7 @@ def e12_label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slotweave.operators.resolve import cascade
 
     rows = valid(spark, sf_dir)
-    found = cascade(rows, "src_ord", steps(spark, sf_dir))
+    found = cascade(rows, "src_ord", IDENTITY, steps(spark, sf_dir))
     per_side = rows.select("src_ord", "side").join(found, "src_ord").groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count("path").alias("resolved"))
     # four rows at most
     return per_side.withColumns({"rate": F.round(F.col("resolved") / F.col("n"), 6), "uneven": F.col("n") != F.max("n").over(W.partitionBy())})

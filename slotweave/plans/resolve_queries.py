@@ -58,6 +58,9 @@ def manual_index(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     return r.key_index(rows, ids.identifier_keys(column), "candidate_file_path")
 
 
+IDENTITY = ["upc", "item_number", "file_path"]
+
+
 def steps(spark: SparkSession, sf_dir: str) -> list:
     own = view(spark, sf_dir, "placement").filter("file_path <> ''").select(F.col("file_path").alias("key"), F.col("file_path").alias("path")).distinct().filter(F.length("path") % 2 == 0)
     library = library_index(spark, sf_dir)
@@ -86,7 +89,7 @@ resolved AS (SELECT src_ord, b[3] AS path, CASE WHEN b IS NULL THEN 'unresolved'
 
 @register("d03_d04_cascade", f"WITH {CASCADE} SELECT src_ord, path, source FROM resolved")
 def d03_d04_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.cascade(valid(spark, sf_dir), "src_ord", steps(spark, sf_dir))
+    return r.cascade(valid(spark, sf_dir), "src_ord", IDENTITY, steps(spark, sf_dir))
 
 
 @register("e05_resolution_counts", f"WITH {CASCADE} SELECT source, count(*) AS n, count(path) AS with_path FROM resolved GROUP BY 1")
@@ -113,7 +116,7 @@ def d05_catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = r.key_index(images.filter("g <> ''"), F.array("g"), "file_path")
     variant = r.key_index(images, ids.keys_of_digits(F.col("g")), "file_path")
     rows = valid(spark, sf_dir).select("upc").distinct()
-    return r.cascade(rows, "upc", [("exact", F.array(ids.digits_only("upc")), exact), ("variant", ids.identifier_keys("upc"), variant)])
+    return r.cascade(rows, "upc", ["upc"], [("exact", F.array(ids.digits_only("upc")), exact), ("variant", ids.identifier_keys("upc"), variant)])
 
 
 @register(

@@ -35,7 +35,7 @@ def test_wide_side_header_row(spark):
 def test_cascade_takes_steps_in_order(spark):
     rows = spark.createDataFrame([(1, "a", "b"), (2, "z", "b"), (3, "z", "z")], "id long, x string, y string")
     index = lambda *kv: spark.createDataFrame(list(kv), "key string, path string")
-    got = resolve.cascade(rows, "id", [("first", F.array("x"), index(("a", "/1"))), ("second", F.array("y"), index(("b", "/2")))]).collect()
+    got = resolve.cascade(rows, "id", ["x", "y"], [("first", F.array("x"), index(("a", "/1"))), ("second", F.array("y"), index(("b", "/2")))]).collect()
     assert {r.id: (r.path, r.source) for r in got} == {1: ("/1", "first"), 2: ("/2", "second"), 3: (None, "unresolved")}
 
 
