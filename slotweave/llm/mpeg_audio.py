@@ -107,17 +107,18 @@ def tag_texts(data: bytes) -> tuple[dict[str, str], int]:
 def parse(data: bytes) -> dict:
     """Tags, Xing table, frame offsets, samples and checksum results of one stream.
 
-    A header counts only if another of the same stream follows at its length (or the
-    data or an ID3v1 tag end there); else the scan goes on at the next 0xFF byte.
+    A header counts if it follows a frame of the same stream, or if another of the stream
+    follows at its length (or the data or an ID3v1 tag end there); else the scan goes on
+    at the next 0xFF byte.
     Broken or empty data gives no frames.
     """
     tags, at = tag_texts(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    offsets, lengths, samples, hz, good, bad, skipped, xing, stream = [], [], 0, 0, 0, 0, 0, None, None
+    offsets, lengths, samples, hz, good, bad, skipped, xing, stream, due = [], [], 0, 0, 0, 0, 0, None, None, -1
     while 0 <= at and at + 4 <= end:
         head = frame_header(data[at : at + 4])
         ok = head is not None and at + head[0] <= end and stream in (None, head[5])
-        if ok and at + head[0] + 4 <= end:
+        if ok and at != due and at + head[0] + 4 <= end:
             after = frame_header(data[at + head[0] : at + head[0] + 4])
             ok = after is not None and after[5] == head[5]
         if not ok:
@@ -136,7 +137,7 @@ def parse(data: bytes) -> dict:
             if checked and covered:
                 same = crc16(data[at + 2 : at + 4] + data[body : body + covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
                 good, bad = good + same, bad + (not same)
-        at += length
+        at = due = at + length
     return {"tags": tags, "xing": xing, "offsets": offsets, "lengths": lengths, "samples": samples, "hz": hz, "crc_ok": good, "crc_bad": bad, "skipped": skipped, "stream": stream}
 
 
