@@ -253,23 +253,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     fields = "".join(f"{c} string, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, "und"], object)
+        names = np.array([*shared.value.languages, "und"], object)
         for batch in batches:
             for at, texts in _batches(batch.column(1).to_pylist()):
-                k, few = len(texts), len(m.languages)
-                h, n, letters = entropies(m, texts) if few else (np.zeros((k, 0)), np.zeros(k, int), np.zeros(k, int))
-                known = (letters > 0) & (few > 0)
-                best = h.argmin(axis=1) if few else np.zeros(k, int)
-                low = h[np.arange(k), best] if few else np.zeros(k)
-                odds = np.exp2(-(h - low[:, None]) * np.minimum(n, TEMPER)[:, None])
-                post = np.where(known, 1 / np.maximum(odds.sum(axis=1), 1), 0.0) if few else np.zeros(k)
-                bounds = np.array([m.limits[x] if m.limits else (0.0, np.inf) for x in m.languages]).reshape(-1, 2)
-                over = low > bounds[best, 0] + bounds[best, 1] * np.sqrt(1 + 200 / np.maximum(n, 1)) if few else np.ones(k, bool)
-                columns = [c.slice(at, k) for c in batch.columns]
+                best, post, rejected, letters, n, h = judge(shared.value, texts)
+                columns = [c.slice(at, len(texts)) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        columns[0], *columns[2:], pa.array(names[np.where(known, best, few)], pa.string()), pa.array(post), pa.array(~known | over),
+                        columns[0], *columns[2:], pa.array(names[best], pa.string()), pa.array(post), pa.array(rejected),
                         pa.array(letters.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(list(h), pa.list_(pa.float64())),
                     ],
                     ["doc_id", *keep, "lang_pred", "score", "rejected", "n_letters", "n_scored", "entropies"],
@@ -280,6 +271,33 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     )
 
 
+def judge(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Per text: language number (one past the last: none), posterior, rejected, letters, scored characters, entropies."""
+    k, few = len(texts), len(model.languages)
+    if not few:
+        return np.zeros(k, int), np.zeros(k), np.ones(k, bool), np.zeros(k, int), np.zeros(k, int), np.zeros((k, 0))
+    h, n, letters = entropies(model, texts)
+    best = h.argmin(axis=1)
+    low = h[np.arange(k), best]
+    odds = np.exp2(-(h - low[:, None]) * np.minimum(n, TEMPER)[:, None])
+    bounds = np.array([model.limits[x] if model.limits else (0.0, np.inf) for x in model.languages])
+    over = low > bounds[best, 0] + bounds[best, 1] * np.sqrt(1 + 200 / np.maximum(n, 1))
+    known = letters > 0
+    return np.where(known, best, few), np.where(known, 1 / odds.sum(axis=1), 0.0), ~known | over, letters, n, h
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs whose text is not rejected, with all their columns; judged where they are read, nothing is shuffled."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in _batches(batch.column(at).to_pylist()):
+                yield batch.slice(start, len(texts)).filter(pa.array(~judge(shared.value, texts)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs(doc_id, text, lang, ...).
 

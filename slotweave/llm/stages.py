@@ -11,13 +11,16 @@ from .common import materialise, read_table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the rejected (no letters, or far from every learned language) go."""
-    kept = langid.score(docs, langid.train(docs)).filter("NOT rejected").select("doc_id")
-    return keep(docs, kept)
+    return langid.recognised(docs, langid.train(docs))
 
 
 def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids; null doc_ids match each other."""
-    ids = materialise(ids.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    """Rows of docs whose doc_id is in ids; null doc_ids match each other.
+
+    The ids grow with the corpus, so they are never broadcast: texts are dealt by doc_id
+    once, at any size, and not sorted.
+    """
+    ids = materialise(ids.select(F.col("doc_id").alias("kept_id")).distinct(), "kept").hint("shuffle_hash")
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
