@@ -18,7 +18,7 @@ TRAIN_DOCS, CALIBRATION_DOCS = 2000, 600
 MAX_LANGUAGES = 500
 EDGE = 1  # code that stands ORDER - 1 times before each text
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 #: Length that a posterior is tempered to, in characters.
 TEMPER = 24
 
@@ -178,16 +178,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about _CHUNK characters."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + ORDER
+def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of a text column of about _CHUNK characters, and where each begins; only one run is unpacked at a time."""
+    at, texts, size = 0, [], 0
+    for i, value in enumerate(column):
+        texts.append(value.as_py() or "")
+        size += len(texts[-1]) + ORDER
         if size >= _CHUNK:
-            yield at, [t or "" for t in texts[at : i + 1]]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, [t or "" for t in texts[at:]]
+            yield at, texts
+            at, texts, size = i + 1, [], 0
+    if texts:
+        yield at, texts
 
 
 def train(docs: DataFrame) -> Model:
@@ -209,8 +210,8 @@ def train(docs: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                line = "".join(map(chr, normalise([text])[0]))
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                line = "".join(map(chr, normalise([text.as_py()])[0]))
                 found[lang].update(line[i : i + ORDER] for i in range(len(line) - ORDER + 1))
             rows = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
@@ -255,7 +256,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, "und"], object)
         for batch in batches:
-            for at, texts in _batches(batch.column(1).to_pylist()):
+            for at, texts in _batches(batch.column(1)):
                 best, post, rejected, letters, n, h = judge(shared.value, texts)
                 columns = [c.slice(at, len(texts)) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays(
@@ -292,7 +293,7 @@ def recognised(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in _batches(batch.column(at).to_pylist()):
+            for start, texts in _batches(batch.column(at)):
                 yield batch.slice(start, len(texts)).filter(pa.array(~judge(shared.value, texts)[2]))
 
     return docs.mapInArrow(run, docs.schema)
