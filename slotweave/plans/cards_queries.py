@@ -185,7 +185,7 @@ def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric = n.numeric_near(wanted, files.select("image").distinct()).select("target", F.lit(3).alias("tier"))
     tiers = found.unionByName(named).unionByName(numeric).groupBy("target").agg(F.min("tier").alias("tier"))
     names = F.array(*[F.lit(s) for s in ("FOUND", "FOUND_NEAR", "REVIEW_NUMERIC_NEAR")])
-    return wanted.join(tiers, "target", "left").select(F.col("target").alias("upc"), F.coalesce(F.element_at(names, F.col("tier")), F.lit("MISSING")).alias("status"))
+    return wanted.join(tiers, "target", "left").select(F.col("target").alias("upc"), F.when(F.col("tier").isNotNull(), F.element_at(names, F.col("tier"))).otherwise("MISSING").alias("status"))
 
 
 @register(
