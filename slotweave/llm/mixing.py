@@ -22,7 +22,7 @@ def uniform(*keys: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None) -> DataFrame:
-    """mix_source, n_docs, mix_rate, mix_parts, mix_cdf: mean repetitions per document for the target mix.
+    """mix_source, mix_rate, mix_parts, mix_cdf: mean repetitions per document for the target mix.
 
     weights(source, weight) are relative; sources without one get weight 0, and without
     a table every source weighs the same. `total` is the expected number of output
@@ -52,7 +52,7 @@ def mixing_rates(docs: DataFrame, weights: DataFrame | None = None, total: float
         .withColumn("mean", F.col("mix_rate") / F.col("mix_parts"))
         .withColumn("mix_cdf", cdf)
     )
-    return materialise(rates.select("mix_source", "n_docs", "mix_rate", "mix_parts", "mix_cdf"), "mix-rates")
+    return materialise(rates.select("mix_source", "mix_rate", "mix_parts", "mix_cdf"), "mix-rates")
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, seed: int = 42) -> DataFrame:
@@ -62,12 +62,14 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: float
     the Poisson distribution with its source's mean rate, inverted at a number hashed
     from (seed, doc_id): a recomputed task draws the same copies. Rows with the same
     doc_id and source get the same count; a null doc_id counts as ''; text may be null or
-    of any length; other columns pass through. An empty table gives an empty result.
+    of any length; other columns pass through, but for ones of the names it adds or works
+    with (copy_no and those that begin with mix_). An empty table gives an empty result.
 
     Only counts per source are gathered (pre-aggregated). The text crosses the network
     once, dealt by a hash of doc_id and copy, so neither a large source nor a document
     with many copies fills one task.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "copy_no" or c.lower().startswith("mix_")])
     rates = mixing_rates(docs, weights, total)
     match = F.col("source").eqNullSafe(F.col("mix_source"))
     if rates.count() <= BROADCAST_SOURCES:

@@ -21,20 +21,20 @@ def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     once, at any size, and not sorted.
     """
     ids = materialise(ids.select(F.col("doc_id").alias("kept_id")).distinct(), "kept").hint("shuffle_hash")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies."""
     groups = simhash.near_duplicates(docs)
-    return keep(docs, groups.filter(F.col("doc_id") == F.col("component_id")))
+    return keep(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
     marked = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
     bad = materialise(marked.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

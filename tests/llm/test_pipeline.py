@@ -4,6 +4,8 @@ import os
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from slotweave.llm import langid, pii, simhash
 from tests.llm.test_decontaminate import plain as contaminated
@@ -71,10 +73,13 @@ def test_stage_contract(spark, tmp_path):
     rows, bench = corpus()
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame(rows[:40] + rows[-4:], COLUMNS)
+    for name in ("kept_id", "bad_id", "fp", "component_id", "lang_pred", "n_docs", "mix_rate", "copy_no", "tag"):
+        docs = docs.withColumn(name, F.lit("clash"))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         assert re.fullmatch(r"\w+", name)
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
+        assert 0 < out.count() < 80
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert os.path.exists(corpus_pipeline.__file__) and langid and simhash
