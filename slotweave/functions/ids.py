@@ -139,8 +139,12 @@ def longest_digit_run(path: Column | str) -> Column:
     return F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
 
 
+def bare_digits(c: Column | str) -> Column:
+    """All digits without leading zeros."""
+    return strip_zeros(F.regexp_replace(text(c), "[^0-9]", ""))
+
+
 def upc_core(c: Column | str) -> Column:
     """Leading zeros dropped, at most the last 12 digits, without the 12th (check) digit."""
-    d = strip_zeros(F.regexp_replace(text(c), "[^0-9]", ""))
-    d = F.when(F.length(d) > 12, F.right(d, F.lit(12))).otherwise(d)
-    return F.when(F.length(d) == 12, F.substring(d, 1, 11)).otherwise(d)
+    d = bare_digits(c)
+    return F.when(F.length(d) >= 12, F.left(F.right(d, F.lit(12)), F.lit(11))).otherwise(d)

@@ -33,7 +33,8 @@ def numeric_near(targets: DataFrame, images: DataFrame) -> DataFrame:
     numbers differ by at most 250 (10 or more shared) or 100. The shared digits make it
     an equi-join; ties go to the smaller identifier.
     """
-    cores = lambda df, c: df.select(c, ids.upc_core(c).alias(f"{c}_core")).filter(F.length(f"{c}_core") >= 10).withColumn("block", F.substring(f"{c}_core", 1, 9)).distinct()
+    # a core has 10 digits if the number has; the filter runs below any distinct of the input, so it is the cheaper form
+    cores = lambda df, c: df.filter(F.length(ids.bare_digits(c)) >= 10).select(c, ids.upc_core(c).alias(f"{c}_core")).withColumn("block", F.substring(f"{c}_core", 1, 9)).distinct()
     a, b = F.col("target_core"), F.col("image_core")
     same = lambda n: (F.length(a) >= n) & (F.length(b) >= n) & (F.left(a, F.lit(n)) == F.left(b, F.lit(n)))
     prefix = F.when(same(11), 11).when(same(10), 10).otherwise(9)
