@@ -140,7 +140,9 @@ def transduce(text: str) -> tuple[str, list[int], list[int], list[int]]:
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of identifiers that show only in the normalised text, in source offsets.
 
-    A span counts if a rewritten piece lies in it and it overlaps no base span of its kind.
+    A span counts if something rewritten or left out lies in it and it is not equal to or
+    inside a base span of its kind: a disguise that splits an identifier leaves a base
+    span on a part of it, and the whole is added.
     """
     if not disguised(text):
         return []
@@ -148,11 +150,11 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     found = []
     for start, kind, end in base_spans(plain):
         a, b = bisect.bisect_right(begins, start) - 1, bisect.bisect_right(begins, end - 1) - 1
-        if all(ends[k] < 0 for k in range(a, b + 1)):
+        if a == b and ends[a] < 0:  # two copied pieces meet only where invisible characters were between them
             continue
         source = sources[a] + (start - begins[a] if ends[a] < 0 else 0)
         source_end = ends[b] if ends[b] >= 0 else sources[b] + end - begins[b]
-        if not any(k == kind and s < source_end and source < e for s, k, e in base):
+        if not any(k == kind and s <= source and source_end <= e for s, k, e in base):
             found.append((source, kind, source_end))
     return found
 

@@ -50,6 +50,14 @@ def test_disguises_map_back_to_source():
     assert spans("plain jane@example.com and 10.0.0.1") == []
 
 
+def test_disguises_that_split_an_identifier():
+    for text in ("j\u043ehn@example.com", "jo\u200bhn@example.com", "john@exam\u200bple.com", "jo@mail.exam[dot]com", "a\u200bb@ex.com", "jo@mail\u200b.com", "4111 1111 1111 111\u0661", "+49 30 123456\u0667 89"):
+        kind = "email" if "@" in text else "phone" if "+" in text else "card"
+        assert (kind, text) in spans(text), text
+        assert pii.redacted(f"see {text}!") == f"see [{kind.upper()}]!"
+    assert spans("\u043e jo@mail.example.com \u200b") == []
+
+
 def test_find_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "a@b.co and a@b.co, 1.2.3.4"), (4, "x" * 500000 + " j [at] e [dot] com"), (5, "1.2.3.400 +1 (555) 123-4567")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("n_chars", F.length("text").cast("long"))
