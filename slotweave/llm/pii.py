@@ -82,7 +82,12 @@ _MOVES = re.compile(
     re.IGNORECASE,
 )
 _NUMBER_PARTS = re.compile(rf"(?P<plus>plus{_GAP})|(?P<num>{_NUM})|(?P<dot>{_DOT}|\.)|(?P<gap>{_GAP})", re.IGNORECASE)
-_SIGNS = ("[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "{@", "<@", "[dot", "(dot", "{dot", "<dot", "[ dot", "( dot", "{ dot", "< dot", "[.", "(.", "{.", "<.", " dot ")
+# What any move but a glyph's must hold: a bracketed sign, ' dot ' in any white space, or two number words in a row.
+_BRACKETED = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]")
+_SPACED_DOT = re.compile(r"\sdot\s")
+_SPELLED = re.compile(rf"{_NUM}(?:{_GAP}|\.){_NUM}")
+#: Letters that a pattern takes for i and s when it ignores case, though lower() does not make them so.
+_FOLDED = str.maketrans("İıſ", "iis")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -100,13 +105,13 @@ def plain_glyph(c: str) -> str:
 
 
 def disguised(text: str) -> bool:
-    """Whether any of the transducer's moves could matter: a cheap look before the costly one."""
-    if not text.isascii() and any(plain_glyph(c) != c for c in set(text) if c > "\x7f"):
-        return True
+    """Whether any of the transducer's moves could be taken: a cheap look that is never narrower than they are."""
+    if not text.isascii():
+        if any(plain_glyph(c) != c for c in set(text) if c > "\x7f"):
+            return True
+        text = text.translate(_FOLDED)
     low = text.lower()
-    if any(s in low for s in _SIGNS):
-        return True
-    return not NUMBERS.keys().isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split())
+    return bool(_BRACKETED.search(low) or "dot" in low and _SPACED_DOT.search(low) or _SPELLED.search(low))
 
 
 def transduce(text: str) -> tuple[str, list[int], list[int], list[int]]:
@@ -128,7 +133,7 @@ def transduce(text: str) -> tuple[str, list[int], list[int], list[int]]:
         put(text[last : m.start()], last, -1)
         if m.lastgroup == "number":
             for part in _NUMBER_PARTS.finditer(text, m.start(), m.end()):
-                piece = {"plus": "+", "dot": ".", "gap": ""}.get(part.lastgroup) if part.lastgroup != "num" else NUMBERS[part[0].lower()]
+                piece = {"plus": "+", "dot": ".", "gap": ""}.get(part.lastgroup) if part.lastgroup != "num" else NUMBERS[part[0].translate(_FOLDED).lower()]
                 put(piece, part.start(), part.end())
         else:
             put({"at": "@", "dot": "."}.get(m.lastgroup) or plain_glyph(m[0]), m.start(), m.end())

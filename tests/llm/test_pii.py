@@ -58,6 +58,22 @@ def test_disguises_that_split_an_identifier():
     assert spans("\u043e jo@mail.example.com \u200b") == []
 
 
+def test_cheap_look_loses_nothing(monkeypatch):
+    for text in ("bob at example dot\norg", "a@b\tdot\tcom", "a@b(\tdot)com", "a@b\u00a0dot\u00a0com", "bob (\u00a0at\t) example.com", "(one,one.one.one.one)", "1one dot two.three dot four"):
+        assert pii.disguised(text) and pii.transduce(text)[0] != text, text
+    assert spans("bob at example dot\norg") == [("email", "bob at example dot\norg")]
+    assert pii.transduce("f\u0131ve \u017fix")[0] == "56"
+    assert not pii.disguised("One of two: look at example.com. Überall élève dot")
+    rnd = random.Random(5)
+    parts = [*"@.()[]<>{}-+,aZ19éо\u0130\u0131\u017f\u200b", " ", "\t", "\n", "\u00a0", "\u2003", "at", "dot", "DOT", "com", "one", "Two", "oh", "plus", "f\u0131ve", "\u017fix"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(60000)]
+    gated = [pii.added_spans(t, pii.base_spans(t)) for t in texts]
+    looks = [pii.disguised(t) for t in texts]
+    assert all(look or pii.transduce(t)[0] == t for t, look in zip(texts, looks, strict=True)) and not all(looks)
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert [pii.added_spans(t, pii.base_spans(t)) for t in texts] == gated
+
+
 def test_find_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "a@b.co and a@b.co, 1.2.3.4"), (4, "x" * 500000 + " j [at] e [dot] com"), (5, "1.2.3.400 +1 (555) 123-4567")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("n_chars", F.length("text").cast("long"))
