@@ -1,11 +1,12 @@
-"""License scans: winnowed template fingerprints, then banded alignment (operator 6)."""
+"""License scans: winnowed template fingerprints for exact occurrences, word counts and alignment for changed ones (operator 6)."""
 
 from __future__ import annotations
 
-import bisect
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from .decontaminate import words
 
 GRAM, WINNOW = 5, 4
-BAND = 8
 MIN_COVERAGE = 0.8
 #: Template text handled at a time; its index (some ten times as large) is broadcast. More text, more passes.
 SLICE_BYTES = 1 << 20
@@ -103,65 +103,110 @@ class Index:
             self.postings.setdefault(size, {}).setdefault(int(h[at]), []).append((len(self.names) - 1, int(at)))
 
 
-def align(template: np.ndarray, doc: np.ndarray, band: tuple[int, int]) -> tuple[int, int, int]:
-    """(matched words, first and last matched place in doc) of the best fit of the whole template into part of doc.
+    @cached_property
+    def bags(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words of all templates, one template after the other; how often each stands there; where templates begin; words needed."""
+        parts = [np.unique(t, return_counts=True) for t in self.texts]
+        begins = np.cumsum([0, *[len(w) for w, _ in parts[:-1]]])
+        return np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts]), begins, np.array([needed(len(t)) for t in self.texts])
+
+    def likely(self, ids: np.ndarray) -> np.ndarray:
+        """Templates of whose words, repeats counted, the text holds enough in any order: no other can be covered."""
+        terms, times, begins, need = self.bags
+        have = np.bincount(ids, minlength=len(self.vocabulary) + 1)
+        return np.flatnonzero(np.add.reduceat(np.minimum(have[terms], times), begins) >= need)
+
+
+def needed(m: int) -> int:
+    """The least number of matched words that is MIN_COVERAGE of m."""
+    return next(n for n in range(max(0, math.floor(MIN_COVERAGE * m) - 1), m + 1) if n >= MIN_COVERAGE * m)
 
-    Only cells with band[0] <= doc place - template place <= band[1] are visited.
+
+def fit(template: np.ndarray, doc: np.ndarray, band: tuple[int, int]) -> tuple[int, int, int, int]:
+    """(score, matched words, first and last matched place in doc) of the best fit of the whole template into part of doc.
+
+    Of equal scores the one with most matches. Only cells with
+    band[0] <= doc place - template place <= band[1] are visited.
     """
     low, high = band
-    width, none = high - low + 1, -(10**9)
-    # score, matches, first, last by cell; the cell k of row i stands for doc prefix i + low + k
-    row = [(0, 0, -1, -1) if 0 <= low + k <= len(doc) else (none, 0, -1, -1) for k in range(width)]
-    for i in range(len(template)):
-        new, want = [], template[i]
-        for k in range(width):
-            j = i + 1 + low + k  # doc prefix length
-            best = (none, 0, -1, -1)
-            if 0 < j <= len(doc) and row[k][0] > none:
-                s, n, a, b = row[k]
-                best = (s + MATCH, n + 1, j - 1 if a < 0 else a, j - 1) if doc[j - 1] == want else (s + MISS, n, a, b)
-            if k + 1 < width and row[k + 1][0] + GAP > best[0] and 0 <= j <= len(doc):
-                best = (row[k + 1][0] + GAP, *row[k + 1][1:])
-            if k and 0 <= j <= len(doc) and new[k - 1][0] + GAP > best[0]:
-                best = (new[k - 1][0] + GAP, *new[k - 1][1:])
-            new.append(best)
-        row = new
-    return max(row, key=lambda c: c[0])[1:]
-
-
-def near(ordered: list[int], value: int, within: int) -> bool:
-    at = bisect.bisect_left(ordered, value - within)
-    return at < len(ordered) and ordered[at] <= value + within
+    one, none = 1 << 31, -(1 << 61)  # a cell is score * one + matches
+    j = np.arange(len(doc) + 1)
+    key, first, last = np.where((j < low) | (j > high), none, 0), np.full(len(j), -1), np.full(len(j), -1)
+    for i, want in enumerate(template, 1):
+        hit = doc == want
+        down = key + GAP * one
+        step = key[:-1] + np.where(hit, MATCH * one + 1, MISS * one)
+        take = step >= down[1:]
+        new_first, new_last = first.copy(), last.copy()
+        new_first[1:] = np.where(take, np.where(hit & (first[:-1] < 0), j[:-1], first[:-1]), first[1:])
+        new_last[1:] = np.where(take, np.where(hit, j[:-1], last[:-1]), last[1:])
+        down[1:] = np.where(take, step, down[1:])
+        outside = (j - i < low) | (j - i > high)
+        down[outside] = none
+        # words of doc left out: the best cell before, less a gap a word
+        level = down - GAP * one * j
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == top, j, 0))
+        key, first, last = top + GAP * one * j, new_first[source], new_last[source]
+        key[outside] = none
+    best = int(key.argmax())
+    return int(key[best]) >> 31, int(key[best]) & one - 1, int(first[best]), int(last[best])
+
+
+def align(template: np.ndarray, doc: np.ndarray, band: tuple[int, int]) -> tuple[int, int, int]:
+    """(matched words, first and last matched place in doc) of the best fit within the band."""
+    return fit(template, doc, band)[1:]
+
+
+def stretches(text: np.ndarray, ids: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Parts of ids[low:high] that hold every occurrence with enough coverage and a positive score.
+
+    Such an occurrence is under three times the template's length, and enough of the
+    template's words stand in it.
+    """
+    m, need = len(text), needed(len(text))
+    at = low + np.flatnonzero(np.isin(ids[low:high], text))
+    if len(at) < need:
+        return []
+    begins, ends = at[: len(at) - need + 1], at[need - 1 :] + 1
+    close = ends - begins < 3 * m
+    begins, ends = begins[close], ends[close]
+    if not len(begins):
+        return []
+    new = np.flatnonzero(begins[1:] >= ends[:-1]) + 1
+    out = list(zip(begins[np.r_[0, new]].tolist(), ends[np.r_[new - 1, len(ends) - 1]].tolist(), strict=True))
+    terms, times = np.unique(text, return_counts=True)
+    enough = lambda part: np.minimum(np.bincount(part, minlength=terms[-1] + 1)[terms], times).sum() >= need
+    return [(a, b) for a, b in out if enough(ids[a:b])]
 
 
 def scan(index: Index, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(template, matched words, first, last word place) of each occurrence with enough coverage."""
-    starts: dict[int, set[int]] = {}
+    """(template, matched words, first, last word place) of each occurrence with enough coverage.
+
+    Exact occurrences come from the fingerprints. The others are the best fits, best
+    first, of the template into what is left of the text, if twice the matched words
+    outnumber those changed, left out or put between.
+    """
+    exact: dict[int, set[int]] = {}
     for size, table in index.postings.items():
         h = gram_hashes(ids, size)
         # only grams wholly of template words are left here; all are looked up, so that kept grams of short templates meet too
         for at in np.flatnonzero(h != _BIG):
             for template, place in table.get(int(h[at]), ()):
-                starts.setdefault(template, set()).add(int(at) - place)
+                exact.setdefault(template, set()).add(int(at) - place)
     found = []
-    for template, guesses in starts.items():
+    for template in index.likely(ids).tolist() if index.texts else ():
         text, m = index.texts[template], len(index.texts[template])
-        band = min(BAND, m // 4)
-        exact = [s for s in sorted(guesses) if s >= 0 and np.array_equal(ids[s : s + m], text)]
-        found += [(template, m, s, s + m - 1) for s in exact]
-        rest = sorted(s for s in guesses if not near(exact, s, band))
-        groups: list[list[int]] = []
-        for s in rest:
-            if groups and s - groups[-1][-1] <= band:
-                groups[-1].append(s)
-            else:
-                groups.append([s])
-        for group in groups:
-            base = max(0, group[0] - band)
-            part = ids[base : group[-1] + m + band]
-            n, first, last = align(text, part, (group[0] - band - base, group[-1] + band - base))
-            if n >= MIN_COVERAGE * m:
-                found.append((template, n, base + first, base + last))
+        here = [s for s in sorted(exact.get(template, ())) if s >= 0 and np.array_equal(ids[s : s + m], text)]
+        found += [(template, m, s, s + m - 1) for s in here]
+        todo = list(zip([0, *[s + m for s in here]], [*here, len(ids)], strict=True))
+        while todo:
+            for low, high in stretches(text, ids, *todo.pop()):
+                score, n, first, last = fit(text, ids[low:high], (-m, high - low))
+                if n >= MIN_COVERAGE * m and score > 0:
+                    found.append((template, n, low + first, low + last))
+                if n:
+                    todo += [(low, low + first), (low + last + 1, high)]
     return sorted(found, key=lambda x: (x[2], x[0]))
 
 

@@ -57,3 +57,51 @@ def test_slices_change_nothing(spark, monkeypatch):
     want = sorted(ls.scan_licenses(docs, templates).collect())
     monkeypatch.setattr(ls, "SLICE_BYTES", 50)
     assert sorted(ls.scan_licenses(docs, templates).collect()) == want and len(want) == 2
+
+
+def index_of(*texts):
+    index = ls.Index()
+    for k, t in enumerate(texts):
+        index.add(str(k), t.encode())
+    return index
+
+
+def test_changed_notices_are_found(spark):
+    long = dict(ls.TEMPLATES)["gpl-3.0-header"].split()
+    fifth = " ".join("x" if k % 5 == 4 else w for k, w in enumerate(long))
+    split = " ".join([*long[:40], *["x"] * 30, *long[40:]])
+    rows = [(1, "a. Released under an MIT license b"), (2, "Licensed under the Apache Licence, Version 2.0"), (3, f"y {fifth} y"), (4, f"y {split} y"), (5, f"{fifth} {split} {fifth}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in ls.scan_licenses(docs, spark.createDataFrame(ls.TEMPLATES, "template_id string, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.template_id, r.matched_words, r.template_words))
+    m = got[4][0][2]
+    assert got[1] == [("mit-line", 4, 5)] and got[2] == [("apache-2.0-line", 7, 8)]
+    assert [x[0] for x in got[3]] == ["gpl-3.0-header"] and got[3][0][1] >= 0.8 * m and got[4] == [("gpl-3.0-header", m, m)]
+    assert len(got[5]) == 3
+
+
+def test_scan_finds_what_the_full_alignment_does():
+    rnd = random.Random(9)
+    both = [0, 0]
+    for _ in range(1500):
+        m = rnd.choice([1, 2, 3, 4, 5, 8, 13, 21, 40])
+        t = [rnd.randrange(1, rnd.choice([4, 60])) for _ in range(m)]
+        index = index_of(" ".join(f"w{x}" for x in t))
+        number = index.vocabulary
+        changed, added = rnd.choice([0, 0.1, 0.2, 0.3]), rnd.choice([0, 0.2, 0.6])
+        d = [rnd.choice([0, rnd.randrange(1, 60)]) for _ in range(rnd.randrange(8))]
+        gap_at = rnd.randrange(m)
+        for k, x in enumerate(t):
+            d += [0] * rnd.choice([0, 0, 10, 25]) if k == gap_at else [0] * (rnd.random() < added)
+            if rnd.random() >= changed / 2:
+                d.append(0 if rnd.random() < changed / 2 else x)
+        d += [rnd.randrange(60) for _ in range(rnd.randrange(8))]
+        ids = [number.get(f"w{x}".encode(), 0) for x in d]
+        score, n = full_alignment(index.texts[0].tolist(), ids)
+        want = n >= ls.MIN_COVERAGE * m and score > 0
+        got = ls.scan(index, np.array(ids, np.int64))
+        assert not want or max((x[1] for x in got), default=0) >= n, (t, d, n, got)
+        assert want or not got or m < 5 or max(x[1] for x in got) >= ls.MIN_COVERAGE * m, (t, d, n, got)
+        both[want] += 1
+    assert min(both) > 100
