@@ -24,7 +24,11 @@ BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6
     head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul""".split()
 )
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video select textarea".split())
+SILENT = frozenset("script style noscript template svg math title iframe object canvas audio video select textarea".split())
+#: Silent elements whose content is not markup: only their own end tag ends them.
+RAW = frozenset("script style noscript title iframe textarea".split())
+#: What a page's head may hold; anything else ends it.
+IN_HEAD = SILENT & frozenset("script style noscript template title".split()) | frozenset("base link meta basefont bgsound".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class or id that mark a container as no part of the article.
@@ -54,6 +58,42 @@ class Block:
     outside: bool  # in a menu, footer, form ... or in a container marked so
     article: bool  # in an <article> or <main>
     heading: bool
+    paragraph: bool
+
+
+def silence(page: str, at: int, tag: str, ancestors: set[str], endless: set[str]) -> int:
+    """Where a silent element that begins before `at` ends: behind its end tag, or before that of an element around it.
+
+    `endless` collects the raw elements without an end tag in the rest of the page.
+    """
+
+    def raw_end(name: str, at: int) -> int:
+        end = None if name in endless else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+        if not end:
+            endless.add(name)
+        return end.end() if end else -1
+
+    if tag in RAW and (end := raw_end(tag, at)) >= 0:
+        return end
+    inside: list[str] = []
+    while m := _TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name == "body" and "head" in ancestors:
+            return m.start()
+        if m[1]:
+            if name in inside:
+                while inside.pop() != name:
+                    pass
+            elif name == tag:
+                return at
+            elif name in ancestors:
+                return m.start()
+        elif name and name not in VOID and not m[3].endswith("/"):
+            if name in RAW and (end := raw_end(name, at)) >= 0:
+                at = end
+            elif name not in RAW:
+                inside.append(name)
+    return len(page)
 
 
 def blocks(page: str) -> Iterator[Block]:
@@ -62,6 +102,7 @@ def blocks(page: str) -> Iterator[Block]:
     parts: list[str] = []
     links = at = 0
     state = {"outside": 0, "article": 0, "a": 0, "heading": 0}
+    endless: set[str] = set()
 
     def count(tag: str, outside: bool, step: int) -> None:
         state["outside"] += step * outside
@@ -73,7 +114,8 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal links
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            yield Block(text, links, state["outside"] > 0, state["article"] > 0, state["heading"] > 0)
+            paragraph = next((name for name, _ in reversed(open_tags) if name in BLOCKS), "") == "p"
+            yield Block(text, links, state["outside"] > 0, state["article"] > 0, state["heading"] > 0, paragraph)
         parts.clear()
         links = 0
 
@@ -95,6 +137,9 @@ def blocks(page: str) -> Iterator[Block]:
             say(html.escape(m[0][9:-3]))
         if not tag:
             continue
+        if open_tags and open_tags[-1][0] == "head" and not m[1] and tag not in IN_HEAD:
+            yield from flush()
+            open_tags.pop()
         if tag == "br":
             parts.append(" ")
         elif m[1]:
@@ -109,8 +154,7 @@ def blocks(page: str) -> Iterator[Block]:
         elif tag in SILENT and not m[3].endswith("/"):
             if tag in BLOCKS:
                 yield from flush()
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            at = silence(page, at, tag, {name for name, _ in open_tags}, endless)
         else:
             if tag in BLOCKS:
                 yield from flush()
@@ -124,7 +168,7 @@ def blocks(page: str) -> Iterator[Block]:
 
 
 def marked(tag: str, attributes: str) -> bool:
-    if tag in ("body", "html", "article", "main") or not attributes:
+    if tag in ("body", "head", "html", "article", "main") or not attributes:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -141,7 +185,7 @@ def first_pass(block: Block) -> str:
         return "bad"
     size = len(block.text)
     if block.link_chars > LINKS_HIGH * size:
-        return "short" if block.article and block.link_chars < 0.9 * size else "bad"
+        return "short" if block.article and (block.heading or block.paragraph or block.link_chars < 0.9 * size) else "bad"
     if size < LENGTH_LOW or block.heading:
         return "short"
     words = block.text.lower().split()

@@ -37,3 +37,22 @@ def test_broken_markup_stays_linear():
     for page in ("<" * 100000, "<a b='" * 3000, "<p " + "x" * 200000, "&" * 100000, "<div>" * 20000):
         main_text(page)
     assert time.time() - began < 20
+
+
+def test_elements_without_an_end_tag_take_no_more_than_their_parent():
+    for head in ("<head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=x><title>T<body>", "<head class='nav'><title>T</title></head>", "<head><style>p{}</style></head><body>", "<head>"):
+        assert main_text(f"<html>{head}<article><p>One</p><p>Two</p></article></html>") == "One\nTwo", head
+    for tag in ("object", "select", "svg", "video", "title", "iframe"):
+        for rest in ("", f"<footer><{tag}>x</{tag}></footer>" if tag not in ("title", "iframe") else ""):
+            assert main_text(f"<body><article><p>One</p><div><{tag} a=b>gone<b>gone</b></div><p>Two</p></article>{rest}</body>") == "One\nTwo", (tag, rest)
+    assert main_text("<article><p>One</p><object><object>a</object>b</object><p>Two</p></article>") == "One\nTwo"
+    assert main_text("<article><p>One</p><script>'</article>'</script><p>Two</p></article>") == "One\nTwo"
+    began = time.time()
+    for page in ("<b><title></b>" * 20000, "<object>" * 20000, "<p><svg></p>" * 20000, "<svg><title>" * 10000):
+        main_text(page)
+    assert time.time() - began < 20
+
+
+def test_linked_headings_and_paragraphs_of_an_article_stay():
+    page = '<nav><p><a href="/">Home</a></p></nav><article><h1><a href="x">Title</a></h1><p>Text of it.</p><p><a href="y">All of this is a link</a></p><ul><li><a href="z">Menu</a></li></ul></article><p><a href="w">More</a></p>'
+    assert main_text(page) == "Title\nText of it.\nAll of this is a link"
