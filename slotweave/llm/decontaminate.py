@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ WINDOW = 10
 REACH = WINDOW - 1
 #: Benchmark text handled at a time: its vocabulary and windows (some 25 MB) are broadcast. More text, more slices.
 SLICE_BYTES = 1 << 20
-#: Share of a window's distinct words that must stand near its rarest word for a proximity match.
+#: Share of a window's distinct words that must stand near one of its anchors for a proximity match.
 NEAR_SHARE = 0.8
 # A-Z lower-cased; 0-9, a-z and every byte of a non-ASCII character stay; the rest separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -70,7 +71,7 @@ def term_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]
 def positional_index(docs: DataFrame, vocabulary: dict[bytes, int], anchors: set[int]) -> DataFrame:
     """row_id, doc_id, n_words, postings(term, pos, near) of every document, written to the shared folder.
 
-    Postings are kept for the anchors, the rarest words of the windows; near holds the
+    Postings are kept for the anchors, rare words of the windows; near holds the
     word numbers from 9 places before to 9 after (0: none or not in the benchmark).
     """
     context = docs.sparkSession.sparkContext
@@ -104,27 +105,37 @@ def positional_index(docs: DataFrame, vocabulary: dict[bytes, int], anchors: set
 
 
 def window_table(docs: DataFrame, part: Slice, counts: dict[int, int]) -> DataFrame:
-    """terms, items, anchor and second (the window's two rarest words), place (the anchor's offset)."""
+    """terms, items, anchor, others, place (the anchor's offset): a row for every anchor of a window.
+
+    A proximity match may lack some of a window's words. The anchors are its rarest words,
+    one more than may be lacking, so every match holds one; others are the rarer words
+    behind the anchor, one more again, so every match holds one of them beside its first
+    anchor. An anchor that no document has is left out.
+    """
     rows = []
     for terms, items in part.windows.items():
         rare = sorted(set(terms), key=lambda t: (counts.get(t, 0), t))
-        if counts.get(rare[0], 0):
-            rows.append((list(terms), sorted(items), rare[0], rare[1] if len(rare) > 1 else rare[0], terms.index(rare[0])))
-    return docs.sparkSession.createDataFrame(rows, "terms array<int>, items array<string>, anchor int, second int, place int")
+        need = math.ceil(NEAR_SHARE * len(rare))
+        spare = len(rare) - need
+        for k in range(spare + 1):
+            if counts.get(rare[k], 0):
+                rows.append((list(terms), sorted(items), rare[k], rare[k + 1 : spare + 2] if need > 1 else [rare[k]], terms.index(rare[k])))
+    return docs.sparkSession.createDataFrame(rows, "terms array<int>, items array<string>, anchor int, others array<int>, place int")
 
 
 def matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """row_id, start, size, items, exact: places where a window stands word by word (exact) or nearly.
 
-    Postings of a window's rarest word meet the window; the second rarest must be near,
-    then all other words are compared at their offset-adjusted places.
+    Postings of a window's anchors meet the window; one of the others must be near, then
+    all words are compared, at their offset-adjusted places or by their share. Any ten
+    words of a text that hold enough of a window's words match it.
     """
     posted = index.select("row_id", F.explode("postings").alias("p")).select("row_id", F.col("p.term").alias("anchor"), "p.pos", "p.near")
     whole = F.slice("near", F.lit(WINDOW) - F.col("place"), F.size("terms")) == F.col("terms")
     close = F.size(F.array_intersect("terms", "near")) >= F.lit(NEAR_SHARE) * F.size(F.array_distinct("terms"))
     return (
         posted.join(F.broadcast(windows), "anchor")  # at most one slice's windows
-        .filter(F.array_contains("near", F.col("second")))
+        .filter(F.arrays_overlap("near", "others"))
         .withColumn("exact", whole)
         .filter(F.col("exact") | close)
         .select("row_id", (F.col("pos") - F.col("place")).alias("start"), F.size("terms").alias("size"), "items", "exact")
@@ -132,11 +143,12 @@ def matches(index: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items for every row of docs(doc_id, text).
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, near_items for every row of docs(doc_id, text).
 
     Windows are 10 consecutive words of an item (an item of fewer is one window). n_hit
     counts document words inside exact occurrences, n_items the items with one;
-    n_near_items those with an exact or proximity match. Null and empty texts have no
+    n_near_items those with an exact or proximity match, near_items their ids, sorted and
+    joined by commas. Null and empty texts have no
     words; repeated rows are kept; overlapping occurrences count a word once; items
     without words match nothing; either table may be empty; other columns are ignored.
     Texts are read twice and never shuffled: only postings of exact or near matches are.
@@ -154,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         base = positional_index(docs, {}, set()).select("row_id", "doc_id", "n_words")
         return base.select(
             "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
-            F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_near_items"),
+            F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_near_items"), F.lit("").alias("near_items"),
         )
     hit = F.collect_set(F.when(F.col("exact"), F.struct("start", "size")))
     per_row = found.groupBy("row_id").agg(
@@ -163,9 +175,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    items = F.coalesce(F.array_sort("exact_items"), F.array().cast("array<string>"))
+    listed = lambda c: F.array_join(F.coalesce(F.array_sort(c), F.array().cast("array<string>")), ",")
     return base.join(per_row.withColumn("covered", covered), "row_id", "left").select(
-        "doc_id", "n_words", n("covered").alias("n_hit"), n("exact_items").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (n("covered") > 0).alias("contaminated"), n("near_items").alias("n_near_items"),
+        "doc_id", "n_words", n("covered").alias("n_hit"), n("exact_items").alias("n_items"), F.sha2(listed("exact_items"), 256).alias("items_sha256"),
+        (n("covered") > 0).alias("contaminated"), n("near_items").alias("n_near_items"), listed("near_items").alias("near_items"),
     )
 

@@ -64,3 +64,36 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, moved), (2, item)], "doc_id long, text string")
     got = {r.doc_id: (r.contaminated, r.n_near_items) for r in dc.decontaminate(d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
     assert got == {1: (False, 1), 2: (True, 1)}
+
+
+def test_proximity_hangs_on_no_single_word(spark):
+    item = [f"w{k}" for k in range(14)]
+    docs = [(k, " ".join(["a", *item[:k], "new", *item[k + 1 :], "b"])) for k in range(14)]  # the rarest word is another one in every row
+    docs += [(20, " ".join([*item[:4], "x", "y", *item[6:10]])), (21, " ".join([*item[:4], "x", "y", "z", *item[7:10]])), (22, " ".join(item)), (23, " ".join(["new"] * 30))]
+    docs += [(24, "gone of this"), (25, "only")]
+    b = [(7, " ".join(item)), (8, "only"), (9, "never seen of this at all gone or so there")]
+    got = dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string")).collect()
+    near = {r.doc_id: (r.n_near_items, r.near_items) for r in got}
+    assert near == {k: (1, "7") for k in [*range(14), 20, 22]} | {21: (0, ""), 23: (0, ""), 24: (0, ""), 25: (1, "8")}
+    alone = dc.decontaminate(spark.createDataFrame(docs[7:8], "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string")).first()
+    assert (alone.contaminated, alone.near_items) == (False, "7")
+
+
+def test_proximity_finds_every_stretch_with_enough_words(spark):
+    rnd = random.Random(3)
+    text = lambda n: [f"w{rnd.randrange(40)}" for _ in range(n)]
+    bench = [(i, text(rnd.choice([1, 3, 6, 10, 14]))) for i in range(15)]
+    docs = []
+    for d in range(150):
+        w = list(rnd.choice(bench)[1])
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(len(w))] = f"w{rnd.randrange(60)}"
+        docs.append((d, text(3) + w + text(3)))
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string") for name, rows in (("doc_id", docs), ("item_id", bench))]
+    got = {r.doc_id: set(r.near_items.split(",")) for r in dc.decontaminate(*frames).collect()}
+    for d, w in docs:
+        for i, b in bench:
+            windows = [set(b[k : k + 10]) for k in range(max(1, len(b) - 9))]
+            want = any(len(x & set(w[k : k + 10])) >= 0.8 * len(x) for x in windows for k in range(len(w)))
+            assert not want or str(i) in got[d], (d, i)
+            assert str(i) not in got[d] or any(len(x & set(w[k : k + 19])) >= 0.8 * len(x) for x in windows for k in range(len(w)))
