@@ -110,10 +110,19 @@ def parse(data: bytes) -> dict:
     A header counts if it follows a frame of the same stream, or if another of the stream
     follows at its length (or the data or an ID3v1 tag end there); else the scan goes on
     at the next 0xFF byte.
+    'TAG' at 128 bytes before the end is an ID3v1 tag unless a frame's data run over that
+    place.
     Broken or empty data gives no frames.
     """
     tags, at = tag_texts(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    found, tag = walk(data, at, len(data)), len(data) - 128
+    if data[-128:-125] == b"TAG" and not any(o < tag < o + n for o, n in zip(found["offsets"], found["lengths"], strict=True)):
+        found = walk(data, at, tag)
+    return {"tags": tags} | found
+
+
+def walk(data: bytes, at: int, end: int) -> dict:
+    """What `parse` finds in the frames between two places."""
     offsets, lengths, samples, hz, good, bad, skipped, xing, stream, due = [], [], 0, 0, 0, 0, 0, None, None, -1
     while 0 <= at and at + 4 <= end:
         head = frame_header(data[at : at + 4])
@@ -138,7 +147,7 @@ def parse(data: bytes) -> dict:
                 same = crc16(data[at + 2 : at + 4] + data[body : body + covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
                 good, bad = good + same, bad + (not same)
         at = due = at + length
-    return {"tags": tags, "xing": xing, "offsets": offsets, "lengths": lengths, "samples": samples, "hz": hz, "crc_ok": good, "crc_bad": bad, "skipped": skipped, "stream": stream}
+    return {"xing": xing, "offsets": offsets, "lengths": lengths, "samples": samples, "hz": hz, "crc_ok": good, "crc_bad": bad, "skipped": skipped, "stream": stream}
 
 
 def xing_table(data: bytes) -> dict:

@@ -68,3 +68,14 @@ def test_mixing_hits_the_target(spark):
     twice = mixing.mix_sources(docs)
     assert sorted((r.doc_id, r.copy_no) for r in twice.collect()) == sorted((r.doc_id, r.copy_no) for r in mixing.mix_sources(docs.repartition(13)).collect())
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_text_that_looks_like_a_trailing_tag_keeps_its_frame():
+    for units in (1, 2, 3, 4, 5, 7):
+        payload = bytearray(b"x" * 192 * units)
+        payload[-103:-100] = b"TAG"  # bytes 89-91 of the last unit
+        data = mpeg_audio.encode(bytes(payload), len(payload))
+        assert mpeg_audio.stored_payload(data, mpeg_audio.parse(data)) == payload, units
+        assert units % 4 == 0 or data[-128:-125] == b"TAG"
+        tagged = mpeg_audio.parse(data + b"TAG".ljust(128, b"\xff"))
+        assert mpeg_audio.stored_payload(data, tagged) == payload and tagged["skipped"] == 0
