@@ -17,14 +17,21 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one is set only where none is configured."""
+    """The folder that driver and executors share; a private one is set only in local mode and where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def id_type(docs: DataFrame) -> str:
+    """The type of docs' doc_id, for the schemas of operators that pass it on."""
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -32,12 +39,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later step reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,66 +1,83 @@
 """Removal of repeated 200-byte strings with two-stage suffix sorting (operator 5).
 
-Every 200-byte window of a document belongs to the span of windows that share its least
-32-byte hash (their anchor). Equal windows have equal anchors, so windows only ever need
-comparison among spans of one anchor. Spans that occur twice as a whole are repeated as a
-whole; the rest, where repeats begin and end, is compared by a suffix array.
+Every 200-byte window of a document belongs to the span of neighbouring windows that share
+an anchor: the least hash of a 32-byte string in them. Equal windows have equal anchors, so
+only spans of one anchor need comparison. Spans that are equal as a whole collapse to one;
+the others, where repeats begin and end, are compared in suffix arrays that hold whole
+anchors. An anchor with more different spans than an array takes is anchored anew by longer
+strings, in the end by whole windows, and equal windows collapse again: an array never
+holds an unbounded group, and every step runs the same way at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, id_type, materialise
 
 LENGTH = 200
-GRAM = 32
-REACH = LENGTH - GRAM + 1
-CHUNK = 1 << 20
-#: Spans of one anchor sorted in one task; anchors with more are compared slice by slice across tasks.
+#: Lengths of the strings that anchor windows: the first for all, each next for anchors with too many spans.
+GRAMS = (32, 116, 170, 190, 198, LENGTH)
+CHUNK = 1 << 17
+#: Different spans of one anchor that go into one suffix array.
 ANCHOR_SPANS = 800
 #: Bytes of spans that go into one suffix array (an anchor's spans stay together).
 BUNDLE_BYTES = 1 << 20
-SLICE = 8
 _ODD = 0x9E3779B97F4A7C15
-SPAN = "h1 long, h2 long, doc_id long, tag int, span long"
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each position on."""
-    h, size, factor = data.astype(np.uint64) + np.uint64(1), 1, _ODD
-    while size < GRAM:
-        h = h[:-size] * np.uint64(factor) + h[size:]
-        factor, size = factor * factor % 2**64, size * 2
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes from each position on: polynomials, doubled and extended by a byte."""
+    one = data.astype(np.uint64) + np.uint64(1)
+    h, n = one, 1
+    for bit in bin(size)[3:]:
+        h = h[:-n] * np.uint64(pow(_ODD, n, 2**64)) + h[n:]
+        n *= 2
+        if bit == "1":
+            h = h[:-1] * np.uint64(_ODD) + one[n:]
+            n += 1
+    h = h + np.uint64(size)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(29)
 
 
-def sliding_minimum(h: np.ndarray) -> np.ndarray:
-    """Least of each REACH neighbours: running minima from both sides of blocks of REACH."""
-    n = len(h) - REACH + 1
-    padded = np.full(-(-len(h) // REACH) * REACH, np.iinfo(np.uint64).max, np.uint64)
+def sliding(h: np.ndarray, reach: int, best: np.ufunc, fill: int) -> np.ndarray:
+    """Least or greatest of each `reach` neighbours: running values from both sides of blocks of `reach`."""
+    n = len(h) - reach + 1
+    padded = np.full(-(-len(h) // reach) * reach, fill, np.uint64)
     padded[: len(h)] = h
-    block = padded.reshape(-1, REACH)
-    ahead = np.minimum.accumulate(block, axis=1).ravel()
-    back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[REACH - 1 : REACH - 1 + n])
+    block = padded.reshape(-1, reach)
+    ahead = best.accumulate(block, axis=1).ravel()
+    back = best.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return best(back[:n], ahead[reach - 1 : reach - 1 + n])
 
 
-def anchored_spans(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def occurring_twice(h: np.ndarray, least: np.ndarray, reach: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the anchor of windows first..last stands at more than one place in them."""
+    edge = np.zeros(reach - 1, np.uint64)
+    anchors = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), reach, np.maximum, 0) == h)
+    values, code = np.unique(h[anchors], return_inverse=True)
+    places = np.sort(code * (len(h) + 1) + anchors)
+    base = np.searchsorted(values, least[first]) * (len(h) + 1)
+    return np.searchsorted(places, base + last + reach) - np.searchsorted(places, base + first) > 1
+
+
+def anchored_spans(data: np.ndarray, bounds: np.ndarray, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per chunk of documents data[bounds[k]:bounds[k + 1]]: document, first and last window, anchor hash, whether the anchor is there twice.
 
-    Very long documents are cut into chunks of windows; a cut splits a span, which only
-    sends its parts to the suffix arrays.
+    Long documents are cut into chunks of windows; a cut splits a span, which only sends
+    its parts to the suffix arrays.
     """
+    reach = LENGTH - gram + 1
     cuts = [int(bounds[0])]
     for b in bounds[1:].tolist():
         while b - cuts[-1] > 2 * CHUNK:
@@ -73,16 +90,16 @@ def anchored_spans(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.nd
         part = data[low : min(high + LENGTH - 1, bounds[-1])]
         if len(part) < LENGTH:
             continue
-        h = gram_hashes(part)
-        least = sliding_minimum(h)[: high - low]
-        at = np.arange(low, low + len(least))
+        h = gram_hashes(part, gram)
+        least = sliding(h, reach, np.minimum, 2**64 - 1)
+        at = np.arange(low, low + min(high - low, len(least)))
         doc = np.searchsorted(bounds, at, side="right") - 1
         fits = at + LENGTH <= bounds[doc + 1]
-        edge = np.flatnonzero((least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (fits[1:] != fits[:-1])) + 1
-        first, last = np.append(0, edge), np.append(edge, len(least)) - 1
+        here = least[: len(at)]
+        edge = np.flatnonzero((here[1:] != here[:-1]) | (doc[1:] != doc[:-1]) | (fits[1:] != fits[:-1])) + 1
+        first, last = np.append(0, edge), np.append(edge, len(at)) - 1
         first, last = first[fits[first]], last[fits[first]]
-        twice = np.array([np.count_nonzero(h[a : b + REACH] == least[a]) > 1 for a, b in zip(first.tolist(), last.tolist(), strict=True)], bool)
-        yield doc[first], first + low, last + low, least[first], twice
+        yield doc[first], first + low, last + low, least[first], occurring_twice(h, least, reach, first, last)
 
 
 def packed(first: np.ndarray, last: np.ndarray, twice: np.ndarray) -> np.ndarray:
@@ -109,24 +126,54 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
 
 
+def digests(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
+    """128 bits of hash, as two longs, of the bytes of windows first..last."""
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(view[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, text) -> SPAN rows."""
+    """(doc_id, tag, text) -> (h1, h2, h3, doc_id, tag, span): anchor, hash of all bytes, place."""
     for batch in batches:
         data, bounds = text_bytes(batch.column(2))
-        digest = xxhash.xxh3_64_intdigest
-        for doc, first, last, h1, twice in anchored_spans(data, bounds):
-            view = memoryview(data)
-            h2 = np.array([digest(view[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-            base = bounds[doc]
+        for doc, first, last, h1, twice in anchored_spans(data, bounds, GRAMS[0]):
+            base, at = bounds[doc], pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)),
-                    pa.array(packed(first - base, last - base, twice)),
-                ],
-                ["h1", "h2", "doc_id", "tag", "span"],
+                [pa.array(h1.view(np.int64)), *digests(data, first, last), batch.column(0).take(at), batch.column(1).take(at), pa.array(packed(first - base, last - base, twice))],
+                ["h1", "h2", "h3", "doc_id", "tag", "span"],
             )
 
 
+def split_spans(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, tag, first, copies, data) -> (h1, h2, h3, doc_id, tag, span, copies, data): spans anchored anew by longer strings.
+
+    In the last step the anchor is the window, so a span is a run of equal windows: it
+    is known by one of them, and a run of more counts twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(4))
+            whole, begins = data.tobytes(), batch.column(2).to_numpy()
+            for doc, first, last, h1, twice in anchored_spans(data, bounds, gram):
+                shown = last
+                if gram == LENGTH:
+                    doc, first, last, h1 = (np.repeat(x, 1 + twice) for x in (doc, first, last, h1))
+                    shown, twice = first, np.zeros(len(doc), bool)
+                moved, at = begins[doc] - bounds[doc], pa.array(doc)
+                pieces = [whole[a : b + LENGTH] for a, b in zip(first.tolist(), shown.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h1.view(np.int64)), *digests(data, first, shown), batch.column(0).take(at), batch.column(1).take(at),
+                        pa.array(packed(first + moved, last + moved, twice)), batch.column(3).take(at), pa.array(pieces, pa.binary()),
+                    ],
+                    ["h1", "h2", "h3", "doc_id", "tag", "span", "copies", "data"],
+                )
+
+    return run
+
+
 def sorted_windows(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Positions of all whole windows of spans data[bounds[k]:bounds[k + 1]], in the order of their LENGTH bytes.
 
@@ -213,89 +260,52 @@ def intervals(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.append(offsets[:1], offsets[cut + 1]), np.append(offsets[cut], offsets[-1:])) if len(offsets) else (offsets, offsets)
 
 
-def compare_bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans ordered by anchor -> windows (doc_id, tag, first, last) of spans seen once that occur again."""
-    rest: pd.DataFrame | None = None
-
-    def bundles(rows: pd.DataFrame, final: bool) -> Iterator[pd.DataFrame]:
-        nonlocal rest
-        cut = np.flatnonzero(np.append(True, rows.h1.to_numpy()[1:] != rows.h1.to_numpy()[:-1]))
-        size = np.append(0, np.cumsum(rows.data.map(len).to_numpy()))
+def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that stand in the order of their anchors, cut between anchors into tables of about BUNDLE_BYTES."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rest = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        h1 = rest["h1"].to_numpy()
+        size = np.append(0, np.cumsum(pc.binary_length(rest["data"]).to_numpy()))
         begin = 0
-        for at in [*cut[1:].tolist(), *([len(rows)] if final else [])]:
-            if size[at] - size[begin] >= BUNDLE_BYTES or at == len(rows):
-                yield rows.iloc[begin:at]
+        for at in (np.flatnonzero(h1[1:] != h1[:-1]) + 1).tolist():
+            if size[at] - size[begin] >= BUNDLE_BYTES:
+                yield rest.slice(begin, at - begin)
                 begin = at
-        rest = rows.iloc[begin:]
-
-    def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for doc_id, tag, first, copies, found in zip(rows.doc_id, rows.tag, rows["first"], rows.copies, repeated_windows(list(rows.data)), strict=True):
-            if copies == 1:
-                out += [(doc_id, tag, first + a, first + b) for a, b in zip(*intervals(found), strict=True)]
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pd.DataFrame({"doc_id": pd.array(columns[0], "Int64"), "tag": np.array(columns[1], np.int32), "first": np.array(columns[2], np.int64), "last": np.array(columns[3], np.int64)})
-
-    for batch in batches:
-        if len(batch):
-            for rows in bundles(batch if rest is None else pd.concat([rest, batch], ignore_index=True), False):
-                yield compared(rows)
+        rest = rest.slice(begin)
     if rest is not None and len(rest):
-        for rows in bundles(rest.reset_index(drop=True), True):
-            yield compared(rows)
-
+        yield rest
 
-SLICES = "core long, whole long, doc_id long, tag int, first long, copies long, windows array<long>"
 
+def compare_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans ordered by anchor -> windows (doc_id, tag, first, last) of spans seen once that occur again."""
+    for rows in bundles(batches):
+        begins, copies = rows["first"].to_numpy(), rows["copies"].to_numpy()
+        at, first, last = [], [], []
+        for k, found in enumerate(repeated_windows(rows["data"].to_pylist())):
+            if copies[k] == 1:
+                a, b = intervals(found)
+                at.append(np.full(len(a), k))
+                first.append(begins[k] + a)
+                last.append(begins[k] + b)
+        flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        of = pa.array(flat(at))
+        columns = [rows[c].combine_chunks().take(of) for c in ("doc_id", "tag")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(flat(first)), pa.array(flat(last))], ["doc_id", "tag", "first", "last"])
+
+
+def kinds_of(rows: DataFrame, *more: str) -> DataFrame:
+    """h1, h2, h3, copies, and doc_id, tag, span (and more) of one, for every different span."""
+    return rows.groupBy("h1", "h2", "h3").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "tag", "span", *more)).alias("one")).select("h1", "h2", "h3", "copies", "one.*")
+
+
+def open_anchors(kinds: DataFrame) -> DataFrame:
+    """h1, kinds: anchors of a span seen once that another span, or the span itself, may repeat in part."""
+    groups = kinds.groupBy("h1").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"), F.max(span_twice(F.col("span"))).alias("twice"))
+    return groups.filter("fewest = 1 AND (kinds > 1 OR twice)").select("h1", "kinds")
 
-def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of crowded anchors -> slices of up to SLICE windows at fixed places around the anchor.
 
-    core: hash of what all windows of a slice share (windows can only be equal if their
-    cores are); whole: hash of all its bytes; windows: each window's hash.
-    """
-    digest = xxhash.xxh3_64_intdigest
-    signed = lambda x: np.array(x, np.uint64).view(np.int64)
-    for batch in batches:
-        rows = []
-        for anchor, doc_id, tag, first, copies, data in zip(*[batch.column(c).to_pylist() for c in ("h1", "doc_id", "tag", "first", "copies", "data")], strict=True):
-            h = gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64)
-            places = np.flatnonzero(h == anchor)
-            n = len(data) - LENGTH + 1
-            at = places[np.searchsorted(places, np.arange(n))]  # each window's first anchor
-            part = (at - np.arange(n)) // SLICE
-            cut = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (at[1:] != at[:-1])))
-            for a, b in zip(cut.tolist(), np.append(cut[1:], n).tolist(), strict=True):
-                p, k = int(at[a]), int(part[a])
-                core = data[p - k * SLICE : p - k * SLICE - SLICE + 1 + LENGTH]
-                salt = b"%d %d " % (anchor, k)
-                rows.append((digest(salt + core), digest(b"%d " % (p - a) + salt + data[a : b - 1 + LENGTH]), doc_id, tag, first + a, copies, [digest(data[i : i + LENGTH]) for i in range(a, b)]))
-        c = list(zip(*rows, strict=True)) or [[]] * 7
-        lists = pa.array([signed(w) for w in c[6]], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(list(c[0]))), pa.array(signed(list(c[1]))), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64()), lists],
-            [x.split()[0] for x in SLICES.split(", ")],
-        )
-
-
-def compare_slices(spans: DataFrame) -> DataFrame:
-    """Exact comparison for crowded anchors without bringing an anchor's spans together.
-
-    Equal slices are counted (pre-aggregated); only slices whose core recurs with other
-    edges are opened to single windows, which are counted in turn.
-    """
-    slices = materialise(spans.mapInArrow(cut_slices, SLICES), "dedup-slices")
-    kinds = slices.groupBy("core", "whole").agg(F.sum("copies").alias("n"), F.min_by(F.struct("doc_id", "tag", "first", "windows"), "first").alias("one"))
-    kinds = materialise(kinds, "dedup-slice-kinds")
-    mixed = materialise(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "dedup-slice-cores")
-    whole = slices.filter("copies = 1").join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"])
-    # a window that lies twice in one slice (two anchors of one span) is caught by the counts of single windows
-    inner = kinds.filter(F.size("one.windows") > F.size(F.array_distinct("one.windows"))).select("core", "whole")
-    opened = kinds.join(mixed.select("core").unionByName(inner.select("core")).distinct(), "core").select("n", "one.*")
-    windows = materialise(opened.select("n", "doc_id", "tag", "first", F.posexplode("windows").alias("k", "window")), "dedup-windows")
-    counts = materialise(windows.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window"), "dedup-window-counts")
-    single = windows.filter("n = 1").join(counts, "window").select("doc_id", "tag", (F.col("first") + F.col("k")).alias("first"))
-    return whole.select("doc_id", "tag", "first", (F.col("first") + F.size("windows") - 1).alias("last")).unionByName(single.withColumn("last", F.col("first")))
+PLACE = ["h1", "h2", "h3", "doc_id", "tag", "span"]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -307,22 +317,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     share a doc_id but not the text are told apart; other columns are ignored; an empty
     table gives an empty result.
 
-    Shuffled are one row per span (some 90 bytes of text each), the texts of spans where
-    repeats begin or end, and the documents, by doc_id, once.
+    Written or shuffled are one row per span (some 90 bytes of text each), the texts of
+    spans where repeats begin or end, and the documents, by doc_id, once.
     """
     texts = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    found = texts.mapInArrow(find_spans, SPAN)
+    place = f"h1 long, h2 long, h3 long, doc_id {id_type(docs)}, tag int, span long"
+    found = materialise(texts.mapInArrow(find_spans, place), "dedup-spans")
     weight = F.when(span_twice(F.col("span")), 2).otherwise(1)
-    anchors = materialise(found.groupBy("h1").agg(F.sum(weight).alias("n")).filter("n > 1").select("h1"), "dedup-anchors")
-    shared = materialise(found.join(anchors, "h1"), "dedup-shared")
-    kinds = shared.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "span")).alias("one"))
-    kinds = materialise(kinds.select("h1", "h2", "copies", "one.*"), "dedup-kinds")
-    groups = kinds.groupBy("h1").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"), F.max(span_twice(F.col("span"))).alias("twice"))
-    groups = materialise(groups.filter("fewest = 1 AND (kinds > 1 OR twice)").select("h1", "kinds"), "dedup-groups")
-    whole = shared.join(kinds.filter("copies > 1").select("h1", "h2"), ["h1", "h2"]).select("doc_id", "tag", span_first(F.col("span")).alias("first"), span_last(F.col("span")).alias("last"))
+    anchors = found.groupBy("h1").agg(F.sum(weight).alias("n")).filter("n > 1").select("h1")
+    shared = materialise(found.join(anchors, "h1").select(*PLACE, F.lit(1).cast("long").alias("copies")), "dedup-shared")
+    discard(found)
+    kinds = materialise(kinds_of(shared), "dedup-kinds")
+    anchors = materialise(open_anchors(kinds), "dedup-anchors")
+    where = [span_first(F.col("span")).alias("first"), span_last(F.col("span")).alias("last")]
     open_ = (
-        kinds.join(groups, "h1")
-        .select("doc_id", "tag", F.struct("h1", "kinds", "copies", span_first(F.col("span")).alias("first"), span_last(F.col("span")).alias("last")).alias("s"))
+        kinds.join(anchors, "h1")
+        .select("doc_id", "tag", F.struct("h1", "kinds", "copies", *where).alias("s"))
         .groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("g"))
         .agg(F.collect_list("s").alias("spans"))
     )
@@ -333,14 +343,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .select("doc_id", "tag", "bytes", F.explode("spans").alias("s"))
         .select("s.h1", "s.kinds", "s.copies", "s.first", "doc_id", "tag", piece.alias("data"))
     )
-    spans = materialise(spans, "dedup-open-spans")
-    sparse = spans.filter(F.col("kinds") <= ANCHOR_SPANS).drop("kinds").repartition("h1").sortWithinPartitions("h1")
-    compared = sparse.mapInPandas(compare_bundles, "doc_id long, tag int, first long, last long")
-    crowded = compare_slices(spans.filter(F.col("kinds") > ANCHOR_SPANS))
-    repeats = whole.unionByName(compared).unionByName(crowded).groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("g"))
+    spans = materialise(spans, "dedup-open")
+    seen, used = shared, [shared, kinds, anchors, spans]
+    repeated, sortable = kinds.filter("copies > 1").select("h1", "h2", "h3"), spans.filter(F.col("kinds") <= ANCHOR_SPANS)
+    for gram in GRAMS[1:]:
+        crowded = spans.filter(F.col("kinds") > ANCHOR_SPANS).select("doc_id", "tag", "first", "copies", "data")
+        if crowded.isEmpty():
+            break
+        parts = materialise(crowded.mapInArrow(split_spans(gram), f"{place}, copies long, data binary"), "dedup-parts")
+        kinds = materialise(kinds_of(parts, "data"), "dedup-kinds")
+        spans = materialise(kinds.join(open_anchors(kinds), "h1").select("h1", "kinds", "copies", where[0], "doc_id", "tag", "data"), "dedup-open")
+        used += [parts, kinds, spans]
+        seen = seen.unionByName(parts.filter("copies = 1").select(*PLACE, "copies"))
+        repeated = repeated.unionByName(kinds.filter("copies > 1").select("h1", "h2", "h3"))
+        sortable = sortable.unionByName(spans.filter(F.col("kinds") <= ANCHOR_SPANS))
+    whole = seen.join(repeated, ["h1", "h2", "h3"]).select("doc_id", "tag", *where)
+    compared = (
+        sortable.select("h1", "doc_id", "tag", "first", "copies", "data")
+        .repartition("h1")
+        .sortWithinPartitions("h1")
+        .mapInArrow(compare_bundles, f"doc_id {id_type(docs)}, tag int, first long, last long")
+    )
+    repeats = whole.unionByName(compared).groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("g"))
     repeats = materialise(repeats.agg(F.collect_set(F.struct("first", "last")).alias("repeats")), "dedup-repeats")
-    discard(shared)
-    return with_rows(texts, repeats, "left").select("doc_id", "text", "repeats").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    discard(*used)
+    out = f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return with_rows(texts, repeats, "left").select("doc_id", "text", "repeats").mapInArrow(cut_out, out)
 
 
 def with_rows(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:

@@ -68,18 +68,49 @@ def test_matches_brute_force(spark):
         assert result(spark, corpus(seed)) == plain(corpus(seed))
 
 
-def test_crowded_anchors_and_small_chunks_are_exact(spark, monkeypatch):
+def test_crowded_anchors_are_anchored_anew(spark, monkeypatch):
     monkeypatch.setattr(sd, "ANCHOR_SPANS", 1)
+    monkeypatch.setattr(sd, "CHUNK", 700)
     assert result(spark, corpus(3)) == plain(corpus(3))
 
 
+def test_hot_passage_in_many_contexts(spark, monkeypatch):
+    """A passage of 260 bytes and a line of 60 in contexts of their own: every copy's edges share anchors with all others."""
+    monkeypatch.setattr(sd, "ANCHOR_SPANS", 20)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, line = text(50)[:260], text(20)[:60]
+    rows = [(i, f"{text(25)} {passage} {text(25)} {line} {text(20)}") for i in range(150)]
+    assert result(spark, rows) == plain(rows)
+
+
+def test_spans_of_every_gram_cover_each_window_once():
+    rnd = random.Random(5)
+    texts = [bytes(rnd.choice(b"ab") for _ in range(n)) for n in (199, 200, 201, 640, 0, 900)] + [b"x" * 500]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    whole = data.tobytes()
+    for gram in sd.GRAMS:
+        seen = np.zeros(len(data), int)
+        for _, first, last, h1, twice in sd.anchored_spans(data, bounds, gram):
+            for a, b, anchor, more in zip(first, last, h1, twice):
+                seen[a : b + 1] += 1
+                h = sd.gram_hashes(data[a : b + 200], gram)
+                assert h.min() == anchor and more == (np.count_nonzero(h == anchor) > 1)
+                assert len(set(whole[a + i : a + i + gram] for i in np.flatnonzero(h == anchor))) == 1
+        want = np.zeros(len(data), int)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            want[a : max(a, b - 199)] = 1
+        assert (seen == want).all()
+
+
 def test_cut_documents(spark, monkeypatch):
     docs = corpus(4)
     data = np.frombuffer("".join(t or "" for _, t in docs).encode(), np.uint8)
     bounds = np.append(0, np.cumsum([len((t or "").encode()) for _, t in docs]))
     monkeypatch.setattr(sd, "CHUNK", 300)
     seen = np.zeros(len(data), int)
-    for _, first, last, _, _ in sd.anchored_spans(data, bounds):
+    for _, first, last, _, _ in sd.anchored_spans(data, bounds, 32):
         for a, b in zip(first, last):
             seen[a : b + 1] += 1
     want = np.zeros(len(data), int)
