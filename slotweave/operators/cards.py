@@ -80,48 +80,114 @@ def candidate_rejection(label: Column | str, upc12: Column, last5: Column, name:
 
 
 def box_problems(width: Column, height: Column, dx: Column, dy: Column, want_width: Column, want_height: Column, strict: Column) -> Column:
-    """array<string> of what makes a box implausible against the expected one; stricter limits where `strict`."""
-    low, high = F.when(strict, 0.6).otherwise(0.45), F.when(strict, 1.5).otherwise(1.9)
-    area = width * height / F.greatest(want_width * want_height, F.lit(1.0))
+    """array<string> of what makes a box implausible against the expected one, whose middle is dx, dy away.
+
+    Some limits hold only where `strict`. Without a box the one problem is that; without
+    an expected box only size and aspect count.
+    """
+    w, h = F.greatest(width, F.lit(0.0)), F.greatest(height, F.lit(0.0))
+    ww, wh = (F.when(x.isNotNull(), F.greatest(x, F.lit(1.0))) for x in (want_width, want_height))
+    aspect, area = F.when(h > 0, w / h).otherwise(99.0), w * h / (ww * wh)
     rules = {
-        "tiny": (width < 8) | (height < 8),
-        "aspect": (width / F.greatest(height, F.lit(1.0)) > 6) | (height / F.greatest(width, F.lit(1.0)) > 6),
-        "off_position": (F.abs(dx) > want_width * 0.75) | (F.abs(dy) > want_height * 0.75),
-        "too_wide": width > want_width * high, "too_tall": height > want_height * high, "too_narrow": width < want_width * low, "too_short": height < want_height * low,
-        "area": (area < low * low) | (area > high * high),
+        "tiny_bbox": (w < 16) | (h < 16),
+        "strip_aspect": (aspect > 3.6) | (aspect < 0.28),
+        "off_expected_slot_geometry": strict & (F.hypot(dx, dy) > F.greatest(F.lit(44.0), ww * 1.7, wh * 1.7)),
+        "too_wide_for_single_card": strict & (w > ww * 1.95), "too_tall_for_single_card": strict & (h > wh * 1.95),
+        "too_narrow_for_single_card": strict & (w < ww * 0.55), "too_short_for_single_card": strict & (h < wh * 0.55),
+        "likely_multi_card_group": strict & (area > 2.8), "likely_partial_strip": strict & (area < 0.35),
+        "oversized_area": ~strict & (area > 4.5), "undersized_area": ~strict & (area < 0.22),
     }
-    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    return F.when(width.isNull() | height.isNull(), F.array(F.lit("missing_mapped_bbox"))).otherwise(found)
 
 
-def best_asset(spans: DataFrame, assets: DataFrame, reach: int = 3) -> DataFrame:
-    """The asset of each span by (in span, not tiny, column distance, area), else the nearest within `reach` columns.
+def best_asset(spans: DataFrame, assets: DataFrame, reach: int = 2, least_area: int = 2500) -> DataFrame:
+    """The asset of each span of columns: in the band of rows first, then not tiny, near in columns, small, near in rows; equals by asset.
 
-    spans(sheet, begin, end), assets(sheet, asset, col, area). Assets meet the spans their
-    column could reach through the columns themselves: an equi-join, no range scan.
+    spans(sheet, begin, end, want_row, band_top, band_bottom), assets(sheet, asset, row, col,
+    width, height). An empty span takes the best within `reach` columns of its middle.
+    Assets meet the spans their column could serve through the columns themselves: an
+    equi-join, no range scan.
     """
-    near = spans.withColumn("at", F.explode(F.sequence(F.col("begin") - reach, F.col("end") + reach)))
+    middle = F.floor((F.col("begin") + F.col("end")) / 2)
+    near = spans.withColumn("middle", middle).withColumn("at", F.explode(F.sequence(F.least("begin", middle - reach), F.greatest("end", middle + reach))))
     pairs = near.join(assets, (near.sheet == assets.sheet) & (near["at"] == assets.col)).drop(assets.sheet)
-    far = F.greatest(F.col("begin") - F.col("col"), F.col("col") - F.col("end"), F.lit(0))
-    order = F.struct((far > 0).alias("outside"), (F.col("area") < 64).alias("tiny"), far.alias("far"), (-F.col("area")).alias("area"), F.col("asset"))
-    return pairs.groupBy("sheet", "begin", "end").agg(F.min(order).alias("b")).select("sheet", "begin", "end", "b.asset", "b.far")
+    within = F.col("col").between(F.col("begin"), F.col("end"))
+    far = F.when(within, F.col("col") - F.col("begin")).otherwise(F.abs(F.col("col") - F.col("middle")))
+    area, none = F.greatest("width", F.lit(0)).cast("long") * F.greatest("height", F.lit(0)), F.lit(10**9)
+    order = F.struct(
+        (~within).alias("outside"), (~F.col("row").between(F.col("band_top"), F.col("band_bottom"))).alias("off_band"), (area < least_area).alias("tiny"), far.alias("far"),
+        F.when(area > 0, area).otherwise(none).alias("area"), F.when(F.col("row") >= 0, F.abs(F.col("row") - F.col("want_row"))).otherwise(none).alias("off_row"), F.col("asset"),
+    )
+    best = pairs.filter(within | (F.abs(F.col("col") - F.col("middle")) <= reach)).groupBy("sheet", "begin", "end").agg(F.min(order).alias("b"))
+    return best.select("sheet", "begin", "end", "b.asset", (~F.col("b.outside")).alias("in_span"), (~F.col("b.off_band")).alias("in_band"))
+
+
+def claim_nearest_above(items: DataFrame, cards: DataFrame, height: float) -> DataFrame:
+    """page_id, card, item, score: cards in reading order each take the unused item above with the least |dx| + 0.3 dy; null where none is left.
+
+    items(page_id, item, x, bottom), cards(page_id, card, x, top) on pages of `height`. An
+    item may hang up to 7 % of the height below the card's top, which counts as no
+    distance; cards are read in bands of 5 %, then by x; of equal items the first.
+    """
+    i = items.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("item", "x", "bottom"))).alias("items"))
+    band = F.bround(F.col("top") / (height * 0.05))
+    c = cards.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(band.alias("band"), "x", "card", "top"))).alias("cards"))
+
+    def step(acc: Column, card: Column) -> Column:
+        free = F.filter("items", lambda t: (t["bottom"] <= card["top"] + height * 0.07) & ~F.exists(acc, lambda a: a["item"].eqNullSafe(t["item"])))
+        score = lambda t: F.abs(card["x"] - t["x"]) + 0.3 * F.greatest(F.lit(0.0), card["top"] - t["bottom"])
+        best = F.array_min(F.transform(free, lambda t: F.struct(score(t).alias("score"), t["item"].alias("item"))))
+        return F.concat(acc, F.array(F.struct(card["card"].alias("card"), best["item"].alias("item"), best["score"].alias("score"))))
+
+    kinds = [d.schema[n].dataType.simpleString() for d, n in ((cards, "card"), (items, "item"))]
+    none = F.array().cast(f"array<struct<card: {kinds[0]}, item: {kinds[1]}, score: double>>")
+    there = c.join(i, "page_id", "left").withColumn("items", F.coalesce("items", F.slice(F.array(F.lit(None).cast(i.schema["items"].dataType.elementType)), 1, 0)))
+    taken = there.withColumn("taken", F.aggregate("cards", none, step))
+    return taken.select("page_id", F.explode("taken").alias("t")).select("page_id", "t.card", "t.item", F.round("t.score", 6).alias("score"))
 
 
-def claim_nearest_above(items: DataFrame, cards: DataFrame) -> DataFrame:
-    """Each card in reading order takes the unused item above it with the least |dx| + 0.3 dy.
+def fullest_slide(slides: DataFrame, top: int = 8, side: int = 6) -> DataFrame:
+    """side, slide, n_top, n_side, complete: each side's slide with the most cards, the first of equals; at most `top` and `side` of them count.
 
-    items(page_id, item, x, y), cards(page_id, card, x, y): one fold over a page's cards.
+    slides(side, slide, n_top, n_side).
     """
-    i = items.groupBy("page_id").agg(F.collect_list(F.struct("item", F.col("x").alias("ix"), F.col("y").alias("iy"))).alias("items"))
-    c = cards.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "card"))).alias("cards"))
+    capped = slides.withColumns({"n_top": F.least("n_top", F.lit(top)), "n_side": F.least("n_side", F.lit(side))})
+    best = capped.groupBy("side").agg(F.min(F.struct((-F.col("n_top") - F.col("n_side")).alias("fewest"), "slide", "n_top", "n_side")).alias("b"))
+    return best.select("side", "b.slide", "b.n_top", "b.n_side", ((F.col("b.n_top") == top) & (F.col("b.n_side") == side)).alias("complete"))
 
-    def step(acc: Column, card: Column) -> Column:
-        free = F.filter("items", lambda t: (t["iy"] < card["y"]) & ~F.exists(acc, lambda a: a["item"] == t["item"]))
-        ranked = F.array_min(F.transform(free, lambda t: F.struct((F.abs(t["ix"] - card["x"]) + 0.3 * (card["y"] - t["iy"])).alias("score"), t["item"].alias("item"))))
-        return F.when(ranked.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(card["card"].alias("card"), ranked["item"].alias("item"), ranked["score"].alias("score")))))
 
-    none = F.array().cast("array<struct<card: bigint, item: bigint, score: double>>")
-    taken = c.join(i, "page_id").withColumn("taken", F.aggregate("cards", none, step))
-    return taken.select("page_id", F.explode("taken").alias("t")).select("page_id", "t.card", "t.item", F.round("t.score", 6).alias("score"))
+def group_capacity(cells: DataFrame, profile: DataFrame) -> DataFrame:
+    """page_id, block, n, most, over, short: cells of each group of a page against its side's profile; groups without a capacity have neither.
+
+    cells(page_id, side, block), profile(side, block, most): a profile has a row a side and group.
+    """
+    counts = cells.groupBy("page_id", "side", "block").agg(F.count(F.lit(1)).alias("n"))
+    expected = cells.select("page_id", "side").distinct().join(F.broadcast(profile), "side")  # a profile: a few rows a side
+    both = expected.join(counts, ["page_id", "side", "block"], "full")
+    n, most = F.coalesce("n", F.lit(0).cast("long")), F.col("most")
+    over, short = (F.coalesce(F.greatest(F.lit(0), x).cast("long"), F.lit(0).cast("long")) for x in (n - most, most - n))
+    both = both.withColumns({"over": F.when(most.isNull(), 0).otherwise(over), "short": F.when(most.isNull(), 0).otherwise(short)})
+    return both.select("page_id", "side", "block", n.alias("n"), "most", "over", "short")
+
+
+def structured_rows(cells: DataFrame, left: float = 220.0, right: float = 380.0, rows: int = 3) -> DataFrame:
+    """page_id, row_index, slot_in_row, block, cell: two left, four centre and two right cells a row.
+
+    cells(page_id, row, x, cell). Rows of four or more wholly between `left` and `right` are
+    centre rows, rows that reach beyond both are side rows; the first `rows` of each pair up,
+    the side row gives its two outermost cells on either side.
+    """
+    x = F.transform("c", lambda c: c["x"])
+    lined = cells.groupBy("page_id", "row").agg(F.array_sort(F.collect_list(F.struct("x", "cell"))).alias("c")).filter(F.size("c") >= 4)
+    kind = F.when((F.array_min(x) > left) & (F.array_max(x) < right), "center").when((F.array_min(x) < left) & (F.array_max(x) > right), "side")
+    lined = lined.withColumn("kind", kind).filter("kind IS NOT NULL")
+    lined = lined.withColumn("row_index", F.row_number().over(W.partitionBy("page_id", "kind").orderBy("row")) - 1).filter(F.col("row_index") < rows)
+    of = lambda k, name: lined.filter(F.col("kind") == k).select("page_id", "row_index", F.col("c").alias(name))
+    slots = F.concat(F.slice("s", 1, 2), F.slice("m", 1, 4), F.slice("s", -2, 2))
+    block = F.when(F.col("slot_in_row") <= 1, "left").when(F.col("slot_in_row") <= 5, "center").otherwise("right")
+    paired = of("side", "s").join(of("center", "m"), ["page_id", "row_index"])
+    return paired.select("page_id", "row_index", F.posexplode(slots).alias("slot_in_row", "c")).select("page_id", "row_index", "slot_in_row", block.alias("block"), "c.cell")
 
 
 def merge_short_rows(rows: DataFrame, capacity: int = 8, most: int = 3) -> DataFrame:

@@ -115,6 +115,17 @@ def words_in_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     return words.join(boxes, "page_id").filter(inside)
 
 
+def slot_candidates(words: DataFrame, boxes: DataFrame, share: float = 0.75, least: float = 18.0) -> DataFrame:
+    """page_id, word_id, row, slot, distance: words within a box's tolerance on both axes, distance in tolerances.
+
+    A box's tolerance is `share` of its width or height, `least` at least, from its middle.
+    """
+    wide, tall = (F.greatest(F.lit(least), share * F.greatest(F.lit(1.0), F.col(b) - F.col(a))) for a, b in (("bx0", "bx1"), ("btop", "bbottom")))
+    dx, dy = F.abs(center("x0", "x1") - center("bx0", "bx1")) / wide, F.abs(center("top", "bottom") - center("btop", "bbottom")) / tall
+    near = words.join(boxes, "page_id").withColumns({"dx": dx, "dy": dy}).filter((F.col("dx") <= 1) & (F.col("dy") <= 1))
+    return near.select("page_id", "word_id", "row", "slot", F.round(F.hypot("dx", "dy"), 9).alias("distance"))
+
+
 def greedy_pairs(candidates: DataFrame, group: str, left: str, right: str, distance: str) -> DataFrame:
     """One-to-one pairs per group, nearest first over the whole group; ties by left, then right."""
     rows = F.array_sort(F.collect_list(F.struct(distance, left, right)))
@@ -163,31 +174,31 @@ def fill_down(rows: DataFrame, by: Sequence[str], order: str, column: str) -> Da
 
 
 def sides_of_segments(spans: DataFrame, want: int = 5) -> DataFrame:
-    """sheet, segment, side: the first four segments are A-D; a side under `want` takes whole later segments that fit.
+    """sheet, segment, side, borrowed: the first four segments are A-D; a side under `want` borrows the first later segment that fits whole.
 
     One fold over a sheet's few segments.
     """
     segs = spans.groupBy("sheet", "segment").agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("segment", "n"))).alias("s"))
     segs = segs.withColumns({"own": F.slice("s", 1, 4), "rest": F.slice("s", F.lit(5), F.greatest(F.size("s") - 4, F.lit(0)))})
 
-    def one_side(taken: Column, k: Column) -> Column:
-        begin = F.struct(F.element_at("own", k + 1)["n"].alias("have"), taken.alias("taken"))
+    def one_side(takers: Column, k: Column) -> Column:
+        room = want - F.element_at("own", k + 1)["n"]
+        fits = F.zip_with("rest", takers, lambda x, t: (t == -1) & (x["n"] <= room))
+        at = F.array_position(fits, F.lit(True))
+        return F.transform(takers, lambda t, i: F.when(i + 1 == at, k).otherwise(t))
 
-        def offer(a: Column, j: Column) -> Column:
-            n = F.element_at("rest", j)["n"]
-            fits = (F.element_at(a["taken"], j) == -1) & (n <= want - a["have"])
-            moved = F.transform(a["taken"], lambda t, i: F.when(i + 1 == j, k).otherwise(t))
-            return F.struct(F.when(fits, a["have"] + n).otherwise(a["have"]).alias("have"), F.when(fits, moved).otherwise(a["taken"]).alias("taken"))
+    takers = F.aggregate(F.sequence(F.lit(0), F.size("own") - 1), F.transform("rest", lambda _: F.lit(-1)), one_side)
+    letter = lambda i: F.substring(F.lit("ABCD"), i + 1, F.lit(1))
+    part = lambda x, side, borrowed: F.struct(x["segment"].alias("segment"), side.alias("side"), F.lit(borrowed).alias("borrowed"))
+    own = F.transform("own", lambda x, i: part(x, letter(i), False))
+    lent = F.filter(F.zip_with("rest", "takers", lambda x, t: part(x, F.when(t >= 0, letter(t)), True)), lambda x: x["side"].isNotNull())
+    return segs.withColumn("takers", takers).select("sheet", F.explode(F.concat(own, lent)).alias("m")).select("sheet", "m.segment", "m.side", "m.borrowed")
 
-        places = F.when(F.size("rest") > 0, F.sequence(F.lit(1), F.size("rest"))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, begin, offer, lambda a: a["taken"])
 
-    none = F.transform("rest", lambda _: F.lit(-1))
-    taken = F.aggregate(F.sequence(F.lit(0), F.size("own") - 1), none, one_side)
-    letter = lambda i: F.substring(F.lit("ABCD"), i + 1, F.lit(1))
-    own = F.transform("own", lambda x, i: F.struct(x["segment"].alias("segment"), letter(i).alias("side")))
-    lent = F.filter(F.zip_with("rest", "taken", lambda x, t: F.struct(x["segment"].alias("segment"), F.when(t >= 0, letter(t)).alias("side"))), lambda x: x["side"].isNotNull())
-    return segs.withColumn("taken", taken).select("sheet", F.explode(F.concat(own, lent)).alias("m")).select("sheet", "m.segment", "m.side")
+def holders_by_side(spans: DataFrame, want: int = 5) -> DataFrame:
+    """Spans with side, borrowed and position: borrowed holders come first, then by column."""
+    placed = spans.join(sides_of_segments(spans, want), ["sheet", "segment"])
+    return placed.withColumn("position", F.row_number().over(W.partitionBy("sheet", "side").orderBy(F.desc("borrowed"), "begin", "end")))
 
 
 def copy_single_side(rows: DataFrame, by: str) -> DataFrame:
@@ -219,13 +230,55 @@ def split_rows(rows: DataFrame) -> DataFrame:
     return gaps.withColumn("cut", cut).select("page_id", "row", "y", F.when(by_marker, (F.col("y") >= F.col("bonus_y")).cast("int")).otherwise(F.coalesce(by_gap, F.lit(0))).alias("part"))
 
 
-def most_regular_window(cells: DataFrame, size: int = 8) -> DataFrame:
-    """page_id, first x and spread of the `size` neighbouring cells with the most even gaps. cells(page_id, x)."""
-    o = W.partitionBy("page_id").orderBy("x")
-    gaps = cells.withColumn("gap", F.lead("x").over(o) - F.col("x"))
-    frame = o.rowsBetween(0, size - 2)
-    spread = gaps.withColumns({"n": F.count("gap").over(frame), "spread": F.round(F.stddev_pop("gap").over(frame), 6)}).filter(F.col("n") == size - 1)
-    return spread.groupBy("page_id").agg(F.min(F.struct("spread", "x")).alias("b")).select("page_id", "b.x", "b.spread")
+def variation(values: Column) -> Column:
+    """Standard deviation over the mean, which counts as 1 at least."""
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
+    return spread / F.greatest(F.lit(1.0), mean)
+
+
+def regular_cells(cells: DataFrame, size: int = 8) -> DataFrame:
+    """page_id, row, y, n, c (array<struct<x, cell, w, h>>): each row's `size` neighbours with the most even gaps, widths and heights.
+
+    cells(page_id, row, cell, x0, top, x1, bottom). The score sums the variation of the
+    three; of equals the leftmost; rows of fewer keep all. n is the row's number of cells.
+    """
+    one = F.struct(center("x0", "x1").alias("x"), "cell", F.greatest(F.lit(1.0), F.col("x1") - F.col("x0")).alias("w"), F.greatest(F.lit(1.0), F.col("bottom") - F.col("top")).alias("h"))
+    rows = cells.groupBy("page_id", "row").agg(F.array_sort(F.collect_list(one)).alias("all"), F.round(F.avg(center("top", "bottom")), 6).alias("y")).withColumn("n", F.size("all"))
+
+    def scored(i: Column) -> Column:
+        part = F.slice("all", i, F.lit(size))
+        xs, ws, hs = F.transform(part, lambda c: c["x"]), F.transform(part, lambda c: c["w"]), F.transform(part, lambda c: c["h"])
+        gaps = F.zip_with(F.slice(xs, 2, size - 1), F.slice(xs, 1, size - 1), lambda b, a: b - a)
+        return F.struct(F.round(variation(gaps) + variation(ws) + variation(hs), 6).alias("score"), i.alias("i"))
+
+    best = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - size + 1)), scored))
+    return rows.withColumn("c", F.when(F.col("n") <= size, F.col("all")).otherwise(F.slice("all", best["i"], F.lit(size)))).select("page_id", "row", "y", "n", "c")
+
+
+def best_three_rows(rows: DataFrame, size: int = 8) -> DataFrame:
+    """page_id, row, y, n, place, score: the three neighbouring rows of a page that look most like a grid of `size` columns.
+
+    rows as regular_cells gives them. Missing and surplus cells, uneven spacing and columns
+    out of line cost points; of equals the topmost. Pages of under three rows have none.
+    """
+    o = W.partitionBy("page_id").orderBy("y", "row")
+    self = F.struct("row", "y", "n", "c")
+    three = rows.withColumns({"r1": self, "r2": F.lead(self, 1).over(o), "r3": F.lead(self, 2).over(o), "at": F.row_number().over(o)}).filter("r3 IS NOT NULL")
+    r = [F.col(k) for k in ("r1", "r2", "r3")]
+    counts = sum((F.when(x["n"] < size, 10000.0 + (size - x["n"]) * 1000.0).otherwise((x["n"] - size) * 250.0) for x in r), F.lit(0.0))
+    a, b = r[1]["y"] - r[0]["y"], r[2]["y"] - r[1]["y"]
+    spacing = F.abs(a - b) / F.greatest(F.lit(1.0), (a + b) / 2) * 500.0
+    xs = [F.transform(x["c"], lambda c: c["x"]) for x in r]
+    column = F.zip_with(F.zip_with(xs[0], xs[1], lambda p, q: F.array(p, q)), xs[2], lambda pq, s: F.array_sort(F.concat(pq, F.array(s))))
+    errors = F.aggregate(F.transform(column, lambda v: v[2] - v[0]), F.lit(0.0), lambda acc, v: acc + v) / (3 * size)  # distances from the middle one
+    widths = F.array_sort(F.flatten(F.array(*[F.transform(x["c"], lambda c: c["w"]) for x in r])))
+    middle = (F.try_element_at(widths, F.lit(3 * size // 2)) + F.try_element_at(widths, F.lit(3 * size // 2 + 1))) / 2
+    full = (F.size(r[0]["c"]) >= size) & (F.size(r[1]["c"]) >= size) & (F.size(r[2]["c"]) >= size)
+    score = F.round(counts + spacing + F.when(full, errors / F.greatest(F.lit(1.0), middle) * 1000.0).otherwise(0.0), 4)
+    best = three.withColumn("score", score).groupBy("page_id").agg(F.min(F.struct("score", "at", "r1", "r2", "r3")).alias("b"))
+    return best.select("page_id", "b.score", F.posexplode(F.array("b.r1", "b.r2", "b.r3")).alias("place", "r")).select("page_id", "r.row", "r.y", "r.n", "place", "score")
 
 
 def pairing_audit(targets: DataFrame, sources: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from slotweave.operators import bands as b
 from slotweave.operators import near as n
 from slotweave.operators import quality as q
 from slotweave.operators import score as s
+from slotweave.operators.layout import holders_by_side
 
 from . import duck as d
 from .layout_queries import spans
@@ -36,15 +37,17 @@ def i11_marker_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.marker_boxes(words(spark, sf_dir), ["GIFT", "HOLDERS", "CARD"], "HOLDERS", 40.0, 20.0)
 
 
-ANCHOR = f"""pg AS (SELECT page_id, coalesce(min(top) FILTER (upper(trim(text)) = 'BONUS'), 1440 * 0.84) AS bonus, coalesce(max(bottom) FILTER (upper(trim(text)) IN ('WM', 'GIFTCAR', 'GIFTCARD', 'IN', 'NEW', 'PKG', 'D') AND top < 1440 * 0.35) + 8.0, 1440 * 0.31) AS holder FROM {WORDS} GROUP BY 1),
-tt AS (SELECT *, greatest(bonus - 6.0 - (3 * 74.88 + 2 * 17.28 + 8.0), holder + 24.0) AS t FROM pg), bb AS (SELECT *, least(t + (3 * 74.88 + 2 * 17.28 + 8.0), bonus - 6.0) AS b FROM tt),
-fv AS (SELECT page_id, min(x0) - 10 AS fx0, max(x1) + 10 AS fx1 FROM {WORDS} JOIN bb USING (page_id) WHERE regexp_matches(text, '^[0-9]{{5}}$') AND top BETWEEN greatest(0, t - 1440 * 0.04) AND least(1440, b + 1440 * 0.03) GROUP BY 1),
-an AS (SELECT page_id, greatest(320.0, coalesce(fx0, 0)) AS x0, greatest(t, holder + 20.0) AS top, least(1680.0, coalesce(fx1, 2000)) AS x1, least(b, bonus - 4.0) AS bottom FROM bb LEFT JOIN fv USING (page_id))"""
+#: Words as on pages with a bonus line and holders.
+SAID = "CASE WHEN event_type = 'purchase' AND top > 900 AND word_id % 3 = 0 THEN 'BONUS' WHEN event_type = 'error' AND top < 500 THEN 'wm' ELSE text END"
+ANCHOR = f"""wd AS (SELECT * REPLACE ({SAID} AS text) FROM {WORDS}), pg AS (SELECT page_id, coalesce(min(top) FILTER (upper(trim(text)) = 'BONUS'), 1440 * 0.84) AS bonus, coalesce(max(bottom) FILTER (upper(trim(text)) IN ('WM', 'GIFTCARD', 'GIFTCAR', 'PKG') AND top < 1440 * 0.35) + 8.0, 1440 * 0.31) AS holder FROM wd GROUP BY 1),
+tt AS (SELECT *, 3 * 74.88 + 2 * 17.28 + 8.0 AS band, greatest(bonus - 6.0 - band, holder + 24.0) AS t FROM pg), bb AS (SELECT *, CASE WHEN t + band >= bonus - 2.0 THEN bonus - 6.0 ELSE t + band END AS b FROM tt),
+fv AS (SELECT page_id, min(x0) - 10 AS fx0, max(x1) + 10 AS fx1 FROM wd JOIN bb USING (page_id) WHERE regexp_matches(text, '^[0-9]{{5}}$') AND top BETWEEN greatest(0, t - 1440 * 0.04) AND least(1440, b + 1440 * 0.03) GROUP BY 1),
+an AS (SELECT page_id, greatest(2000 * 0.16, coalesce(fx0, 0)) AS x0, greatest(t, holder + 20.0) AS top, least(2000 * 0.84, coalesce(fx1, 2000)) AS x1, least(b, bonus - 4.0) AS bottom FROM bb LEFT JOIN fv USING (page_id))"""
 
 
 @register("i14_anchor_bounds", f"WITH {ANCHOR} SELECT page_id, round(x0, 4)::DOUBLE AS x0, round(top, 4)::DOUBLE AS top, round(x1, 4)::DOUBLE AS x1, round(bottom, 4)::DOUBLE AS bottom FROM an WHERE x1 - x0 >= 140 AND bottom - top >= 120")
 def i14_anchor_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.anchor_bounds(words(spark, sf_dir), 2000.0, 1440.0).select("page_id", *[F.round(c, 4).alias(c) for c in ("x0", "top", "x1", "bottom")])
+    return b.anchor_bounds(words(spark, sf_dir).withColumn("text", F.expr(SAID)), 2000.0, 1440.0).select("page_id", *[F.round(c, 4).alias(c) for c in ("x0", "top", "x1", "bottom")])
 
 
 @register("i07_unique_boxes")
@@ -154,14 +157,7 @@ def p04_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("p07_holders_by_side")
 def p07_holders_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans(spark, sf_dir)
-    return found.join(b_sides(found), ["sheet", "segment"]).groupBy("sheet", "side").agg(F.count(F.lit(1)).alias("holders"), F.sum("qty").alias("cards"))
-
-
-def b_sides(found: DataFrame) -> DataFrame:
-    from slotweave.operators.layout import sides_of_segments
-
-    return sides_of_segments(found)
+    return holders_by_side(spans(spark, sf_dir)).select("sheet", "side", "position", "segment", "borrowed", "begin", "end", "item", "qty")
 
 
 @register("p09_match_unresolved", f"WITH {PAIRS} SELECT product, least(5, count(*)) AS candidates FROM pairs GROUP BY 1")

@@ -78,24 +78,30 @@ def c11_c12_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("src_ord", k.match_rejection("note", F.col("cpp").try_cast("int") % 7).alias("match_reason"), k.candidate_rejection("note", F.col("upc"), ids.last5("upc"), F.col("description")).alias("reason"))
 
 
+BOX_COLUMNS = ["event_id % 71 AS w", "CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id % 67 END AS h", "event_id % 101 - 50 AS dx", "event_id % 89 - 44 AS dy", "user_id % 4 IN (1, 3) AS strict"]
+
+
 @register(
     "c14_box_problems",
-    f"""WITH b AS (SELECT page_id, word_id, x1 - x0 AS w, (event_id % 37)::DOUBLE AS h, (event_id % 23 - 11)::DOUBLE AS dx, (event_id % 13 - 6)::DOUBLE AS dy, user_id % 4 IN (1, 3) AS strict, CASE WHEN user_id % 4 IN (1, 3) THEN 0.6 ELSE 0.45 END AS lo, CASE WHEN user_id % 4 IN (1, 3) THEN 1.5 ELSE 1.9 END AS hi, w * h / 320.0 AS area
-      FROM (SELECT user_id AS page_id, event_id AS word_id, value * 10 AS x0, value * 10 + 20 AS x1, event_id, user_id FROM events))
-    SELECT page_id, word_id, concat_ws(',', CASE WHEN w < 8 OR h < 8 THEN 'tiny' END, CASE WHEN w / greatest(h, 1) > 6 OR h / greatest(w, 1) > 6 THEN 'aspect' END, CASE WHEN abs(dx) > 15 OR abs(dy) > 12 THEN 'off_position' END, CASE WHEN w > 20 * hi THEN 'too_wide' END,
-      CASE WHEN h > 16 * hi THEN 'too_tall' END, CASE WHEN w < 20 * lo THEN 'too_narrow' END, CASE WHEN h < 16 * lo THEN 'too_short' END, CASE WHEN area < lo * lo OR area > hi * hi THEN 'area' END) AS problems FROM b""",
+    f"""WITH b AS (SELECT user_id AS page_id, event_id AS word_id, {', '.join(BOX_COLUMNS)} FROM events), k AS (SELECT *, CASE WHEN h > 0 THEN w / h ELSE 99 END AS aspect, w * h / 480.0 AS area FROM b)
+    SELECT page_id, word_id, CASE WHEN h IS NULL THEN 'missing_mapped_bbox' ELSE concat_ws(',', CASE WHEN w < 16 OR h < 16 THEN 'tiny_bbox' END, CASE WHEN aspect > 3.6 OR aspect < 0.28 THEN 'strip_aspect' END, CASE WHEN strict AND sqrt(dx * dx + dy * dy) > 44 THEN 'off_expected_slot_geometry' END,
+      CASE WHEN strict AND w > 24 * 1.95 THEN 'too_wide_for_single_card' END, CASE WHEN strict AND h > 20 * 1.95 THEN 'too_tall_for_single_card' END, CASE WHEN strict AND w < 24 * 0.55 THEN 'too_narrow_for_single_card' END, CASE WHEN strict AND h < 20 * 0.55 THEN 'too_short_for_single_card' END,
+      CASE WHEN strict AND area > 2.8 THEN 'likely_multi_card_group' END, CASE WHEN strict AND area < 0.35 THEN 'likely_partial_strip' END, CASE WHEN NOT strict AND area > 4.5 THEN 'oversized_area' END, CASE WHEN NOT strict AND area < 0.22 THEN 'undersized_area' END) END AS problems FROM k""",
 )
 def c14_box_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    num = lambda m, off=0: (F.col("word_id") % m - off).cast("double")
-    problems = k.box_problems(F.col("x1") - F.col("x0"), num(37), num(23, 11), num(13, 6), F.lit(20.0), F.lit(16.0), (F.col("page_id") % 4).isin(1, 3))
-    return view(spark, sf_dir, "words").select("page_id", "word_id", F.array_join(problems, ",").alias("problems"))
+    boxes = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS page_id", "event_id AS word_id", *BOX_COLUMNS)
+    problems = k.box_problems(*[F.col(c) for c in ("w", "h", "dx", "dy")], F.lit(24.0), F.lit(20.0), F.col("strict"))
+    return boxes.select("page_id", "word_id", F.array_join(problems, ",").alias("problems"))
+
+
+SLIDE = 1440.0
 
 
 @register("d16_claimed_items")
 def d16_claimed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = view(spark, sf_dir, "words").select("page_id", "word_id", "event_type", F.col("x0").alias("x"), F.col("top").alias("y"))
-    items = w.filter("event_type = 'view'").withColumnRenamed("word_id", "item")
-    return k.claim_nearest_above(items, w.filter("event_type = 'click'").withColumnRenamed("word_id", "card"))
+    w = view(spark, sf_dir, "words").select("page_id", "word_id", "event_type", ((F.col("x0") + F.col("x1")) / 2).alias("x"), "top", "bottom")
+    items = w.filter("event_type = 'view'").select("page_id", F.col("word_id").alias("item"), "x", "bottom")
+    return k.claim_nearest_above(items, w.filter("event_type = 'click'").select("page_id", F.col("word_id").alias("card"), "x", "top"), SLIDE)
 
 
 PATCH = "(SELECT lpad(CAST((13 * p_partkey) % 100000 AS STRING), 5, '0') AS last5, min(p_partkey) AS id, min(string_split(upper(p_name), ' ')[1]) AS w1, min(string_split(upper(p_name), ' ')[2]) AS w2 FROM part GROUP BY 1)"
@@ -123,17 +129,21 @@ def d22_still_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("upc", "item_number").distinct().join(solved, ["upc", "item_number"], "left_anti")
 
 
+ASSETS = ["s_nationkey AS sheet", "s_suppkey AS asset", "s_suppkey % 23 - 1 AS row", "s_suppkey * 7 % 1500 AS col", "s_suppkey * 31 % 173 AS width", "s_suppkey * 17 % 90 AS height"]
+SPANS_OF_COLUMNS = ["c_nationkey AS sheet", "c_custkey AS begin", "c_custkey + c_custkey % 5 AS stop", "c_custkey % 9 AS want_row"]
+
+
 @register(
     "d26_best_assets",
-    """WITH s AS (SELECT c_nationkey AS sheet, c_custkey AS "begin", c_custkey + c_custkey % 3 AS "end" FROM customer), a AS (SELECT s_nationkey AS sheet, s_suppkey AS asset, s_suppkey * 7 % 1500 AS col, CAST(floor(abs(s_acctbal)) AS BIGINT) % 500 AS area FROM supplier),
-    p AS (SELECT s.*, asset, area, greatest("begin" - col, col - "end", 0) AS far FROM s JOIN a ON s.sheet = a.sheet AND col BETWEEN "begin" - 3 AND "end" + 3), k AS (SELECT *, row_number() OVER (PARTITION BY sheet, "begin", "end" ORDER BY far > 0, area < 64, far, area DESC, asset) AS k FROM p)
-    SELECT sheet, "begin", "end", asset, far FROM k WHERE k = 1""",
+    f"""WITH s AS (SELECT {', '.join(SPANS_OF_COLUMNS)}, (begin + stop) // 2 AS middle FROM customer), a AS (SELECT {', '.join(ASSETS)} FROM supplier),
+    p AS (SELECT s.*, asset, a.row AS r, width * height AS area, col BETWEEN begin AND stop AS inside, CASE WHEN col BETWEEN begin AND stop THEN col - begin ELSE abs(col - middle) END AS far FROM s JOIN a ON s.sheet = a.sheet AND (col BETWEEN begin AND stop OR abs(col - middle) <= 2)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY sheet, begin, stop ORDER BY NOT inside, NOT (r BETWEEN 2 AND 12), area < 2500, far, CASE WHEN area > 0 THEN area ELSE 1000000000 END, CASE WHEN r >= 0 THEN abs(r - want_row) ELSE 1000000000 END, asset) AS k FROM p)
+    SELECT sheet, begin AS "begin", stop AS "end", asset, inside AS in_span, r BETWEEN 2 AND 12 AS in_band FROM k WHERE k = 1""",
 )
 def d26_best_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier"))
-    spans = c.select(F.col("c_nationkey").alias("sheet"), F.col("c_custkey").alias("begin"), (F.col("c_custkey") + F.col("c_custkey") % 3).alias("end"))
-    assets = s.select(F.col("s_nationkey").alias("sheet"), F.col("s_suppkey").alias("asset"), (F.col("s_suppkey") * 7 % 1500).alias("col"), (F.floor(F.abs("s_acctbal")) % 500).alias("area"))
-    return k.best_asset(spans, assets)
+    spans = c.selectExpr(*SPANS_OF_COLUMNS).withColumnRenamed("stop", "end").withColumns({"band_top": F.lit(2), "band_bottom": F.lit(12)})
+    return k.best_asset(spans, s.selectExpr(*ASSETS))
 
 
 CELLS = f"cl AS (SELECT page_id, CAST(floor(top / 300) AS INT) AS row, (x0 + x1) / 2 AS x, word_id AS cell FROM {sql('words')})"
@@ -158,16 +168,48 @@ def f09_merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.merge_short_rows(cells(spark, sf_dir))
 
 
+#: Rows of 60; of every other row only the middle cells stay.
+ZONED = "zc AS (SELECT page_id, CAST(floor(top / 60) AS INT) AS row, (x0 + x1) / 2 AS x, word_id AS cell FROM {words} WHERE CAST(floor(top / 60) AS INT) % 2 = 0 OR (x0 + x1) / 2 BETWEEN 220.5 AND 379.5 OR event_type = 'error')"
+
+
+@register(
+    "f13_structured_rows",
+    f"""WITH {ZONED.format(words=sql('words'))}, r AS (SELECT page_id, row, list(cell ORDER BY x, cell) AS c, min(x) AS lo, max(x) AS hi FROM zc GROUP BY 1, 2 HAVING count(*) >= 4),
+    k AS (SELECT *, CASE WHEN lo > 220 AND hi < 380 THEN 'center' WHEN lo < 220 AND hi > 380 THEN 'side' END AS kind FROM r), i AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY row) AS place FROM k WHERE kind IS NOT NULL),
+    b AS (SELECT s.page_id, s.place - 1 AS row_index, list_concat(list_concat(s.c[1:2], m.c[1:4]), s.c[-2:]) AS slots FROM i s JOIN i m ON s.page_id = m.page_id AND s.place = m.place AND s.kind = 'side' AND m.kind = 'center' WHERE s.place <= 3)
+    SELECT page_id, row_index::INT AS row_index, j::INT AS slot_in_row, CASE WHEN j <= 1 THEN 'left' WHEN j <= 5 THEN 'center' ELSE 'right' END AS block, slots[j + 1] AS cell FROM b, range(8) t(j)""",
+)
+def f13_structured_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row, x = F.floor(F.col("top") / 60).cast("int"), (F.col("x0") + F.col("x1")) / 2
+    there = view(spark, sf_dir, "words").filter((row % 2 == 0) | x.between(220.5, 379.5) | (F.col("event_type") == "error"))
+    return k.structured_rows(there.select("page_id", row.alias("row"), x.alias("x"), F.col("word_id").alias("cell")))
+
+
+SIDE_OF = "substr('ABCD', CAST(1 + page_id % 4 AS INT), 1)"
+
+
+@register(
+    "e13_fullest_slide",
+    f"""WITH s AS (SELECT {SIDE_OF} AS side, page_id AS slide, least(8, count(*) FILTER (top < {SLIDE} * 0.42 AND event_type = 'click')) AS n_top, least(6, count(*) FILTER (top >= {SLIDE} * 0.42 AND event_type = 'signup')) AS n_side FROM {sql('words')} GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n_top + n_side DESC, slide) AS k FROM s) SELECT side, slide, n_top, n_side, n_top = 8 AND n_side = 6 AS complete FROM k WHERE k = 1""",
+)
+def e13_fullest_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    above = F.col("top") < SLIDE * 0.42
+    cards = view(spark, sf_dir, "words").groupBy(F.expr(SIDE_OF).alias("side"), F.col("page_id").alias("slide"))
+    return k.fullest_slide(cards.agg(F.count_if(above & (F.col("event_type") == "click")).alias("n_top"), F.count_if(~above & (F.col("event_type") == "signup")).alias("n_side")))
+
+
 @register(
-    "f13_zone_rows",
-    f"""WITH {CELLS}, z AS (SELECT *, CASE WHEN x < 400 THEN 'left' WHEN x < 1100 THEN 'center' ELSE 'right' END AS zone FROM cl), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, row, zone ORDER BY CASE WHEN zone = 'right' THEN -x ELSE x END, cell) AS k FROM z)
-    SELECT page_id, row, zone, k::INT AS k, cell FROM k WHERE k <= CASE WHEN zone = 'center' THEN 4 ELSE 2 END""",
+    "e14_group_capacity",
+    f"""WITH c AS (SELECT page_id, {SIDE_OF} AS side, CASE WHEN (x0 + x1) / 2 < 220 THEN 'left' WHEN (x0 + x1) / 2 < 380 THEN 'center' WHEN (x0 + x1) / 2 < 1500 THEN 'right' ELSE 'unknown' END AS block FROM {sql('words')}), n AS (SELECT page_id, side, block, count(*) AS n FROM c GROUP BY ALL),
+    e AS (SELECT page_id, side, block, most FROM (SELECT DISTINCT page_id, side FROM c), (VALUES ('left', 6), ('center', 12), ('right', 6)) p(block, most))
+    SELECT page_id, side, block, coalesce(n, 0) AS n, most, greatest(0, coalesce(n - most, 0)) AS over, greatest(0, coalesce(most - coalesce(n, 0), 0)) AS short FROM e FULL JOIN n USING (page_id, side, block)""",
 )
-def f13_zone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = cells(spark, sf_dir).withColumn("zone", F.when(F.col("x") < 400, "left").when(F.col("x") < 1100, "center").otherwise("right"))
-    order = F.when(F.col("zone") == "right", -F.col("x")).otherwise(F.col("x"))
-    ranked = z.withColumn("k", F.row_number().over(W.partitionBy("page_id", "row", "zone").orderBy(order, "cell")))
-    return ranked.filter(F.col("k") <= F.when(F.col("zone") == "center", 4).otherwise(2)).select("page_id", "row", "zone", "k", "cell")
+def e14_group_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("x0") + F.col("x1")) / 2
+    block = F.when(x < 220, "left").when(x < 380, "center").when(x < 1500, "right").otherwise("unknown")
+    profile = spark.createDataFrame([(s, g, n) for s in "ABCD" for g, n in (("left", 6), ("center", 12), ("right", 6))], "side string, block string, most int")
+    return k.group_capacity(view(spark, sf_dir, "words").select("page_id", F.expr(SIDE_OF).alias("side"), block.alias("block")), profile)
 
 
 REPORT = rf"""{LIBRARY}, {LINK_BASE}, {LINK}, ids AS (SELECT DISTINCT upc FROM pn), lk AS (SELECT DISTINCT upc FROM ids JOIN (SELECT DISTINCT key FROM lib) ON key IN (upc, upc || {d.check('upc')}, right(upc, 5))), nm AS (SELECT target AS upc FROM tp WHERE k = 1 AND score >= 0.78 AND (score >= 0.86 OR margin >= 0.08)),

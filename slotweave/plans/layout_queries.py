@@ -97,9 +97,17 @@ def c09_words_outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("d15_greedy_assignment")
 def d15_greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = words(spark, sf_dir).filter(F.col("text").rlike("^[0-9]{5}$"))
-    hits = y.words_in_boxes(five, boxes(spark, sf_dir))
-    far = F.hypot(F.col("x") - y.center("bx0", "bx1"), F.col("y") - y.center("btop", "bbottom"))
-    return y.greedy_pairs(hits.withColumns({"distance": F.round(far, 6), "box": F.col("row") * 8 + F.col("slot")}), "page_id", "word_id", "box", "distance")
+    near = y.slot_candidates(five, boxes(spark, sf_dir)).withColumn("box", F.col("row") * 8 + F.col("slot"))
+    return y.greedy_pairs(near, "page_id", "word_id", "box", "distance")
+
+
+CANDIDATES = f"{BOXES}, cd AS (SELECT w.page_id, word_id, row, slot, abs((x0 + x1) / 2 - (bx0 + bx1) / 2) / greatest(18, 0.75 * greatest(1, bx1 - bx0)) AS dx, abs((top + bottom) / 2 - (btop + bbottom) / 2) / greatest(18, 0.75 * greatest(1, bbottom - btop)) AS dy FROM {WORDS.replace('AS words', 'AS w')} JOIN bx ON w.page_id = bx.page_id WHERE regexp_matches(text, '^[0-9]{{5}}$'))"
+
+
+@register("d15_slot_candidates", f"WITH {CANDIDATES} SELECT page_id, word_id, row::INT AS row, slot::INT AS slot, round(sqrt(dx * dx + dy * dy), 4) AS distance FROM cd WHERE dx <= 1 AND dy <= 1")
+def d15_slot_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    five = words(spark, sf_dir).filter(F.col("text").rlike("^[0-9]{5}$"))
+    return y.slot_candidates(five, boxes(spark, sf_dir)).withColumn("distance", F.round("distance", 4))
 
 
 MARKERS = f"mk AS (SELECT page_id, avg((top + bottom) / 2) FILTER (event_type = 'error' AND x0 < 300) AS holders_y, max((top + bottom) / 2) FILTER (event_type = 'purchase' AND x0 < 600) AS bonus_y FROM {WORDS} GROUP BY 1)"
@@ -177,13 +185,38 @@ def f11_row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.split_rows(marked)
 
 
+GRID_CELLS = "SELECT page_id, CAST(floor(top / 180) AS INT) AS row, word_id AS cell, x0, top, x1 + word_id % 7 AS x1, bottom + word_id % 5 AS bottom FROM {0}"
+CV = "list_stddev_pop({0}) / greatest(1, list_avg({0}))"
+REGULAR = f"""gc AS ({GRID_CELLS.format(WORDS)}), rr AS (SELECT page_id, row, count(*)::INT AS n, round(avg((top + bottom) / 2), 6) AS y, list((x0 + x1) / 2 ORDER BY (x0 + x1) / 2, cell) AS xs, list(greatest(1, x1 - x0) ORDER BY (x0 + x1) / 2, cell) AS ws, list(greatest(1, bottom - top) ORDER BY (x0 + x1) / 2, cell) AS hs, list(cell ORDER BY (x0 + x1) / 2, cell) AS cs FROM gc GROUP BY 1, 2),
+wi AS (SELECT page_id, row, i, list_transform(range(i, i + 7), lambda j: xs[j + 1] - xs[j]) AS g, ws[i:i + 7] AS w, hs[i:i + 7] AS h FROM rr, unnest(range(1, n - 6)) t(i) WHERE n > 8),
+bi AS (SELECT page_id, row, arg_min(i, (round({CV.format('g')} + {CV.format('w')} + {CV.format('h')}, 6), i)) AS i FROM wi GROUP BY 1, 2),
+rg AS (SELECT rr.page_id, rr.row, n, y, CASE WHEN n > 8 THEN xs[i:i + 7] ELSE xs END AS kx, CASE WHEN n > 8 THEN ws[i:i + 7] ELSE ws END AS kw, CASE WHEN n > 8 THEN cs[i:i + 7] ELSE cs END AS kc FROM rr LEFT JOIN bi USING (page_id, row))"""
+
+
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.floor(F.col("top") / 180).cast("int").alias("row")
+    return view(spark, sf_dir, "words").select("page_id", row, F.col("word_id").alias("cell"), "x0", "top", (F.col("x1") + F.col("word_id") % 7).alias("x1"), (F.col("bottom") + F.col("word_id") % 5).alias("bottom"))
+
+
+@register("f08_regular_cells", f"WITH {REGULAR} SELECT page_id, row, n, array_to_string(kc, ',') AS kept FROM rg")
+def f08_regular_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.array_join(F.transform("c", lambda c: c["cell"].cast("string")), ",")
+    return y.regular_cells(grid_cells(spark, sf_dir)).select("page_id", "row", "n", kept.alias("kept"))
+
+
+COUNT_COST = "(CASE WHEN {0} < 8 THEN 10000.0 + (8 - {0}) * 1000.0 ELSE ({0} - 8) * 250.0 END)"
+
+
 @register(
-    "f08_regular_window",
-    f"""WITH x AS (SELECT DISTINCT page_id, (x0 + x1) / 2 AS x FROM {WORDS}), g AS (SELECT *, lead(x) OVER (PARTITION BY page_id ORDER BY x) - x AS gap FROM x), s AS (SELECT *, count(gap) OVER w AS n, round(stddev_pop(gap) OVER w, 6) AS spread FROM g WINDOW w AS (PARTITION BY page_id ORDER BY x ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING))
-    SELECT page_id, arg_min(x, (spread, x)) AS x, min(spread) AS spread FROM s WHERE n = 7 GROUP BY 1""",
+    "f08_three_rows",
+    f"""WITH {REGULAR}, t AS (SELECT page_id, row AS r1, y AS y1, n AS n1, kx AS x1, kw AS w1, lead(row) OVER o AS r2, lead(y) OVER o AS y2, lead(n) OVER o AS n2, lead(kx) OVER o AS x2, lead(kw) OVER o AS w2, lead(row, 2) OVER o AS r3, lead(y, 2) OVER o AS y3, lead(n, 2) OVER o AS n3, lead(kx, 2) OVER o AS x3, lead(kw, 2) OVER o AS w3, row_number() OVER o AS p FROM rg WINDOW o AS (PARTITION BY page_id ORDER BY y, row)),
+    s AS (SELECT *, round({COUNT_COST.format('n1')} + {COUNT_COST.format('n2')} + {COUNT_COST.format('n3')} + abs((y2 - y1) - (y3 - y2)) / greatest(1, (y3 - y1) / 2) * 500.0 + CASE WHEN len(x1) >= 8 AND len(x2) >= 8 AND len(x3) >= 8 THEN
+      list_sum(list_transform(range(1, 9), lambda j: greatest(x1[j], x2[j], x3[j]) - least(x1[j], x2[j], x3[j]))) / 24 / greatest(1, list_median(list_concat(list_concat(w1, w2), w3))) * 1000.0 ELSE 0 END, 4)::DOUBLE AS score FROM t WHERE r3 IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, p) AS k FROM s)
+    SELECT page_id, unnest([r1, r2, r3]) AS row, unnest([y1, y2, y3]) AS y, unnest([n1, n2, n3]) AS n, unnest([0, 1, 2])::INT AS place, score FROM k WHERE k = 1""",
 )
-def f08_regular_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return y.most_regular_window(words(spark, sf_dir).select("page_id", "x").distinct())
+def f08_three_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return y.best_three_rows(y.regular_cells(grid_cells(spark, sf_dir)))
 
 
 @register(
@@ -220,13 +253,13 @@ def e12_label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    "e13_e14_fullest_pog",
-    f"WITH {TYPED}, t AS (SELECT side, pog, count(*) AS n FROM ok GROUP BY 1, 2) SELECT side, arg_max(pog, (n, -(pog[4:])::INT)) AS pog, max(n) AS n, greatest(0, max(n) - 100) AS over, greatest(0, 100 - min(n)) AS short FROM t GROUP BY 1",
+    "e13_fullest_pog",
+    f"WITH {TYPED}, t AS (SELECT side, pog, count(*) AS n FROM ok GROUP BY 1, 2) SELECT side, arg_max(pog, (n, -(pog[4:])::INT)) AS pog, max(n) AS n FROM t GROUP BY 1",
 )
-def e13_e14_fullest_pog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e13_fullest_pog(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = valid(spark, sf_dir).groupBy("side", "pog").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct("n", -F.substring("pog", 4, 10).cast("int"))
-    return totals.groupBy("side").agg(F.max_by("pog", order).alias("pog"), F.max("n").alias("n"), F.greatest(F.lit(0), F.max("n") - 100).alias("over"), F.greatest(F.lit(0), 100 - F.min("n")).alias("short"))
+    return totals.groupBy("side").agg(F.max_by("pog", order).alias("pog"), F.max("n").alias("n"))
 
 
 @register(

@@ -1,6 +1,6 @@
 import random
 
-from slotweave.operators import bands, cards
+from slotweave.operators import bands, cards, layout
 from slotweave.streaming import catalog
 
 WORD = "page_id long, word_id long, text string, x0 double, top double, x1 double, bottom double"
@@ -41,11 +41,151 @@ def test_placeholder_centers(spark):
     assert got == [(12.5, 4.0), (77.5, 4.0)]
 
 
+def test_proximity_groups_against_plain_sets(spark):
+    rnd = random.Random(3)
+    rows = []
+    for page in range(12):
+        for k in range(rnd.randrange(1, 40)):
+            x, y = rnd.randrange(0, 300), rnd.randrange(0, 120)
+            rows.append((page, page * 100 + k, "", float(x), float(y), float(x + rnd.randrange(4, 30)), float(y + 8)))
+    want = set()
+    for page in {r[0] for r in rows}:
+        order = sorted((r for r in rows if r[0] == page), key=lambda r: ((r[4] + r[6]) / 2, (r[3] + r[5]) / 2, r[1]))
+        around = lambda ws: (min(w[3] for w in ws), min(w[4] for w in ws), max(w[5] for w in ws), max(w[6] for w in ws))
+        groups = []
+        for w in order:
+            for g in groups:
+                x0, y0, x1, y1 = around(g)
+                near_x = abs((w[3] + w[5]) / 2 - (x0 + x1) / 2) <= max(12.0, (x1 - x0) / 2 + 0.4 * 12.0)
+                near_y = abs((w[4] + w[6]) / 2 - (y0 + y1) / 2) <= max(9.0, (y1 - y0) / 2 + 0.4 * 9.0)
+                if near_x and near_y:
+                    g.append(w)
+                    break
+            else:
+                groups.append([w])
+        while True:  # any order of joining ends in the same groups
+            pairs = [(i, j) for i in range(len(groups)) for j in range(i) if meets(around(groups[i]), around(groups[j]), 12.0, 9.0)]
+            if not pairs:
+                break
+            i, j = rnd.choice(pairs)
+            groups[j] += groups.pop(i)
+        want |= {frozenset(w[1] for w in g) for g in groups}
+    got = {}
+    for r in bands.proximity_groups(spark.createDataFrame(rows, WORD), 12.0, 9.0).collect():
+        got.setdefault((r.page_id, r.group), set()).add(r.word_id)
+    assert {frozenset(v) for v in got.values()} == want
+
+
+def meets(a, b, dx, dy):
+    return a[0] - dx <= b[2] and b[0] - dx <= a[2] and a[1] - dy <= b[3] and b[1] - dy <= a[3]
+
+
+def test_anchor_bounds_keep_clear_of_signs(spark):
+    page = [(1, 1, "WM", 900.0, 100.0, 920.0, 120.0), (1, 2, "IN", 900.0, 300.0, 920.0, 480.0), (1, 3, "BONUS", 100.0, 1000.0, 150.0, 1010.0)]
+    fives = [(1, 4, "12345", 400.0, 800.0, 440.0, 808.0), (1, 5, "54321", 1500.0, 900.0, 1540.0, 908.0)]
+    # rows of 74.88 and gaps of 17.28: the band is 267.2 high and ends 6 above the bonus line; IN is no holder word
+    bounds = lambda rows: [round(v, 2) for r in bands.anchor_bounds(spark.createDataFrame(rows, WORD), 2000.0, 1440.0).collect() for v in (r.x0, r.top, r.x1, r.bottom)]
+    assert bounds(page + fives) == [390.0, 726.8, 1550.0, 994.0]
+    left, right, away = (1, 6, "Fraud", 395.0, 850.0, 500.0, 860.0), (1, 7, "PANEL", 1400.0, 850.0, 1450.0, 860.0), (1, 8, "MESSAGE", 1000.0, 400.0, 1100.0, 410.0)
+    assert bounds(page + fives + [left, right, away]) == [508.0, 726.8, 1392.0, 994.0]
+    low = [(1, 9, "GIFTCARD", 900.0, 480.0, 920.0, 700.0)]  # a holder down to 700 pushes the band below 732, so it ends 6 above the bonus line
+    assert bounds(page + fives + low) == [390.0, 732.0, 1550.0, 994.0]
+
+
 def test_cards_claim_items_above(spark):
-    items = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 50.0, 0.0)], "page_id long, item long, x double, y double")
-    on_page = spark.createDataFrame([(1, 7, 1.0, 10.0), (1, 8, 2.0, 10.0), (1, 9, 0.0, 10.0), (1, 6, 0.0, -5.0)], "page_id long, card long, x double, y double")
-    got = {r.card: r.item for r in cards.claim_nearest_above(items, on_page).collect()}
-    assert got == {9: 1, 7: 2}
+    # a page of 1000: items may hang 70 below a card's top; cards are read in bands of 50
+    items = [(1, 1, 0.0, 0.0), (1, 2, 50.0, 160.0), (1, 3, 300.0, 90.0)]
+    on_page = [(1, 7, 1.0, 100.0), (1, 8, 2.0, 104.0), (1, 9, 0.0, 110.0), (1, 6, 0.0, 20.0), (2, 5, 0.0, 0.0)]
+    got = cards.claim_nearest_above(spark.createDataFrame(items, "page_id long, item long, x double, bottom double"), spark.createDataFrame(on_page, "page_id long, card long, x double, top double"), 1000.0)
+    # 6 is read first and takes 1 (|dx| 0, dy 20); 9, 7, 8 share a band: 9 takes 2 (50 right, 50 below the top: dy 0), 7 takes 3, 8 nothing
+    assert {r.card: (r.item, r.score) for r in got.collect()} == {6: (1, 6.0), 9: (2, 50.0), 7: (3, 302.0), 8: (None, None), 5: (None, None)}
+
+
+def test_box_problems_by_hand(spark):
+    rows = [
+        (1, 15.0, 40.0, 0.0, 0.0, 24.0, 20.0, False, "tiny_bbox"),
+        (2, 80.0, 20.0, 0.0, 0.0, 40.0, 20.0, False, "strip_aspect"),
+        (3, 20.0, 80.0, 90.0, 0.0, 40.0, 40.0, False, "strip_aspect"),
+        (4, 40.0, 40.0, 60.0, 60.0, 40.0, 40.0, False, ""),
+        (5, 40.0, 40.0, 60.0, 60.0, 40.0, 40.0, True, "off_expected_slot_geometry"),
+        (6, 40.0, 40.0, 48.0, 48.0, 40.0, 40.0, True, ""),  # 67.9 is within 1.7 * 40
+        (7, 80.0, 60.0, 0.0, 0.0, 40.0, 40.0, True, "too_wide_for_single_card,likely_multi_card_group"),
+        (8, 20.0, 28.0, 0.0, 0.0, 40.0, 40.0, True, "too_narrow_for_single_card"),
+        (9, 21.0, 21.0, 0.0, 0.0, 36.0, 36.0, True, "likely_partial_strip"),
+        (10, 100.0, 90.0, 0.0, 0.0, 40.0, 40.0, False, "oversized_area"),
+        (11, 18.0, 18.0, 0.0, 0.0, 40.0, 40.0, False, "undersized_area"),
+        (12, None, 18.0, 0.0, 0.0, 40.0, 40.0, True, "missing_mapped_bbox"),
+        (13, 20.0, 0.0, 0.0, 0.0, 40.0, 40.0, False, "tiny_bbox,strip_aspect,undersized_area"),
+        (14, 30.0, 30.0, 0.0, 0.0, None, None, True, ""),
+    ]
+    df = spark.createDataFrame(rows, "k int, w double, h double, dx double, dy double, ww double, wh double, strict boolean, want string")
+    got = {r.k: ",".join(r.p) for r in df.select("k", cards.box_problems(*[df[c] for c in ("w", "h", "dx", "dy", "ww", "wh", "strict")]).alias("p")).collect()}
+    assert got == {r[0]: r[-1] for r in rows}
+
+
+def test_best_asset_by_hand(spark):
+    assets = [
+        (1, 10, 50, 5, 10, 10), (1, 11, 5, 6, 10, 10), (1, 12, 5, 7, 100, 100), (1, 13, 6, 7, 60, 60), (1, 14, 6, 6, 70, 70),  # asset, row, col, width, height
+        (1, 20, 5, 102, 60, 60), (1, 21, 5, 99, 60, 60), (1, 22, 5, 103, 60, 60), (1, 30, 5, 200, 0, 0), (1, 31, 5, 200, 10, 10),
+    ]
+    spans = [(1, 5, 8, 5, 0, 20), (1, 100, 101, 5, 0, 20), (1, 104, 106, 5, 0, 20), (1, 200, 200, 5, 0, 20), (1, 300, 301, 5, 0, 20)]
+    got = cards.best_asset(
+        spark.createDataFrame(spans, "sheet int, begin int, end int, want_row int, band_top int, band_bottom int"), spark.createDataFrame(assets, "sheet int, asset int, row int, col int, width int, height int")
+    )
+    # 5-8: 10 is off the band, 11 is tiny, 14 is nearer to the first column than 13; 100-101: empty, middle 100, 21 is one column away, 20 two;
+    # 104-106: empty, middle 105, only 103 is within two; 200: both tiny, 31 has an area; 300: nothing
+    assert {(r.begin, r.end): (r.asset, r.in_span) for r in got.collect()} == {(5, 8): (14, True), (100, 101): (21, False), (104, 106): (22, False), (200, 200): (31, True)}
+
+
+def test_slides_capacity_and_structured_rows(spark):
+    slides = spark.createDataFrame([("A", 1, 9, 6), ("A", 2, 8, 6), ("B", 3, 8, 5), ("B", 4, 7, 6)], "side string, slide int, n_top int, n_side int")
+    got = {r.side: (r.slide, r.n_top, r.n_side, r.complete) for r in cards.fullest_slide(slides).collect()}
+    assert got == {"A": (1, 8, 6, True), "B": (3, 8, 5, False)}
+    cells = spark.createDataFrame([(1, "A", "left")] * 7 + [(1, "A", "center")] * 3 + [(1, "A", "odd")], "page_id int, side string, block string")
+    profile = spark.createDataFrame([("A", "left", 6), ("A", "center", 12), ("A", "right", 6)], "side string, block string, most int")
+    assert {r.block: (r.n, r.over, r.short) for r in cards.group_capacity(cells, profile).collect()} == {"left": (7, 1, 0), "center": (3, 0, 9), "right": (0, 0, 6), "odd": (1, 0, 0)}
+    at = {0: [100, 150, 300, 400, 450], 1: [230, 250, 270, 290, 300], 2: [10, 390, 20], 3: [200, 210, 390, 395], 4: [221, 222, 300, 379], 5: [219, 300, 310, 379]}
+    rows = [(1, r, float(x), 100 * r + k) for r, xs in at.items() for k, x in enumerate(xs)]
+    got = cards.structured_rows(spark.createDataFrame(rows, "page_id int, row int, x double, cell int"))
+    by_row = {}
+    for r in sorted(got.collect(), key=lambda r: (r.row_index, r.slot_in_row)):
+        by_row.setdefault(r.row_index, []).append((r.cell, r.block[0]))
+    assert by_row[0] == [(0, "l"), (1, "l"), (100, "c"), (101, "c"), (102, "c"), (103, "c"), (3, "r"), (4, "r")]
+    assert [c for c, _ in by_row[1]] == [300, 301, 400, 401, 402, 403, 302, 303] and len(by_row) == 2
+
+
+def test_regular_cells_and_three_rows(spark):
+    def row(r, y, xs, w=20.0):
+        return [(1, r, 100 * r + k, x - w / 2, y - 5, x + w / 2, y + 5) for k, x in enumerate(xs)]
+
+    even = [50.0 * k for k in range(8)]
+    rows = row(0, 0.0, [*even, 400.0, 900.0]) + row(1, 40.0, [-300.0, *even]) + row(2, 80.0, even) + row(3, 130.0, even[:7]) + row(4, 200.0, even)
+    cells = spark.createDataFrame(rows, "page_id int, row int, cell int, x0 double, top double, x1 double, bottom double")
+    kept = layout.regular_cells(cells)
+    got = {r.row: [c.cell for c in r.c] for r in kept.collect()}
+    assert got == {0: list(range(8)), 1: list(range(101, 109)), 2: list(range(200, 208)), 3: list(range(300, 307)), 4: list(range(400, 408))}
+    three = sorted((r.place, r.row, r.score) for r in layout.best_three_rows(kept).collect())
+    assert three == [(0, 0, 750.0), (1, 1, 750.0), (2, 2, 750.0)]  # surplus of 2 and 1 cells, even spacing, columns in line
+
+
+def test_borrowed_segments(spark):
+    # A has 3 and B 2 of 5; of the later segments (4 too many for both, then 2, 1, 1) A takes the 2, B the first 1, each once
+    sizes = [3, 2, 5, 6, 4, 2, 1, 1]
+    rows = [(1, 100 * s + k, 100 * s + k, s, f"i{s}", 1) for s, n in enumerate(sizes) for k in range(n)]
+    spans = spark.createDataFrame(rows, "sheet int, begin int, end int, segment int, item string, qty int")
+    assert {r.segment: (r.side, r.borrowed) for r in layout.sides_of_segments(spans).collect()} == {0: ("A", False), 1: ("B", False), 2: ("C", False), 3: ("D", False), 5: ("A", True), 6: ("B", True)}
+    placed = {(r.side, r.position): r.begin for r in layout.holders_by_side(spans).collect()}
+    assert [placed["A", k] for k in range(1, 6)] == [500, 501, 0, 1, 2] and placed["B", 1] == 600 and ("B", 4) not in placed
+
+
+def test_slot_candidates_and_greedy_pairs(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 10.0, 10.0), (1, 0, 1, 40.0, 0.0, 140.0, 10.0)], "page_id long, row int, slot int, bx0 double, btop double, bx1 double, bbottom double")
+    words = spark.createDataFrame([(1, 1, "", 0.0, 0.0, 10.0, 10.0), (1, 2, "", 18.0, 0.0, 28.0, 10.0), (1, 3, "", 100.0, 20.0, 110.0, 26.0), (1, 4, "", 100.0, 30.0, 110.0, 40.0)], WORD)
+    near = layout.slot_candidates(words, boxes)
+    # tolerances: 18 by 18, and 75 by 18
+    assert {(r.word_id, r.slot): round(r.distance, 4) for r in near.collect()} == {(1, 0): 0.0, (2, 0): 1.0, (2, 1): 0.8933, (3, 1): round(((15 / 75) ** 2 + 1) ** 0.5, 4)}
+    got = layout.greedy_pairs(near, "page_id", "word_id", "slot", "distance")
+    assert {(r.word_id, r.slot) for r in got.collect()} == {(1, 0), (2, 1)}
 
 
 def test_short_rows_merge(spark):
