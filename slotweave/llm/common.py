@@ -39,6 +39,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with a number for each row, written once so that the numbers stay, and the new column's name, which no other column has."""
+    column = "row_number"
+    while column in {c.lower() for c in df.columns}:
+        column += "_"
+    return materialise(df.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that no later step reads."""
     for df in tables:

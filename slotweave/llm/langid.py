@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise, numbered
+
 ORDER = 4
 #: Expected number of sampled documents per language that counts are learned from, and that rejection is calibrated on.
 TRAIN_DOCS, CALIBRATION_DOCS = 2000, 600
-MAX_LANGUAGES = 500
+#: Languages of fewer labelled rows train on all of them and reject nothing.
+LEAST_CALIBRATED = 100
+#: Bytes of probabilities in one part of the model. More languages make more parts, each scored in a pass of its own.
+PART_BYTES = 64 << 20
+#: Tables of languages of up to so many rows (some 5 MB) are broadcast; larger ones are shuffled.
+BROADCAST_LANGUAGES = 100_000
 EDGE = 1  # code that stands ORDER - 1 times before each text
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 18
@@ -67,73 +75,63 @@ def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """keys[k]/rows[k]: sorted hashes of the k-grams seen in any language and their log2 probability in each;
-    context_keys[k]/weights[k]: hashes of k-long contexts and the log2 weight left to the shorter history."""
+    """keys[k]/rows[k]: sorted hashes of the k-grams seen in any of the languages and their log2 probability in each;
+    context_keys[k]/weights[k]: hashes of k-long contexts and the log2 weight left to the shorter history.
+    limits: per language (mean, spread) of the entropies that are not rejected."""
 
     languages: list[str]
-    keys: dict[int, np.ndarray]
-    rows: dict[int, np.ndarray]
-    context_keys: dict[int, np.ndarray]
-    weights: dict[int, np.ndarray]
-    floor: float
+    keys: dict[int, np.ndarray] = field(default_factory=dict)
+    rows: dict[int, np.ndarray] = field(default_factory=dict)
+    context_keys: dict[int, np.ndarray] = field(default_factory=dict)
+    weights: dict[int, np.ndarray] = field(default_factory=dict)
     limits: dict[str, tuple[float, float]] | None = None
 
 
-def _sorted(table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    grams = list(table)
-    if not grams:
-        return np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)
-    codes = np.array([[ord(c) for c in g] for g in grams], np.uint32)
-    h = gram_hashes(codes.ravel(), codes.shape[1])[codes.shape[1] - 1 :: codes.shape[1]]
-    order = np.argsort(h)
-    return h[order], np.array([table[g] for g in grams], np.float32)[order]
-
-
-def build(counts: dict[str, dict[str, int]]) -> Model:
-    """Interpolated Kneser-Ney from counts of ORDER-grams by language; lower orders count distinct continuations."""
-    languages = sorted(counts)
-    alphabet = len({g[-1] for c in counts.values() for g in c}) + 1
-    by_order: dict[int, list[dict[str, float]]] = {k: [] for k in range(1, ORDER + 1)}
-    left: dict[int, list[dict[str, float]]] = {k: [] for k in range(ORDER)}
-    for lang in languages:
-        level: dict[str, int] = dict(counts[lang])
-        levels = {ORDER: level}
-        for k in range(ORDER - 1, 0, -1):
-            level = Counter(g[1:] for g in level)
-            levels[k] = level
-        lower: dict[str, float] = {}
-        for k in range(1, ORDER + 1):
-            c = levels[k]
-            total: dict[str, int] = defaultdict(int)
-            kinds: dict[str, int] = defaultdict(int)
-            for g, n in c.items():
-                total[g[:-1]] += n
-                kinds[g[:-1]] += 1
-            ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+def row_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hash of each row of codes; rows of no codes have hash 0."""
+    size = codes.shape[1]
+    return gram_hashes(codes.ravel(), size)[size - 1 :: size] if size else np.zeros(len(codes), np.uint64)
+
+
+def orders(counts: dict[str, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """k -> the k-grams (a row of codes each) and their counts; lower orders count distinct continuations."""
+    codes = np.frombuffer("".join(counts).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    out = {ORDER: (codes, np.array(list(counts.values()), np.int64))}
+    for k in range(ORDER - 1, 0, -1):
+        _, at, n = np.unique(row_hashes(codes[:, 1:]), return_index=True, return_counts=True)
+        codes = codes[at, 1:]
+        out[k] = (codes, n)
+    return out
+
+
+def build(counts: dict[str, dict[str, int]], alphabet: int | None = None) -> Model:
+    """Interpolated Kneser-Ney from counts of ORDER-grams by language; `alphabet` is the number of codes, one more for the unseen."""
+    model = Model(sorted(counts))
+    if not counts:
+        return model
+    alphabet = alphabet or len({g[-1] for c in counts.values() for g in c}) + 1
+    seen = [orders(counts[lang]) for lang in model.languages]
+    shorter = None
+    for k in range(1, ORDER + 1):
+        hashes = [row_hashes(o[k][0]) for o in seen]
+        keys, at = np.unique(np.concatenate(hashes), return_index=True)
+        codes = np.concatenate([o[k][0] for o in seen])[at]
+        contexts, of = np.unique(row_hashes(codes[:, :-1]), return_inverse=True)
+        below = shorter[1][np.searchsorted(shorter[0], row_hashes(codes[:, 1:]))] if shorter else np.full((len(keys), len(seen)), 1 / alphabet)
+        left, rows = np.ones((len(contexts), len(seen))), np.empty((len(keys), len(seen)))
+        for i, o in enumerate(seen):
+            n, here = o[k][1], np.searchsorted(keys, hashes[i])
+            total, kinds = np.bincount(of[here], n, len(contexts)), np.bincount(of[here], minlength=len(contexts))
+            ones, twos = int((n == 1).sum()), int((n == 2).sum())
             discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-            rest = {h: discount * kinds[h] / total[h] for h in total}
-            prob = {g: (n - discount if n > discount else 0) / total[g[:-1]] + rest[g[:-1]] * (lower[g[1:]] if k > 1 else 1 / alphabet) for g, n in c.items()}
-            by_order[k].append(prob)
-            left[k - 1].append(rest)
-            lower = prob
-    seen = {k: sorted(set().union(*by_order[k])) for k in by_order}
-
-    def probability(i: int, g: str) -> float:
-        found = by_order[len(g)][i].get(g)
-        if found is not None:
-            return found
-        return left[len(g) - 1][i].get(g[:-1], 1.0) * (probability(i, g[1:]) if len(g) > 1 else 1 / alphabet)
-
-    keys, rows, context_keys, weights = {}, {}, {}, {}
-    for k in by_order:
-        keys[k], rows[k] = _sorted({g: np.log2([probability(i, g) for i in range(len(languages))]) for g in seen[k]})
-    for k in range(1, ORDER):
-        contexts = sorted(set().union(*left[k]))
-        context_keys[k], weights[k] = _sorted({h: np.log2([left[k][i].get(h, 1.0) for i in range(len(languages))]) for h in contexts})
-    floor = float(np.log2(1 / alphabet))
-    first = np.log2([left[0][i].get("", 1.0) / alphabet for i in range(len(languages))]) if languages else np.zeros(0)
-    weights[0] = first.astype(np.float32)
-    return Model(languages, keys, rows, context_keys, weights, floor)
+            left[total > 0, i] = discount * kinds[total > 0] / total[total > 0]
+            rows[:, i] = left[of, i] * below[:, i]
+            rows[here, i] += np.maximum(n - discount, 0) / total[of[here]]
+        model.keys[k], model.rows[k] = keys, np.log2(rows).astype(np.float32)
+        model.context_keys[k - 1], model.weights[k - 1] = contexts, np.log2(left).astype(np.float32)
+        shorter = (keys, rows)
+    model.weights[0] = model.weights[0][0] - np.float32(np.log2(alphabet))
+    return model
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +163,9 @@ def entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
     at = np.flatnonzero(codes != EDGE)
     n = np.bincount(owner[at], minlength=len(texts))
     sums = np.zeros((len(texts), len(model.languages)))
-    for s in range(0, len(at), _CHUNK):
-        part = at[s : s + _CHUNK]
+    step = max(1 << 12, _CHUNK * 4 // max(4, len(model.languages)))
+    for s in range(0, len(at), step):
+        part = at[s : s + step]
         base = max(0, part[0] - ORDER)
         lp = log_probabilities(model, codes[base : part[-1] + 1], part - base)
         for i in range(len(model.languages)):
@@ -191,21 +190,24 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield at, texts
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts and rejection limits from labelled rows outside the held-out quarter.
+def train(docs: DataFrame) -> list[Broadcast]:
+    """The model of all languages, in parts: counts and rejection limits from labelled rows outside the held-out quarter.
 
-    Per language an expected TRAIN_DOCS + CALIBRATION_DOCS documents are drawn by a hash
-    of doc_id against the language's count: no ordering, no shuffle of texts. What comes
-    to the driver is bounded by that sample.
+    Per language an expected TRAIN_DOCS + CALIBRATION_DOCS documents are drawn by a hash of
+    doc_id and text against the language's count; of equal rows one stays. No ordering, no
+    shuffle of other texts. To the driver come the names of the languages and, a part
+    after the other, the counts of that sample; a part holds as many languages as fit in
+    PART_BYTES (one at least). Without labelled rows there is one part of no language.
     """
+    context = docs.sparkSession.sparkContext
     usable = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return build({})
-    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(2**53)
-    sized = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(float(n)))])
-    sample = usable.withColumn("rank", u * F.element_at(sized, F.col("lang"))).filter(F.col("rank") < TRAIN_DOCS + CALIBRATION_DOCS)
-    calibrating = F.col("rank") < F.least(F.lit(float(CALIBRATION_DOCS)), 0.25 * F.element_at(sized, F.col("lang")))
+    sizes = materialise(usable.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n")), "langid-sizes")
+    by_language = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(2**53)
+    sample = usable.join(by_language, "lang").withColumn("rank", u * F.col("n")).filter(F.col("rank") < TRAIN_DOCS + CALIBRATION_DOCS)
+    calibrates = (F.col("n") >= LEAST_CALIBRATED) & (F.col("rank") < F.least(F.lit(float(CALIBRATION_DOCS)), 0.25 * F.col("n")))
+    sample = sample.withColumn("calibrates", calibrates)
+    sample = materialise(sample.dropDuplicates(["lang", "rank"]).select("lang", "text", "calibrates"), "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,17 +218,45 @@ def train(docs: DataFrame) -> Model:
             rows = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
-    grams = sample.filter(~calibrating).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.lang][r.gram] = r.n
-    model = build(counts)
-    held = score(sample.filter(calibrating).select("doc_id", "text", "lang"), model, keep=("lang",)).filter("n_letters > 0").collect()
-    model.limits = {}
-    for lang in model.languages:
-        own = [(r.entropies[model.languages.index(lang)], r.n_scored) for r in held if r.lang == lang]
-        model.limits[lang] = limit(own)
-    return model
+    grams = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+    grams = materialise(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    alphabet = grams.select(F.right("gram", F.lit(1))).distinct().count() + 1
+    names: list[list[str]] = []
+    room = 0
+    for r in grams.groupBy("lang").count().orderBy("lang").toLocalIterator():
+        room += r["count"]
+        if not names or 8 * room * (len(names[-1]) + 1) > PART_BYTES:  # all orders together are about twice the longest grams
+            names.append([])
+            room = r["count"]
+        names[-1].append(r.lang)
+    parts = []
+    for part in names:
+        counts: dict[str, dict[str, int]] = defaultdict(dict)
+        for r in grams.filter(F.col("lang").isin(part)).toLocalIterator():
+            counts[r.lang][r.gram] = r.n
+        model = build(counts, alphabet)
+        own = defaultdict(list)
+        for r in own_entropies(sample.filter(F.col("calibrates") & F.col("lang").isin(part)), context.broadcast(model)).toLocalIterator():
+            own[r.lang].append((r.entropy, r.n_scored))
+        model.limits = {lang: limit(own[lang]) for lang in model.languages}
+        parts.append(context.broadcast(model))
+    discard(sizes, sample, grams)
+    return parts or [context.broadcast(build({}))]
+
+
+def own_entropies(sample: DataFrame, model: Broadcast) -> DataFrame:
+    """lang, entropy, n_scored: each sampled text's entropy in its own language; texts without letters give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {lang: i for i, lang in enumerate(model.value.languages)}
+        for batch in batches:
+            langs = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            for at, texts in _batches(batch.column(1)):
+                h, n, letters = entropies(model.value, texts)
+                own, known = h[np.arange(len(texts)), langs[at : at + len(texts)]], letters > 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).filter(pa.array(known)), pa.array(own[known]), pa.array(n[known])], ["lang", "entropy", "n_scored"])
+
+    return sample.select("lang", "text").mapInArrow(run, "lang string, entropy double, n_scored long")
 
 
 def limit(own: list[tuple[float, int]]) -> tuple[float, float]:
@@ -243,68 +273,99 @@ def limit(own: list[tuple[float, int]]) -> tuple[float, float]:
     return mean, float(max(2 * np.quantile(excess, 0.998), 0.25 * mean))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, rejected, n_letters, n_scored, entropies for every row of docs(doc_id, text).
+def judge(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Per text: language number, its entropy, odds of all languages against it, whether it is over the limit, letters, scored characters."""
+    k = len(texts)
+    if not model.languages:
+        codes, owner, letters = normalise(texts)
+        n = np.bincount(owner[codes != EDGE], minlength=k)
+        return np.full(k, -1), np.full(k, np.inf), np.ones(k), np.zeros(k, bool), letters, n
+    h, n, letters = entropies(model, texts)
+    best = h.argmin(axis=1)
+    low = h[np.arange(k), best]
+    odds = np.exp2(-(h - low[:, None]) * np.minimum(n, TEMPER)[:, None]).sum(axis=1)
+    bounds = np.array([model.limits[x] if model.limits else (0.0, np.inf) for x in model.languages])
+    return best, low, odds, low > bounds[best, 0] + bounds[best, 1] * np.sqrt(1 + 200 / np.maximum(n, 1)), letters, n
 
-    lang_pred is the language of the lowest cross-entropy (ties: the first by name);
-    `und` for null, for texts without a letter and without any model. score is its
-    tempered posterior. rejected: `und`, or an entropy above the language's limit.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "".join(f"{c} string, " for c in keep)
+
+def part_scores(rows: DataFrame, model: Broadcast) -> DataFrame:
+    """key, lang, entropy, odds, over, n_letters, n_scored of rows(key, text), in the languages of one part of the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*shared.value.languages, "und"], object)
+        names = np.array([*model.value.languages, "und"], object)
         for batch in batches:
             for at, texts in _batches(batch.column(1)):
-                best, post, rejected, letters, n, h = judge(shared.value, texts)
-                columns = [c.slice(at, len(texts)) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        columns[0], *columns[2:], pa.array(names[best], pa.string()), pa.array(post), pa.array(rejected),
-                        pa.array(letters.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(list(h), pa.list_(pa.float64())),
-                    ],
-                    ["doc_id", *keep, "lang_pred", "score", "rejected", "n_letters", "n_scored", "entropies"],
-                )
+                best, low, odds, over, letters, n = judge(model.value, texts)
+                columns = [pa.array(names[best], pa.string()), pa.array(low), pa.array(odds), pa.array(over), pa.array(letters.astype(np.int64)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], ["key", "lang", "entropy", "odds", "over", "n_letters", "n_scored"])
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(
-        run, f"doc_id long, {fields}lang_pred string, score double, rejected boolean, n_letters long, n_scored long, entropies array<double>"
-    )
+    key = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {key}, lang string, entropy double, odds double, over boolean, n_letters long, n_scored long")
 
 
-def judge(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Per text: language number (one past the last: none), posterior, rejected, letters, scored characters, entropies."""
-    k, few = len(texts), len(model.languages)
-    if not few:
-        return np.zeros(k, int), np.zeros(k), np.ones(k, bool), np.zeros(k, int), np.zeros(k, int), np.zeros((k, 0))
-    h, n, letters = entropies(model, texts)
-    best = h.argmin(axis=1)
-    low = h[np.arange(k), best]
-    odds = np.exp2(-(h - low[:, None]) * np.minimum(n, TEMPER)[:, None])
-    bounds = np.array([model.limits[x] if model.limits else (0.0, np.inf) for x in model.languages])
-    over = low > bounds[best, 0] + bounds[best, 1] * np.sqrt(1 + 200 / np.maximum(n, 1))
-    known = letters > 0
-    return np.where(known, best, few), np.where(known, 1 / odds.sum(axis=1), 0.0), ~known | over, letters, n, h
+def verdicts(found: DataFrame, *keep: str) -> DataFrame:
+    """keep, lang_pred, score, rejected, n_letters, n_scored from the scores of a whole model."""
+    known = F.col("n_letters") > 0
+    named = known & (F.col("lang") != "und")
+    return found.select(
+        *keep, F.when(named, F.col("lang")).otherwise("und").alias("lang_pred"), F.when(named, 1 / F.col("odds")).otherwise(0.0).alias("score"),
+        (~known | F.col("over")).alias("rejected"), "n_letters", "n_scored",
+    )
+
 
+def in_all_parts(rows: DataFrame, model: list[Broadcast]) -> DataFrame:
+    """As part_scores, for a model of several parts; key is unique. A pass for each part, one small row a text and part is shuffled."""
+    found = part_scores(rows, model[0])
+    for part in model[1:]:
+        found = found.unionByName(part_scores(rows, part))
+    each = F.struct("entropy", "lang", "odds", "over", "n_letters", "n_scored")
+    best = found.groupBy("key").agg(F.min(each).alias("b"), F.collect_list(F.struct("entropy", "odds")).alias("all"))  # as many as parts
+    gap = lambda x: (x["entropy"] - F.col("b.entropy")) * F.least(F.col("b.n_scored"), F.lit(TEMPER))
+    odds = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["odds"] * F.pow(F.lit(2.0), -gap(x)))
+    return best.select("key", "b.lang", "b.entropy", odds.alias("odds"), "b.over", "b.n_letters", "b.n_scored")
 
-def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs whose text is not rejected, with all their columns; judged where they are read, nothing is shuffled."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+def score(docs: DataFrame, model: list[Broadcast]) -> DataFrame:
+    """doc_id, lang_pred, score, rejected, n_letters, n_scored for every row of docs(doc_id, text).
+
+    lang_pred is the language of the lowest cross-entropy (ties: the first by name);
+    `und` for null, for texts without a letter and without any model. score is its
+    tempered posterior. rejected: no letter, or an entropy above the language's limit.
+    """
+    if len(model) == 1:
+        return verdicts(part_scores(docs.select(F.col("doc_id").alias("key"), "text"), model[0]), F.col("key").alias("doc_id"))
+    rows, row = numbered(docs.select("doc_id", "text"), "langid-rows")
+    found = in_all_parts(rows.select(F.col(row).alias("key"), "text"), model)
+    return rows.select("doc_id", row).join(verdicts(found, "key"), F.col(row) == F.col("key")).drop(row, "key")
+
+
+def recognised(docs: DataFrame, model: list[Broadcast]) -> DataFrame:
+    """Rows of docs whose text is not rejected, with all their columns.
+
+    With one part rows are judged where they are read and nothing is shuffled. Without a
+    learned language only texts without letters go.
+    """
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _batches(batch.column(at)):
-                yield batch.slice(start, len(texts)).filter(pa.array(~judge(shared.value, texts)[2]))
+                _, _, _, over, letters, _ = judge(model[0].value, texts)
+                yield batch.slice(start, len(texts)).filter(pa.array(~over & (letters > 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    if len(model) == 1:
+        return docs.mapInArrow(run, docs.schema)
+    rows, row = numbered(docs, "langid-rows")
+    kept = verdicts(in_all_parts(rows.select(F.col(row).alias("key"), "text"), model), F.col("key").alias(row)).filter("NOT rejected")
+    return rows.join(kept.select(row).hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: list[Broadcast] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs(doc_id, text, lang, ...).
 
     held_out: crc32 of doc_id as text leaves 2 modulo 4 (false for a null doc_id); such
     rows never train. Texts are scored whole; repeated rows are kept; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result; without labelled rows all are `und`.
     """
     model = model or train(docs)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -64,4 +64,31 @@ def test_identify(spark):
     assert got[904].lang_pred == "aa"
     assert langid.identify(docs.unionAll(docs)).count() == 2 * len(rows)
     assert langid.identify(docs.limit(0)).count() == 0
-    assert [r.lang_pred for r in langid.identify(docs.limit(3).withColumn("lang", F.lit(None).cast("string"))).collect()] == ["und"] * 3
+    none = langid.identify(docs.limit(3).withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert [(r.lang_pred, r.score, r.rejected) for r in none] == [("und", 0.0, False)] * 3
+
+
+def test_parts_of_a_model_agree_with_the_whole(spark, monkeypatch):
+    rnd = random.Random(7)
+    names = [f"l{k:03}" for k in range(7)]
+    letters = {x: [chr(97 + (5 * k + j) % 26) for j in range(9)] for k, x in enumerate(names)}
+    rows = [(i, "".join(rnd.choice([*letters[x], " "]) for _ in range(rnd.randrange(5, 120))), x) for i, x in enumerate(names * 30)]
+    rows += [(900, None, "l000"), (901, "77", "l001"), (902, "Щ" * 90, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, kept = langid.identify(docs).collect(), langid.recognised(docs, langid.train(docs)).collect()
+    monkeypatch.setattr(langid, "PART_BYTES", 30_000)
+    model = langid.train(docs)
+    assert len(model) > 2 and sorted(x for p in model for x in p.value.languages) == names
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for r in whole:
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].rejected) == (r.lang_pred, r.rejected) and abs(got[r.doc_id].score - r.score) < 1e-6
+    assert sorted(map(tuple, langid.recognised(docs, model).collect())) == sorted(map(tuple, kept))
+
+
+def test_every_language_is_learned_and_null_ids_train(spark):
+    rows = [(None, f"{chr(0x4E00 + k) * 3} {chr(0x4E00 + k)}{chr(0x5E00 + k + j)} " * 6, f"l{k}") for k in range(520) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs).collect()
+    assert {r.lang_pred for r in found} == {f"l{k}" for k in range(520)}
+    copies = spark.createDataFrame([(7, "same text of one row", "x")] * 500 + [(None, "other text", "x")] * 500, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(copies).collect()} == {"x"}
