@@ -1,24 +1,32 @@
-"""Benchmark decontamination through a positional inverted index (operator 10)."""
+"""Benchmark decontamination through a distributed positional inverted index (operator 10).
+
+The benchmark's windows are a table with the hashes of their words. Documents are read
+twice: once to count those words, once to post the rarest of each window with their
+surroundings. Postings meet the windows in one join on the rare word, for a benchmark of
+any size; what the tasks get beforehand is a bit set of bounded size that lets every
+wanted word through and few others.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, id_type, materialise
 
 WINDOW = 10
 REACH = WINDOW - 1
-#: Benchmark text handled at a time: its vocabulary and windows (some 25 MB) are broadcast. More text, more slices.
-SLICE_BYTES = 1 << 20
-#: Share of a window's distinct words that must stand near one of its anchors for a proximity match.
-NEAR_SHARE = 0.8
+#: Share of a window's distinct words that ten consecutive words must hold for a proximity match, in hundredths.
+NEAR_PERCENT = 80
+#: Bits a wanted word in a task's bit set, and the most bits of one (128 MB).
+BITS_A_WORD, MOST_BITS = 64, 1 << 30
+#: Words whose hashes a task remembers.
+REMEMBERED = 1 << 20
 # A-Z lower-cased; 0-9, a-z and every byte of a non-ASCII character stay; the rest separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -27,157 +35,199 @@ def words(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(_WORDS).split()
 
 
-@dataclass
-class Slice:
-    """Part of a benchmark: its words' numbers and its windows (word numbers -> items)."""
+class WordHashes(dict):
+    """Word -> its 64-bit hash, worked out once while it is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
 
-    vocabulary: dict[bytes, int]
-    windows: dict[tuple[int, ...], set[str]]
+    def of(self, data: bytes | None) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words(data)), np.uint64)
 
 
-def slices(benchmark: DataFrame) -> Iterator[Slice]:
-    """Benchmark items in parts of about SLICE_BYTES; the driver holds one part at a time."""
-    part, size = Slice({}, {}), 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).toLocalIterator():
-        ids = [part.vocabulary.setdefault(w, len(part.vocabulary) + 1) for w in words(bytes(r.text) if r.text is not None else None)]
-        for i in range(max(1, len(ids) - REACH) if ids else 0):
-            part.windows.setdefault(tuple(ids[i : i + WINDOW]), set()).add(r["item"])
-        size += len(r.text or b"")
-        if size >= SLICE_BYTES:
-            yield part
-            part, size = Slice({}, {}), 0
-    if part.windows:
-        yield part
+def windows_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """windows(window, terms): each different run of ten words of an item, as hashes, numbered; items(window, item): where they stand.
 
+    An item of fewer words is one window, one of none has none.
+    """
 
-def term_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
-    """How often each word of the slice occurs in all documents; at most one row per word and task is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            of, terms = [], []
+            for k, text in enumerate(batch.column(1).cast(pa.binary())):
+                h = known.of(text.as_py()).view(np.int64)
+                runs = [h[i : i + WINDOW] for i in range(max(1, len(h) - REACH) if len(h) else 0)]
+                of += [k] * len(runs)
+                terms += runs
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(terms, pa.list_(pa.int64()))], ["item", "terms"])
+
+    texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    all_ = materialise(texts.mapInArrow(run, "item string, terms array<long>"), "decontaminate-items")
+    windows = materialise(all_.select("terms").distinct().withColumn("window", F.monotonically_increasing_id()), "decontaminate-windows")
+    items = materialise(all_.join(windows, "terms").select("window", "item").distinct(), "decontaminate-where")
+    discard(all_)
+    return windows, items
+
+
+def bit_set(terms: DataFrame) -> np.ndarray:
+    """A bit set of the hashes in column term, as bytes: at most MOST_BITS, whatever their number."""
+    wanted = terms.agg(F.count(F.lit(1))).first()[0]
+    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_A_WORD * max(1, wanted) - 1).bit_length()))
+    place = F.col("term").bitwiseAND(F.lit(bits - 1)) + 1  # the bitmap functions count from 1
+    parts = terms.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bytes"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():  # 4 KB each, bits / 2**15 of them
+        out[(r.part - 1) << 12 : r.part << 12] = np.frombuffer(r.bytes, np.uint8)
+    return out
+
+
+def wanted(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often each of the terms occurs in all documents, pre-aggregated by batch and by task."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        total = np.zeros(len(shared.value) + 1, np.int64)
+        known = WordHashes()
         for batch in batches:
+            found = [np.zeros(0, np.uint64)]
             for text in batch.column(0).cast(pa.binary()):
-                total += np.bincount([get(w, 0) for w in words(text.as_py())] or [0], minlength=len(total))
-        total[0] = 0
-        term = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(total[term])], ["term", "n"])
+                h = known.of(text.as_py())
+                found.append(h[wanted(shared.value, h)])
+            term, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r.term: r.n for r in found.toLocalIterator()}
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def positional_index(docs: DataFrame, vocabulary: dict[bytes, int], anchors: set[int]) -> DataFrame:
-    """row_id, doc_id, n_words, postings(term, pos, near) of every document, written to the shared folder.
+def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """window, terms, anchor, place (the anchor's offset), others: a row for every anchor of a window.
 
-    Postings are kept for the anchors, rare words of the windows; near holds the
-    word numbers from 9 places before to 9 after (0: none or not in the benchmark).
+    A proximity match may lack some of a window's words. The anchors are its rarest words,
+    one more than may be lacking, so every match holds one; others are the rarer words
+    behind the anchor, one more again, so every match holds one of them beside its first
+    anchor. An anchor that no document has is left out.
     """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary, np.array(sorted(anchors), np.int64)))
-    posting = "array<struct<term int, pos int, near array<int>>>"
-    kind = pa.list_(pa.struct([("term", pa.int32()), ("pos", pa.int32()), ("near", pa.list_(pa.int32()))]))
+    each = windows.select("window", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term", "left")
+    rare = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("rare"))  # ten at most
+    m = F.size("rare")
+    spare = m - F.ceil(m * NEAR_PERCENT / 100.0).cast("int")
+    rows = windows.join(rare, "window").withColumn("spare", spare).select("*", F.explode(F.sequence(F.lit(0), F.col("spare"))).alias("k"))
+    term = lambda k: F.element_at("rare", k + 1)
+    behind = F.transform(F.slice("rare", F.col("k") + 2, F.col("spare") + 1 - F.col("k")), lambda x: x["term"])
+    anchor = term(F.col("k"))["term"]
+    others = F.when(m - F.col("spare") > 1, behind).otherwise(F.array(anchor))
+    return rows.filter(term(F.col("k"))["n"] > 0).select("window", "terms", anchor.alias("anchor"), (F.array_position("terms", anchor) - 1).cast("int").alias("place"), others.alias("others"))
+
+
+def positional_index(docs: DataFrame, anchors: DataFrame, *keep: str) -> DataFrame:
+    """row_id, doc_id, n_words, postings(term, pos, near) and the columns to keep of every document, written to the shared folder.
+
+    Postings are those of the anchors (and of few other words, which meet no window); near
+    holds the hashes of the words from 9 places before to 9 after, 0 where there is none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(anchors))
+    kind = pa.list_(pa.struct([("term", pa.int64()), ("pos", pa.int32()), ("near", pa.list_(pa.int64()))]))
+    names = ["doc_id", "n_words", "postings", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, wanted = shared.value[0].get, np.zeros(len(shared.value[0]) + 1, bool)
-        wanted[shared.value[1]] = True
-        span = np.arange(2 * REACH + 1)
+        known, span, edge = WordHashes(), np.arange(2 * REACH + 1), np.zeros(REACH, np.uint64)
         for batch in batches:
-            counts, per_doc, terms, places, near = [], [0], [], [], []
+            counts, per_doc, terms, places, near = [], [0], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for text in batch.column(1).cast(pa.binary()):
-                ids = np.array([0] * REACH + [get(w, 0) for w in words(text.as_py())] + [0] * REACH, np.int32)
-                at = np.flatnonzero(wanted[ids])
-                counts.append(len(ids) - 2 * REACH)
+                h = known.of(text.as_py())
+                at = np.flatnonzero(wanted(shared.value, h))
+                counts.append(len(h))
                 per_doc.append(per_doc[-1] + len(at))
                 if len(at):
-                    terms.append(ids[at])
-                    places.append((at - REACH).astype(np.int32))
-                    near.append(ids[(at - REACH)[:, None] + span].ravel())
-            flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(per_doc[-1] + 1, dtype=np.int32) * len(span), pa.array(flat(near)))
-            items = pa.StructArray.from_arrays([pa.array(flat(terms)), pa.array(flat(places)), lists], ["term", "pos", "near"])
+                    places.append(at.astype(np.int32))
+                    near.append(np.concatenate([edge, h, edge])[at[:, None] + span].ravel().view(np.int64))
+            near = np.concatenate(near)
+            lists = pa.ListArray.from_arrays(np.arange(per_doc[-1] + 1, dtype=np.int32) * len(span), pa.array(near))
+            items = pa.StructArray.from_arrays([pa.array(near[REACH :: len(span)]), pa.array(np.concatenate(places)), lists], ["term", "pos", "near"])
             rows = pa.ListArray.from_arrays(np.array(per_doc, np.int32), items).cast(kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), rows], ["doc_id", "n_words", "postings"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), rows, *batch.columns[2:]], names)
 
-    index = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_words long, postings {posting}")
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    index = docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {id_type(docs)}, n_words long, postings array<struct<term long, pos int, near array<long>>>{kept}")
     return materialise(index.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-index")
 
 
-def window_table(docs: DataFrame, part: Slice, counts: dict[int, int]) -> DataFrame:
-    """terms, items, anchor, others, place (the anchor's offset): a row for every anchor of a window.
-
-    A proximity match may lack some of a window's words. The anchors are its rarest words,
-    one more than may be lacking, so every match holds one; others are the rarer words
-    behind the anchor, one more again, so every match holds one of them beside its first
-    anchor. An anchor that no document has is left out.
-    """
-    rows = []
-    for terms, items in part.windows.items():
-        rare = sorted(set(terms), key=lambda t: (counts.get(t, 0), t))
-        need = math.ceil(NEAR_SHARE * len(rare))
-        spare = len(rare) - need
-        for k in range(spare + 1):
-            if counts.get(rare[k], 0):
-                rows.append((list(terms), sorted(items), rare[k], rare[k + 1 : spare + 2] if need > 1 else [rare[k]], terms.index(rare[k])))
-    return docs.sparkSession.createDataFrame(rows, "terms array<int>, items array<string>, anchor int, others array<int>, place int")
-
-
-def matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """row_id, start, size, items, exact: places where a window stands word by word (exact) or nearly.
+def found_windows(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """row_id, window, start, size, exact: places where a window stands word by word (exact), or ten words hold enough of it.
 
     Postings of a window's anchors meet the window; one of the others must be near, then
-    all words are compared, at their offset-adjusted places or by their share. Any ten
-    words of a text that hold enough of a window's words match it.
+    all words are compared, at their offset-adjusted places or by their share in the ten
+    words around the anchor that hold most (the first such).
     """
     posted = index.select("row_id", F.explode("postings").alias("p")).select("row_id", F.col("p.term").alias("anchor"), "p.pos", "p.near")
     whole = F.slice("near", F.lit(WINDOW) - F.col("place"), F.size("terms")) == F.col("terms")
-    close = F.size(F.array_intersect("terms", "near")) >= F.lit(NEAR_SHARE) * F.size(F.array_distinct("terms"))
-    return (
-        posted.join(F.broadcast(windows), "anchor")  # at most one slice's windows
-        .filter(F.arrays_overlap("near", "others"))
-        .withColumn("exact", whole)
-        .filter(F.col("exact") | close)
-        .select("row_id", (F.col("pos") - F.col("place")).alias("start"), F.size("terms").alias("size"), "items", "exact")
-    )
+    enough = F.size(F.array_distinct("terms")) * NEAR_PERCENT
+    met = posted.join(anchors, "anchor").filter(F.arrays_overlap("near", "others")).withColumn("exact", whole)
+    met = met.filter(F.col("exact") | (F.size(F.array_intersect("terms", "near")) * 100 >= enough))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(REACH)), lambda i: F.struct((-F.size(F.array_intersect("terms", F.slice("near", i + 1, F.lit(WINDOW))))).alias("lacks"), i.alias("i")))
+    met = met.withColumn("best", F.when(~F.col("exact"), F.array_min(runs))).filter(F.col("exact") | (F.col("best.lacks") * -100 >= enough))
+    start = F.when(F.col("exact"), F.col("pos") - F.col("place")).otherwise(F.greatest(F.lit(0), F.col("pos") - REACH + F.col("best.i")))
+    return met.select("row_id", "window", start.alias("start"), F.when(F.col("exact"), F.size("terms")).otherwise(WINDOW).alias("size"), "exact").distinct()
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of docs, the windows found in it, and the items of windows."""
+    windows, items = windows_of(benchmark)
+    terms = windows.select(F.explode("terms").alias("term")).distinct()
+    counts = materialise(term_counts(docs, terms), "decontaminate-counts")
+    anchors = materialise(anchored(windows, counts), "decontaminate-anchors")
+    index = positional_index(docs, anchors.select(F.col("anchor").alias("term")).distinct(), *keep)
+    found = materialise(found_windows(index, anchors), "decontaminate-found")
+    discard(windows, counts, anchors)
+    return index, found, items
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, size, kind: every place where an item's window stands exactly (phrase) or nearly (proximity), in words.
+
+    A proximity match is ten consecutive words that hold NEAR_PERCENT of a window's
+    distinct words but are no phrase of the same item at that place; of the tens around
+    a rare word the fullest is given. Cases as for `decontaminate`; rows of equal
+    documents repeat.
+    """
+    index, found, items = searched(docs, benchmark)
+    rows = found.join(items, "window").groupBy("row_id", "item", "start", "size").agg(F.max("exact").alias("exact"))
+    kind = F.when(F.col("exact"), "phrase").otherwise("proximity")
+    return rows.join(index.select("row_id", "doc_id"), "row_id").select("doc_id", F.col("item").alias("item_id"), "start", "size", kind.alias("kind"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, near_items for every row of docs(doc_id, text).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, near_items, and the columns to keep, for every row of docs(doc_id, text).
 
     Windows are 10 consecutive words of an item (an item of fewer is one window). n_hit
     counts document words inside exact occurrences, n_items the items with one;
     n_near_items those with an exact or proximity match, near_items their ids, sorted and
-    joined by commas. Null and empty texts have no
-    words; repeated rows are kept; overlapping occurrences count a word once; items
-    without words match nothing; either table may be empty; other columns are ignored.
-    Texts are read twice and never shuffled: only postings of exact or near matches are.
+    joined by commas. Null and empty texts have no words; repeated rows are kept;
+    overlapping occurrences count a word once; items without words match nothing; either
+    table may be empty; other columns are ignored. Texts are read twice and never
+    shuffled: only postings of the windows' rarest words are.
     """
-    found, base = None, None
-    for part in slices(benchmark):
-        counts = term_counts(docs, part.vocabulary)
-        windows = window_table(docs, part, counts)
-        anchors = {r.anchor for r in windows.select("anchor").distinct().collect()}  # at most one slice's words
-        index = positional_index(docs, part.vocabulary, anchors)
-        base = index.select("row_id", "doc_id", "n_words") if base is None else base
-        here = matches(index, windows)
-        found = here if found is None else found.unionByName(here)
-    if found is None:
-        base = positional_index(docs, {}, set()).select("row_id", "doc_id", "n_words")
-        return base.select(
-            "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
-            F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_near_items"), F.lit("").alias("near_items"),
-        )
-    hit = F.collect_set(F.when(F.col("exact"), F.struct("start", "size")))
-    per_row = found.groupBy("row_id").agg(
-        hit.alias("hits"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("exact"), F.col("items"))))).alias("exact_items"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("near_items"),
-    )
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
+    index, found, items = searched(docs, benchmark, *keep)
+    hits = found.filter("exact").groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("hits"))
+
+    def cover(acc: F.Column, hit: F.Column) -> F.Column:
+        end = hit["start"] + hit["size"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], hit["start"]))).alias("n"))
+
+    n_hit = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), cover, lambda a: a["n"])
+    per_row = found.join(items, "window").groupBy("row_id").agg(F.collect_set(F.when(F.col("exact"), F.col("item"))).alias("exact_items"), F.collect_set("item").alias("near_items"))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     listed = lambda c: F.array_join(F.coalesce(F.array_sort(c), F.array().cast("array<string>")), ",")
-    return base.join(per_row.withColumn("covered", covered), "row_id", "left").select(
-        "doc_id", "n_words", n("covered").alias("n_hit"), n("exact_items").alias("n_items"), F.sha2(listed("exact_items"), 256).alias("items_sha256"),
-        (n("covered") > 0).alias("contaminated"), n("near_items").alias("n_near_items"), listed("near_items").alias("near_items"),
+    count = F.coalesce(n_hit, F.lit(0)).cast("long")
+    return index.join(hits, "row_id", "left").join(per_row, "row_id", "left").select(
+        "doc_id", "n_words", count.alias("n_hit"), n("exact_items").alias("n_items"), F.sha2(listed("exact_items"), 256).alias("items_sha256"),
+        (count > 0).alias("contaminated"), n("near_items").alias("n_near_items"), listed("near_items").alias("near_items"), *keep,
     )
-

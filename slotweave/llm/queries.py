@@ -69,6 +69,10 @@ def op10_near_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_items", "n_near_items", "near_items")
 
 
+def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_decontamination": op10_decontamination,
     "op10_near_benchmark": op10_near_benchmark,
+    "op10_benchmark_matches": op10_benchmark_matches,
 }
 
 ORACLES = {

@@ -48,7 +48,8 @@ def test_matches_brute_force(spark, monkeypatch):
         t = rnd.choice([b for _, b in bench if b]).upper().replace(" ", rnd.choice([", ", " - ", "\n"]))
         docs.append((200 + i, f"{text(5)} {t} {text(4)} {t}"))
     assert run(spark, docs, bench) == plain(docs, bench)
-    monkeypatch.setattr(dc, "SLICE_BYTES", 100)
+    monkeypatch.setattr(dc, "MOST_BITS", 1 << 15)
+    monkeypatch.setattr(dc, "REMEMBERED", 3)
     assert run(spark, docs, bench) == plain(docs, bench)
     assert run(spark, docs[:3] * 2, bench) == sorted(plain(docs[:3], bench) * 2)
 
@@ -79,21 +80,50 @@ def test_proximity_hangs_on_no_single_word(spark):
     assert (alone.contaminated, alone.near_items) == (False, "7")
 
 
-def test_proximity_finds_every_stretch_with_enough_words(spark):
+def test_every_match_of_many_items_over_shuffled_input(spark):
+    """Phrases and proximity matches of 400 items, of which many share windows, against all pairs of tens."""
     rnd = random.Random(3)
-    text = lambda n: [f"w{rnd.randrange(40)}" for _ in range(n)]
-    bench = [(i, text(rnd.choice([1, 3, 6, 10, 14]))) for i in range(15)]
+    text = lambda n: [f"w{rnd.randrange(60)}" for _ in range(n)]
+    bench = [(i, text(rnd.choice([1, 3, 6, 10, 14]))) for i in range(60)]
+    bench += [(100 + i, rnd.choice(bench)[1]) for i in range(340)]
     docs = []
-    for d in range(150):
+    for d in range(120):
         w = list(rnd.choice(bench)[1])
         for _ in range(rnd.randrange(4)):
-            w[rnd.randrange(len(w))] = f"w{rnd.randrange(60)}"
+            w[rnd.randrange(len(w))] = f"w{rnd.randrange(80)}"
         docs.append((d, text(3) + w + text(3)))
-    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string") for name, rows in (("doc_id", docs), ("item_id", bench))]
-    got = {r.doc_id: set(r.near_items.split(",")) for r in dc.decontaminate(*frames).collect()}
+    docs += [(500, w) for _, w in docs[:2]]
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string").repartition(7) for name, rows in (("doc_id", docs), ("item_id", bench))]
+    out = dc.decontaminate(*frames)
+    got, near = sorted((x.doc_id, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in out.collect()), {}
+    plain_docs, plain_bench = [(d, " ".join(w)) for d, w in docs], [(i, " ".join(w)) for i, w in bench]
+    assert got == plain(plain_docs, plain_bench)
+    for r in out.collect():
+        near.setdefault(r.doc_id, []).append(set(filter(None, r.near_items.split(","))))
+    phrases, tens = set(), {}
+    for r in dc.benchmark_matches(*frames).collect():
+        if r.kind == "phrase":
+            phrases.add((r.doc_id, r.item_id, r.start, r["size"]))
+        else:
+            tens.setdefault((r.doc_id, r.item_id), []).append(r.start)
+    want_phrases, want_near = set(), {}
     for d, w in docs:
+        mine = set()
         for i, b in bench:
-            windows = [set(b[k : k + 10]) for k in range(max(1, len(b) - 9))]
-            want = any(len(x & set(w[k : k + 10])) >= 0.8 * len(x) for x in windows for k in range(len(w)))
-            assert not want or str(i) in got[d], (d, i)
-            assert str(i) not in got[d] or any(len(x & set(w[k : k + 19])) >= 0.8 * len(x) for x in windows for k in range(len(w)))
+            windows = [b[k : k + 10] for k in range(max(1, len(b) - 9))]
+            exact = {(d, str(i), k, len(x)) for x in windows for k in range(len(w)) if w[k : k + len(x)] == x}
+            want_phrases |= exact
+            full = [k for k in range(len(w)) if any(10 * len(set(x) & set(w[k : k + 10])) >= 8 * len(set(x)) for x in windows)]
+            if full:
+                mine.add(str(i))
+            assert set(tens.get((d, str(i)), ())) <= set(full) or d == 500
+        want_near.setdefault(d, []).append(mine)
+    assert phrases == want_phrases
+    assert all(sorted(map(sorted, near[d])) == sorted(map(sorted, want_near[d])) for d in want_near)
+    assert {(d, i) for d, i in tens} | {(d, i) for d, i, _, _ in phrases} == {(d, i) for d, sets in want_near.items() for x in sets for i in x}
+
+
+def test_ids_of_any_type_and_kept_columns(spark):
+    d = spark.createDataFrame([("x", "a b c", 1), (None, "a b c", 2), ("x", None, 3)], "doc_id string, text string, row long")
+    got = dc.decontaminate(d, spark.createDataFrame([(7, "b")], "item_id long, text string"), "row").collect()
+    assert {(r.row, r.doc_id, r.contaminated) for r in got} == {(1, "x", True), (2, None, True), (3, "x", False)}
