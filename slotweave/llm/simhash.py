@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, discard, id_type, materialise
 
 SHINGLE = 4
 DISTANCE = 4
@@ -47,15 +47,16 @@ def fingerprint(data: bytes | None) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row of docs(doc_id, text, ...)."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns to keep of every row of docs(doc_id, text, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {id_type(docs)}, fp long{kept}")
 
 
 def pivot_table(values: np.ndarray) -> np.ndarray:
@@ -167,4 +168,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = materialise(groups.groupBy("group").agg(F.min("first").alias("least")), "simhash-least")
     moved = groups.join(least, "group").select("fp", "least")
     owner = materialise(distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-owner")
+    discard(distinct, groups, least, labels)
     return marked.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, row: str) -> DataFrame:
+    """The numbers (column `row`, unique) of one row of each component of docs(doc_id, text, row): that of the smallest doc_id, a null one last, then the smallest number."""
+    marked = materialise(fingerprints(docs, row), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("first")
+    distinct = materialise(marked.groupBy("fp").agg(first), "simhash-distinct")
+    labels = connected_components(links(distinct))
+    group = F.coalesce("component", "fp")  # components are named by their smallest fingerprint
+    kept = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
+    kept = materialise(kept.select(F.col("first.row").alias(row)), "simhash-kept")
+    discard(marked, distinct, labels)
+    return kept

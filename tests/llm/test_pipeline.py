@@ -83,3 +83,24 @@ def test_stage_contract(spark, tmp_path):
         assert 0 < out.count() < 80
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert os.path.exists(corpus_pipeline.__file__) and langid and simhash
+
+
+def test_stages_decide_row_by_row(spark, tmp_path):
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choice(["bam", "tok", "pim", "kel", "dor", "sun", "fig"]) + rnd.choice("xyz") for _ in range(n))
+    one, two, three, item = text(50), text(50), text(50), text(12)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dedup, clean = corpus_pipeline.STAGES[1][1], corpus_pipeline.STAGES[2][1]
+    near = [(1, one), (1, one), (1, one), (2, one), (5, one), (5, two), (None, two), (None, three), (None, three), (6, None), (7, "")]
+    got = dedup(spark, spark.createDataFrame(near, "doc_id long, text string"), str(tmp_path)).collect()
+    # one row of `one` (id 1), `two` with an id before the null one, one `three`, one of the wordless
+    assert sorted(map(tuple, got), key=str) == sorted([(1, one), (5, two), (None, three), (6, None)], key=str)
+    dirty = [(None, f"a {item} b"), (None, two), (3, item), (3, three), (None, None), (None, two)]
+    got = clean(spark, spark.createDataFrame(dirty, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, two), (3, three), (None, None), (None, two)], key=str)
+
+
+def test_without_labels_only_texts_without_letters_go(spark):
+    rows = [(1, "abc", None), (2, "12 34", None), (3, None, None), (4, "Ж", None)]
+    got = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4]
