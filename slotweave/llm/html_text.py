@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,7 @@ SILENT = frozenset("script style noscript template svg math title iframe object
 RAW = frozenset("script style noscript title iframe textarea".split())
 #: What a page's head may hold; anything else ends it.
 IN_HEAD = SILENT & frozenset("script style noscript template title".split()) | frozenset("base link meta basefont bgsound".split())
+CORE, HEADINGS = ("article", "main"), ("h1", "h2", "h3", "h4", "h5", "h6")
 OUTSIDE = frozenset("nav footer aside form menu dialog button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class or id that mark a container as no part of the article.
@@ -37,10 +39,10 @@ MARKS = re.compile(
     re.IGNORECASE,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-# Comments, CDATA, declarations, tags (quoted attribute values may hold >), and a tag that the page breaks off in.
+# Comments, CDATA, declarations, tags (a value quoted right behind its = may hold >), and a tag that the page breaks off in.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>|</?[A-Za-z][^>]*\Z",
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|</?[A-Za-z][^>]*\Z",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -61,10 +63,11 @@ class Block:
     paragraph: bool
 
 
-def silence(page: str, at: int, tag: str, ancestors: set[str], endless: set[str]) -> int:
+def silence(page: str, at: int, tag: str, ancestors: Counter, endless: set[str]) -> int:
     """Where a silent element that begins before `at` ends: behind its end tag, or before that of an element around it.
 
-    `endless` collects the raw elements without an end tag in the rest of the page.
+    `ancestors` counts the open elements by name; `endless` collects the raw elements
+    without an end tag in the rest of the page.
     """
 
     def raw_end(name: str, at: int) -> int:
@@ -75,47 +78,62 @@ def silence(page: str, at: int, tag: str, ancestors: set[str], endless: set[str]
 
     if tag in RAW and (end := raw_end(tag, at)) >= 0:
         return end
-    inside: list[str] = []
+    inside, open_inside = [], Counter()
     while m := _TOKEN.search(page, at):
         at, name = m.end(), (m[2] or "").lower()
-        if name == "body" and "head" in ancestors:
+        if name == "body" and ancestors["head"]:
             return m.start()
         if m[1]:
-            if name in inside:
-                while inside.pop() != name:
-                    pass
+            if open_inside[name]:
+                while True:
+                    last = inside.pop()
+                    open_inside[last] -= 1
+                    if last == name:
+                        break
             elif name == tag:
                 return at
-            elif name in ancestors:
+            elif ancestors[name]:
                 return m.start()
         elif name and name not in VOID and not m[3].endswith("/"):
             if name in RAW and (end := raw_end(name, at)) >= 0:
                 at = end
             elif name not in RAW:
                 inside.append(name)
+                open_inside[name] += 1
     return len(page)
 
 
 def blocks(page: str) -> Iterator[Block]:
     """Text blocks in page order; white space is collapsed, character references are decoded, silent elements skipped."""
     open_tags: list[tuple[str, bool]] = []  # name, whether it puts its content outside the article
+    open_blocks: list[str] = []
+    opened: Counter = Counter()
     parts: list[str] = []
-    links = at = 0
-    state = {"outside": 0, "article": 0, "a": 0, "heading": 0}
+    links = at = outside_depth = 0
     endless: set[str] = set()
 
-    def count(tag: str, outside: bool, step: int) -> None:
-        state["outside"] += step * outside
-        state["article"] += step * (tag in ("article", "main"))
-        state["a"] += step * (tag == "a")
-        state["heading"] += step * (tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    def enter(tag: str, outside: bool) -> None:
+        nonlocal outside_depth
+        open_tags.append((tag, outside))
+        opened[tag] += 1
+        outside_depth += outside
+        if tag in BLOCKS:
+            open_blocks.append(tag)
+
+    def leave() -> str:
+        nonlocal outside_depth
+        tag, outside = open_tags.pop()
+        opened[tag] -= 1
+        outside_depth -= outside
+        if tag in BLOCKS:
+            open_blocks.pop()
+        return tag
 
     def flush() -> Iterator[Block]:
         nonlocal links
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            paragraph = next((name for name, _ in reversed(open_tags) if name in BLOCKS), "") == "p"
-            yield Block(text, links, state["outside"] > 0, state["article"] > 0, state["heading"] > 0, paragraph)
+            yield Block(text, links, outside_depth > 0, any(opened[x] for x in CORE), any(opened[x] for x in HEADINGS), open_blocks[-1:] == ["p"])
         parts.clear()
         links = 0
 
@@ -124,7 +142,7 @@ def blocks(page: str) -> Iterator[Block]:
         if raw:
             said = html.unescape(raw)
             parts.append(said)
-            if state["a"]:
+            if opened["a"]:
                 links += len(said.strip())
 
     while True:
@@ -139,31 +157,26 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if open_tags and open_tags[-1][0] == "head" and not m[1] and tag not in IN_HEAD:
             yield from flush()
-            open_tags.pop()
+            leave()
         if tag == "br":
             parts.append(" ")
         elif m[1]:
             if tag in BLOCKS:
                 yield from flush()
-            if any(name == tag for name, _ in open_tags):
-                while True:
-                    name, outside = open_tags.pop()
-                    count(name, outside, -1)
-                    if name == tag:
-                        break
+            if opened[tag]:
+                while leave() != tag:
+                    pass
         elif tag in SILENT and not m[3].endswith("/"):
             if tag in BLOCKS:
                 yield from flush()
-            at = silence(page, at, tag, {name for name, _ in open_tags}, endless)
+            at = silence(page, at, tag, opened, endless)
         else:
             if tag in BLOCKS:
                 yield from flush()
             if tag in ("p", "li") and open_tags and open_tags[-1][0] == tag:
-                count(*open_tags.pop(), -1)
+                leave()
             if tag not in VOID and not m[3].endswith("/"):
-                outside = tag in OUTSIDE or (tag == "header" and not state["article"]) or marked(tag, m[3])
-                open_tags.append((tag, outside))
-                count(tag, outside, 1)
+                enter(tag, tag in OUTSIDE or (tag == "header" and not any(opened[x] for x in CORE)) or marked(tag, m[3]))
     yield from flush()
 
 
@@ -179,20 +192,34 @@ def marked(tag: str, attributes: str) -> bool:
     return False
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, near (probably good) or short, from where the block stands, its links, length and stop words."""
-    if block.outside:
-        return "bad"
-    size = len(block.text)
-    if block.link_chars > LINKS_HIGH * size:
-        return "short" if block.article and (block.heading or block.paragraph or block.link_chars < 0.9 * size) else "bad"
-    if size < LENGTH_LOW or block.heading:
-        return "short"
+def stop_share(block: Block) -> float:
     words = block.text.lower().split()
-    share = sum(map(STOP_WORDS.__contains__, words)) / len(words)
-    if share >= STOP_HIGH:
-        return "good" if size >= LENGTH_HIGH else "near"
-    return "near" if share >= STOP_LOW or block.article else "bad"
+    return sum(map(STOP_WORDS.__contains__, words)) / len(words)
+
+
+def first_pass(found: list[Block]) -> list[str]:
+    """good, bad, near (probably good) or short for each block, from where it stands, its links, length and stop words.
+
+    On a page without one block that has its share of stop words the language is none of
+    the lists', so there length and link density decide alone.
+    """
+    long = [not b.outside and b.link_chars <= LINKS_HIGH * len(b.text) and len(b.text) >= LENGTH_LOW and not b.heading for b in found]
+    shares = [stop_share(b) if is_long else 0.0 for b, is_long in zip(found, long, strict=True)]
+    known = max(shares, default=0.0) >= STOP_LOW
+    labels = []
+    for b, is_long, share in zip(found, long, shares, strict=True):
+        size = len(b.text)
+        if b.outside:
+            labels.append("bad")
+        elif b.link_chars > LINKS_HIGH * size:
+            labels.append("short" if b.article and (b.heading or b.paragraph or b.link_chars < 0.9 * size) else "bad")
+        elif not is_long:
+            labels.append("short")
+        elif not known or share >= STOP_HIGH:
+            labels.append("good" if size >= LENGTH_HIGH else "near")
+        else:
+            labels.append("near" if share >= STOP_LOW or b.article else "bad")
+    return labels
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
@@ -231,7 +258,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = list(blocks(page or ""))
-    kept = second_pass(found, [first_pass(b) for b in found])
+    kept = second_pass(found, first_pass(found))
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
@@ -249,4 +276,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

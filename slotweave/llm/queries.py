@@ -35,7 +35,7 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return f.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"),
-        (F.col("n_samples") * 1000 / F.col("sample_rate")).alias("duration_ms"), "n_frames",
+        (F.col("played_samples") * 1000 / F.col("sample_rate")).alias("duration_ms"), "n_frames",
     )
 
 

@@ -1,3 +1,4 @@
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -20,7 +21,38 @@ def test_article_with_everything_around_it():
 def test_rules_without_an_article_element():
     page = '<div class="wrap"><ul><li><a href="x">Home</a></li></ul><h1>Title</h1><p>' + PROSE + '</p><p>Short.<p>Also short<div class="footer">Copyright</div><p>alone</p></div>'
     assert main_text(page) == "Title\n" + PROSE.strip() + "\nShort.\nAlso short"
-    assert main_text("<p>" + "qwx zrt " * 30 + "</p>") == ""
+    assert main_text("<p>" + "qwx zrt " * 30 + "</p><p>" + PROSE + "</p><p>" + "qwx zrt " * 30 + "</p><footer>x</footer>") == PROSE.strip()
+    russian, japanese = "Кошка лежала на ковре и смотрела в окно. " * 8, "猫は窓辺の敷物の上で静かに眠っていた。" * 14
+    for prose in (russian, japanese):
+        page = f"<nav><a href=x>{prose}</a></nav><div><h2>{prose[:6]}</h2><p>{prose}</p><p><a href=y>{prose}</a></p><p>{prose[:9]}</p></div><footer>{prose}</footer>"
+        assert main_text(page) == "\n".join(x.strip() for x in (prose[:6], prose))  # the last short block has a link before it and the end behind
+
+
+def test_quotes_in_unquoted_values_take_no_text():
+    assert main_text("<article><img alt=it's><p>text don't lose</p><p>tail</p></article>") == "text don't lose\ntail"
+    assert main_text("<article><p title= 'a>b' data-x=\"c>d\" e=f'g>one</p><p x='>two</p></article>") == "one\ntwo"
+    assert main_text('<article><p a"b>one</p><p =">two</p><i x=\'y\'/>three</article>') == "one\ntwo\nthree"
+
+
+def test_rules_against_a_second_reading():
+    """Random trees of known blocks: what is kept follows from each block's own marks and its neighbours, worked out apart."""
+    rnd = random.Random(8)
+    prose, middle, other = PROSE.strip(), "the cat is on the mat and it was here for the day of our lord it", "qwx zrt " * 30
+    for _ in range(400):
+        made = [(rnd.choice(["long", "mid", "other", "short", "link", "nav", "mark"]), k) for k in range(rnd.randrange(1, 9))]
+        html, labels, texts = "", [], []
+        for kind, k in made:
+            text = {"long": f"{prose} {k}", "mid": f"{middle} {k} {middle[:20]}", "other": f"{other}{k}", "short": f"Short {k}", "link": f"link {k} {middle}", "nav": f"nav {k} {prose}", "mark": f"mark {k} {prose}"}[kind]
+            html += {"link": f"<p><a href=x>{text}</a></p>", "nav": f"<nav><p>{text}</p></nav>", "mark": f'<div class="promo-box"><p>{text}</p></div>'}.get(kind, f"<p>{text}</p>")
+            labels.append({"long": "good", "mid": "near", "short": "short"}.get(kind, "bad"))
+            texts.append(" ".join(text.split()))
+        if not {"long", "mid"} & {kind for kind, _ in made}:
+            continue
+        decided = {"good": True, "near": True, "bad": False}
+        left = lambda k: next((decided[x] for x in reversed(labels[:k]) if x != "short"), False)
+        right = lambda k: next((decided[x] for x in labels[k + 1 :] if x != "short"), False)
+        keep = [x == "good" or x in ("near", "short") and (left(k) or right(k)) for k, x in enumerate(labels)]
+        assert main_text(html) == "\n".join(t for t, k in zip(texts, keep) if k), made
 
 
 def test_edges(spark):
@@ -34,7 +66,7 @@ def test_edges(spark):
 
 def test_broken_markup_stays_linear():
     began = time.time()
-    for page in ("<" * 100000, "<a b='" * 3000, "<p " + "x" * 200000, "&" * 100000, "<div>" * 20000):
+    for page in ("<b>" * 20000 + "</i>" * 20000, "<b>" * 20000 + "<p>x</p>" * 20000, "<b>" * 20000 + "<script>x</script>" * 20000, "<svg>" + "<b>" * 20000 + "</i>" * 20000, "<" * 100000, "<a b='" * 3000, "<p " + "x" * 200000, "&" * 100000, "<div>" * 20000):
         main_text(page)
     assert time.time() - began < 20
 

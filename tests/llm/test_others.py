@@ -47,7 +47,7 @@ def test_mpeg_round_trip(spark):
 def test_mpeg_resynchronises():
     data = mpeg_audio.encode(b"a" * 192 * 9, 1700)
     clean = mpeg_audio.parse(data)
-    assert len(clean["offsets"]) == 3 and clean["xing"]["frames"] == 3 and clean["xing"]["toc"][0] < clean["xing"]["toc"][99]
+    assert len(clean["offsets"]) == 3 and clean["table"]["frames"] == 3 and clean["table"]["toc"][0] < clean["table"]["toc"][99]
     cut = clean["offsets"][1]
     noisy = mpeg_audio.parse(data[:cut] + b"\xff\xfb noise \xff" + data[cut:] + b"TAG".ljust(128, b"\0"))
     assert len(noisy["offsets"]) == 3 and noisy["skipped"] == 10 and noisy["crc_bad"] == 0
@@ -79,3 +79,73 @@ def test_text_that_looks_like_a_trailing_tag_keeps_its_frame():
         assert units % 4 == 0 or data[-128:-125] == b"TAG"
         tagged = mpeg_audio.parse(data + b"TAG".ljust(128, b"\xff"))
         assert mpeg_audio.stored_payload(data, tagged) == payload and tagged["skipped"] == 0
+
+
+def tag(version, name, size, body, flags=0):
+    frame = name + size + (b"" if version == 2 else b"\0\0") + body
+    return b"ID3" + bytes([version, 0, flags]) + mpeg_audio.syncsafe(len(frame)) + frame
+
+
+def test_tags_of_all_versions():
+    text = "x" * 300
+    body = b"\0" + text.encode()
+    for version, name, size in ((4, b"TIT2", mpeg_audio.syncsafe(301)), (3, b"TIT2", (301).to_bytes(4, "big")), (2, b"TT2", (301).to_bytes(3, "big"))):
+        assert mpeg_audio.tag_texts(tag(version, name, size, body) + b"rest") == ({name.decode(): text}, len(tag(version, name, size, body))), version
+    wide = tag(3, b"TXXX", (12).to_bytes(4, "big"), b"\3key\0value12")
+    assert mpeg_audio.tag_texts(wide)[0] == {"key": "value12"}
+    synced = tag(3, b"TALB", (4).to_bytes(4, "big"), b"\0a\xff\0\xe0", 0x80)
+    assert mpeg_audio.tag_texts(synced)[0] == {"TALB": "a\xff\xe0"}
+
+
+def plain_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ bit else 0)) & 0xFFFF
+    return crc
+
+
+def bits_of(data):
+    return [byte >> (7 - k) & 1 for byte in data for k in range(8)]
+
+
+def with_checksum(head, body, covered):
+    return head + plain_crc(bits_of(head[2:]) + bits_of(body)[:covered]).to_bytes(2, "big") + body
+
+
+def test_checksums_of_all_layers():
+    rnd = random.Random(2)
+    layer1_stereo, layer1_joint = bytes([0xFF, 0xFE, 0xC4, 0x00]), bytes([0xFF, 0xFE, 0xC4, 0x50])  # 384 kbit/s, 48 kHz; joint from subband 8 on
+    layer2_stereo, layer2_joint, layer2_mono = bytes([0xFF, 0xFC, 0xA4, 0x00]), bytes([0xFF, 0xFC, 0xA4, 0x50]), bytes([0xFF, 0xFC, 0x84, 0xC0])  # 192 kbit/s, mono 128
+    widths = [4] * 11 + [3] * 12 + [2] * 4  # 48 kHz at 56 kbit/s a channel and more
+    for head in (layer1_stereo, layer1_joint, layer2_stereo, layer2_joint, layer2_mono):
+        h = mpeg_audio.frame_header(head)
+        for _ in range(20):
+            body = bytes(rnd.choice([0, rnd.randrange(256)]) for _ in range(h.length - 6))
+            if h.layer == 1:
+                want = {layer1_stereo: 256, layer1_joint: 4 * (2 * 8 + 24)}[head]
+            else:
+                bits, at, want = bits_of(body), 0, 0
+                for band, width in enumerate(widths):
+                    joint = head == layer2_joint and band >= 8
+                    for _ in range(1 if joint or head == layer2_mono else 2):
+                        want += width + 2 * any(bits[at : at + width]) * (2 if joint else 1)
+                        at += width
+            frame = with_checksum(head, body, want)
+            assert len(frame) == h.length and mpeg_audio.covered_bits(h, body) == want
+            broken = frame[:6] + bytes([frame[6] ^ 0x80]) + frame[7:]
+            assert mpeg_audio.parse(frame * 3)["crc_ok"] == 3 and mpeg_audio.parse(broken * 3)["crc_bad"] == 3
+
+
+def test_rate_tables_and_exact_durations():
+    plain = bytes([0xFF, 0xFB, 0x64, 0xC4]).ljust(240, b"\0")  # 80 kbit/s, 48 kHz, mono, no checksum
+    vbri = b"VBRI" + b"".join(n.to_bytes(size, "big") for n, size in ((1, 2), (1105, 2), (75, 2), (5000, 4), (20, 4), (3, 2), (2, 2), (2, 2), (5, 2))) + bytes([0, 10, 0, 20, 1, 0])
+    first = bytearray(plain)
+    first[36 : 36 + len(vbri)] = vbri
+    got = mpeg_audio.parse(bytes(first) + plain * 20)
+    assert got["table"] == {"kind": "VBRI", "frames": 20, "bytes": 5000, "toc": [20, 60, 572], "delay": 1105, "padding": 0}
+    assert len(got["offsets"]) == 20 and got["samples"] == 20 * 1152 and got["played"] == 20 * 1152 - 1105
+    lame = b"Info" + (1).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    first = bytearray(plain)
+    first[21 : 21 + len(lame)] = lame
+    got = mpeg_audio.parse(bytes(first) + plain * 20)
+    assert (got["table"]["frames"], got["table"]["delay"], got["table"]["padding"], got["played"]) == (20, 576, 1000, 20 * 1152 - 1576)
