@@ -2,9 +2,9 @@
 
 The benchmark's windows are a table with the hashes of their words. Documents are read
 twice: once to count those words, once to post the rarest of each window with their
-surroundings. Postings meet the windows in one join on the rare word, for a benchmark of
-any size; what the tasks get beforehand is a bit set of bounded size that lets every
-wanted word through and few others.
+surroundings, where the next rarest stands near. Postings meet the windows in one join on
+the rare word, for a benchmark of any size; what the tasks get beforehand are bit sets of
+bounded size that let every wanted word or pair through and few others.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ REACH = WINDOW - 1
 NEAR_PERCENT = 80
 #: Bits a wanted word in a task's bit set, and the most bits of one (128 MB).
 BITS_A_WORD, MOST_BITS = 64, 1 << 30
-#: Words whose hashes a task remembers.
+#: Words that a task remembers from one batch to the next.
 REMEMBERED = 1 << 20
+#: Words of text that are searched at a time.
+CHUNK = 1 << 20
+#: Tables of up to so many anchored windows (some 60 MB) are broadcast; larger ones are shuffled.
+BROADCAST_WINDOWS = 200_000
 # A-Z lower-cased; 0-9, a-z and every byte of a non-ASCII character stay; the rest separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -35,17 +39,29 @@ def words(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(_WORDS).split()
 
 
-class WordHashes(dict):
-    """Word -> its 64-bit hash, worked out once while it is remembered."""
+class Lexicon(dict):
+    """Word -> code; hashes and flags (whether a bit set has the hash) by code. Code 0 is no word."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+    def __init__(self, bits: np.ndarray | None = None) -> None:
+        self.bits = np.zeros(1, np.uint8) if bits is None else bits
+        self.hashes, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, bool)
+        self[b""] = 0
 
-    def of(self, data: bytes | None) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        if code == len(self.hashes):
+            self.hashes, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.flags))
+        self.hashes[code] = h = xxhash.xxh3_64_intdigest(word)
+        at = h & 8 * len(self.bits) - 1
+        self.flags[code] = self.bits[at >> 3] >> (at & 7) & 1
+        return code
+
+    def codes(self, texts: pa.Array) -> list[np.ndarray]:
+        """Codes of the words of each text; codes of earlier calls are void."""
         if len(self) > REMEMBERED:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words(data)), np.uint64)
+            self[b""] = 0
+        return [np.fromiter(map(self.__getitem__, words(t.as_py())), np.int32) for t in texts.cast(pa.binary())]
 
 
 def windows_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,11 +71,11 @@ def windows_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        lexicon = Lexicon()
         for batch in batches:
             of, terms = [], []
-            for k, text in enumerate(batch.column(1).cast(pa.binary())):
-                h = known.of(text.as_py()).view(np.int64)
+            for k, codes in enumerate(lexicon.codes(batch.column(1))):
+                h = lexicon.hashes[codes].view(np.int64)
                 runs = [h[i : i + WINDOW] for i in range(max(1, len(h) - REACH) if len(h) else 0)]
                 of += [k] * len(runs)
                 terms += runs
@@ -95,14 +111,11 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bit_set(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        lexicon = Lexicon(shared.value)
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for text in batch.column(0).cast(pa.binary()):
-                h = known.of(text.as_py())
-                found.append(h[wanted(shared.value, h)])
-            term, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+            n = np.bincount(np.concatenate([np.zeros(1, np.int32), *lexicon.codes(batch.column(0))]))
+            code = np.flatnonzero((n > 0) & lexicon.flags[: len(n)])
+            yield pa.RecordBatch.from_arrays([pa.array(lexicon.hashes[code].view(np.int64)), pa.array(n[code])], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -127,33 +140,47 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.filter(term(F.col("k"))["n"] > 0).select("window", "terms", anchor.alias("anchor"), (F.array_position("terms", anchor) - 1).cast("int").alias("place"), others.alias("others"))
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a ^ (b << np.uint64(7) | b >> np.uint64(57))
+
+
 def positional_index(docs: DataFrame, anchors: DataFrame, *keep: str) -> DataFrame:
     """row_id, doc_id, n_words, postings(term, pos, near) and the columns to keep of every document, written to the shared folder.
 
-    Postings are those of the anchors (and of few other words, which meet no window); near
-    holds the hashes of the words from 9 places before to 9 after, 0 where there is none.
+    Postings are those of the anchors that have one of their other words near (and few
+    more, which meet no window); near holds the hashes of the words from 9 places before
+    to 9 after, 0 where there is none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bit_set(anchors))
+    context = docs.sparkSession.sparkContext
+    pairs = anchors.select("anchor", F.explode("others").alias("other"))
+    rolled = F.shiftleft("other", 7).bitwiseOR(F.shiftrightunsigned("other", 57))
+    singles, doubles = (context.broadcast(bit_set(x.distinct())) for x in (anchors.select(F.col("anchor").alias("term")), pairs.select(F.col("anchor").bitwiseXOR(rolled).alias("term"))))
     kind = pa.list_(pa.struct([("term", pa.int64()), ("pos", pa.int32()), ("near", pa.list_(pa.int64()))]))
     names = ["doc_id", "n_words", "postings", *keep]
 
+    def postings(lexicon: Lexicon, codes: list[np.ndarray]) -> pa.Array:
+        """The postings of some texts that follow one another with REACH empty places between."""
+        edge, span = np.zeros(REACH, np.int32), np.arange(-REACH, REACH + 1)
+        flat = np.concatenate([edge, *[x for c in codes for x in (c, edge)]])
+        starts = np.cumsum([REACH, *[len(c) + REACH for c in codes]])
+        at = np.flatnonzero(lexicon.flags[flat])
+        near = lexicon.hashes[flat[at[:, None] + span]]
+        beside = wanted(doubles.value, pair_hash(near[:, REACH : REACH + 1], near)).any(axis=1)
+        at, near = at[beside], near[beside].view(np.int64)
+        of = np.searchsorted(starts, at, side="right") - 1
+        lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * len(span), pa.array(near.ravel()))
+        items = pa.StructArray.from_arrays([pa.array(near[:, REACH]), pa.array((at - starts[of]).astype(np.int32)), lists], ["term", "pos", "near"])
+        return pa.ListArray.from_arrays(np.searchsorted(of, np.arange(len(codes) + 1)).astype(np.int32), items).cast(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, span, edge = WordHashes(), np.arange(2 * REACH + 1), np.zeros(REACH, np.uint64)
+        lexicon = Lexicon(singles.value)
         for batch in batches:
-            counts, per_doc, terms, places, near = [], [0], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for text in batch.column(1).cast(pa.binary()):
-                h = known.of(text.as_py())
-                at = np.flatnonzero(wanted(shared.value, h))
-                counts.append(len(h))
-                per_doc.append(per_doc[-1] + len(at))
-                if len(at):
-                    places.append(at.astype(np.int32))
-                    near.append(np.concatenate([edge, h, edge])[at[:, None] + span].ravel().view(np.int64))
-            near = np.concatenate(near)
-            lists = pa.ListArray.from_arrays(np.arange(per_doc[-1] + 1, dtype=np.int32) * len(span), pa.array(near))
-            items = pa.StructArray.from_arrays([pa.array(near[REACH :: len(span)]), pa.array(np.concatenate(places)), lists], ["term", "pos", "near"])
-            rows = pa.ListArray.from_arrays(np.array(per_doc, np.int32), items).cast(kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), rows, *batch.columns[2:]], names)
+            codes = lexicon.codes(batch.column(1))
+            counts = np.array([len(c) for c in codes], np.int64)
+            part = (np.cumsum(counts) - counts) // CHUNK
+            for a, b in zip(cuts := np.flatnonzero(np.append(True, part[1:] != part[:-1])), np.append(cuts[1:], len(codes)), strict=True):
+                there = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([there.column(0), pa.array(counts[a:b]), postings(lexicon, codes[a:b]), *there.columns[2:]], names)
 
     kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     index = docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id {id_type(docs)}, n_words long, postings array<struct<term long, pos int, near array<long>>>{kept}")
@@ -170,7 +197,8 @@ def found_windows(index: DataFrame, anchors: DataFrame) -> DataFrame:
     posted = index.select("row_id", F.explode("postings").alias("p")).select("row_id", F.col("p.term").alias("anchor"), "p.pos", "p.near")
     whole = F.slice("near", F.lit(WINDOW) - F.col("place"), F.size("terms")) == F.col("terms")
     enough = F.size(F.array_distinct("terms")) * NEAR_PERCENT
-    met = posted.join(anchors, "anchor").filter(F.arrays_overlap("near", "others")).withColumn("exact", whole)
+    known = F.broadcast(anchors) if anchors.count() <= BROADCAST_WINDOWS else anchors
+    met = posted.join(known, "anchor").filter(F.arrays_overlap("near", "others")).withColumn("exact", whole)
     met = met.filter(F.col("exact") | (F.size(F.array_intersect("terms", "near")) * 100 >= enough))
     runs = F.transform(F.sequence(F.lit(0), F.lit(REACH)), lambda i: F.struct((-F.size(F.array_intersect("terms", F.slice("near", i + 1, F.lit(WINDOW))))).alias("lacks"), i.alias("i")))
     met = met.withColumn("best", F.when(~F.col("exact"), F.array_min(runs))).filter(F.col("exact") | (F.col("best.lacks") * -100 >= enough))
@@ -184,7 +212,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, *keep: str) -> tuple[DataFra
     terms = windows.select(F.explode("terms").alias("term")).distinct()
     counts = materialise(term_counts(docs, terms), "decontaminate-counts")
     anchors = materialise(anchored(windows, counts), "decontaminate-anchors")
-    index = positional_index(docs, anchors.select(F.col("anchor").alias("term")).distinct(), *keep)
+    index = positional_index(docs, anchors, *keep)
     found = materialise(found_windows(index, anchors), "decontaminate-found")
     discard(windows, counts, anchors)
     return index, found, items

@@ -50,6 +50,8 @@ def test_matches_brute_force(spark, monkeypatch):
     assert run(spark, docs, bench) == plain(docs, bench)
     monkeypatch.setattr(dc, "MOST_BITS", 1 << 15)
     monkeypatch.setattr(dc, "REMEMBERED", 3)
+    monkeypatch.setattr(dc, "CHUNK", 50)
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
     assert run(spark, docs, bench) == plain(docs, bench)
     assert run(spark, docs[:3] * 2, bench) == sorted(plain(docs[:3], bench) * 2)
 
