@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotweave.functions import ids
+from slotweave.functions import ids, text
 
 REASONS = ["same core", "one digit changed, added or dropped", "extra digit at an end", "same middle digits"]
 
@@ -50,47 +50,95 @@ def near_cores(c: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(bare, lambda v: F.when(F.length(v) == 12, F.substring(v, 1, 11)).otherwise(v)), lambda v: F.length(v) >= 10))
 
 
+def near_rule(a: Column, b: Column) -> Column:
+    """The lowest rule (1 to 4, see REASONS) that holds between two cores; null if none does."""
+    both = (F.length(a) >= 11) & (F.length(b) >= 11)
+    return F.when(a == b, 1).when(F.levenshtein(a, b) <= 1, 2).when(F.contains(a, b) | F.contains(b, a), 3).when(both & (F.substring(a, 2, 9) == F.substring(b, 2, 9)), 4)
+
+
 def near_reasons(targets: DataFrame, images: DataFrame) -> DataFrame:
     """target, image, rule: every near pair and the lowest rule that holds over their cores (1 to 4, see REASONS).
 
-    Each rule has its own keys: the core; the core and its one-digit deletions; its
-    substrings of 10 and more; its digits 2 to 10. Pairs that meet are verified.
+    Each rule has its own keys: the core; the core and its one-digit deletions; one side's
+    whole core among the other's pieces of 10 digits and more, in both directions; digits
+    2 to 10. Pairs that meet are verified.
     """
 
-    def blocked(df: DataFrame, c: str, containing: bool) -> DataFrame:
+    def blocked(df: DataFrame, c: str, sides: tuple[str, str]) -> DataFrame:
         core = df.select(c, F.explode(near_cores(c)).alias(f"{c}_core")).distinct()
         v = F.col(f"{c}_core")
         n = F.length(v)
         deletions = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, n)))
         pieces = F.flatten(F.transform(F.sequence(F.lit(10), n), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(v, i, size))))
         tag = lambda rule, keys: F.transform(keys, lambda k: F.concat(F.lit(f"{rule}:"), k))
-        edits = tag(2, F.concat(F.array(v), deletions))
-        inside = tag(3, pieces)
         middle = F.when(n >= 11, F.array(F.concat(F.lit("4:"), F.substring(v, 2, 9)))).otherwise(F.array().cast("array<string>"))
-        return core.select(c, f"{c}_core", F.explode(F.array_distinct(F.concat(edits, inside, middle))).alias("key"))
+        keys = F.concat(tag("2", F.concat(F.array(v), deletions)), tag(sides[0], F.array(v)), tag(sides[1], pieces), middle)
+        return core.select(c, f"{c}_core", F.explode(F.array_distinct(keys)).alias("key"))
 
-    pairs = blocked(targets, "target", True).join(blocked(images, "image", False), "key").select("target", "image", "target_core", "image_core").distinct()
-    a, b = F.col("target_core"), F.col("image_core")
-    both = (F.length(a) >= 11) & (F.length(b) >= 11)
-    rule = F.when(a == b, 1).when(F.levenshtein(a, b) <= 1, 2).when(F.contains(a, b) | F.contains(b, a), 3).when(both & (F.substring(a, 2, 9) == F.substring(b, 2, 9)), 4)
-    return pairs.withColumn("rule", rule).filter("rule IS NOT NULL").groupBy("target", "image").agg(F.min("rule").alias("rule"))
+    pairs = blocked(targets, "target", ("3a", "3b")).join(blocked(images, "image", ("3b", "3a")), "key").select("target", "image", "target_core", "image_core").distinct()
+    found = pairs.withColumn("rule", near_rule(F.col("target_core"), F.col("image_core"))).filter("rule IS NOT NULL")
+    return found.groupBy("target", "image").agg(F.min("rule").alias("rule"))
+
+
+#: Words of a name, rarest first, of which one must be among those of the other name.
+RARE_WORDS = 3
+
+
+def rarest_words(wanted: DataFrame, known: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
+    """(name, word) and (known_name, word): the `rare` rarest of each name's words that occur on both sides."""
+    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))).alias("word"))
+    a, b = words(wanted, "name"), words(known, "known_name")
+    count = lambda df, n: df.groupBy("word").agg(F.count(F.lit(1)).alias(n))
+    common = count(a, "na").join(count(b, "nb"), "word").select("word", (F.col("na") + F.col("nb")).alias("n"))
+
+    def few(df: DataFrame, c: str) -> DataFrame:
+        ranked = df.join(common, "word").groupBy(c).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, rare).alias("w"))
+        return ranked.select(c, F.explode("w.word").alias("word"))
+
+    return few(a, "name"), few(b, "known_name")
 
 
-def similar_names(wanted: DataFrame, known: DataFrame, similarity, least: float) -> DataFrame:
-    """name, id, known_name, score: pairs of names that share a word and are at least `least` alike.
+def similar_names(wanted: DataFrame, known: DataFrame, similarity, least: float, lift: float | None = None, rare: int = RARE_WORDS) -> DataFrame:
+    """name, id, known_name, score: pairs of names that share one of their rarest words and are at least `least` alike.
 
-    wanted(name), known(id, known_name). Similarity runs once per distinct pair of names;
-    a contained name counts at least 0.88.
+    wanted(name), known(id, known_name). Rare words keep frequent ones, which stand in
+    nearly every name, from bringing all pairs together; a pair whose lengths rule out
+    the score (a ratio is at most twice the shorter over both lengths) is dropped before
+    the similarity runs, once per distinct pair of names. A contained name counts at
+    least `lift`.
     """
-    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))).alias("word"))
-    names = wanted.select("name").distinct()
-    others = known.select("known_name").distinct()
-    pairs = words(names, "name").join(words(others, "known_name"), "word").select("name", "known_name").distinct()
-    inside = (F.col("name") != "") & (F.col("known_name") != "") & (F.contains("name", F.col("known_name")) | F.contains("known_name", F.col("name")))
-    scored = pairs.withColumn("score", similarity(F.col("name"), F.col("known_name"))).withColumn("score", F.when(inside, F.greatest("score", F.lit(0.88))).otherwise(F.col("score")))
+    names = wanted.select("name").filter("name <> ''").distinct()
+    others = known.select("known_name").filter("known_name <> ''").distinct()
+    mine, theirs = rarest_words(names, others, rare)
+    pairs = mine.join(theirs, "word").select("name", "known_name").distinct()
+    inside = F.contains("name", F.col("known_name")) | F.contains("known_name", F.col("name"))
+    a, b = F.length("name"), F.length("known_name")
+    possible = 2 * F.least(a, b) >= F.lit(least) * (a + b)
+    pairs = pairs.filter(possible | inside if lift is not None else possible)
+    scored = pairs.withColumn("score", similarity(F.col("name"), F.col("known_name")))
+    if lift is not None:
+        scored = scored.withColumn("score", F.when(inside, F.greatest("score", F.lit(lift))).otherwise(F.col("score")))
     return scored.filter(F.col("score") >= least).join(known, "known_name").select("name", "id", "known_name", "score")
 
 
+def name_fallback(labels: DataFrame, products: DataFrame, similarity=name_ratio, least: float = 0.72, margin: float = 0.04) -> DataFrame:
+    """row_id, product, score, next: the most similar product of labels without another link, unless a rival is within `margin`.
+
+    labels(row_id, raw_text, name), products(product, name, norm_name, cpp). Labels with
+    packaging text have none; products need a cpp over 0 and no packaging text. Prices are
+    taken from the label's text before it is compared.
+    """
+    from .cards import match_rejection, mask_prices, packaging
+
+    cleaned = text.norm_name(mask_prices(F.when(ids.text("name") != "", F.col("name")).otherwise(F.col("raw_text"))))
+    rows = labels.filter((ids.text("raw_text") != "") & ~packaging("raw_text")).select("row_id", cleaned.alias("name")).filter("name <> ''")
+    usable = products.filter(match_rejection("name", F.col("cpp")).isNull() & (F.col("cpp") > 0)).select(F.col("product").alias("id"), F.col("norm_name").alias("known_name"))
+    scored = similar_names(rows, usable, similarity, least).groupBy("name", "id").agg(F.max("score").alias("score"))
+    w = W.partitionBy("name").orderBy(F.desc("score"), "id")
+    top = scored.withColumns({"k": F.row_number().over(w), "next": F.lead("score").over(w)}).filter("k = 1").filter(F.col("next").isNull() | (F.col("next") < F.col("score") - margin))
+    return rows.join(top, "name").select("row_id", F.col("id").alias("product"), "score", "next")
+
+
 def clear_winner(scored: DataFrame, least: float, margin: float, sure: float = 2.0) -> DataFrame:
     """name, id, score, margin: the best of each name if it is at least `least` and `margin` before any other id, or at least `sure`."""
     per_id = scored.groupBy("name", "id").agg(F.max("score").alias("score"))
@@ -125,3 +173,28 @@ def best_of_key(rows: DataFrame, products: DataFrame, similarity) -> DataFrame:
     alike = rows.select("last5", "name").distinct().join(products, "last5").withColumn("score", similarity(F.col("name"), F.col("norm_name")))
     best = alike.groupBy("last5", "name").agg(F.max(F.struct("score", (-F.col("src_ord")).alias("o"))).alias("b"))
     return rows.join(best, ["last5", "name"], "left").select("row_id", (-F.col("b.o")).alias("src_ord"), F.col("b.score").alias("score"))
+
+
+def suggested_aliases(missing: DataFrame, files: DataFrame, numeric: DataFrame, similarity=name_ratio, least: float = 0.72, near: float = 0.86, top: int = 5) -> DataFrame:
+    """current, suggested, image_name, confidence, reason: aliases to review for identifiers without an image.
+
+    missing(target, name), files(image, known_name): the `top` most similar names, a
+    contained one counts at least 0.88, one whose identifier is near at least `near`;
+    equals by name, then identifier. numeric(target, image): numeric neighbours, at 0.5. Of
+    equal pairs the most confident stays.
+    """
+    alike = similar_names(missing, files.select(F.col("image").alias("id"), "known_name"), similarity, least, 0.88)
+    pairs = missing.join(alike, "name").select("target", F.col("id").alias("image"), "known_name", "score").distinct()
+    cores = lambda df, c: df.select(c).distinct().withColumn(f"{c}_cores", near_cores(c))
+    pairs = pairs.join(cores(pairs, "target"), "target").join(cores(pairs, "image"), "image")
+    rule = F.array_min(F.flatten(F.transform("target_cores", lambda a: F.transform("image_cores", lambda b: near_rule(a, b)))))
+    pairs = pairs.withColumn("rule", rule).withColumn("confidence", F.when(F.col("rule").isNotNull(), F.greatest("score", F.lit(near))).otherwise(F.col("score")))
+    w = W.partitionBy("target").orderBy(F.desc("confidence"), "known_name", "image")
+    names = F.array(*[F.lit(x) for x in REASONS])
+    by_name = pairs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top).select(
+        F.col("target").alias("current"), F.col("image").alias("suggested"), F.col("known_name").alias("image_name"), "confidence",
+        F.when(F.col("rule").isNotNull(), F.element_at(names, F.col("rule"))).otherwise("similar name").alias("reason"),
+    )
+    by_number = numeric.select(F.col("target").alias("current"), F.col("image").alias("suggested"), F.lit("").alias("image_name"), F.lit(0.5).alias("confidence"), F.lit("numeric neighbour").alias("reason"))
+    best = by_name.unionByName(by_number).groupBy("current", "suggested").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "image_name", "reason")).alias("b"))
+    return best.select("current", "suggested", "b.image_name", F.round(-F.col("b.c"), 4).alias("confidence"), "b.reason")

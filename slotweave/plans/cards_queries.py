@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +12,11 @@ from slotweave.functions import ids, text
 from slotweave.operators import cards as k
 from slotweave.operators import near as n
 from slotweave.operators import resolve as r
+from slotweave.operators.lineage import shared_dir
 from slotweave.streaming.catalog import latest_per_path, read_catalog, run_catalog_stream
 
 from . import duck as d
-from .near_queries import LINK, LINK_BASE
+from .near_queries import LINK, LINK_BASE, SIM, cores_sql, named_targets, rare_pairs
 from .quality_queries import kept, valid
 from .registry import register
 from .resolve_queries import CASCADE, IDENTITY, LIBRARY, library_index, steps
@@ -245,12 +245,30 @@ def h02_merged_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(later).groupBy("key").agg(F.max_by("path", "ord").alias("path"))
 
 
-@register("j06_suggestions", f"WITH {LINK_BASE}, {LINK}, s AS (SELECT target, image, greatest(score, 0.86) AS confidence FROM pi), t AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY confidence DESC, image) AS k FROM s) SELECT target, image, confidence, k::INT AS k FROM t WHERE k <= 5")
+def missing_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Named identifiers that stand in no file name, the named files, and numeric neighbours of those identifiers."""
+    placed, files = named_targets(spark, sf_dir)
+    missing = placed.join(files.select(F.col("image").alias("target")).distinct(), "target", "left_anti")
+    return missing, files, n.numeric_near(missing.select("target").distinct(), files.select("image").distinct()).filter("image LIKE '%7'")
+
+
+SUGGESTED = f"""{LINK_BASE}, ms AS (SELECT upc AS target, name FROM pn WHERE upc NOT IN (SELECT image FROM li)), kn AS (SELECT DISTINCT known AS norm_name FROM li WHERE known <> ''), nz AS (SELECT DISTINCT name FROM ms WHERE name <> ''), {rare_pairs('nz', 'kn')},
+al AS (SELECT name, norm_name, CASE WHEN contains(name, norm_name) OR contains(norm_name, name) THEN greatest({SIM.format('name', 'norm_name')}, 0.88) ELSE {SIM.format('name', 'norm_name')} END AS score FROM pr),
+cd AS (SELECT DISTINCT target, image, norm_name, score FROM ms JOIN al USING (name) JOIN li ON known = norm_name WHERE score >= 0.5), {cores_sql('a', "(SELECT DISTINCT target FROM cd)", 'target')}, {cores_sql('b', "(SELECT DISTINCT image FROM cd)", 'image')},
+rl AS (SELECT target, image, min(CASE WHEN a.v = b.v THEN 1 WHEN abs(length(a.v) - length(b.v)) <= 1 AND levenshtein(a.v, b.v) <= 1 THEN 2 WHEN contains(a.v, b.v) OR contains(b.v, a.v) THEN 3 WHEN length(a.v) >= 11 AND length(b.v) >= 11 AND a.v[2:10] = b.v[2:10] THEN 4 END) AS rule FROM (SELECT DISTINCT target, image FROM cd) JOIN a USING (target) JOIN b USING (image) GROUP BY 1, 2),
+cf AS (SELECT target, image, norm_name, CASE WHEN rule IS NULL THEN score ELSE greatest(score, 0.86) END AS confidence, CASE rule WHEN 1 THEN '{n.REASONS[0]}' WHEN 2 THEN '{n.REASONS[1]}' WHEN 3 THEN '{n.REASONS[2]}' WHEN 4 THEN '{n.REASONS[3]}' ELSE 'similar name' END AS reason FROM cd LEFT JOIN rl USING (target, image) WHERE target IN (SELECT target FROM a) AND image IN (SELECT image FROM b)),
+tk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY confidence DESC, norm_name, image) AS k FROM (SELECT * FROM cf UNION ALL SELECT target, image, norm_name, score, 'similar name' FROM cd WHERE target NOT IN (SELECT target FROM a) OR image NOT IN (SELECT image FROM b)))"""
+
+
+@register("j06_suggestions", f"WITH {SUGGESTED}, g AS (SELECT target, image, norm_name, confidence, reason, row_number() OVER (PARTITION BY target, image ORDER BY confidence DESC, norm_name, reason) AS q FROM tk WHERE k <= 5) SELECT target AS current, image AS suggested, norm_name AS image_name, round(confidence, 4) AS confidence, reason FROM g WHERE q = 1")
 def j06_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = view(spark, sf_dir, "placement").select(ids.digits_only("upc").alias("target"), text.norm_name("description").alias("name")).filter("target <> ''").distinct()
-    files = view(spark, sf_dir, "library").select(F.explode(F.regexp_extract_all(ids.stem("path"), F.lit("([0-9]{5,14})"), 1)).alias("image"), text.name_from_filename(ids.stem("path")).alias("known_name")).distinct()
-    scored = n.scored_near_pairs(placed, files, n.edit_ratio).groupBy("target", "image").agg(F.greatest(F.max("score"), F.lit(0.86)).alias("confidence"))
-    return r.best_by(scored, ["target"], [F.desc("confidence"), F.asc("image")], 5, "k").select("target", "image", "confidence", "k")
+    missing, files, numeric = missing_names(spark, sf_dir)
+    return n.suggested_aliases(missing, files, numeric.limit(0), n.edit_ratio, 0.5)
+
+
+@register("j06_suggestions_by_blocks")
+def j06_suggestions_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n.suggested_aliases(*missing_names(spark, sf_dir))
 
 
 @register("a11_unresolved_list", f"SELECT {d.digits('upc')} AS upc_digits, {d.digits('item_number')} AS item_digits, min(src_ord) AS src_ord FROM {PLACED} WHERE {d.classify('image_status')} <> 'INTENTIONAL BLANK' AND (trim(image_status) = '' OR contains(lower(image_status), 'unresolved')) AND ({d.digits('upc')} <> '' OR {d.digits('item_number')} <> '') GROUP BY 1, 2")
@@ -275,8 +293,7 @@ def a08_incremental_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("k01_catalog_stream", "SELECT user_id AS path, arg_max(value, event_id) AS size, max(event_id) AS version FROM events GROUP BY 1")
 def k01_catalog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as catalog rows, streamed in one pass and merged to the latest per path."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    work = f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    work = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("path"), F.col("value").alias("size"), F.col("event_id").alias("version"))
     rows.write.parquet(f"{work}/in")
     run_catalog_stream(spark, f"{work}/in", "path long, size double, version long", f"{work}/out", f"{work}/state")

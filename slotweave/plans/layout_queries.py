@@ -232,10 +232,16 @@ def f10_slot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "f14_position_candidates",
-    f"WITH {TYPED} SELECT row, col, count(DISTINCT item_number) AS n, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands FROM ok GROUP BY 1, 2",
+    f"""WITH {TYPED}, m AS (SELECT DISTINCT side, row, col, item_number, brand FROM ok) SELECT side, row, col, string_agg(item_number || ':' || brand, ',' ORDER BY item_number, brand) AS matches FROM m GROUP BY ALL
+    UNION ALL SELECT NULL, row, col, string_agg(item_number || ':' || brand, ',' ORDER BY item_number, brand) FROM (SELECT DISTINCT row, col, item_number, brand FROM m) GROUP BY ALL""",
 )
 def f14_position_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valid(spark, sf_dir).groupBy("row", "col").agg(F.count_distinct("item_number").alias("n"), F.array_join(F.array_sort(F.collect_set("brand")), ",").alias("brands"))
+    from slotweave.operators.bands import position_candidates
+
+    linked = valid(spark, sf_dir).select("side", "row", "col", F.col("item_number").alias("product"), F.col("brand").alias("norm_name"))
+    told = F.array_join(F.transform("candidates", lambda c: F.concat(c["product"], F.lit(":"), c["norm_name"])), ",").alias("matches")
+    per_side = position_candidates(linked, ["side", "row", "col"]).select("side", "row", "col", told)
+    return per_side.unionByName(position_candidates(linked, ["row", "col"]).select(F.lit(None).cast("int").alias("side"), "row", "col", told))
 
 
 @register(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotweave.functions import ids, text
 from slotweave.operators import near as n
 from slotweave.operators import review as rv
+from slotweave.operators.cards import PACKAGING, PRICES
 
 from . import duck as d
 from .registry import register
@@ -105,20 +106,49 @@ def l01_last5_best_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.best_of_key(labels(spark, sf_dir), matrix(spark, sf_dir), n.name_ratio)
 
 
-NAMES = f"""{MATRIX}, nm AS (SELECT DISTINCT {d.name('desc_1')} AS name FROM {sql('placement')}), w1 AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS word FROM nm), w2 AS (SELECT DISTINCT norm_name, unnest(string_split(norm_name, ' ')) AS word FROM mx),
-pr AS (SELECT DISTINCT name, norm_name FROM w1 JOIN w2 USING (word) WHERE length(word) >= 3), sc AS (SELECT name, norm_name, CASE WHEN contains(name, norm_name) OR contains(norm_name, name) THEN greatest({SIM.format('name', 'norm_name')}, 0.88) ELSE {SIM.format('name', 'norm_name')} END AS score FROM pr),
+def rare_pairs(wanted: str, known: str, least: float | None = None) -> str:
+    """Tables w1, w2, cw, k1, k2 and pr: pairs of names in tables of (name) and (norm_name) that share one of their three rarest common words."""
+    bound = "" if least is None else f" WHERE 2 * least(length(name), length(norm_name)) >= {least} * (length(name) + length(norm_name))"
+    return f"""w1 AS (SELECT name, word FROM (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS word FROM {wanted}) WHERE word <> ''), w2 AS (SELECT norm_name, word FROM (SELECT DISTINCT norm_name, unnest(string_split(norm_name, ' ')) AS word FROM {known}) WHERE word <> ''),
+cw AS (SELECT word, na + nb AS n FROM (SELECT word, count(*) AS na FROM w1 GROUP BY 1) JOIN (SELECT word, count(*) AS nb FROM w2 GROUP BY 1) USING (word)),
+k1 AS (SELECT name, word FROM (SELECT name, word, row_number() OVER (PARTITION BY name ORDER BY n, word) AS k FROM w1 JOIN cw USING (word)) WHERE k <= 3), k2 AS (SELECT norm_name, word FROM (SELECT norm_name, word, row_number() OVER (PARTITION BY norm_name ORDER BY n, word) AS k FROM w2 JOIN cw USING (word)) WHERE k <= 3),
+pr AS (SELECT DISTINCT name, norm_name FROM k1 JOIN k2 USING (word){bound})"""
+
+
+NAMES = f"""{MATRIX}, nm AS (SELECT DISTINCT {d.name('desc_1')} AS name FROM {sql('placement')}), {rare_pairs('nm', 'mx')}, sc AS (SELECT name, norm_name, CASE WHEN contains(name, norm_name) OR contains(norm_name, name) THEN greatest({SIM.format('name', 'norm_name')}, 0.88) ELSE {SIM.format('name', 'norm_name')} END AS score FROM pr),
 sn AS (SELECT name, last5 AS id, max(score) AS score FROM sc JOIN mx USING (norm_name) WHERE score >= 0.5 GROUP BY 1, 2),
 tp AS (SELECT *, row_number() OVER w AS k, round(score - coalesce(lead(score) OVER w, 0), 6) AS margin FROM sn WINDOW w AS (PARTITION BY name ORDER BY score DESC, id))"""
 
 
-def similar(spark: SparkSession, sf_dir: str, similarity) -> DataFrame:
+@register("d17_f02_name_fallback", f"WITH {NAMES} SELECT name, id, score, margin FROM tp WHERE k = 1 AND score >= 0.55 AND margin >= 0.0")
+def d17_f02_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = view(spark, sf_dir, "placement").select(text.norm_name("desc_1").alias("name")).distinct()
-    return n.similar_names(wanted, matrix(spark, sf_dir).select(F.col("last5").alias("id"), F.col("norm_name").alias("known_name")), similarity, 0.5)
+    known = matrix(spark, sf_dir).select(F.col("last5").alias("id"), F.col("norm_name").alias("known_name"))
+    return n.clear_winner(n.similar_names(wanted, known, n.edit_ratio, 0.5, 0.88), 0.55, 0.0)
 
 
-@register("d17_f02_name_fallback", f"WITH {NAMES} SELECT name, id, score, margin FROM tp WHERE k = 1 AND score >= 0.55 AND margin >= 0.0")
-def d17_f02_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return n.clear_winner(similar(spark, sf_dir, n.edit_ratio), 0.55, 0.0)
+CLEAN = "desc_1"
+for rule in PRICES:
+    CLEAN = f"regexp_replace({CLEAN}, '{rule}', ' ', 'g')"
+PACKED = "(" + " OR ".join(f"contains(' ' || {{0}} || ' ', ' {t} ')" for t in PACKAGING) + ")"
+FALLBACK = f"""mx AS (SELECT src_ord AS product, {d.name('NAME')} AS norm_name, TRY_CAST(regexp_replace({d.txt('CPP')}, '\.0$', '') AS BIGINT) AS cpp FROM {sql('matrix')}), ok AS (SELECT * FROM mx WHERE cpp > 0 AND NOT {PACKED.format('norm_name')}),
+lb AS (SELECT * FROM (SELECT src_ord AS row_id, {d.name(CLEAN)} AS name FROM {sql('placement')} WHERE NOT {PACKED.format(d.name('desc_1'))}) WHERE name <> ''), {rare_pairs('lb', 'ok', 0.3)},
+sn AS (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN ok USING (norm_name)), tp AS (SELECT name, product, score, lead(score) OVER w AS next, row_number() OVER w AS k FROM sn WHERE score >= 0.3 WINDOW w AS (PARTITION BY name ORDER BY score DESC, product))"""
+
+
+def fallback_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = view(spark, sf_dir, "placement").select(F.col("src_ord").alias("row_id"), F.col("desc_1").alias("raw_text"), F.col("desc_1").alias("name"))
+    return rows, view(spark, sf_dir, "matrix").select(F.col("src_ord").alias("product"), F.col("NAME").alias("name"), text.norm_name("NAME").alias("norm_name"), ids.coerce_int("CPP").alias("cpp"))
+
+
+@register("d17_rejections_by_edits", f"WITH {FALLBACK} SELECT row_id, product, score, next FROM lb JOIN tp USING (name) WHERE k = 1 AND (next IS NULL OR next < score - 0.001)")
+def d17_rejections_by_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n.name_fallback(*fallback_names(spark, sf_dir), n.edit_ratio, 0.3, 0.001)
+
+
+@register("d17_name_fallback")
+def d17_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n.name_fallback(*fallback_names(spark, sf_dir))
 
 
 LINK = f"""{cores_sql('a', "(SELECT DISTINCT upc AS target FROM pn)", 'target')}, {cores_sql('b', "(SELECT DISTINCT image FROM li)", 'image')},
@@ -129,11 +159,19 @@ NAME_OF = rf"upper(trim(regexp_replace(regexp_replace(regexp_replace(regexp_repl
 LINK_BASE = rf"""pn AS (SELECT DISTINCT {d.digits('upc')} AS upc, {d.name('description')} AS name FROM {sql('placement')} WHERE {d.digits('upc')} <> ''), li AS (SELECT DISTINCT unnest(regexp_extract_all({d.stem('path')}, '[0-9]{{5,14}}')) AS image, {NAME_OF} AS known FROM {sql('library')})"""
 
 
+def named_targets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    placed = view(spark, sf_dir, "placement").select(ids.digits_only("upc").alias("target"), text.norm_name("description").alias("name")).filter("target <> ''").distinct()
+    return placed, view(spark, sf_dir, "library").select(F.explode(F.regexp_extract_all(ids.stem("path"), F.lit("([0-9]{5,14})"), 1)).alias("image"), text.name_from_filename(ids.stem("path")).alias("known_name")).distinct()
+
+
 @register("d19_name_near_link", f"WITH {LINK_BASE}, {LINK} SELECT target AS name, image AS id, score, margin FROM tp WHERE k = 1 AND score >= 0.78 AND (score >= 0.86 OR margin >= 0.08)")
 def d19_name_near_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = view(spark, sf_dir, "placement").select(ids.digits_only("upc").alias("target"), text.norm_name("description").alias("name")).filter("target <> ''").distinct()
-    files = view(spark, sf_dir, "library").select(F.explode(F.regexp_extract_all(ids.stem("path"), F.lit("([0-9]{5,14})"), 1)).alias("image"), text.name_from_filename(ids.stem("path")).alias("known_name")).distinct()
-    return n.linked_by_name_and_id(placed, files, n.edit_ratio)
+    return n.linked_by_name_and_id(*named_targets(spark, sf_dir), n.edit_ratio)
+
+
+@register("d19_name_near_link_by_blocks")
+def d19_name_near_link_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n.linked_by_name_and_id(*named_targets(spark, sf_dir), n.name_ratio)
 
 
 ALIASES = f"al AS (SELECT DISTINCT unnest([k, ltrim(k, '0')]) AS key, a AS alias_upc FROM (SELECT unresolved_upc AS k, min('9' || item_number) AS a FROM {sql('review')} WHERE lower(trim(approved)) IN ('approved', 'approve', 'yes', 'y', 'use', '1', 'true') GROUP BY 1))"
