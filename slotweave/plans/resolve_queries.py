@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotweave.functions import ids, text
 from slotweave.operators import resolve as r
 from slotweave.operators import score as s
+from slotweave.operators.lineage import materialise
 
 from . import duck as d
 from .quality_queries import TYPED, valid
@@ -148,24 +149,29 @@ pairs AS (SELECT product, entry FROM near JOIN sizes USING (product) WHERE tier
   UNION SELECT product, entry FROM (SELECT product, unnest(tokens) AS key FROM p WHERE product NOT IN (SELECT product FROM sizes WHERE n3 >= 20)) JOIN (SELECT entry, unnest(image_tokens) AS key FROM i) USING (key))"""
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products(spark: SparkSession, sf_dir: str, **rules) -> DataFrame:
     placed = view(spark, sf_dir, "placement").withColumn("t", text.joined("description", "desc_1", "brand", "merchant_category", "segment"))
     keyed = placed.groupBy(ids.digits_only("upc").alias("upc"), ids.digits_only("item_number").alias("item_number")).agg(F.min("src_ord").alias("product"), F.min_by(F.struct("t", "brand"), "src_ord").alias("f"))
-    return s.prepared_products(keyed.filter("upc <> '' OR item_number <> ''").select("product", "upc", "item_number", "f.t", "f.brand"), F.col("t"))
+    return s.prepared_products(keyed.filter("upc <> '' OR item_number <> ''").select("product", "upc", "item_number", "f.t", "f.brand"), F.col("t"), **rules)
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.prepared_images(catalog(spark, sf_dir))
+def images(spark: SparkSession, sf_dir: str, **rules) -> DataFrame:
+    return s.prepared_images(catalog(spark, sf_dir), **rules)
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, i = products(spark, sf_dir).cache(), images(spark, sf_dir).cache()
-    return s.candidate_pairs(p, i).join(p, "product").join(i, "entry")
+OCR_RULES = {"brand": text.ocr_brand, "pack": text.ocr_pack}
+LEGACY_RULES = {"brand": text.legacy_brand, "tokens": text.legacy_tokens}
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str, pairs=s.candidate_pairs, **rules) -> DataFrame:
+    p, i = materialise(products(spark, sf_dir, **rules), "products"), materialise(images(spark, sf_dir, **rules), "images")
+    return pairs(p, i).join(p, "product").join(i, "entry")
 
 
 @register("d06_candidate_pairs", f"WITH {PAIRS} SELECT product, count(*) AS n, sum(entry)::BIGINT AS entries FROM pairs GROUP BY 1")
 def d06_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.candidate_pairs(products(spark, sf_dir).cache(), images(spark, sf_dir).cache()).groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.sum("entry").alias("entries"))
+    p, i = materialise(products(spark, sf_dir), "products"), materialise(images(spark, sf_dir), "images")
+    return s.candidate_pairs(p, i).groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.sum("entry").alias("entries"))
 
 
 def agree_sql(a: str, b: str, same: int, other: int) -> str:
@@ -214,7 +220,9 @@ def e06_best_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.best_confidence(review_top(spark, sf_dir)).groupBy("best").agg(F.count(F.lit(1)).alias("n"))
 
 
-OCR = f"""{PAIRS}, ft AS (SELECT entry, {d.tokens('fn')} AS filename_tokens FROM (SELECT entry, {d.norm('filename')} AS fn FROM i)), sc AS (SELECT product, entry, {agree_sql('brand', 'image_brand', 35, -45)} AS brand_score, {agree_sql('denomination', 'image_denomination', 35, -45)} AS denomination_score,
+OCR_TABLES = f"{PRODUCTS}, {IMAGES}".replace(d.brand("bn", text.BRANDS, d.first_word("bn")), d.brand("bn", text.OCR_BRANDS, d.first_word("bn"))).replace(d.brand("nb", text.BRANDS, d.first_word("nb")), d.brand("nb", text.OCR_BRANDS, d.first_word("nb"))).replace(d.pack("norm", "text"), d.ocr_pack("norm")).replace(d.pack("np", "rp"), d.ocr_pack("np"))
+UNION_PAIRS = "SELECT product, entry FROM p JOIN i ON brand = image_brand AND brand <> '' UNION SELECT product, entry FROM p JOIN i ON denomination = image_denomination AND denomination <> '' UNION SELECT product, entry FROM p JOIN i ON pack = image_pack AND pack <> '' UNION SELECT product, entry FROM (SELECT product, unnest(tokens) AS key FROM p) JOIN (SELECT entry, unnest(image_tokens) AS key FROM i) USING (key)"
+OCR = f"""{OCR_TABLES}, pairs AS ({UNION_PAIRS}), ft AS (SELECT entry, {d.tokens('fn')} AS filename_tokens FROM (SELECT entry, {d.norm('filename')} AS fn FROM i)), sc AS (SELECT product, entry, {agree_sql('brand', 'image_brand', 35, -45)} AS brand_score, {agree_sql('denomination', 'image_denomination', 35, -45)} AS denomination_score,
   {agree_sql('pack', 'image_pack', 20, -25)} AS pack_score, {overlap_sql(25, 5)} AS token_score, CASE WHEN list_has_any(upc_keys, filename_keys) OR list_has_any(item_keys, filename_keys) THEN 30 WHEN list_has_any(tokens, filename_tokens) THEN 8 ELSE 0 END AS filename_score {J} JOIN ft USING (entry)),
 tot AS (SELECT *, brand_score + denomination_score + pack_score + token_score + filename_score AS total_score FROM sc), conf AS (SELECT *, greatest(0, least(100, total_score)) AS confidence_score FROM tot),
 ranked AS (SELECT *, CASE WHEN confidence_score >= 75 THEN 'High' WHEN confidence_score >= 45 THEN 'Medium' ELSE 'Low' END AS confidence, row_number() OVER (PARTITION BY product ORDER BY confidence_score DESC, total_score DESC, filename_score DESC, entry) AS candidate_rank FROM conf)"""
@@ -222,7 +230,7 @@ ranked AS (SELECT *, CASE WHEN confidence_score >= 75 THEN 'High' WHEN confidenc
 
 @register("d08_f01_ocr_candidates", f"WITH {OCR} SELECT product, entry, candidate_rank::INT AS candidate_rank, total_score::INT AS total_score, confidence_score::INT AS confidence_score, filename_score::INT AS filename_score, confidence FROM ranked WHERE candidate_rank <= 5")
 def d08_f01_ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = s.ocr_scores(scored_pairs(spark, sf_dir).withColumn("filename_tokens", text.useful_tokens("filename")))
+    scored = s.ocr_scores(scored_pairs(spark, sf_dir, s.union_pairs, **OCR_RULES).withColumn("filename_tokens", text.useful_tokens("filename")))
     return s.top_candidates(scored, ["confidence_score", "total_score", "filename_score"]).select("product", "entry", "candidate_rank", "total_score", "confidence_score", "filename_score", "confidence")
 
 
@@ -236,9 +244,12 @@ def d09_f01_legacy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.top_candidates(s.legacy_scores(scored_pairs(spark, sf_dir)), ["total_score"]).select("product", "entry", "candidate_rank", "total_score", "confidence")
 
 
-@register("e11_inverted_index", f"WITH {IMAGES} SELECT key, count(*) AS n, min(entry) AS first_entry FROM (SELECT entry, unnest(image_tokens) AS key FROM i) GROUP BY 1")
+@register(
+    "e11_inverted_index",
+    f"WITH {IMAGES}, k AS (SELECT 'token' AS kind, entry, unnest(image_tokens) AS key FROM i UNION ALL SELECT 'brand', entry, image_brand FROM i UNION ALL SELECT 'denomination', entry, image_denomination FROM i UNION ALL SELECT 'pack', entry, image_pack FROM i) SELECT kind, key, count(*) AS n, min(entry) AS first_entry FROM k WHERE key <> '' GROUP BY 1, 2",
+)
 def e11_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images(spark, sf_dir).select("entry", F.explode("image_tokens").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("first_entry"))
+    return s.inverted_index(images(spark, sf_dir))
 
 
 @register("h03_token_sets", f"WITH {IMAGES} SELECT entry, len(list_intersect(filename_keys, text_keys))::INT AS common, len(list_distinct(list_concat(filename_keys, text_keys)))::INT AS either FROM i")
