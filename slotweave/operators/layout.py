@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -281,12 +282,140 @@ def best_three_rows(rows: DataFrame, size: int = 8) -> DataFrame:
     return best.select("page_id", "b.score", F.posexplode(F.array("b.r1", "b.r2", "b.r3")).alias("place", "r")).select("page_id", "r.row", "r.y", "r.n", "place", "score")
 
 
-def pairing_audit(targets: DataFrame, sources: DataFrame) -> DataFrame:
+def pairing_audit(targets: DataFrame, sources: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Each target slot with its source by side, section, row and column, and why it is filled or not.
 
-    targets(side, section, row, col, has_label), sources(side, section, row, col, source).
+    targets(side, section, row, col, has_label), sources(side, section, row, col, source),
+    sections(side, section): those asked for; one without any target slot has a row of its own.
     """
     grid = sources.select("side", "section").distinct().withColumn("grid", F.lit(True))
     joined = targets.join(sources, ["side", "section", "row", "col"], "left").join(grid, ["side", "section"], "left")
     reason = F.when(F.col("grid").isNull(), "no_source_grid").when(~F.col("has_label"), "blank_target_slot").when(F.col("source").isNull(), "missing_source_slot").otherwise("INSERTED")
-    return joined.withColumn("reason", reason).drop("grid")
+    audited = joined.withColumn("reason", reason).drop("grid")
+    if sections is None:
+        return audited
+    empty = sections.join(targets.select("side", "section").distinct(), ["side", "section"], "left_anti").withColumn("reason", F.lit("no_target_slots"))
+    return audited.unionByName(empty, allowMissingColumns=True)
+
+
+def nearest_per_cell(items: DataFrame, grid: DataFrame) -> DataFrame:
+    """page_id, row, col, item: each item goes to the nearest row and column centre, each cell keeps its nearest item by x, the first of equals.
+
+    items(page_id, item, x, y), grid(page_id, xs, ys): sorted centres.
+    """
+    at = items.join(grid, "page_id").withColumns({"row": nearest_index(F.col("y"), F.col("ys")), "col": nearest_index(F.col("x"), F.col("xs"))})
+    off = F.round(F.abs(F.element_at("xs", F.col("col") + 1) - F.col("x")), 9)
+    return at.groupBy("page_id", "row", "col").agg(F.min(F.struct(off.alias("off"), "item")).alias("b")).select("page_id", "row", "col", "b.item")
+
+
+def slot_order(cells: DataFrame, kind: str = "MB") -> DataFrame:
+    """Adds row_index, slot_in_row, slot_order, block_pos and slot_id (A-MB-R1-S1), numbered from 0 in reading order.
+
+    cells(page_id, side, row, x, cell, block): rows by number, cells by x, equals by cell.
+    """
+    page, row = W.partitionBy("page_id"), W.partitionBy("page_id", "row")
+    out = cells.withColumns(
+        {
+            "row_index": F.dense_rank().over(page.orderBy("row")) - 1, "slot_in_row": F.row_number().over(row.orderBy("x", "cell")) - 1,
+            "slot_order": F.row_number().over(page.orderBy("row", "x", "cell")) - 1, "block_pos": F.row_number().over(W.partitionBy("page_id", "row", "block").orderBy("x", "cell")) - 1,
+        }
+    )
+    return out.withColumn("slot_id", F.concat("side", F.lit(f"-{kind}-R"), (F.col("row_index") + 1).cast("string"), F.lit("-S"), (F.col("slot_in_row") + 1).cast("string")))
+
+
+def shape_check(slots: DataFrame, rows: int = 3, blocks: Sequence[tuple[str, int]] = (("left", 2), ("center", 4), ("right", 2))) -> DataFrame:
+    """page_id, n_slots, counts, grouping, valid: slots a row and block, and whether the page has `rows` rows of just these blocks.
+
+    slots(page_id, row, block).
+    """
+    names, size = [b for b, _ in blocks], sum(n for _, n in blocks)
+    per_row = slots.groupBy("page_id", "row").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("block") == b) for b in names]).alias("blocks"))
+    pages = per_row.groupBy("page_id").agg(F.sum("n").alias("n_slots"), F.array_sort(F.collect_list(F.struct("row", "n", "blocks"))).alias("r"))
+    counts, grouping = F.transform("r", lambda x: x["n"]), F.transform("r", lambda x: x["blocks"])
+    whole = (F.size("r") == rows) & F.forall("r", lambda x: (x["n"] == size) & (x["blocks"] == F.array(*[F.lit(n).cast("long") for _, n in blocks])))
+    return pages.select("page_id", "n_slots", counts.alias("counts"), grouping.alias("grouping"), whole.alias("valid"))
+
+
+# Words in a slot's text that make its content doubtful.
+SUSPICIOUS = ("WM", "PKG", "GCI", "MARKETING", "FRAUD", "BONUS")
+
+
+def side_content(slots: DataFrame, patterns: Sequence[str] = SUSPICIOUS) -> DataFrame:
+    """side, main_ids, bonus_ids (sorted, distinct), main_slots, bonus_slots, suspicious, suspicious_first_row (slot ids of the main band).
+
+    slots(side, section: main or bonus, row_index, slot_id, last5, label).
+    """
+    main, label = F.col("section") == "main", F.upper(F.coalesce("label", F.lit("")))
+    doubtful = main & reduce(lambda a, b: a | b, [F.contains(label, F.lit(p)) for p in patterns])
+    ids_of = lambda c: F.array_sort(F.collect_set(F.when(c & (F.col("last5") != ""), F.col("last5"))))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("slot_id"))))
+    return slots.groupBy("side").agg(
+        ids_of(main).alias("main_ids"), ids_of(~main).alias("bonus_ids"), F.count_if(main).alias("main_slots"), F.count_if(~main).alias("bonus_slots"),
+        listed(doubtful).alias("suspicious"), listed(doubtful & (F.col("row_index") == 0)).alias("suspicious_first_row"),
+    )
+
+
+def display_rows(cells: DataFrame, wide: int = 10, full: int = 8) -> DataFrame:
+    """page_id, row, display_row: rows that are shown as one.
+
+    cells(page_id, row, col). Two neighbouring short rows with at most `full` cells together
+    are one; one or two cells whose columns complete the row before, of `full` to `wide` - 1,
+    to a run without gap or repeat join it. One fold over a page's rows.
+    """
+    rows = cells.groupBy("page_id", "row").agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list("col")).alias("cols"))
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row", "n", "cols"))).alias("rows"))
+    col, row = cells.schema["col"].dataType.simpleString(), cells.schema["row"].dataType.simpleString()
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        short = (r["n"] > 0) & (r["n"] < full)
+        pairs = F.coalesce(last["open"] & short & (last["n"] + r["n"] <= full), F.lit(False))
+        both = F.array_sort(F.concat(last["cols"], r["cols"]))
+        run = (F.size(F.array_distinct(both)) == F.size(both)) & (F.array_max(both) - F.array_min(both) + 1 == F.size(both))
+        completes = F.coalesce((r["n"] <= 2) & (last["n"] >= full) & (last["n"] < wide) & (last["n"] + r["n"] <= wide) & run, F.lit(False))
+        joined = F.struct(F.concat(last["rows"], F.array(r["row"])).alias("rows"), (last["n"] + r["n"]).alias("n"), both.alias("cols"), F.lit(False).alias("open"))
+        alone = F.struct(F.array(r["row"]).alias("rows"), r["n"].alias("n"), r["cols"].alias("cols"), short.alias("open"))
+        return F.when(pairs | completes, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
+
+    none = F.array().cast(f"array<struct<rows: array<{row}>, n: int, cols: array<{col}>, open: boolean>>")
+    shown = pages.select("page_id", F.posexplode(F.aggregate("rows", none, step)).alias("display_row", "g"))
+    return shown.select("page_id", F.explode("g.rows").alias("row"), "display_row")
+
+
+def fit_rows(rows: DataFrame, shapes: DataFrame, centered: bool = False, wide: int = 10, full: int = 8) -> DataFrame:
+    """page_id, row_index, slot, x0, top, x1, bottom: source rows fitted to the sizes of target rows.
+
+    rows(page_id, boxes: array<array<struct<x0, top, x1, bottom>>> of rows from the top), shapes(page_id, sizes). A row of
+    the wanted size stays, a longer one loses its last boxes, a shorter or missing one is
+    split evenly: over the width of the full rows (those of `full` and more, else all), or,
+    `centered` and under `full`, in the middle of it with a pitch of a `wide`-th. A missing row
+    takes the mean height and its place from the rows there are.
+    """
+    all_ = F.flatten("boxes")
+    broad = F.filter("boxes", lambda r: F.size(r) >= full)
+    chosen = F.when(F.size(broad) > 0, F.flatten(broad)).otherwise(all_)
+    edge = lambda v, k, f: f(F.transform(v, lambda b: b[k]))
+    middle = lambda r: (F.array_min(F.transform(r, lambda b: b["top"])) + F.array_max(F.transform(r, lambda b: b["bottom"]))) / 2
+    base = rows.join(shapes, "page_id").withColumns(
+        {
+            "fx0": F.coalesce(edge(chosen, "x0", F.array_min), F.lit(0.0)), "fx1": F.coalesce(edge(chosen, "x1", F.array_max), F.lit(0.0)),
+            "h": F.when(F.size(all_) > 0, F.aggregate(all_, F.lit(0.0), lambda a, b: a + b["bottom"] - b["top"]) / F.size(all_)).otherwise(34.0), "mids": F.transform("boxes", middle),
+        }
+    )
+    each = base.select("*", F.posexplode("sizes").alias("row_index", "want")).filter("want > 0")
+    own = F.coalesce(F.try_element_at("boxes", F.col("row_index") + 1), F.slice(all_, 1, 0))
+    each = each.withColumn("own", own).withColumn("have", F.size("own"))
+    n = F.size("mids")
+    last, first = F.try_element_at("mids", F.lit(-1)), F.try_element_at("mids", F.lit(1))
+    step = F.when(n > 1, (last - first) / F.greatest(F.lit(1), n - 1)).otherwise(F.col("h") * 1.1)
+    cy = F.when(n > 0, last + step * (F.col("row_index") - n + 1)).otherwise(F.col("h") * (F.col("row_index") + 0.5))
+    there = F.col("have") > 0
+    top = F.when(there, edge(F.col("own"), "top", F.array_min)).otherwise(cy - F.col("h") / 2)
+    bottom = F.when(there, edge(F.col("own"), "bottom", F.array_max)).otherwise(cy + F.col("h") / 2)
+    pitch = (F.col("fx1") - F.col("fx0")) / wide
+    inset = F.col("fx0") + (wide - F.col("want")) * pitch / 2
+    mid = F.lit(centered) & (F.col("fx1") > F.col("fx0")) & (F.col("want") < full)
+    x0, x1 = F.when(mid, inset).otherwise(F.col("fx0")), F.when(mid, inset + F.col("want") * pitch).otherwise(F.col("fx1"))
+    split = F.transform(F.sequence(F.lit(0), F.col("want") - 1), lambda i: F.struct((F.col("sx0") + i * (F.col("sx1") - F.col("sx0")) / F.col("want")).alias("x0"), F.col("stop").alias("top"), (F.col("sx0") + (i + 1) * (F.col("sx1") - F.col("sx0")) / F.col("want")).alias("x1"), F.col("sbottom").alias("bottom")))
+    made = each.withColumns({"sx0": x0, "sx1": x1, "stop": top, "sbottom": bottom}).withColumn("fit", F.when(F.col("have") >= F.col("want"), F.slice("own", F.lit(1), F.col("want"))).otherwise(split))
+    return made.select("page_id", "row_index", F.posexplode("fit").alias("slot", "b")).select("page_id", "row_index", "slot", *[F.round(f"b.{c}", 6).alias(c) for c in ("x0", "top", "x1", "bottom")])

@@ -219,15 +219,79 @@ def f08_three_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.best_three_rows(y.regular_cells(grid_cells(spark, sf_dir)))
 
 
+SIDE_OF = "substr('ABCD', CAST(1 + page_id % 4 AS INT), 1)"
+TOKENS = f"""tk AS (SELECT page_id, {SIDE_OF} AS side, word_id AS cell, (x0 + x1) / 2 AS x, (top + bottom) / 2 AS y FROM {WORDS} WHERE event_type IN ('click', 'view')), tg AS (SELECT page_id, {FOLD.format('list(y)', 40.0)} AS f, quantile_cont(x, 1.0 / 3) AS q1, quantile_cont(x, 2.0 / 3) AS q2 FROM tk GROUP BY 1),
+tc AS (SELECT page_id, list_append(f.c, f.s / f.n) AS ys, q1, q2 FROM tg), tn AS (SELECT tk.*, list_transform(ys, lambda v: abs(v - y)) AS gaps, CASE WHEN x <= q1 THEN 'left' WHEN x >= q2 THEN 'right' ELSE 'center' END AS block FROM tk JOIN tc USING (page_id)), tr AS (SELECT *, (list_position(gaps, list_min(gaps)) - 1)::INT AS row FROM tn),
+ts AS (SELECT page_id, side, cell, row, block, dense_rank() OVER (PARTITION BY page_id ORDER BY row) - 1 AS row_index, row_number() OVER (PARTITION BY page_id, row ORDER BY x, cell) - 1 AS slot_in_row, row_number() OVER (PARTITION BY page_id ORDER BY row, x, cell) - 1 AS slot_order, row_number() OVER (PARTITION BY page_id, row, block ORDER BY x, cell) - 1 AS block_pos FROM tr)"""
+
+
+def token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slotweave.operators.bands import token_slots as placed
+
+    tokens = words(spark, sf_dir).filter("event_type IN ('click', 'view')").select("page_id", F.expr(SIDE_OF).alias("side"), F.col("word_id").alias("token"), "x", "y")
+    return placed(tokens, 40.0)
+
+
 @register(
-    "f10_slot_order",
-    f"WITH o AS (SELECT page_id, word_id, row_number() OVER (PARTITION BY page_id ORDER BY top, x0, word_id) AS slot_order FROM {WORDS}) SELECT page_id, word_id, slot_order::INT AS slot_order, (1 + (slot_order - 1) % 8)::INT AS in_row, concat('P', page_id, '-', slot_order) AS slot_id FROM o",
+    "f10_i09_token_slots",
+    f"WITH {TOKENS} SELECT page_id, cell, block, row_index::INT AS row_index, slot_in_row::INT AS slot_in_row, slot_order::INT AS slot_order, block_pos::INT AS block_pos, concat(side, '-MB-R', row_index + 1, '-S', slot_in_row + 1) AS slot_id FROM ts",
 )
-def f10_slot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.row_number().over(W.partitionBy("page_id").orderBy("top", "x0", "word_id"))
-    return words(spark, sf_dir).withColumn("slot_order", o).select(
-        "page_id", "word_id", "slot_order", (1 + (F.col("slot_order") - 1) % 8).cast("int").alias("in_row"), F.concat(F.lit("P"), F.col("page_id").cast("string"), F.lit("-"), F.col("slot_order").cast("string")).alias("slot_id")
-    )
+def f10_i09_token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_slots(spark, sf_dir).select("page_id", "cell", "block", "row_index", "slot_in_row", "slot_order", "block_pos", "slot_id")
+
+
+@register(
+    "e19_shape_of_slots",
+    f"""WITH {TOKENS}, r AS (SELECT page_id, row, count(*) AS n, [count(*) FILTER (block = 'left'), count(*) FILTER (block = 'center'), count(*) FILTER (block = 'right')] AS b FROM ts GROUP BY 1, 2)
+    SELECT page_id, sum(n)::BIGINT AS n_slots, string_agg(n, ',' ORDER BY row) AS counts, string_agg(array_to_string(b, '-'), ',' ORDER BY row) AS grouping, count(*) = 3 AND bool_and(n = 8 AND b = [2, 4, 2]) AS valid FROM r GROUP BY 1""",
+)
+def e19_shape_of_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = y.shape_check(token_slots(spark, sf_dir))
+    grouping = F.array_join(F.transform("grouping", lambda g: F.array_join(F.transform(g, lambda n: n.cast("string")), "-")), ",")
+    return found.withColumns({"counts": F.array_join(F.transform("counts", lambda n: n.cast("string")), ","), "grouping": grouping})
+
+
+CONTENT = f"sc AS (SELECT {SIDE_OF} AS side, CASE WHEN top < 900 THEN 'main' ELSE 'bonus' END AS section, CAST(floor(top / 300) AS INT) AS row_index, CAST(word_id AS VARCHAR) AS slot_id, CASE WHEN event_type = 'click' THEN text ELSE '' END AS last5, CASE word_id % 50 WHEN 0 THEN 'wm pkg' WHEN 1 THEN 'Bonus' ELSE text END AS label FROM {{0}})"
+
+
+@register(
+    "e20_side_slots",
+    f"""WITH {CONTENT.format(WORDS)}, k AS (SELECT *, section = 'main' AND regexp_matches(upper(label), 'WM|PKG|GCI|MARKETING|FRAUD|BONUS') AS odd FROM sc)
+    SELECT side, coalesce(string_agg(DISTINCT last5, ',' ORDER BY last5) FILTER (section = 'main' AND last5 <> ''), '') AS main_ids, coalesce(string_agg(DISTINCT last5, ',' ORDER BY last5) FILTER (section = 'bonus' AND last5 <> ''), '') AS bonus_ids, count(*) FILTER (section = 'main') AS main_slots, count(*) FILTER (section = 'bonus') AS bonus_slots,
+    coalesce(string_agg(slot_id, ',' ORDER BY slot_id) FILTER (odd), '') AS suspicious, coalesce(string_agg(slot_id, ',' ORDER BY slot_id) FILTER (odd AND row_index = 0), '') AS suspicious_first_row FROM k GROUP BY 1""",
+)
+def e20_side_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = view(spark, sf_dir, "words").selectExpr(
+        f"{SIDE_OF} AS side", "CASE WHEN top < 900 THEN 'main' ELSE 'bonus' END AS section", "CAST(floor(top / 300) AS INT) AS row_index", "CAST(word_id AS STRING) AS slot_id", "CASE WHEN event_type = 'click' THEN text ELSE '' END AS last5",
+        "CASE word_id % 50 WHEN 0 THEN 'wm pkg' WHEN 1 THEN 'Bonus' ELSE text END AS label",
+    )
+    lists = ("main_ids", "bonus_ids", "suspicious", "suspicious_first_row")
+    return y.side_content(slots).withColumns({c: F.array_join(c, ",") for c in lists})
+
+
+@register(
+    "d13_nearest_per_cell",
+    f"WITH {CLUSTERS}, x AS (SELECT page_id, list_append(f.c, f.s / f.n) AS xs FROM (SELECT page_id, {FOLD.format('list((x0 + x1) / 2)', 36.0)} AS f FROM {WORDS} GROUP BY 1)), w AS (SELECT page_id, word_id, (x0 + x1) / 2 AS wx, list_transform(centers, lambda v: abs(v - (top + bottom) / 2)) AS gy, list_transform(xs, lambda v: abs(v - (x0 + x1) / 2)) AS gx FROM {WORDS} JOIN c USING (page_id) JOIN x USING (page_id)),"
+    " k AS (SELECT page_id, list_position(gy, list_min(gy)) - 1 AS row, list_position(gx, list_min(gx)) - 1 AS col, round(list_min(gx), 9) AS off, word_id FROM w) SELECT page_id, row::INT AS row, col::INT AS col, arg_min(word_id, (off, word_id)) AS item FROM k GROUP BY 1, 2, 3",
+)
+def d13_nearest_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = words(spark, sf_dir)
+    xs = w.groupBy("page_id").agg(y.group_centers(y.gap_groups(F.collect_list("x"), 36.0)).alias("xs"))
+    grid = xs.join(row_centers(spark, sf_dir).withColumnRenamed("centers", "ys"), "page_id")
+    return y.nearest_per_cell(w.select("page_id", F.col("word_id").alias("item"), "x", "y"), grid)
+
+
+@register("f09_display_rows")
+def f09_display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = view(spark, sf_dir, "words").select("page_id", F.floor(F.col("top") / 120).cast("int").alias("row"), F.floor(F.col("x0") / 100).cast("int").alias("col")).distinct()
+    return y.display_rows(cells)
+
+
+@register("i16_fitted_rows")
+def i16_fitted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_row = view(spark, sf_dir, "words").groupBy("page_id", F.floor(F.col("top") / 200).cast("int").alias("row")).agg(F.array_sort(F.collect_list(F.struct("x0", "top", "x1", "bottom"))).alias("b"))
+    rows = per_row.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "b"))), lambda r: r["b"]).alias("boxes"))
+    return y.fit_rows(rows, rows.select("page_id", F.array(*[F.lit(n) for n in (8, 8, 8, 6, 10, 4, 8, 8, 5)]).alias("sizes")), True)
 
 
 @register(
@@ -298,14 +362,16 @@ AUDIT = f"""{TYPED}, t AS (SELECT pog, side, {SECTION} AS section, row, col, boo
 @register(
     "d24_pairing_audit",
     f"""WITH {AUDIT.replace("SELECT pog, side, CASE", "SELECT side, CASE").replace("SELECT DISTINCT pog, side, section", "SELECT DISTINCT side, section")} SELECT t.side, t.section, t.row, t.col, has_label, source, CASE WHEN gr.side IS NULL THEN 'no_source_grid' WHEN NOT has_label THEN 'blank_target_slot' WHEN source IS NULL THEN 'missing_source_slot' ELSE 'INSERTED' END AS reason
-    FROM t LEFT JOIN src ON src.side = t.side AND src.section = t.section AND src.row = t.row AND src.col = t.col LEFT JOIN gr ON gr.side = t.side AND gr.section = t.section""",
+    FROM t LEFT JOIN src ON src.side = t.side AND src.section = t.section AND src.row = t.row AND src.col = t.col LEFT JOIN gr ON gr.side = t.side AND gr.section = t.section
+    UNION ALL SELECT side, section, NULL, NULL, NULL, NULL, 'no_target_slots' FROM range(1, 6) a(side), (VALUES ('middle'), ('bonus')) b(section) WHERE (side, section) NOT IN (SELECT (side, section) FROM t)""",
 )
 def d24_pairing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid(spark, sf_dir).withColumn("section", F.when(F.col("row") <= 3, "middle").otherwise("bonus"))
     slot = ["side", "section", "row", "col"]
     targets = rows.groupBy(*slot).agg(F.bool_or(F.col("description") != "").alias("has_label"))
     sources = rows.filter("cpp <> '' AND (side < 3 OR row < 4)").groupBy(*slot).agg(F.min("item_number").alias("source"))
-    return y.pairing_audit(targets, sources).select(*slot, "has_label", "source", "reason")
+    sections = spark.createDataFrame([(side, section) for side in range(1, 6) for section in ("middle", "bonus")], "side long, section string")  # side 5 has no slots
+    return y.pairing_audit(targets, sources, sections).select(*slot, "has_label", "source", "reason")
 
 
 @register(

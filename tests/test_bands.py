@@ -292,3 +292,67 @@ def test_catalog_stream_merges_batches(spark, tmp_path):
     got = {r.path: (r.version, r["size"]) for r in catalog.read_catalog(spark, target).collect()}
     assert got == {"a": (2, 9), "b": (1, 1), "c": (1, 3)}
     assert catalog.read_catalog(spark, str(tmp_path / "none")) is None
+
+
+def test_display_rows_by_hand(spark):
+    rows = {0: [0, 1, 2, 3], 1: [4, 5], 2: list(range(8)), 3: [8, 9], 4: list(range(9)), 5: [8], 6: [1], 7: [2, 3], 8: list(range(7)), 9: [0, 1], 10: list(range(8)), 11: [9]}
+    cells = spark.createDataFrame([(1, r, c) for r, cols in rows.items() for c in cols], "page_id int, row int, col int")
+    got = {}
+    for r in layout.display_rows(cells).collect():
+        got.setdefault(r.display_row, []).append(r.row)
+    # 4 + 2 pair; 8 and two that complete to 10; 9 and a repeated column stay apart; then short rows pair (1 and 1, then 2 alone as 7 is too many with it), 9 pairs with none, 8 and a gap stay apart
+    assert [sorted(got[k]) for k in sorted(got)] == [[0, 1], [2, 3], [4], [5, 6], [7], [8], [9], [10], [11]]
+
+
+def test_fit_rows_by_hand(spark):
+    def row(y, xs):
+        return [(float(x), float(y), float(x + 10), float(y + 20)) for x in xs]
+
+    rows = spark.createDataFrame([(1, [row(0, range(0, 100, 10)), row(30, [0, 20, 40]), row(60, [5, 15])]), (2, [])], "page_id int, boxes array<array<struct<x0: double, top: double, x1: double, bottom: double>>>")
+    shapes = spark.createDataFrame([(1, [8, 3, 4, 2]), (2, [1])], "page_id int, sizes array<int>")
+    for centered, want in ((False, [(0.0, 25.0), (0.0, 50.0)]), (True, [(30.0, 40.0), (40.0, 50.0)])):
+        got = {}
+        for r in sorted(layout.fit_rows(rows, shapes, centered).collect(), key=lambda r: r.slot):
+            got.setdefault((r.page_id, r.row_index), []).append((r.x0, r.x1, r.top, r.bottom))
+        assert [len(got[1, k]) for k in range(4)] == [8, 3, 4, 2]
+        assert got[1, 0][-1] == (70.0, 80.0, 0.0, 20.0) and got[1, 1] == [(0.0, 10.0, 30.0, 50.0), (20.0, 30.0, 30.0, 50.0), (40.0, 50.0, 30.0, 50.0)]
+        # the third row is split over the full width of 100, or its middle with a pitch of 10; the fourth is missing: 30 below, 20 high
+        assert got[1, 2][0] == (*want[0], 60.0, 80.0) and got[1, 3][0] == ((*want[1],) if centered else (0.0, 50.0)) + (90.0, 110.0)
+        assert got[2, 0] == [(0.0, 0.0, 0.0, 34.0)]
+
+
+def test_slot_order_shape_and_content(spark):
+    cells = spark.createDataFrame([(1, "A", 10 * r, float(x), 100 * r + x, b) for r in range(3) for x, b in enumerate(["left"] * 2 + ["center"] * 4 + ["right"] * 2)] + [(2, "B", 5, 1.0, 1, "left")], "page_id int, side string, row int, x double, cell int, block string")
+    slots = layout.slot_order(cells)
+    one = {r.cell: (r.slot_id, r.slot_order, r.block_pos) for r in slots.filter("page_id = 1").collect()}
+    assert one[0] == ("A-MB-R1-S1", 0, 0) and one[103] == ("A-MB-R2-S4", 11, 1) and one[207] == ("A-MB-R3-S8", 23, 1)
+    assert {r.page_id: (r.n_slots, r.valid) for r in layout.shape_check(slots).collect()} == {1: (24, True), 2: (1, False)}
+    rows = [("A", "main", 0, "s1", "12345", "wm x"), ("A", "main", 1, "s2", "12345", "Bonus"), ("A", "main", 1, "s3", "", None), ("A", "bonus", 0, "s4", "99999", "GCI")]
+    r = layout.side_content(spark.createDataFrame(rows, "side string, section string, row_index int, slot_id string, last5 string, label string")).first()
+    assert (r.main_ids, r.bonus_ids, r.main_slots, r.bonus_slots, r.suspicious, r.suspicious_first_row) == (["12345"], ["99999"], 3, 1, ["s1", "s2"], ["s1"])
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    from slotweave.sources import ingest
+
+    path = str(tmp_path / "mapping")
+    assert ingest.read_latest(spark, path) is None
+    for k in range(4):
+        ingest.write_table(spark.createDataFrame([(k, "x")], "b int, a string"), ["a", "b"], path)
+    assert ingest.read_latest(spark, path).collect() == [("x", 3)] and sorted(v for v, _ in ingest.table_versions(spark, path)) == [3, 4]
+    (tmp_path / "mapping" / "v0000000005").mkdir()  # a writer that was lost: readers keep the last whole version
+    assert ingest.read_latest(spark, path).first().b == 3
+
+
+def test_catalog_and_mapping_loads(spark):
+    from slotweave.sources import ingest
+
+    columns = "src_ord int, file_path string, catalog_status string, filename_upc string, detected_text string, detected_brand string, detected_denomination string, detected_pack_quantity string"
+    rows = [(1, "/a.png", "ok", "1", "t", "", "", ""), (2, "", "ok", "", "", "", "", ""), (3, "/gone.png", "ok", "", "", "", "", ""), (4, "/b.png", "failed", "", "", "", "", ""), (5, "/b.png", "error", "", "text", "", "", "")]
+    listing = spark.createDataFrame([("/a.png",), ("/b.png",), ("/a.png",)], "path string")
+    usable, counts = ingest.catalog_entries(spark.createDataFrame(rows, columns), listing)
+    assert sorted(r.src_ord for r in usable.collect()) == [1, 5] and tuple(counts.first()) == (5, 2, 1, 1, 1)
+    maps = [(1, "19674217114", "7", "/a.png", "Yes", "s1"), (2, "19674217114", "8", "/b.png", "true", "s2"), (3, "5", "9", "/gone.png", "1", ""), (4, "6", "9", "/a.png", "no", "")]
+    found, counts = ingest.approved_mappings(spark.createDataFrame(maps, "src_ord int, upc string, item_number string, file_path string, approved string, source string"), listing)
+    got = {(r.kind, r.key): (r.path, r.source) for r in found.collect()}
+    assert got["upc", "196742171143"] == ("/a.png", "s1") and got["item", "8"] == ("/b.png", "s2") and ("item", "9") not in got and tuple(counts.first()) == (4, 2, 1)
