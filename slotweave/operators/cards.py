@@ -222,3 +222,53 @@ def select_rows(cells: DataFrame, rows: int = 3, capacity: int = 8) -> DataFrame
     room = room.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("row", "k"))).select("page_id", "row", "k", "n")
     moved = over.select("page_id", "n", "cell").join(room, ["page_id", "n"]).select("page_id", "row", F.col("k").cast("int").alias("slot"), "cell")
     return placed.filter(F.col("k") <= capacity).select("page_id", "row", F.col("k").alias("slot"), "cell").unionByName(moved)
+
+
+def detected_rows(cells: DataFrame, least: float = 8.0, share: float = 0.55) -> DataFrame:
+    """page_id, row, cell, x: cells in rows by running mean of y, numbered from the top; one fold over a page's cells.
+
+    cells(page_id, cell, x, y). A cell joins the row before it within `share` of the page's
+    middle step in y, `least` at least.
+    """
+    from .layout import quantile
+
+    pages = cells.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "cell"))).alias("c"))
+    ys = F.transform("c", lambda c: c["y"])
+    n = F.size("c")
+    steps = F.array_sort(F.filter(F.zip_with(F.slice(ys, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(ys, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: b - a), lambda v: v > 0.001))
+    pages = pages.withColumn("steps", steps)
+    pages = pages.withColumn("tol", F.when(F.size("steps") > 0, F.greatest(F.lit(least), share * quantile(F.col("steps"), F.lit(0.5)))).otherwise(least))
+    kind = cells.schema["cell"].dataType.simpleString()
+
+    def step(acc: Column, c: Column) -> Column:
+        joins = F.coalesce(F.abs(c["y"] - acc["s"] / acc["n"]) <= F.col("tol"), F.lit(False))
+        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
+        item = F.struct(row.alias("row"), c["x"].alias("x"), c["cell"].alias("cell"))
+        return F.struct(row.alias("row"), F.when(joins, acc["s"] + c["y"]).otherwise(c["y"]).alias("s"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("s"), F.lit(1).alias("n"), F.array().cast(f"array<struct<row: int, x: double, cell: {kind}>>").alias("out"))
+    return pages.select("page_id", F.explode(F.aggregate("c", start, step, lambda a: a["out"])).alias("o")).select("page_id", "o.row", "o.cell", "o.x")
+
+
+def display_selection(cells: DataFrame, rows: int = 3, blocks: tuple[tuple[str, int], ...] = (("left", 2), ("center", 4), ("right", 2))) -> DataFrame:
+    """page_id, cell, row, slot, block, moved, reason: where each cell is shown on a page of `rows` rows of these blocks.
+
+    cells(page_id, cell, x, y). More detected rows than `rows` are merged evenly; a row
+    keeps as many cells by x as it holds, the others fill the first rows with room (moved),
+    and what is left has no row, the last block and a reason.
+    """
+    capacity = sum(n for _, n in blocks)
+    found = detected_rows(cells)
+    counts = found.groupBy("page_id").agg((F.max("row") + 1).alias("n"))
+    target = F.when(F.col("n") <= rows, F.col("row")).otherwise(F.least(F.lit(rows - 1), F.bround(F.col("row") * (rows - 1) / F.greatest(F.lit(1), F.col("n") - 1)).cast("int")))
+    placed = found.join(counts, "page_id").select("page_id", target.alias("row"), "x", "cell")
+    shown = select_rows(placed, rows, capacity).select("page_id", "cell", F.col("row").alias("at"), "slot")
+    ends, total = [], 0
+    for name, n in blocks:
+        total += n
+        ends.append((name, total))
+    block = F.lit(ends[-1][0])
+    for name, end in reversed(ends[:-1]):
+        block = F.when(F.col("slot") <= end, name).otherwise(block)
+    out = placed.join(shown, ["page_id", "cell"], "left")
+    return out.select("page_id", "cell", F.col("at").alias("row"), "slot", block.alias("block"), (F.col("at") != F.col("row")).alias("moved"), F.when(F.col("at").isNull(), "group_overflow").alias("reason"))

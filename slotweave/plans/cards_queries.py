@@ -163,6 +163,12 @@ def f07_selected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select_rows(cells(spark, sf_dir))
 
 
+@register("f07_display_selection")
+def f07_display_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = view(spark, sf_dir, "words").select("page_id", F.col("word_id").alias("cell"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("top") + F.col("bottom")) / 2).alias("y"))
+    return k.display_selection(w)
+
+
 @register("f09_merged_rows")
 def f09_merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.merge_short_rows(cells(spark, sf_dir))

@@ -356,3 +356,41 @@ def test_catalog_and_mapping_loads(spark):
     found, counts = ingest.approved_mappings(spark.createDataFrame(maps, "src_ord int, upc string, item_number string, file_path string, approved string, source string"), listing)
     got = {(r.kind, r.key): (r.path, r.source) for r in found.collect()}
     assert got["upc", "196742171143"] == ("/a.png", "s1") and got["item", "8"] == ("/b.png", "s2") and ("item", "9") not in got and tuple(counts.first()) == (4, 2, 1)
+
+
+def test_display_selection_against_plain_code(spark):
+    import statistics
+
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for page in range(10):
+        lines = rnd.choice([1, 2, 3, 4, 6])
+        mine = [(page, page * 1000 + k, float(rnd.randrange(0, 400)), rnd.choice(range(lines)) * 60.0 + rnd.randrange(0, 9)) for k in range(rnd.randrange(1, 34))]
+        rows += mine
+        order = sorted(mine, key=lambda c: (c[3], c[2], c[1]))
+        steps = [b[3] - a[3] for a, b in zip(order, order[1:]) if b[3] - a[3] > 0.001]
+        tol = max(8.0, 0.55 * statistics.median(steps)) if steps else 8.0
+        found = []
+        for c in order:
+            if found and abs(c[3] - sum(x[3] for x in found[-1]) / len(found[-1])) <= tol:
+                found[-1].append(c)
+            else:
+                found.append([c])
+        lanes = [[], [], []]
+        for i, line in enumerate(found):
+            lanes[i if len(found) <= 3 else min(2, round(i * 2 / (len(found) - 1)))] += line
+        lanes = [sorted(lane, key=lambda c: (c[2], c[1])) for lane in lanes]
+        shown = [lane[:8] for lane in lanes]
+        for home, lane in enumerate(lanes):
+            for c in lane[8:]:
+                to = next((i for i in range(3) if len(shown[i]) < 8), None)
+                if to is None:
+                    want[c[1]] = (None, None, "right", None, "group_overflow")
+                else:
+                    shown[to].append(c)
+        home = {c[1]: i for i, lane in enumerate(lanes) for c in lane}
+        for i, lane in enumerate(shown):
+            for k, c in enumerate(lane):
+                want[c[1]] = (i, k + 1, "left" if k < 2 else "center" if k < 6 else "right", home[c[1]] != i, None)
+    got = cards.display_selection(spark.createDataFrame(rows, "page_id int, cell int, x double, y double")).collect()
+    assert {r.cell: (r.row, r.slot, r.block, r.moved, r.reason) for r in got} == want
