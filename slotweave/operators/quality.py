@@ -151,11 +151,15 @@ def strip_groups(df: DataFrame) -> DataFrame:
 def densify(df: DataFrame, slots: DataFrame) -> DataFrame:
     """Every slot of each (pog, side, row): the last card of its column, or an empty one; columns past the side are dropped.
 
-    slots(side, slot_count) is the geometry, one row a side.
+    slots(side, slot_count) is the geometry, one row a side. The rows are read once: a
+    strip's cards are gathered (the last of each column, at most as many as it has columns)
+    and its slots are made from them.
     """
     last = df.groupBy("pog", "side", "row", "col").agg(F.max_by("item_number", "src_ord").alias("item_number"))
-    rows = df.select("pog", "side", "row").distinct().join(F.broadcast(slots), "side").withColumn("col", F.explode(F.sequence(F.lit(1), F.col("slot_count"))))
-    return rows.join(last, ["pog", "side", "row", "col"], "left").select("pog", "side", "row", "col", "item_number", F.col("item_number").isNull().alias("is_empty"))
+    strips = last.groupBy("pog", "side", "row").agg(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), "item_number")).alias("cards"))
+    wide = strips.join(F.broadcast(slots), "side").withColumn("cards", F.map_from_entries("cards")).withColumn("col", F.explode(F.sequence(F.lit(1), F.col("slot_count"))))
+    item = F.try_element_at("cards", F.col("col"))
+    return wide.select("pog", "side", "row", "col", item.alias("item_number"), item.isNull().alias("is_empty"))
 
 
 def row_count_check(df: DataFrame, geometry: DataFrame) -> DataFrame:

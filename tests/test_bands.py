@@ -283,14 +283,20 @@ def test_price_tokens(spark):
     assert r.p == ["$10-$25", "1-2", "9.99"] and r.i == ["00012"]
 
 
-def test_catalog_stream_merges_batches(spark, tmp_path):
+def test_catalog_stream_merges_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "BUCKETS", 4)
     source, target, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
     schema = "path string, version long, size long"
-    for k, rows in enumerate([[("a", 1, 1), ("b", 1, 1)], [("a", 2, 9), ("c", 1, 3)]]):
+    batches = [[(x, 1, 1) for x in "abcdefgh"], [("a", 2, 9), ("i", 1, 3)], [("a", 1, 7)], [("a", 3, 4)], [("j", 1, 1)]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         catalog.run_catalog_stream(spark, source, schema, target, state)
-    got = {r.path: (r.version, r["size"]) for r in catalog.read_catalog(spark, target).collect()}
-    assert got == {"a": (2, 9), "b": (1, 1), "c": (1, 3)}
+    want = {x: (1, 1) for x in "bcdefghj"} | {"a": (3, 4), "i": (1, 3)}
+    assert {r.path: (r.version, r["size"]) for r in catalog.read_catalog(spark, target).collect()} == want
+    held = catalog.places(spark, target, None)
+    assert max(len(v) for v in held.values()) <= 2 and len(list((tmp_path / "out" / "v=2").glob("bucket=*"))) <= 1  # a batch of one path writes one bucket
+    (tmp_path / "out" / "v=9" / "bucket=0").mkdir(parents=True)  # a version that was never finished
+    assert {r.path: (r.version, r["size"]) for r in catalog.read_catalog(spark, target).collect()} == want
     assert catalog.read_catalog(spark, str(tmp_path / "none")) is None
 
 
