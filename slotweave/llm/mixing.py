@@ -13,6 +13,8 @@ PART_MEAN = 8.0
 TABLE = 48
 #: Rate tables of at most this many sources (some 30 MB) are broadcast; larger ones are shuffled.
 BROADCAST_SOURCES = 50_000
+#: Names of the columns that replication adds or works with.
+ADDED = ("copy_no", "mix_key", "mix_source", "mix_rate", "mix_parts", "mix_cdf", "mix_draws", "mix_count")
 
 
 def uniform(*keys: Column) -> Column:
@@ -63,13 +65,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: float
     from (seed, doc_id): a recomputed task draws the same copies. Rows with the same
     doc_id and source get the same count; a null doc_id counts as ''; text may be null or
     of any length; other columns pass through, but for ones of the names it adds or works
-    with (copy_no and those that begin with mix_). An empty table gives an empty result.
+    with (ADDED). An empty table gives an empty result.
 
     Only counts per source are gathered (pre-aggregated). The text crosses the network
     once, dealt by a hash of doc_id and copy, so neither a large source nor a document
     with many copies fills one task.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "copy_no" or c.lower().startswith("mix_")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     rates = mixing_rates(docs, weights, total)
     match = F.col("source").eqNullSafe(F.col("mix_source"))
     if rates.count() <= BROADCAST_SOURCES:
