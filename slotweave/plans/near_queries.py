@@ -131,7 +131,7 @@ CLEAN = "desc_1"
 for rule in PRICES:
     CLEAN = f"regexp_replace({CLEAN}, '{rule}', ' ', 'g')"
 PACKED = "(" + " OR ".join(f"contains(' ' || {{0}} || ' ', ' {t} ')" for t in PACKAGING) + ")"
-FALLBACK = f"""mx AS (SELECT src_ord AS product, {d.name('NAME')} AS norm_name, TRY_CAST(regexp_replace({d.txt('CPP')}, '\.0$', '') AS BIGINT) AS cpp FROM {sql('matrix')}), ok AS (SELECT * FROM mx WHERE cpp > 0 AND NOT {PACKED.format('norm_name')}),
+FALLBACK = rf"""mx AS (SELECT src_ord AS product, {d.name('NAME')} AS norm_name, TRY_CAST(regexp_replace({d.txt('CPP')}, '\.0$', '') AS BIGINT) AS cpp FROM {sql('matrix')}), ok AS (SELECT * FROM mx WHERE cpp > 0 AND NOT {PACKED.format('norm_name')}),
 lb AS (SELECT * FROM (SELECT src_ord AS row_id, {d.name(CLEAN)} AS name FROM {sql('placement')} WHERE NOT {PACKED.format(d.name('desc_1'))}) WHERE name <> ''), {rare_pairs('lb', 'ok', 0.3)},
 sn AS (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN ok USING (norm_name)), tp AS (SELECT name, product, score, lead(score) OVER w AS next, row_number() OVER w AS k FROM sn WHERE score >= 0.3 WINDOW w AS (PARTITION BY name ORDER BY score DESC, product))"""
 
