@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compress_quality, decontaminate, html_text, langid, license_scan, mixing, mpeg_audio, pii, simhash, substring_dedup, url_filter
+from . import compress_quality, decontaminate, html_text, langid, license_scan, mixing, mpeg_audio, pii, simhash, substring_dedup, token_alignment, url_filter
 from .common import read_table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -73,6 +73,10 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(read_table(spark, sf_dir, "documents"))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op10_near_benchmark": op10_near_benchmark,
     "op10_benchmark_matches": op10_benchmark_matches,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_quality_classifier": op13_quality_classifier,
 }
 
