@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compress_quality, decontaminate, html_text, langid, license_scan, mixing, mpeg_audio, pii, simhash, substring_dedup, token_alignment, url_filter
+from . import compress_quality, decontaminate, html_text, langid, license_scan, mixing, mpeg_audio, pii, simhash, spelling, substring_dedup, token_alignment, url_filter
 from .common import read_table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -73,6 +73,10 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokenizers(read_table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op10_near_benchmark": op10_near_benchmark,
     "op10_benchmark_matches": op10_benchmark_matches,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_quality_classifier": op13_quality_classifier,
 }
@@ -131,5 +136,27 @@ h AS (SELECT k, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + n)) t(p)
 s AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS item_id FROM m) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (k) LEFT JOIN s USING (k)
+""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE
+crc0(k, v, step) AS (SELECT k, k, 0 FROM range(0, 256) t(k) UNION ALL SELECT k, xor(v >> 1, (v & 1) * 3988292384), step + 1 FROM crc0 WHERE step < 8),
+tab AS (SELECT k, v FROM crc0 WHERE step = 8),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS run FROM documents),
+r AS (SELECT row_number() OVER () AS key, *, hex(encode(id || ':' || run)) AS hx FROM (SELECT id, run, count(*) AS c FROM d GROUP BY id, run)),
+far(d, k, v) AS (SELECT 1, k, v FROM tab UNION ALL SELECT d + 1, f.k, xor(f.v >> 8, t.v) FROM far f JOIN tab t ON t.k = (f.v & 255) WHERE d < (SELECT max(length(hx)) // 2 FROM r)),
+start(d, v) AS (SELECT 0, 4294967295 UNION ALL SELECT d + 1, xor(s.v >> 8, t.v) FROM start s JOIN tab t ON t.k = (s.v & 255) WHERE d < (SELECT max(length(hx)) // 2 FROM r)),
+bytes AS (SELECT key, length(hx) // 2 - i AS d, ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT AS k FROM r, unnest(range(0, length(hx) // 2)) t(i)),
+sums AS (SELECT key, bit_xor(v) AS v FROM bytes JOIN far USING (d, k) GROUP BY key),
+h AS (SELECT run, c, xor(xor(sums.v, start.v), 4294967295) AS h FROM r JOIN sums USING (key) JOIN start ON start.d = length(hx) // 2),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) t(i)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM e a JOIN e b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT DISTINCT e.word, e.n, w.word, w.n FROM e JOIN w ON e.rest = w.word UNION SELECT DISTINCT w.word, w.n, e.word, e.n FROM e JOIN w ON e.rest = w.word),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word, n),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain(word, last, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT chain.word, f.form, step + 1 FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN root USING (word)
 """,
 }
