@@ -6,11 +6,12 @@ import hashlib
 import os
 import re
 from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
-from itertools import pairwise
+from itertools import accumulate, count, pairwise
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,7 @@ class Pair:
         self.bytes_a = {i: bytes(letter[c] for c in t) if set(t) <= letter.keys() else t.encode() for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
+        self.size_a, self.size_b = ({i: len(x) for i, x in by.items()} for by in (self.bytes_a, self.bytes_b))
         # texts may be cut at BREAK only if no piece goes on with a space after something else
         assert not any("▁" in p.lstrip("▁") for _, p in pieces)
 
@@ -76,8 +78,9 @@ class Pair:
             ok = b"".join([self.bytes_a[i] for i in a.ids]) == want == b"".join([self.bytes_b[i] for i in b])
             yield a.ids, b, ok
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum([len(self.bytes_a[i]) for i in a], dtype=np.int64), np.cumsum([len(self.bytes_b[i]) for i in b], dtype=np.int64)
+    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        """The byte offset at which each token ends."""
+        return list(accumulate([self.size_a[i] for i in a])), list(accumulate([self.size_b[i] for i in b]))
 
 
 @cache
@@ -85,12 +88,14 @@ def tokenizers(a: bytes, b: bytes) -> Pair:
     return Pair(a, b)
 
 
-def closed_groups(a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[tuple[list[int], list[int]]], np.ndarray, np.ndarray]:
-    """The tokens up to each end that both share, and how many tokens of A and B stand before each such end."""
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    at_a, at_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
-    cut_a, cut_b = [0, *at_a.tolist()], [0, *at_b.tolist()]
-    return [(a[i:j], b[k:m]) for (i, j), (k, m) in zip(pairwise(cut_a), pairwise(cut_b), strict=True)], at_a, at_b
+def closed_groups(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[list[int], list[int]]], int, int]:
+    """The tokens up to each end that both share, and how many tokens of A and B stand before the last such end."""
+    groups, i, k, at = [], 0, 0, dict(zip(ends_b, count(1)))
+    for j, end in enumerate(ends_a, 1):
+        if m := at.get(end):
+            groups.append((a[i:j], b[k:m]))
+            i, k = j, m
+    return groups, i, k
 
 
 def written(groups: list[tuple[list[int], list[int]]]) -> str:
@@ -222,11 +227,11 @@ def fragment(pair: Pair, chunk: int, text: str, lo: int, hi: int) -> tuple[Fragm
         b += own_b
         fit &= ok
     ends_a, ends_b = pair.ends(a, b)
-    (i, j), (k, m) = (np.searchsorted(e, (lo, hi), "right").tolist() for e in (ends_a, ends_b))
-    groups, at_a, at_b = closed_groups(a[i:j], b[k:m], ends_a[i:j], ends_b[k:m])
+    (i, j), (k, m) = ((bisect_right(e, lo), bisect_right(e, hi)) for e in (ends_a, ends_b))
+    groups, in_a, in_b = closed_groups(a[i:j], b[k:m], ends_a[i:j], ends_b[k:m])
     if not groups:
         return Fragment(a[i:j], b[k:m], -1, [], []), [], fit
-    return Fragment(*groups[0], chunk, a[i + int(at_a[-1]) : j], b[k + int(at_b[-1]) : m]), groups[1:], fit
+    return Fragment(*groups[0], chunk, a[i + in_a : j], b[k + in_b : m]), groups[1:], fit
 
 
 _FRAGMENT = "front_a array<int>, front_b array<int>, closing int, back_a array<int>, back_b array<int>"
