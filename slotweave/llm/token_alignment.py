@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -11,13 +12,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
-from itertools import accumulate, count, pairwise
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,6 +34,8 @@ FAN = 8
 BROADCAST_PAIRS = 1_000_000
 #: Characters and entries of known units after which a worker forgets them.
 UNIT_SPACE = 96 << 20
+#: Units of at most this many characters are aligned together; longer texts than QUICK_LENGTH are left to the file's own library.
+BRIEF, QUICK_LENGTH = 64, 10_000
 #: Before such a space tokens of both kinds begin: it stands between characters that are no white space.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -62,25 +66,47 @@ class Pair:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_buffer(a)
         self.a.encode_special_tokens = True
+        self.quick = ranked(json.loads(a))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         letter = byte_alphabet()
         self.bytes_a = {i: bytes(letter[c] for c in t) if set(t) <= letter.keys() else t.encode() for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
-        self.size_a, self.size_b = ({i: len(x) for i, x in by.items()} for by in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = (np.array([len(by.get(i, b"")) for i in range(max(by) + 1)]) for by in (self.bytes_a, self.bytes_b))
         # texts may be cut at BREAK only if no piece goes on with a space after something else
         assert not any("▁" in p.lstrip("▁") for _, p in pieces)
 
+    def ids_a(self, texts: list[str]) -> list[list[int]]:
+        if self.quick and max(map(len, texts), default=0) <= QUICK_LENGTH:
+            return [self.quick.encode_ordinary(" " + t) for t in texts]
+        return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+    def ids_b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
+
+    def fits(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the tokens of both give the text's bytes back."""
+        return b"".join([self.bytes_a[i] for i in a]) == b" " + text.encode() == b"".join([self.bytes_b[i] for i in b])
+
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
-        """Ids of A, ids of B, and whether both give the text's bytes back."""
-        for text, a, b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            want = b" " + text.encode()
-            ok = b"".join([self.bytes_a[i] for i in a.ids]) == want == b"".join([self.bytes_b[i] for i in b])
-            yield a.ids, b, ok
+        """Ids of A, ids of B, and whether they fit."""
+        for text, a, b in zip(texts, self.ids_a(texts), self.ids_b(texts), strict=True):
+            yield a, b, self.fits(text, a, b)
 
     def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         """The byte offset at which each token ends."""
-        return list(accumulate([self.size_a[i] for i in a])), list(accumulate([self.size_b[i] for i in b]))
+        return np.cumsum(self.size_a[a]).tolist() if a else [], np.cumsum(self.size_b[b]).tolist() if b else []
+
+
+def ranked(file: dict) -> tiktoken.Encoding | None:
+    """The same byte-level BPE for short texts, where it is faster: only if ids follow the order of merges and words are split by the usual pattern."""
+    letter, vocabulary = byte_alphabet(), file["model"]["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
+    order = [vocabulary["".join(m)] for m in merges]
+    if file["normalizer"] or file["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or order != sorted(order):
+        return None
+    ranks = {bytes(letter[c] for c in t): i for t, i in vocabulary.items() if set(t) <= letter.keys()}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @cache
@@ -130,17 +156,62 @@ class Units:
         self.pairs, self.counts, self.at = array("q"), array("q"), array("q", [0])
         self.space = 0
 
+    def keep(self, text: str, groups: str, numbers: tuple[int, int, int, int]) -> None:
+        self.index[text] = len(self.text)
+        self.text.append(groups)
+        self.numbers.extend(numbers)
+        self.space += len(text) + len(groups) + 200
+
+    def add_single(self, text: str, a: list[int], b: list[int]) -> None:
+        """A long unit, or one that does not fit."""
+        ok = self.pair.fits(text, a, b)
+        groups = closed_groups(a, b, *self.pair.ends(a, b))[0] if ok else []
+        links = linked(groups)
+        self.keep(text, written(groups), (len(a), len(b), len(groups), ok))
+        self.pairs.extend(links.keys())
+        self.counts.extend(links.values())
+        self.at.append(len(self.pairs))
+
     def add(self, texts: list[str]) -> None:
-        for text, (a, b, ok) in zip(texts, self.pair.encode(texts), strict=True):
-            groups = closed_groups(a, b, *self.pair.ends(a, b))[0] if ok and len(a) + len(b) > 2 else [(a, b)] if ok else []
-            links = linked(groups)
-            self.index[text] = len(self.text)
-            self.text.append(written(groups))
-            self.numbers.extend((len(a), len(b), len(groups), ok))
-            self.pairs.extend(links.keys())
-            self.counts.extend(links.values())
-            self.at.append(len(self.pairs))
-            self.space += len(text) + len(self.text[-1]) + 16 * len(links) + 200
+        """Short units are aligned together, one behind the other: each ends where a token of both ends."""
+        pair, brief = self.pair, [t for t in texts if len(t) <= BRIEF]
+        for t in texts:
+            if len(t) > BRIEF:
+                self.add_single(t, pair.ids_a([t])[0], pair.ids_b([t])[0])
+        ids_a, ids_b = pair.ids_a(brief), pair.ids_b(brief)
+        size = np.array([len(t.encode()) + 1 for t in brief], np.int64)
+        odd = [(sum_a, sum_b) != (n, n) for sum_a, sum_b, n in zip(*[self.lengths(ids, by) for ids, by in ((ids_a, pair.size_a), (ids_b, pair.size_b))], size.tolist(), strict=True)]
+        whole = b"".join([b" " + t.encode() for t in brief])
+        if any(odd) or any(b"".join([by[i] for x in ids for i in x]) != whole for ids, by in ((ids_a, pair.bytes_a), (ids_b, pair.bytes_b))):
+            for t, a, b in zip(brief, ids_a, ids_b, strict=True):
+                self.add_single(t, a, b)
+            return
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        ends_a, ends_b, ends = np.cumsum(pair.size_a[flat_a]), np.cumsum(pair.size_b[flat_b]), np.cumsum(size)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        in_a, in_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        n_a, n_b = np.bincount(in_a, minlength=len(common)), np.bincount(in_b, minlength=len(common))
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        times = n_b[in_a]  # each token of A meets all of B's in its group
+        other = np.repeat(first_b[in_a] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        of = np.searchsorted(ends, ends_a)  # the unit of each token of A
+        links = np.bincount(of, times, len(brief)).astype(np.int64)
+        self.pairs.frombytes((np.repeat(flat_a, times) << 32 | flat_b[other]).tobytes())
+        self.counts.frombytes(np.ones(len(other), np.int64).tobytes())
+        self.at.frombytes((np.cumsum(links) + self.at[-1]).tobytes())
+        parts = [f"{a}|{b}" for a, b in zip(flat_a[first_a].tolist(), flat_b[first_b].tolist(), strict=True)]
+        for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
+            i, k = first_a[g], first_b[g]
+            parts[g] = written([(flat_a[i : i + n_a[g]].tolist(), flat_b[k : k + n_b[g]].tolist())])
+        cuts = [0, *np.searchsorted(common, ends, "right").tolist()]
+        for t, a, b, i, j in zip(brief, ids_a, ids_b, cuts, cuts[1:], strict=False):
+            self.keep(t, ";".join(parts[i:j]), (len(a), len(b), j - i, 1))
+
+    @staticmethod
+    def lengths(ids: list[list[int]], size: np.ndarray) -> list[int]:
+        """The bytes of the tokens of each unit."""
+        total = np.concatenate([[0], np.cumsum(size[np.fromiter(chain.from_iterable(ids), np.int64)])])
+        return np.diff(total[np.cumsum([0, *map(len, ids)])]).tolist()
 
     def documents(self, texts: list[str | None]) -> list[tuple[list[int], str, np.ndarray, np.ndarray] | None]:
         """Numbers of tokens and groups, the groups as written, pairs and their counts; None where a text has no tokens."""

@@ -50,6 +50,12 @@ def plain(texts):
         )
 
 
+def test_quick_encoder_gives_the_same_ids():
+    texts = [x for x in odd_texts() if x] + ["it's WE'LL 'tis 12 345 - --", "\u180e \u2003x", "a" * 9000]
+    assert PAIR.quick is not None
+    assert PAIR.ids_a(texts) == [e.ids for e in PAIR.a.encode_batch([" " + x for x in texts], add_special_tokens=False)]
+
+
 def odd_texts():
     rnd = random.Random(3)
     parts = ["the", "The", "Ünïcode", "don't", "x" * 40, "東京都", "🙂🙂", "12345", "!?", "\t", "\n\n", "  ", "a  b", "\x00", "\x1c", "　", "é", "<|endoftext|>", "<s>", "<0x41>", "antidisestablishmentarianism", "᠎", " "]
