@@ -9,6 +9,7 @@ from slotweave.functions import ids, text
 from slotweave.operators import bands as b
 from slotweave.operators import near as n
 from slotweave.operators import quality as q
+from slotweave.operators import rank
 from slotweave.operators import score as s
 from slotweave.operators.layout import holders_by_side
 
@@ -17,7 +18,7 @@ from .layout_queries import spans
 from .near_queries import SIM, labels, matrix, rare_pairs
 from .quality_queries import TYPED, geometry, valid
 from .registry import register
-from .resolve_queries import PAIRS, review_top, scored_pairs
+from .resolve_queries import LEGACY, PAIRS, best_images, review_top
 from .views import sql, view
 
 WORDS = sql("words")
@@ -178,10 +179,10 @@ def p07_holders_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holders_by_side(spans(spark, sf_dir)).select("sheet", "side", "position", "segment", "borrowed", "begin", "end", "item", "qty")
 
 
-@register("p09_match_unresolved", f"WITH {PAIRS} SELECT product, least(5, count(*)) AS candidates FROM pairs GROUP BY 1")
+@register("p09_match_unresolved", f"WITH {LEGACY} SELECT product, count(*) AS candidates, sum(total_score)::BIGINT AS points, sum(entry)::BIGINT AS entries FROM ranked WHERE candidate_rank <= 5 GROUP BY 1")
 def p09_match_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = s.top_candidates(s.legacy_scores(scored_pairs(spark, sf_dir)), ["total_score"])
-    return top.groupBy("product").agg(F.count(F.lit(1)).alias("candidates"))
+    top = best_images(spark, sf_dir, rank.LEGACY, rank.ALL)
+    return top.groupBy("product").agg(F.count(F.lit(1)).alias("candidates"), F.sum("total_score").cast("long").alias("points"), F.sum("entry").alias("entries"))
 
 
 @register(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotweave.functions import ids, text
+from slotweave.operators import rank
 from slotweave.operators import resolve as r
 from slotweave.operators import score as s
 from slotweave.operators.lineage import materialise
@@ -163,15 +164,15 @@ OCR_RULES = {"brand": text.ocr_brand, "pack": text.ocr_pack}
 LEGACY_RULES = {"brand": text.legacy_brand, "tokens": text.legacy_tokens}
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, pairs=s.candidate_pairs, **rules) -> DataFrame:
+def best_images(spark: SparkSession, sf_dir: str, ranking: rank.Ranking, pool: str, **rules) -> DataFrame:
     p, i = materialise(products(spark, sf_dir, **rules), "products"), materialise(images(spark, sf_dir, **rules), "images")
-    return pairs(p, i).join(p, "product").join(i, "entry")
+    return rank.best_images(p, i, ranking, pool)
 
 
 @register("d06_candidate_pairs", f"WITH {PAIRS} SELECT product, count(*) AS n, sum(entry)::BIGINT AS entries FROM pairs GROUP BY 1")
 def d06_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, i = materialise(products(spark, sf_dir), "products"), materialise(images(spark, sf_dir), "images")
-    return s.candidate_pairs(p, i).groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.sum("entry").alias("entries"))
+    return s.pool_summary(p, i)
 
 
 def agree_sql(a: str, b: str, same: int, other: int) -> str:
@@ -204,7 +205,7 @@ SCORES = ["identifier_score", "brand_score", "denomination_score", "pack_score",
 
 
 def review_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.top_candidates(s.review_scores(scored_pairs(spark, sf_dir)), ["total_score", "identifier_score"])
+    return best_images(spark, sf_dir, rank.REVIEW, rank.WIDENING)
 
 
 @register("d07_f01_review_candidates", f"WITH {REVIEW} SELECT product, entry, candidate_rank::INT AS candidate_rank, {', '.join(f'{c}::INT AS {c}' for c in SCORES)}, confidence FROM ranked WHERE candidate_rank <= 5")
@@ -230,18 +231,17 @@ ranked AS (SELECT *, CASE WHEN confidence_score >= 75 THEN 'High' WHEN confidenc
 
 @register("d08_f01_ocr_candidates", f"WITH {OCR} SELECT product, entry, candidate_rank::INT AS candidate_rank, total_score::INT AS total_score, confidence_score::INT AS confidence_score, filename_score::INT AS filename_score, confidence FROM ranked WHERE candidate_rank <= 5")
 def d08_f01_ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = s.ocr_scores(scored_pairs(spark, sf_dir, s.union_pairs, **OCR_RULES).withColumn("filename_tokens", text.useful_tokens("filename")))
-    return s.top_candidates(scored, ["confidence_score", "total_score", "filename_score"]).select("product", "entry", "candidate_rank", "total_score", "confidence_score", "filename_score", "confidence")
+    return best_images(spark, sf_dir, rank.OCR, rank.SHARING, **OCR_RULES).select("product", "entry", "candidate_rank", "total_score", "confidence_score", "filename_score", "confidence")
 
 
-LEGACY = f"""{PAIRS}, sc AS (SELECT product, entry, {agree_sql('brand', 'image_brand', 45, -45)} AS b, {agree_sql('denomination', 'image_denomination', 35, -35)} AS dn, {agree_sql('pack', 'image_pack', 20, -20)} AS pk, {overlap_sql(25, 5)} AS kw,
-  CASE WHEN list_has_any(upc_keys, filename_keys) OR list_has_any(item_keys, filename_keys) THEN 100 WHEN {ends_sql(6)} THEN 8 WHEN {ends_sql(5)} THEN 5 ELSE 0 END AS idn {J}),
+LEGACY = f"""{PRODUCTS}, {IMAGES}, sc AS (SELECT product, entry, {agree_sql('brand', 'image_brand', 45, -45)} AS b, {agree_sql('denomination', 'image_denomination', 35, -35)} AS dn, {agree_sql('pack', 'image_pack', 20, -20)} AS pk, {overlap_sql(25, 5)} AS kw,
+  CASE WHEN list_has_any(upc_keys, filename_keys) OR list_has_any(item_keys, filename_keys) THEN 100 WHEN {ends_sql(6)} THEN 8 WHEN {ends_sql(5)} THEN 5 ELSE 0 END AS idn FROM p CROSS JOIN i),
 ranked AS (SELECT product, entry, b + dn + pk + kw + idn AS total_score, CASE WHEN b > 0 AND dn > 0 AND b + dn + pk >= 80 THEN 'high' WHEN b > 0 AND (dn >= 0 OR kw >= 10) THEN 'medium' ELSE 'low' END AS confidence, row_number() OVER (PARTITION BY product ORDER BY b + dn + pk + kw + idn DESC, entry) AS candidate_rank FROM sc)"""
 
 
 @register("d09_f01_legacy_candidates", f"WITH {LEGACY} SELECT product, entry, candidate_rank::INT AS candidate_rank, total_score::INT AS total_score, confidence FROM ranked WHERE candidate_rank <= 5")
 def d09_f01_legacy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.top_candidates(s.legacy_scores(scored_pairs(spark, sf_dir)), ["total_score"]).select("product", "entry", "candidate_rank", "total_score", "confidence")
+    return best_images(spark, sf_dir, rank.LEGACY, rank.ALL).select("product", "entry", "candidate_rank", "total_score", "confidence")
 
 
 @register(
