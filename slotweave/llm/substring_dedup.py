@@ -134,19 +134,19 @@ def digests(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[pa.Ar
 
 
 def find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, text) -> (h1, h2, h3, doc_id, tag, span): anchor, hash of all bytes, place."""
+    """(row, text) -> (h1, h2, h3, row, span): anchor, hash of all bytes, place."""
     for batch in batches:
-        data, bounds = text_bytes(batch.column(2))
+        data, bounds = text_bytes(batch.column(1))
         for doc, first, last, h1, twice in anchored_spans(data, bounds, GRAMS[0]):
             base, at = bounds[doc], pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), *digests(data, first, last), batch.column(0).take(at), batch.column(1).take(at), pa.array(packed(first - base, last - base, twice))],
-                ["h1", "h2", "h3", "doc_id", "tag", "span"],
+                [pa.array(h1.view(np.int64)), *digests(data, first, last), batch.column(0).take(at), pa.array(packed(first - base, last - base, twice))],
+                ["h1", "h2", "h3", "row", "span"],
             )
 
 
 def split_spans(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, tag, first, copies, data) -> (h1, h2, h3, doc_id, tag, span, copies, data): spans anchored anew by longer strings.
+    """(row, first, copies, data) -> (h1, h2, h3, row, span, copies, data): spans anchored anew by longer strings.
 
     In the last step the anchor is the window, so a span is a run of equal windows: it
     is known by one of them, and a run of more counts twice.
@@ -154,8 +154,8 @@ def split_spans(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(4))
-            whole, begins = data.tobytes(), batch.column(2).to_numpy()
+            data, bounds = text_bytes(batch.column(3))
+            whole, begins = data.tobytes(), batch.column(1).to_numpy()
             for doc, first, last, h1, twice in anchored_spans(data, bounds, gram):
                 shown = last
                 if gram == LENGTH:
@@ -165,10 +165,10 @@ def split_spans(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 pieces = [whole[a : b + LENGTH] for a, b in zip(first.tolist(), shown.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h1.view(np.int64)), *digests(data, first, shown), batch.column(0).take(at), batch.column(1).take(at),
-                        pa.array(packed(first + moved, last + moved, twice)), batch.column(3).take(at), pa.array(pieces, pa.binary()),
+                        pa.array(h1.view(np.int64)), *digests(data, first, shown), batch.column(0).take(at),
+                        pa.array(packed(first + moved, last + moved, twice)), batch.column(2).take(at), pa.array(pieces, pa.binary()),
                     ],
-                    ["h1", "h2", "h3", "doc_id", "tag", "span", "copies", "data"],
+                    ["h1", "h2", "h3", "row", "span", "copies", "data"],
                 )
 
     return run
@@ -278,7 +278,7 @@ def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def compare_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans ordered by anchor -> windows (doc_id, tag, first, last) of spans seen once that occur again."""
+    """Spans ordered by anchor -> windows (row, first, last) of spans seen once that occur again."""
     for rows in bundles(batches):
         begins, copies = rows["first"].to_numpy(), rows["copies"].to_numpy()
         at, first, last = [], [], []
@@ -290,13 +290,12 @@ def compare_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 last.append(begins[k] + b)
         flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
         of = pa.array(flat(at))
-        columns = [rows[c].combine_chunks().take(of) for c in ("doc_id", "tag")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(flat(first)), pa.array(flat(last))], ["doc_id", "tag", "first", "last"])
+        yield pa.RecordBatch.from_arrays([rows["row"].combine_chunks().take(of), pa.array(flat(first)), pa.array(flat(last))], ["row", "first", "last"])
 
 
 def kinds_of(rows: DataFrame, *more: str) -> DataFrame:
-    """h1, h2, h3, copies, and doc_id, tag, span (and more) of one, for every different span."""
-    return rows.groupBy("h1", "h2", "h3").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "tag", "span", *more)).alias("one")).select("h1", "h2", "h3", "copies", "one.*")
+    """h1, h2, h3, copies, and row, span (and more) of one, for every different span."""
+    return rows.groupBy("h1", "h2", "h3").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "span", *more)).alias("one")).select("h1", "h2", "h3", "copies", "one.*")
 
 
 def open_anchors(kinds: DataFrame) -> DataFrame:
@@ -305,7 +304,7 @@ def open_anchors(kinds: DataFrame) -> DataFrame:
     return groups.filter("fewest = 1 AND (kinds > 1 OR twice)").select("h1", "kinds")
 
 
-PLACE = ["h1", "h2", "h3", "doc_id", "tag", "span"]
+PLACE = ["h1", "h2", "h3", "row", "span"]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -313,16 +312,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 200-byte string over it starts anywhere else too, in any document.
     Texts are UTF-8 bytes, whole; null and empty texts are 0 bytes; texts under 200 bytes
-    stay as they are; equal texts of 200 and more, repeated rows too, go whole; rows that
-    share a doc_id but not the text are told apart; other columns are ignored; an empty
-    table gives an empty result.
+    stay as they are; equal texts of 200 and more, repeated rows too, go whole; rows are
+    told apart by number, so any may share a doc_id or have none; other columns are
+    ignored; an empty table gives an empty result.
 
     Written or shuffled are one row per span (some 90 bytes of text each), the texts of
-    spans where repeats begin or end, and the documents, by doc_id, once.
+    spans where repeats begin or end, and the documents: once to number the rows, once by
+    number.
     """
-    texts = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    place = f"h1 long, h2 long, h3 long, doc_id {id_type(docs)}, tag int, span long"
-    found = materialise(texts.mapInArrow(find_spans, place), "dedup-spans")
+    texts = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "dedup-rows")
+    place = "h1 long, h2 long, h3 long, row long, span long"
+    found = materialise(texts.select("row", "text").mapInArrow(find_spans, place), "dedup-spans")
     weight = F.when(span_twice(F.col("span")), 2).otherwise(1)
     anchors = found.groupBy("h1").agg(F.sum(weight).alias("n")).filter("n > 1").select("h1")
     shared = materialise(found.join(anchors, "h1").select(*PLACE, F.lit(1).cast("long").alias("copies")), "dedup-shared")
@@ -332,39 +332,39 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     where = [span_first(F.col("span")).alias("first"), span_last(F.col("span")).alias("last")]
     open_ = (
         kinds.join(anchors, "h1")
-        .select("doc_id", "tag", F.struct("h1", "kinds", "copies", *where).alias("s"))
-        .groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("g"))
+        .select("row", F.struct("h1", "kinds", "copies", *where).alias("s"))
+        .groupBy("row")
         .agg(F.collect_list("s").alias("spans"))
     )
     piece = F.expr("substring(bytes, int(s.first) + 1, int(s.last - s.first) + 200)")
     spans = (
         with_rows(texts, open_, "inner")
         .withColumn("bytes", F.encode("text", "UTF-8"))
-        .select("doc_id", "tag", "bytes", F.explode("spans").alias("s"))
-        .select("s.h1", "s.kinds", "s.copies", "s.first", "doc_id", "tag", piece.alias("data"))
+        .select("row", "bytes", F.explode("spans").alias("s"))
+        .select("s.h1", "s.kinds", "s.copies", "s.first", "row", piece.alias("data"))
     )
     spans = materialise(spans, "dedup-open")
     seen, used = shared, [shared, kinds, anchors, spans]
     repeated, sortable = kinds.filter("copies > 1").select("h1", "h2", "h3"), spans.filter(F.col("kinds") <= ANCHOR_SPANS)
     for gram in GRAMS[1:]:
-        crowded = spans.filter(F.col("kinds") > ANCHOR_SPANS).select("doc_id", "tag", "first", "copies", "data")
+        crowded = spans.filter(F.col("kinds") > ANCHOR_SPANS).select("row", "first", "copies", "data")
         if crowded.isEmpty():
             break
         parts = materialise(crowded.mapInArrow(split_spans(gram), f"{place}, copies long, data binary"), "dedup-parts")
         kinds = materialise(kinds_of(parts, "data"), "dedup-kinds")
-        spans = materialise(kinds.join(open_anchors(kinds), "h1").select("h1", "kinds", "copies", where[0], "doc_id", "tag", "data"), "dedup-open")
+        spans = materialise(kinds.join(open_anchors(kinds), "h1").select("h1", "kinds", "copies", where[0], "row", "data"), "dedup-open")
         used += [parts, kinds, spans]
         seen = seen.unionByName(parts.filter("copies = 1").select(*PLACE, "copies"))
         repeated = repeated.unionByName(kinds.filter("copies > 1").select("h1", "h2", "h3"))
         sortable = sortable.unionByName(spans.filter(F.col("kinds") <= ANCHOR_SPANS))
-    whole = seen.join(repeated, ["h1", "h2", "h3"]).select("doc_id", "tag", *where)
+    whole = seen.join(repeated, ["h1", "h2", "h3"]).select("row", *where)
     compared = (
-        sortable.select("h1", "doc_id", "tag", "first", "copies", "data")
+        sortable.select("h1", "row", "first", "copies", "data")
         .repartition("h1")
         .sortWithinPartitions("h1")
-        .mapInArrow(compare_bundles, f"doc_id {id_type(docs)}, tag int, first long, last long")
+        .mapInArrow(compare_bundles, "row long, first long, last long")
     )
-    repeats = whole.unionByName(compared).groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("g"))
+    repeats = whole.unionByName(compared).groupBy("row")
     repeats = materialise(repeats.agg(F.collect_set(F.struct("first", "last")).alias("repeats")), "dedup-repeats")
     discard(*used)
     out = f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -372,8 +372,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def with_rows(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """texts joined with rows(d, g, ...) on doc_id and tag; the rows, the smaller side, are hashed, so texts are not sorted."""
-    return texts.join(rows.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tag").eqNullSafe(F.col("g")), how)
+    """texts joined with rows(row, ...); the rows, the smaller side, are hashed, so texts are not sorted."""
+    return texts.join(rows.hint("shuffle_hash"), "row", how)
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,3 +125,20 @@ def test_repeated_and_shared_ids(spark):
     assert result(spark, [r for r in twice if r[0] is not None]) == plain([r for r in twice if r[0] is not None])
     assert spark.createDataFrame(rows[3:], "doc_id long, text string").transform(sd.remove_repeats).count() == 1
     assert result(spark, []) == []
+
+
+def test_rows_without_or_with_one_doc_id(spark):
+    rnd = random.Random(21)
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(256)) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (7, texts[1]), (7, "Q" + texts[2]), (7, texts[3] + texts[3][:10])]
+    got = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).repartition(5)
+    got = sorted((r.n_bytes, r.n_removed) for r in sd.remove_repeats(got).collect())
+    where = {}
+    for k, (_, t) in enumerate(rows):
+        for i in range(len(t) - 199):
+            where.setdefault(t[i : i + 200], []).append((k, i))
+    gone = [set() for _ in rows]
+    for places in where.values():
+        for k, i in places if len(places) > 1 else []:
+            gone[k] |= set(range(i, i + 200))
+    assert got == sorted((len(t), len(g)) for (_, t), g in zip(rows, gone, strict=True)) and sum(not g for g in gone) == 36
