@@ -31,11 +31,12 @@ RAW = frozenset("script style noscript title iframe textarea".split())
 #: What a page's head may hold; anything else ends it.
 IN_HEAD = SILENT & frozenset("script style noscript template title".split()) | frozenset("base link meta basefont bgsound".split())
 CORE, HEADINGS = ("article", "main"), ("h1", "h2", "h3", "h4", "h5", "h6")
-OUTSIDE = frozenset("nav footer aside form menu dialog button".split())
+OUTSIDE = frozenset("nav footer aside menu dialog button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class or id that mark a container as no part of the article.
 MARKS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|(?:user|reader)?comments?(?:list|section|area|thread|form|box|wrap|wrapper|body)?|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?"
+    r"|popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])",
     re.IGNORECASE,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -47,20 +48,25 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+#: In class names a capital behind a small letter begins a word.
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.10, 0.20
 LINKS_HIGH = 0.5
+#: A marked container with so many times the text that is free of marks is the page's frame; so many times inside an article.
+FRAME, INNER_FRAME = 10, 40
 
 
 @dataclass
 class Block:
     text: str
     link_chars: int
-    outside: bool  # in a menu, footer, form ... or in a container marked so
+    outside: bool  # in a menu, footer ... or in a container marked so
     article: bool  # in an <article> or <main>
     heading: bool
     paragraph: bool
+    marks: tuple[int, ...] = ()  # numbers of the open forms and containers whose class, id or role marks them; odd inside <article> or <main>
 
 
 def silence(page: str, at: int, tag: str, ancestors: Counter, endless: set[str]) -> int:
@@ -105,16 +111,21 @@ def silence(page: str, at: int, tag: str, ancestors: Counter, endless: set[str])
 
 def blocks(page: str) -> Iterator[Block]:
     """Text blocks in page order; white space is collapsed, character references are decoded, silent elements skipped."""
-    open_tags: list[tuple[str, bool]] = []  # name, whether it puts its content outside the article
+    open_tags: list[tuple[str, bool, int]] = []  # name, whether it puts its content outside the article, number of its mark or 0
+    marks: list[int] = []
     open_blocks: list[str] = []
     opened: Counter = Counter()
     parts: list[str] = []
-    links = at = outside_depth = 0
+    links = at = outside_depth = last_mark = 0
     endless: set[str] = set()
 
-    def enter(tag: str, outside: bool) -> None:
-        nonlocal outside_depth
-        open_tags.append((tag, outside))
+    def enter(tag: str, outside: bool, mark: bool) -> None:
+        nonlocal outside_depth, last_mark
+        if mark:
+            last_mark = last_mark // 2 * 2 + 2 + any(opened[x] for x in CORE)
+        open_tags.append((tag, outside, last_mark if mark else 0))
+        if mark:
+            marks.append(last_mark)
         opened[tag] += 1
         outside_depth += outside
         if tag in BLOCKS:
@@ -122,7 +133,9 @@ def blocks(page: str) -> Iterator[Block]:
 
     def leave() -> str:
         nonlocal outside_depth
-        tag, outside = open_tags.pop()
+        tag, outside, mark = open_tags.pop()
+        if mark:
+            marks.pop()
         opened[tag] -= 1
         outside_depth -= outside
         if tag in BLOCKS:
@@ -133,7 +146,7 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal links
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            yield Block(text, links, outside_depth > 0, any(opened[x] for x in CORE), any(opened[x] for x in HEADINGS), open_blocks[-1:] == ["p"])
+            yield Block(text, links, outside_depth > 0, any(opened[x] for x in CORE), any(opened[x] for x in HEADINGS), open_blocks[-1:] == ["p"], tuple(marks))
         parts.clear()
         links = 0
 
@@ -176,18 +189,18 @@ def blocks(page: str) -> Iterator[Block]:
             if tag in ("p", "li") and open_tags and open_tags[-1][0] == tag:
                 leave()
             if tag not in VOID and not m[3].endswith("/"):
-                enter(tag, tag in OUTSIDE or (tag == "header" and not any(opened[x] for x in CORE)) or marked(tag, m[3]))
+                enter(tag, tag in OUTSIDE or (tag == "header" and not any(opened[x] for x in CORE)), tag == "form" or marked(tag, m[3]))
     yield from flush()
 
 
 def marked(tag: str, attributes: str) -> bool:
-    if tag in ("body", "head", "html", "article", "main") or not attributes:
+    if tag in ("body", "head", "html") or not attributes:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and MARKS.search(value):
+        if name in ("class", "id") and MARKS.search(_CASE.sub("-", value)):
             return True
     return False
 
@@ -197,6 +210,33 @@ def stop_share(block: Block) -> float:
     return sum(map(STOP_WORDS.__contains__, words)) / len(words)
 
 
+def judge_marks(found: list[Block]) -> None:
+    """Put blocks of marked containers outside, but for a container that is a frame around the page's text, whatever its names say.
+
+    From the outermost on, a mark counts unless its container holds FRAME times (inside
+    an <article> or <main> INNER_FRAME times) the text that stands free of marks. Text is
+    what has few links, that of <article> and <main> where there is some.
+    """
+    inside = [b for b in found if not b.outside]
+    core = [b for b in inside if b.article] or inside
+    prose = [b for b in core if b.link_chars <= LINKS_HIGH * len(b.text)]
+    of: dict[int, list[int]] = {}
+    for at, b in enumerate(prose):
+        for k in b.marks:
+            of.setdefault(k, []).append(at)
+    marks_left = [len(b.marks) for b in prose]
+    free = sum(len(b.text) for b, n in zip(prose, marks_left, strict=True) if not n)
+    frames = set()
+    for k in sorted(of):
+        if sum(len(prose[at].text) for at in of[k]) > (INNER_FRAME if k % 2 else FRAME) * free:
+            frames.add(k)
+            for at in of[k]:
+                marks_left[at] -= 1
+                free += 0 if marks_left[at] else len(prose[at].text)
+    for b in found:
+        b.outside |= any(k not in frames for k in b.marks)
+
+
 def first_pass(found: list[Block]) -> list[str]:
     """good, bad, near (probably good) or short for each block, from where it stands, its links, length and stop words.
 
@@ -258,6 +298,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = list(blocks(page or ""))
+    judge_marks(found)
     kept = second_pass(found, first_pass(found))
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 

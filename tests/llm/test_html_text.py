@@ -88,3 +88,17 @@ def test_elements_without_an_end_tag_take_no_more_than_their_parent():
 def test_linked_headings_and_paragraphs_of_an_article_stay():
     page = '<nav><p><a href="/">Home</a></p></nav><article><h1><a href="x">Title</a></h1><p>Text of it.</p><p><a href="y">All of this is a link</a></p><ul><li><a href="z">Menu</a></li></ul></article><p><a href="w">More</a></p>'
     assert main_text(page) == "Title\nText of it.\nAll of this is a link"
+
+
+def test_marks_on_frames_lose_no_article():
+    comments = "".join(f"<p>{PROSE} says reader {k}.</p>" for k in range(2))
+    inner = f"<article><h1>Title</h1><p>{PROSE}</p><p>Short.</p></article>"
+    want = f"Title\n{PROSE.strip()}\nShort."
+    for page in (
+        f'<div class="layout has-sidebar">{inner}</div>', f'<form id="aspnetForm">{inner}</form>', f'<div class="content no-ads">{inner}</div>', f'<div id="pageHeader-menu"><div class="sidebar-left">{inner}</div></div>',
+        f'<article class="post share">{inner[9:]}', f'<div class="has-sidebar">{inner}<div class="sidebar"><p>{PROSE}</p></div></div>',
+        f'<div class="has-sidebar"><article>{inner[9:-10]}<ol class="commentlist"><li>{comments}</li></ol></article></div>', f'<article>{inner[9:-10]}<article class="comment">{comments}</article></article>',
+        f'<article>{inner[9:-10]}<div class="userComments">{comments}</div></article>', f'<div class="no-ads"><h1>Title</h1><p>{PROSE}</p><p>Short.</p><div class="related"><p>{PROSE}</p></div></div>',
+        f'<form><h1>Title</h1><p>{PROSE}</p><p>Short.</p><footer>x</footer></form>', f'<div class="has-sidebar"><main><p>Only short.</p></main><p class="ad">{PROSE}</p></div>',
+    ):
+        assert main_text(page) == (want if "Only" not in page else "Only short."), page
