@@ -13,8 +13,8 @@ PART_MEAN = 8.0
 TABLE = 48
 #: Rate tables of at most this many sources (some 30 MB) are broadcast; larger ones are shuffled.
 BROADCAST_SOURCES = 50_000
-#: Names of the columns that replication adds or works with.
-ADDED = ("copy_no", "mix_key", "mix_source", "mix_rate", "mix_parts", "mix_cdf", "mix_draws", "mix_count")
+#: Columns that replication adds; input columns of these names give way.
+ADDED = ("copy_no", "mix_key")
 
 
 def uniform(*keys: Column) -> Column:
@@ -64,8 +64,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: float
     the Poisson distribution with its source's mean rate, inverted at a number hashed
     from (seed, doc_id): a recomputed task draws the same copies. Rows with the same
     doc_id and source get the same count; a null doc_id counts as ''; text may be null or
-    of any length; other columns pass through, but for ones of the names it adds or works
-    with (ADDED). An empty table gives an empty result.
+    of any length; other columns pass through, whatever their names, but for those it adds
+    (ADDED). An empty table gives an empty result.
 
     Only counts per source are gathered (pre-aggregated). The text crosses the network
     once, dealt by a hash of doc_id and copy, so neither a large source nor a document
@@ -73,18 +73,19 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: float
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     rates = mixing_rates(docs, weights, total)
-    match = F.col("source").eqNullSafe(F.col("mix_source"))
+    keep = docs.columns
+    docs = docs.toDF(*[f"in_{c}" for c in keep])  # no name of the rates begins so
+    match = F.col("in_source").eqNullSafe(F.col("mix_source"))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda j: uniform(F.lit(seed), F.col("doc_id"), j))
+    draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda j: uniform(F.lit(seed), F.col("in_doc_id"), j))
     count = F.aggregate("mix_draws", F.lit(0), lambda acc, u: acc + F.size(F.filter("mix_cdf", lambda c: c <= u)))
-    keep = [F.col(c) for c in docs.columns]
     return (
         docs.join(rates, match)
         .withColumn("mix_draws", draws)
         .withColumn("mix_count", count)
         .filter("mix_count > 0")
-        .select(*keep, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy_no"))
+        .select(*[F.col(f"in_{c}").alias(c) for c in keep], F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy_no"))
         .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy_no")))
         .repartition("mix_key")
         .sortWithinPartitions("mix_key", "doc_id", "copy_no")
