@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
 from .decontaminate import words
 
 GRAM, WINNOW = 5, 4
@@ -223,7 +224,7 @@ def indexes(templates: DataFrame) -> Iterator[Index]:
         yield part
 
 
-FOUND = "doc_id long, template_id string, matched_words long, template_words long, coverage double, span_start long, span_end long"
+FOUND = "template_id string, matched_words long, template_words long, coverage double, span_start long, span_end long"
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -237,8 +238,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     shuffled: every document is scanned where it is read.
     """
     context, out = docs.sparkSession.sparkContext, None
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    found_as = f"doc_id {id_type(docs)}, {FOUND}"
+    names = [x.split()[0] for x in found_as.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
     for part in indexes(templates):
         shared = context.broadcast(part)
 
@@ -247,15 +249,16 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
             get = index.vocabulary.get
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                for row, text in enumerate(batch.column(1).cast(pa.binary())):
                     data = text.as_py()
                     ids = np.array([get(w, 0) for w in words(data)], np.int64)
                     found = scan(index, ids) if ids.any() else []
                     if found:
                         at = [m.span() for m in _WORD.finditer(data.decode())]
-                        rows += [(doc_id, index.names[t], n, len(index.texts[t]), n / len(index.texts[t]), at[a][0], at[b][1]) for t, n, a, b in found]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+                        rows += [(row, index.names[t], n, len(index.texts[t]), n / len(index.texts[t]), at[a][0], at[b][1]) for t, n, a, b in found]
+                own = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1)]], names)
 
-        here = docs.select("doc_id", "text").mapInArrow(run, FOUND)
+        here = docs.select("doc_id", "text").mapInArrow(run, found_as)
         out = here if out is None else out.unionAll(here)
-    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+    return docs.sparkSession.createDataFrame([], found_as) if out is None else out

@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from slotweave.llm import mixing, mpeg_audio, url_filter
+from slotweave.llm import license_scan, mixing, mpeg_audio, pii, url_filter
 
 
 def fits(host, path, h, p):
@@ -149,3 +149,15 @@ def test_rate_tables_and_exact_durations():
     first[21 : 21 + len(lame)] = lame
     got = mpeg_audio.parse(bytes(first) + plain * 20)
     assert (got["table"]["frames"], got["table"]["delay"], got["table"]["padding"], got["played"]) == (20, 576, 1000, 20 * 1152 - 1576)
+
+
+def test_columns_pass_and_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(f"k{i}", "Mail jane@example.com now", "s", i) for i in range(40)] + [(None, None, None, None)], "doc_id string, text string, source string, mix_rate int").withColumn("mix_source", F.lit("own")).withColumn("mix_count", F.lit(7))
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == [*docs.columns, "copy_no", "mix_key"] and {(r.mix_source, r.mix_count) for r in mixed.collect()} == {("own", 7)}
+    assert {r.doc_id: r.mix_rate for r in mixed.collect() if r.doc_id} == {f"k{i}": i for i in range(40) if f"k{i}" in {r.doc_id for r in mixed.collect()}}
+    assert {(r.doc_id, r.n_email) for r in pii.find_pii(docs).collect()} == {(f"k{i}", 1) for i in range(40)} | {(None, 0)}
+    texts = [t for _, t in license_scan.TEMPLATES]
+    marked = spark.createDataFrame([("a", texts[0]), (None, texts[0]), ("b", "none")], "doc_id string, text string")
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "template_id string, text string")
+    assert {r.doc_id for r in license_scan.scan_licenses(marked, templates).collect()} == {"a", None}
