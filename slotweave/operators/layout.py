@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import ids
 
+from .spatial import within_boxes
+
 GROUP = "array<struct<s: double, n: int>>"
 
 
@@ -112,8 +114,7 @@ def template_boxes(anchors: DataFrame, rows: int = 3, columns: int = 8) -> DataF
 
 def words_in_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     """Words whose center lies in a box of their page, edges included."""
-    inside = center("x0", "x1").between(F.col("bx0"), F.col("bx1")) & center("top", "bottom").between(F.col("btop"), F.col("bbottom"))
-    return words.join(boxes, "page_id").filter(inside)
+    return within_boxes(words, boxes, "page_id", center("x0", "x1"), center("top", "bottom"), F.col("bx0"), F.col("btop"), F.col("bx1"), F.col("bbottom"))
 
 
 def slot_candidates(words: DataFrame, boxes: DataFrame, share: float = 0.75, least: float = 18.0) -> DataFrame:
@@ -122,23 +123,13 @@ def slot_candidates(words: DataFrame, boxes: DataFrame, share: float = 0.75, lea
     A box's tolerance is `share` of its width or height, `least` at least, from its middle.
     """
     wide, tall = (F.greatest(F.lit(least), share * F.greatest(F.lit(1.0), F.col(b) - F.col(a))) for a, b in (("bx0", "bx1"), ("btop", "bbottom")))
-    dx, dy = F.abs(center("x0", "x1") - center("bx0", "bx1")) / wide, F.abs(center("top", "bottom") - center("btop", "bbottom")) / tall
-    near = words.join(boxes, "page_id").withColumns({"dx": dx, "dy": dy}).filter((F.col("dx") <= 1) & (F.col("dy") <= 1))
+    x, y = center("bx0", "bx1"), center("btop", "bbottom")
+    reach = 1 + 1e-9  # a little more than the tolerance, which is judged below
+    close = within_boxes(words, boxes, "page_id", center("x0", "x1"), center("top", "bottom"), x - reach * wide, y - reach * tall, x + reach * wide, y + reach * tall)
+    near = close.withColumns({"dx": F.abs(center("x0", "x1") - x) / wide, "dy": F.abs(center("top", "bottom") - y) / tall}).filter((F.col("dx") <= 1) & (F.col("dy") <= 1))
     return near.select("page_id", "word_id", "row", "slot", F.round(F.hypot("dx", "dy"), 9).alias("distance"))
 
 
-def greedy_pairs(candidates: DataFrame, group: str, left: str, right: str, distance: str) -> DataFrame:
-    """One-to-one pairs per group, nearest first over the whole group; ties by left, then right."""
-    rows = F.array_sort(F.collect_list(F.struct(distance, left, right)))
-
-    def step(acc: Column, p: Column) -> Column:
-        free = ~F.exists(acc, lambda q: (q[left] == p[left]) | (q[right] == p[right]))
-        return F.when(free, F.concat(acc, F.array(p))).otherwise(acc)
-
-    kept = candidates.groupBy(group).agg(rows.alias("c")).withColumn("kept", F.aggregate("c", F.slice("c", 1, 0), step))
-    return kept.select(group, F.explode("kept").alias("p")).select(group, f"p.{left}", f"p.{right}", f"p.{distance}")
-
-
 def section_by_marker(cells: DataFrame, markers: DataFrame) -> DataFrame:
     """Adds section from the page's marker heights: above holders, before bonus, bonus, or unknown.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotweave.operators import layout as y
+from slotweave.operators import spatial as sp
 
 from .quality_queries import TYPED, kept, valid
 from .registry import register
@@ -94,14 +95,18 @@ def c09_words_outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("page_id", "word_id").join(excluded, ["page_id", "word_id"], "left_anti")
 
 
-@register("d15_greedy_assignment")
+CANDIDATES = f"{BOXES}, cd AS (SELECT w.page_id, word_id, row, slot, abs((x0 + x1) / 2 - (bx0 + bx1) / 2) / greatest(18, 0.75 * greatest(1, bx1 - bx0)) AS dx, abs((top + bottom) / 2 - (btop + bbottom) / 2) / greatest(18, 0.75 * greatest(1, bbottom - btop)) AS dy FROM {WORDS.replace('AS words', 'AS w')} JOIN bx ON w.page_id = bx.page_id WHERE regexp_matches(text, '^[0-9]{{5}}$'))"
+
+
+@register(
+    "d15_greedy_assignment",
+    f"""WITH {CANDIDATES}, ln AS (SELECT page_id, list([{{'d': round(sqrt(dx * dx + dy * dy), 9), 'w': word_id, 'b': (row * 8 + slot)::INT}}] ORDER BY round(sqrt(dx * dx + dy * dy), 9), word_id, row * 8 + slot) AS l FROM cd WHERE dx <= 1 AND dy <= 1 GROUP BY 1),
+    tk AS (SELECT page_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda q: q.w = x[1].w OR q.b = x[1].b)) > 0 THEN a ELSE list_concat(a, x) END)) AS p FROM ln) SELECT page_id, p.w AS word_id, p.b AS box, p.d AS distance FROM tk""",
+)
 def d15_greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = words(spark, sf_dir).filter(F.col("text").rlike("^[0-9]{5}$"))
     near = y.slot_candidates(five, boxes(spark, sf_dir)).withColumn("box", F.col("row") * 8 + F.col("slot"))
-    return y.greedy_pairs(near, "page_id", "word_id", "box", "distance")
-
-
-CANDIDATES = f"{BOXES}, cd AS (SELECT w.page_id, word_id, row, slot, abs((x0 + x1) / 2 - (bx0 + bx1) / 2) / greatest(18, 0.75 * greatest(1, bx1 - bx0)) AS dx, abs((top + bottom) / 2 - (btop + bbottom) / 2) / greatest(18, 0.75 * greatest(1, bbottom - btop)) AS dy FROM {WORDS.replace('AS words', 'AS w')} JOIN bx ON w.page_id = bx.page_id WHERE regexp_matches(text, '^[0-9]{{5}}$'))"
+    return sp.greedy_pairs(near, "page_id", "word_id", "box", "distance")
 
 
 @register("d15_slot_candidates", f"WITH {CANDIDATES} SELECT page_id, word_id, row::INT AS row, slot::INT AS slot, round(sqrt(dx * dx + dy * dy), 4) AS distance FROM cd WHERE dx <= 1 AND dy <= 1")

@@ -1,6 +1,6 @@
 import random
 
-from slotweave.operators import bands, cards, layout
+from slotweave.operators import bands, cards, layout, spatial
 from slotweave.streaming import catalog
 
 WORD = "page_id long, word_id long, text string, x0 double, top double, x1 double, bottom double"
@@ -184,7 +184,7 @@ def test_slot_candidates_and_greedy_pairs(spark):
     near = layout.slot_candidates(words, boxes)
     # tolerances: 18 by 18, and 75 by 18
     assert {(r.word_id, r.slot): round(r.distance, 4) for r in near.collect()} == {(1, 0): 0.0, (2, 0): 1.0, (2, 1): 0.8933, (3, 1): round(((15 / 75) ** 2 + 1) ** 0.5, 4)}
-    got = layout.greedy_pairs(near, "page_id", "word_id", "slot", "distance")
+    got = spatial.greedy_pairs(near, "page_id", "word_id", "slot", "distance")
     assert {(r.word_id, r.slot) for r in got.collect()} == {(1, 0), (2, 1)}
 
 

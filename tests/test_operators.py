@@ -2,7 +2,7 @@ import difflib
 
 from pyspark.sql import functions as F
 
-from slotweave.operators import layout, near, quality, resolve, review, score
+from slotweave.operators import layout, near, quality, resolve, review, score, spatial
 from slotweave.sources import ingest
 
 
@@ -118,7 +118,7 @@ def test_kmeans_against_plain_loop(spark):
 
 def test_greedy_pairs(spark):
     rows = [("p", 1, 1, 1.0), ("p", 1, 2, 0.5), ("p", 2, 2, 0.6), ("p", 2, 1, 3.0), ("q", 1, 1, 2.0)]
-    got = layout.greedy_pairs(spark.createDataFrame(rows, "g string, a int, b int, d double"), "g", "a", "b", "d").collect()
+    got = spatial.greedy_pairs(spark.createDataFrame(rows, "g string, a int, b int, d double"), "g", "a", "b", "d").collect()
     assert sorted((r.g, r.a, r.b) for r in got) == [("p", 1, 2), ("p", 2, 1), ("q", 1, 1)]
 
 
