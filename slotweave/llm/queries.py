@@ -64,12 +64,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_near_items", "near_items")
 
 
-def op10_near_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_items", "n_near_items", "near_items")
 
 
-def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benchmark_match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
@@ -96,8 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_source_mixing": op9_source_mixing,
     "op10_decontamination": op10_decontamination,
-    "op10_near_benchmark": op10_near_benchmark,
-    "op10_benchmark_matches": op10_benchmark_matches,
+    "near_benchmark_items": near_benchmark_items,
+    "benchmark_match_places": benchmark_match_places,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_quality_classifier": op13_quality_classifier,
