@@ -115,6 +115,8 @@ def similar_names(wanted: DataFrame, known: DataFrame, similarity, least: float,
     a, b = F.length("name"), F.length("known_name")
     possible = 2 * F.least(a, b) >= F.lit(least) * (a + b)
     pairs = pairs.filter(possible | inside if lift is not None else possible)
+    # few bytes a pair but long work: as many tasks as shuffles have, which adaptive execution must not merge by size
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name", "known_name")
     scored = pairs.withColumn("score", similarity(F.col("name"), F.col("known_name")))
     if lift is not None:
         scored = scored.withColumn("score", F.when(inside, F.greatest("score", F.lit(lift))).otherwise(F.col("score")))

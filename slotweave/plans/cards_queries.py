@@ -13,7 +13,7 @@ from slotweave.operators import cards as k
 from slotweave.operators import near as n
 from slotweave.operators import resolve as r
 from slotweave.operators.lineage import shared_dir
-from slotweave.streaming.catalog import latest_per_path, read_catalog, run_catalog_stream
+from slotweave.streaming.catalog import read_catalog, run_catalog_stream
 
 from . import duck as d
 from .near_queries import LINK, LINK_BASE, SIM, cores_sql, named_targets, rare_pairs
@@ -298,12 +298,15 @@ def a08_incremental_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("k01_catalog_stream", "SELECT user_id AS path, arg_max(value, event_id) AS size, max(event_id) AS version FROM events GROUP BY 1")
 def k01_catalog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as catalog rows, streamed in one pass and merged to the latest per path."""
+    """The events table as catalog rows, streamed in three batches that update one another, with a repeat and an idle restart; the table as the stream left it."""
     work = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("path"), F.col("value").alias("size"), F.col("event_id").alias("version"))
-    rows.write.parquet(f"{work}/in")
-    run_catalog_stream(spark, f"{work}/in", "path long, size double, version long", f"{work}/out", f"{work}/state")
-    return latest_per_path(read_catalog(spark, f"{work}/out")).select("path", "size", "version")
+    third = lambda k: rows.filter(F.col("version") % 3 == k)
+    for batch in (third(1), third(2), third(0).unionByName(third(1)), None):
+        if batch is not None:
+            batch.write.mode("append").parquet(f"{work}/in")
+        run_catalog_stream(spark, f"{work}/in", "path long, size double, version long", f"{work}/out", f"{work}/state")
+    return read_catalog(spark, f"{work}/out").select("path", "size", "version")
 
 
 @register("p01_build_summary", f"WITH {CASCADE}, b AS (SELECT src_ord, pog, side, row_number() OVER (PARTITION BY pog, side, row, col ORDER BY src_ord) AS copy, {d.classify('image_status')} = 'INTENTIONAL BLANK' AS is_blank FROM ok) SELECT pog, count(*) AS slots, count(*) FILTER (is_blank) AS blanks, count(*) FILTER (NOT is_blank AND source <> 'unresolved') AS resolved, count(*) FILTER (NOT is_blank AND source = 'unresolved') AS unresolved FROM b JOIN resolved USING (src_ord) WHERE copy = 1 GROUP BY 1")

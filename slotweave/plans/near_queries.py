@@ -148,7 +148,9 @@ def d17_rejections_by_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d17_name_fallback")
 def d17_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return n.name_fallback(*fallback_names(spark, sf_dir))
+    """Texts read from images as labels: they share brand and name with a product, not the rest, so the rule's own limits part links, rivals and strangers."""
+    rows = view(spark, sf_dir, "catalog").select(F.col("src_ord").alias("row_id"), F.col("detected_text").alias("raw_text"), F.col("detected_text").alias("name"))
+    return n.name_fallback(rows, fallback_names(spark, sf_dir)[1])
 
 
 LINK = f"""{cores_sql('a', "(SELECT DISTINCT upc AS target FROM pn)", 'target')}, {cores_sql('b', "(SELECT DISTINCT image FROM li)", 'image')},
