@@ -80,45 +80,114 @@ def near_reasons(targets: DataFrame, images: DataFrame) -> DataFrame:
     return found.groupBy("target", "image").agg(F.min("rule").alias("rule"))
 
 
-#: Words of a name, rarest first, of which one must be among those of the other name.
-RARE_WORDS = 3
+#: 64-bit words of a name's bag: its 256 most frequent members have a bit each.
+BAG_WORDS = 4
+#: Names of one member's list that meet as many of the other side in one group of a join.
+LIST_CHUNK = 8192
+#: Letters of the pieces by which contained names are found.
+PIECE = 8
 
 
-def rarest_words(wanted: DataFrame, known: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
-    """(name, word) and (known_name, word): the `rare` rarest of each name's words that occur on both sides."""
-    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))).alias("word"))
-    a, b = words(wanted, "name"), words(known, "known_name")
-    count = lambda df, n: df.groupBy("word").agg(F.count(F.lit(1)).alias(n))
-    common = count(a, "na").join(count(b, "nb"), "word").select("word", (F.col("na") + F.col("nb")).alias("n"))
+def bag(c: Column) -> Column:
+    """The characters of a name, each with the number of its occurrence: 'ABA' has A1, A2 and B1."""
+    times = lambda x: F.length(c) - F.length(F.replace(c, x, F.lit("")))
+    each = lambda x: F.transform(F.sequence(F.lit(1), (times(x) / F.length(x)).cast("int")), lambda k: F.concat(x, k.cast("string")))
+    return F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), each))
 
-    def few(df: DataFrame, c: str) -> DataFrame:
-        ranked = df.join(common, "word").groupBy(c).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, rare).alias("w"))
-        return ranked.select(c, F.explode("w.word").alias("word"))
 
-    return few(a, "name"), few(b, "known_name")
+def posted_names(df: DataFrame, c: str, rank: Column, least: float, longer: int) -> DataFrame:
+    """A row for each member of a name's two prefixes: as the longer of a pair (role `longer`) and as the shorter.
 
-
-def similar_names(wanted: DataFrame, known: DataFrame, similarity, least: float, lift: float | None = None, rare: int = RARE_WORDS) -> DataFrame:
-    """name, id, known_name, score: pairs of names that share one of their rarest words and are at least `least` alike.
-
-    wanted(name), known(id, known_name). Rare words keep frequent ones, which stand in
-    nearly every name, from bringing all pairs together; a pair whose lengths rule out
-    the score (a ratio is at most twice the shorter over both lengths) is dropped before
-    the similarity runs, once per distinct pair of names. A contained name counts at
-    least `lift`.
+    A pair that is `least` alike shares that part of its mean length. Of a name with n
+    letters that leaves out, from the rarest member on, n less the shared ones: the pair's
+    rarest shared member is among the one more that are posted.
+    """
+    n = F.length(c)
+    shortest = F.greatest(F.lit(1), F.ceil(n * least / (2 - least) - 1e-9))
+    need = lambda other: F.greatest(F.lit(1), F.ceil(least * (n + other) / 2 - 1e-9))
+    members = F.array_sort(F.transform(bag(F.col(c)), lambda e: F.struct(F.coalesce(rank[e], F.lit(-1)).alias("rank"), e.alias("member"))))
+    rows = df.withColumn("members", members)
+    word = lambda w: F.aggregate("members", F.lit(0).cast("long"), lambda s, m: F.when(F.floor(m["rank"] / 64) == w, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (m["rank"] % 64).cast("int")))).otherwise(s))
+    prefix = lambda role, need: F.transform(F.slice("members", F.lit(1), (n - need + 1).cast("int")), lambda m: F.struct(F.lit(role).alias("role"), m["rank"].alias("rank"), m["member"].alias("member")))
+    words = [word(w).alias(f"{c}_{w}") for w in range(BAG_WORDS)]
+    rest = F.size(F.filter("members", lambda m: m["rank"] < 0)).alias(f"{c}_rest")
+    return rows.select(c, *words, rest, F.explode(F.concat(prefix(longer, need(shortest)), prefix(1 - longer, need(n)))).alias("p")).select(c, *[f"{c}_{w}" for w in range(BAG_WORDS)], f"{c}_rest", "p.*")
+
+
+def sharing_names(names: DataFrame, others: DataFrame, least: float, chunk: int = LIST_CHUNK) -> DataFrame:
+    """name, known_name: all pairs whose shared characters, repeats counted, are at least `least` of their mean length.
+
+    names(name), others(known_name), distinct and not empty; least over 0. A prefix-filtered
+    join of bags: names meet in the list of their rarest shared member only, and there two
+    bit sets tell at once how much they share, so pairs that share less are never written.
+    With over 256 different members the rarest ones count as shared if both names have as
+    many: a few pairs more, never one less. Long lists meet in chunks. The driver reads the
+    256 most frequent members.
+    """
+    if not least > 0:
+        raise ValueError("names without a common character are not joined: least must be over 0")
+    spark = names.sparkSession
+    both = names.unionByName(others.select(F.col("known_name").alias("name")))
+    often = both.select(F.explode(bag(F.col("name"))).alias("e")).groupBy("e").count().orderBy(F.desc("count"), "e").limit(64 * BAG_WORDS).collect()
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(reversed(often)) for x in (r.e, k)]) if often else F.lit(None).cast("map<string,int>")
+    mine, theirs = posted_names(names, "name", rank, least, 1), posted_names(others, "known_name", rank, least, 0)
+    key = ["role", "member"]
+    count = lambda df, c: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(c))
+    chunks = count(mine, "mine").join(count(theirs, "theirs"), key)
+    cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = [*key, "i", "j"]
+    # few bytes but long work: as many tasks as shuffles have, which adaptive execution must not merge by size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = mine.drop("rank").join(chunks, key).withColumns({"i": cell("name", "mine"), "j": steps("theirs")}).drop("mine", "theirs").repartition(tasks, *at)
+    b = theirs.join(chunks, key).withColumns({"i": steps("mine"), "j": cell("known_name", "theirs")}).drop("mine", "theirs")
+    # bits of members before this one: a pair that shares one of them is reported there
+    bit = F.pmod(F.col("rank"), F.lit(64)).cast("int")
+    until = F.when(bit > 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - bit)).otherwise(F.lit(0).cast("long"))
+    before = {f"before_{w}": F.when(F.col("rank") >= 64 * (w + 1), F.lit(-1).cast("long")).when(F.col("rank") < 64 * w, F.lit(0).cast("long")).otherwise(until) for w in range(BAG_WORDS)}
+    b = b.withColumns(before).drop("rank").repartition(tasks, *at)
+    shared = [F.col(f"name_{w}").bitwiseAND(F.col(f"known_name_{w}")) for w in range(BAG_WORDS)]
+    earlier = sum((F.bit_count(s.bitwiseAND(F.col(f"before_{w}"))) for w, s in enumerate(shared)), F.lit(0))
+    most = sum((F.bit_count(s) for s in shared), F.least("name_rest", "known_name_rest"))
+    n, m = F.length("name"), F.length("known_name")
+    pairs = a.join(b, at).filter(((n >= m) == (F.col("role") == 1)) & (earlier == 0) & (2 * most >= F.lit(least) * (n + m) - 1e-9))
+    return pairs.select("name", "known_name").distinct()
+
+
+def contained_names(inner: DataFrame, outer: DataFrame, x: str, y: str) -> DataFrame:
+    """x, y: all pairs in which the name x of `inner` stands within the name y of `outer`.
+
+    Names are distinct and not empty. A name asks with the rarest of its pieces of eight
+    letters (a shorter one with itself) for the names that have this piece.
+    """
+    size = F.least(F.length(x), F.lit(PIECE))
+    sizes = [r.s for r in inner.select(size.alias("s")).distinct().collect()]
+    pieces = lambda c, s: F.when(F.length(c) >= s, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - s + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, s))).otherwise(F.array().cast("array<string>"))
+    listed = outer.select(y, F.explode(F.array_distinct(F.flatten(F.array(*[pieces(y, F.lit(s)) for s in sizes])) if sizes else F.array().cast("array<string>"))).alias("piece"))
+    asked = inner.select(x, F.explode(F.array_distinct(pieces(x, size))).alias("piece")).join(listed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "piece")
+    rarest = asked.groupBy(x).agg(F.min(F.struct("n", "piece")).alias("r")).select(x, F.col("r.piece").alias("piece"))
+    return rarest.join(listed, "piece").filter(F.contains(y, F.col(x))).select(x, y)
+
+
+def similar_names(wanted: DataFrame, known: DataFrame, similarity, least: float, lift: float | None = None) -> DataFrame:
+    """name, id, known_name, score: all pairs of names that are at least `least` alike.
+
+    wanted(name), known(id, known_name); empty and missing names have no pair. A similarity
+    is at most twice the shared characters over both lengths, as the matching-block and the
+    edit ratio are; it runs once per distinct pair of names that this bound lets through. A
+    contained name counts at least `lift`, whatever its length.
     """
     names = wanted.select("name").filter("name <> ''").distinct()
     others = known.select("known_name").filter("known_name <> ''").distinct()
-    mine, theirs = rarest_words(names, others, rare)
-    pairs = mine.join(theirs, "word").select("name", "known_name").distinct()
-    inside = F.contains("name", F.col("known_name")) | F.contains("known_name", F.col("name"))
-    a, b = F.length("name"), F.length("known_name")
-    possible = 2 * F.least(a, b) >= F.lit(least) * (a + b)
-    pairs = pairs.filter(possible | inside if lift is not None else possible)
-    # few bytes a pair but long work: as many tasks as shuffles have, which adaptive execution must not merge by size
+    # ratios rounded to 6 places may be a little under the bound
+    pairs = sharing_names(names, others, least - 1e-6)
+    if lift is not None and lift >= least:
+        within = contained_names(names, others, "name", "known_name").unionByName(contained_names(others, names, "known_name", "name"))
+        pairs = pairs.unionByName(within).distinct()
     pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name", "known_name")
     scored = pairs.withColumn("score", similarity(F.col("name"), F.col("known_name")))
     if lift is not None:
+        inside = F.contains("name", F.col("known_name")) | F.contains("known_name", F.col("name"))
         scored = scored.withColumn("score", F.when(inside, F.greatest("score", F.lit(lift))).otherwise(F.col("score")))
     return scored.filter(F.col("score") >= least).join(known, "known_name").select("name", "id", "known_name", "score")
 

@@ -15,7 +15,7 @@ from slotweave.operators.layout import holders_by_side
 
 from . import duck as d
 from .layout_queries import spans
-from .near_queries import SIM, labels, matrix, rare_pairs
+from .near_queries import SIM, labels, matrix, all_pairs
 from .quality_queries import TYPED, geometry, valid
 from .registry import register
 from .resolve_queries import LEGACY, PAIRS, best_images, review_top
@@ -117,7 +117,7 @@ ht AS (SELECT row_id, tier, pos, product, {SIM.format('name', 'norm_name')} AS s
 bs AS (SELECT row_id, product, tier FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY tier, pos, score DESC, product) AS q FROM ht) WHERE q = 1)"""
 
 
-PLACES = f"""{HINTS}, nm AS (SELECT DISTINCT name FROM lb WHERE name <> '' AND row_id NOT IN (SELECT row_id FROM bs)), {rare_pairs('nm', 'mx', 0.55)}, nb AS (SELECT name, product FROM (SELECT name, product, row_number() OVER (PARTITION BY name ORDER BY score DESC, product) AS q FROM (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN mx USING (norm_name)) WHERE score >= 0.55) WHERE q = 1),
+PLACES = f"""{HINTS}, nm AS (SELECT DISTINCT name FROM lb WHERE name <> '' AND row_id NOT IN (SELECT row_id FROM bs)), {all_pairs('nm', 'mx', 0.55)}, nb AS (SELECT name, product FROM (SELECT name, product, row_number() OVER (PARTITION BY name ORDER BY score DESC, product) AS q FROM (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN mx USING (norm_name)) WHERE score >= 0.55) WHERE q = 1),
 ln AS (SELECT row_id, product, tier FROM bs UNION ALL SELECT row_id, product, 3 FROM lb JOIN nb USING (name) WHERE row_id NOT IN (SELECT row_id FROM bs)), pl AS (SELECT src_ord AS row_id, side, row, col FROM {sql('placement')}),
 pt AS (SELECT DISTINCT side, row, col, product, norm_name FROM ln JOIN pl USING (row_id) JOIN mx USING (product) WHERE side <> '3'), op AS (SELECT row_id, side, row, col, name, {d.name('label')} AS raw_name FROM lb JOIN pl USING (row_id) WHERE row_id NOT IN (SELECT row_id FROM ln)),
 ps AS (SELECT row_id, product, round({SIM.format('name', 'norm_name')}, 6) AS f, count(*) OVER (PARTITION BY row_id) AS n, row_number() OVER (PARTITION BY row_id ORDER BY {SIM.format('name', 'norm_name')} DESC, {SIM.format('raw_name', 'norm_name')} DESC, product) AS q FROM op JOIN pt USING (side, row, col)),

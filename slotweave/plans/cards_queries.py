@@ -16,7 +16,7 @@ from slotweave.operators.lineage import shared_dir
 from slotweave.streaming.catalog import read_catalog, run_catalog_stream
 
 from . import duck as d
-from .near_queries import LINK, LINK_BASE, SIM, cores_sql, named_targets, rare_pairs
+from .near_queries import LINK, LINK_BASE, SIM, core, cores_sql, named_targets, all_pairs
 from .quality_queries import kept, valid
 from .registry import register
 from .resolve_queries import CASCADE, IDENTITY, LIBRARY, library_index, steps
@@ -255,21 +255,24 @@ def missing_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Named identifiers that stand in no file name, the named files, and numeric neighbours of those identifiers."""
     placed, files = named_targets(spark, sf_dir)
     missing = placed.join(files.select(F.col("image").alias("target")).distinct(), "target", "left_anti")
-    return missing, files, n.numeric_near(missing.select("target").distinct(), files.select("image").distinct()).filter("image LIKE '%7'")
+    return missing, files, n.numeric_near(missing.select("target").distinct(), files.select("image").distinct())
 
 
-SUGGESTED = f"""{LINK_BASE}, ms AS (SELECT upc AS target, name FROM pn WHERE upc NOT IN (SELECT image FROM li)), kn AS (SELECT DISTINCT known AS norm_name FROM li WHERE known <> ''), nz AS (SELECT DISTINCT name FROM ms WHERE name <> ''), {rare_pairs('nz', 'kn')},
+SUGGESTED = f"""{LINK_BASE}, ms AS (SELECT upc AS target, name FROM pn WHERE upc NOT IN (SELECT image FROM li)), kn AS (SELECT DISTINCT known AS norm_name FROM li WHERE known <> ''), nz AS (SELECT DISTINCT name FROM ms WHERE name <> ''), {all_pairs('nz', 'kn')},
 al AS (SELECT name, norm_name, CASE WHEN contains(name, norm_name) OR contains(norm_name, name) THEN greatest({SIM.format('name', 'norm_name')}, 0.88) ELSE {SIM.format('name', 'norm_name')} END AS score FROM pr),
-cd AS (SELECT DISTINCT target, image, norm_name, score FROM ms JOIN al USING (name) JOIN li ON known = norm_name WHERE score >= 0.5), {cores_sql('a', "(SELECT DISTINCT target FROM cd)", 'target')}, {cores_sql('b', "(SELECT DISTINCT image FROM cd)", 'image')},
+cd AS (SELECT DISTINCT target, image, norm_name, score FROM ms JOIN al USING (name) JOIN li ON known = norm_name WHERE score >= 0.72), {cores_sql('a', "(SELECT DISTINCT target FROM cd)", 'target')}, {cores_sql('b', "(SELECT DISTINCT image FROM cd)", 'image')},
 rl AS (SELECT target, image, min(CASE WHEN a.v = b.v THEN 1 WHEN abs(length(a.v) - length(b.v)) <= 1 AND levenshtein(a.v, b.v) <= 1 THEN 2 WHEN contains(a.v, b.v) OR contains(b.v, a.v) THEN 3 WHEN length(a.v) >= 11 AND length(b.v) >= 11 AND a.v[2:10] = b.v[2:10] THEN 4 END) AS rule FROM (SELECT DISTINCT target, image FROM cd) JOIN a USING (target) JOIN b USING (image) GROUP BY 1, 2),
 cf AS (SELECT target, image, norm_name, CASE WHEN rule IS NULL THEN score ELSE greatest(score, 0.86) END AS confidence, CASE rule WHEN 1 THEN '{n.REASONS[0]}' WHEN 2 THEN '{n.REASONS[1]}' WHEN 3 THEN '{n.REASONS[2]}' WHEN 4 THEN '{n.REASONS[3]}' ELSE 'similar name' END AS reason FROM cd LEFT JOIN rl USING (target, image) WHERE target IN (SELECT target FROM a) AND image IN (SELECT image FROM b)),
-tk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY confidence DESC, norm_name, image) AS k FROM (SELECT * FROM cf UNION ALL SELECT target, image, norm_name, score, 'similar name' FROM cd WHERE target NOT IN (SELECT target FROM a) OR image NOT IN (SELECT image FROM b)))"""
+tk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY confidence DESC, norm_name, image) AS k FROM (SELECT * FROM cf UNION ALL SELECT target, image, norm_name, score, 'similar name' FROM cd WHERE target NOT IN (SELECT target FROM a) OR image NOT IN (SELECT image FROM b))),
+nt AS (SELECT target, {core('target')} AS a FROM (SELECT DISTINCT target FROM ms)), ni AS (SELECT image, {core('image')} AS b FROM (SELECT DISTINCT image FROM li)),
+np AS (SELECT target, image, CASE WHEN length(a) >= 11 AND length(b) >= 11 AND a[1:11] = b[1:11] THEN 11 WHEN a[1:10] = b[1:10] THEN 10 ELSE 9 END AS prefix, abs(a::BIGINT - b::BIGINT) AS distance FROM nt JOIN ni ON length(a) >= 10 AND length(b) >= 10 AND a[1:9] = b[1:9]),
+nn AS (SELECT target, image, row_number() OVER (PARTITION BY target ORDER BY prefix DESC, distance, image) AS k FROM np WHERE (prefix >= 10 AND distance <= 250) OR distance <= 100)"""
 
 
-@register("j06_suggestions", f"WITH {SUGGESTED}, g AS (SELECT target, image, norm_name, confidence, reason, row_number() OVER (PARTITION BY target, image ORDER BY confidence DESC, norm_name, reason) AS q FROM tk WHERE k <= 5) SELECT target AS current, image AS suggested, norm_name AS image_name, round(confidence, 4) AS confidence, reason FROM g WHERE q = 1")
+@register("j06_suggestions", f"WITH {SUGGESTED}, g AS (SELECT target, image, norm_name, confidence, reason, row_number() OVER (PARTITION BY target, image ORDER BY confidence DESC, norm_name, reason) AS q FROM (SELECT target, image, norm_name, confidence, reason FROM tk WHERE k <= 5 UNION ALL SELECT target, image, '', 0.5, 'numeric neighbour' FROM nn WHERE k = 1)) SELECT target AS current, image AS suggested, norm_name AS image_name, round(confidence, 4) AS confidence, reason FROM g WHERE q = 1")
 def j06_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing, files, numeric = missing_names(spark, sf_dir)
-    return n.suggested_aliases(missing, files, numeric.limit(0), n.edit_ratio, 0.5)
+    return n.suggested_aliases(missing, files, numeric, n.edit_ratio)
 
 
 @register("j06_suggestions_by_blocks")

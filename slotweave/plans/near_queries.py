@@ -106,16 +106,13 @@ def l01_last5_best_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.best_of_key(labels(spark, sf_dir), matrix(spark, sf_dir), n.name_ratio)
 
 
-def rare_pairs(wanted: str, known: str, least: float | None = None) -> str:
-    """Tables w1, w2, cw, k1, k2 and pr: pairs of names in tables of (name) and (norm_name) that share one of their three rarest common words."""
+def all_pairs(wanted: str, known: str, least: float | None = None) -> str:
+    """Table pr: all pairs of names in tables of (name) and (norm_name), but those whose lengths rule out `least`."""
     bound = "" if least is None else f" WHERE 2 * least(length(name), length(norm_name)) >= {least} * (length(name) + length(norm_name))"
-    return f"""w1 AS (SELECT name, word FROM (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS word FROM {wanted}) WHERE word <> ''), w2 AS (SELECT norm_name, word FROM (SELECT DISTINCT norm_name, unnest(string_split(norm_name, ' ')) AS word FROM {known}) WHERE word <> ''),
-cw AS (SELECT word, na + nb AS n FROM (SELECT word, count(*) AS na FROM w1 GROUP BY 1) JOIN (SELECT word, count(*) AS nb FROM w2 GROUP BY 1) USING (word)),
-k1 AS (SELECT name, word FROM (SELECT name, word, row_number() OVER (PARTITION BY name ORDER BY n, word) AS k FROM w1 JOIN cw USING (word)) WHERE k <= 3), k2 AS (SELECT norm_name, word FROM (SELECT norm_name, word, row_number() OVER (PARTITION BY norm_name ORDER BY n, word) AS k FROM w2 JOIN cw USING (word)) WHERE k <= 3),
-pr AS (SELECT DISTINCT name, norm_name FROM k1 JOIN k2 USING (word){bound})"""
+    return f"pr AS (SELECT name, norm_name FROM (SELECT DISTINCT name FROM {wanted} WHERE name <> ''), (SELECT DISTINCT norm_name FROM {known} WHERE norm_name <> ''){bound})"
 
 
-NAMES = f"""{MATRIX}, nm AS (SELECT DISTINCT {d.name('desc_1')} AS name FROM {sql('placement')}), {rare_pairs('nm', 'mx')}, sc AS (SELECT name, norm_name, CASE WHEN contains(name, norm_name) OR contains(norm_name, name) THEN greatest({SIM.format('name', 'norm_name')}, 0.88) ELSE {SIM.format('name', 'norm_name')} END AS score FROM pr),
+NAMES = f"""{MATRIX}, nm AS (SELECT DISTINCT {d.name('desc_1')} AS name FROM {sql('placement')}), {all_pairs('nm', 'mx')}, sc AS (SELECT name, norm_name, CASE WHEN contains(name, norm_name) OR contains(norm_name, name) THEN greatest({SIM.format('name', 'norm_name')}, 0.88) ELSE {SIM.format('name', 'norm_name')} END AS score FROM pr),
 sn AS (SELECT name, last5 AS id, max(score) AS score FROM sc JOIN mx USING (norm_name) WHERE score >= 0.5 GROUP BY 1, 2),
 tp AS (SELECT *, row_number() OVER w AS k, round(score - coalesce(lead(score) OVER w, 0), 6) AS margin FROM sn WINDOW w AS (PARTITION BY name ORDER BY score DESC, id))"""
 
@@ -132,7 +129,7 @@ for rule in PRICES:
     CLEAN = f"regexp_replace({CLEAN}, '{rule}', ' ', 'g')"
 PACKED = "(" + " OR ".join(f"contains(' ' || {{0}} || ' ', ' {t} ')" for t in PACKAGING) + ")"
 FALLBACK = rf"""mx AS (SELECT src_ord AS product, {d.name('NAME')} AS norm_name, TRY_CAST(regexp_replace({d.txt('CPP')}, '\.0$', '') AS BIGINT) AS cpp FROM {sql('matrix')}), ok AS (SELECT * FROM mx WHERE cpp > 0 AND NOT {PACKED.format('norm_name')}),
-lb AS (SELECT * FROM (SELECT src_ord AS row_id, {d.name(CLEAN)} AS name FROM {sql('placement')} WHERE NOT {PACKED.format(d.name('desc_1'))}) WHERE name <> ''), {rare_pairs('lb', 'ok', 0.3)},
+lb AS (SELECT * FROM (SELECT src_ord AS row_id, {d.name(CLEAN)} AS name FROM {sql('placement')} WHERE NOT {PACKED.format(d.name('desc_1'))}) WHERE name <> ''), {all_pairs('lb', 'ok', 0.3)},
 sn AS (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN ok USING (norm_name)), tp AS (SELECT name, product, score, lead(score) OVER w AS next, row_number() OVER w AS k FROM sn WHERE score >= 0.3 WINDOW w AS (PARTITION BY name ORDER BY score DESC, product))"""
 
 
