@@ -83,7 +83,7 @@ def near_reasons(targets: DataFrame, images: DataFrame) -> DataFrame:
 #: 64-bit words of a name's bag: its 256 most frequent members have a bit each.
 BAG_WORDS = 4
 #: Names of one member's list that meet as many of the other side in one group of a join.
-LIST_CHUNK = 8192
+LIST_CHUNK = 1024
 #: Letters of the pieces by which contained names are found.
 PIECE = 8
 
@@ -130,15 +130,16 @@ def sharing_names(names: DataFrame, others: DataFrame, least: float, chunk: int
     both = names.unionByName(others.select(F.col("known_name").alias("name")))
     often = both.select(F.explode(bag(F.col("name"))).alias("e")).groupBy("e").count().orderBy(F.desc("count"), "e").limit(64 * BAG_WORDS).collect()
     rank = F.create_map(*[F.lit(x) for k, r in enumerate(reversed(often)) for x in (r.e, k)]) if often else F.lit(None).cast("map<string,int>")
-    mine, theirs = posted_names(names, "name", rank, least, 1), posted_names(others, "known_name", rank, least, 0)
+    # few bytes but long work: as many tasks as shuffles have, which adaptive execution must not merge by size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mine = posted_names(names.repartition(tasks, "name"), "name", rank, least, 1)
+    theirs = posted_names(others.repartition(tasks, "known_name"), "known_name", rank, least, 0)
     key = ["role", "member"]
     count = lambda df, c: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(c))
     chunks = count(mine, "mine").join(count(theirs, "theirs"), key)
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = [*key, "i", "j"]
-    # few bytes but long work: as many tasks as shuffles have, which adaptive execution must not merge by size
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     a = mine.drop("rank").join(chunks, key).withColumns({"i": cell("name", "mine"), "j": steps("theirs")}).drop("mine", "theirs").repartition(tasks, *at)
     b = theirs.join(chunks, key).withColumns({"i": steps("mine"), "j": cell("known_name", "theirs")}).drop("mine", "theirs")
     # bits of members before this one: a pair that shares one of them is reported there

@@ -109,7 +109,9 @@ def i04_smallest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABEL_TEXT = "concat(desc_1, ' ', CASE WHEN src_ord % 2 = 0 THEN upc ELSE '' END, ' ', item_number)"
-HINTS = f"""lb AS (SELECT src_ord AS row_id, {LABEL_TEXT} AS label, CASE WHEN src_ord % 3 = 0 THEN '' ELSE lpad(CAST((7000 * TRY_CAST(nullif({d.digits('item_number')}, '') AS BIGINT)) % 100000 AS VARCHAR), 5, '0') END AS last5, {d.name('desc_1')} AS name FROM {sql('placement')}),
+#: The name on a label: brand and product, either of which may lack.
+LABEL_NAME = "concat(brand, ' ', desc_2)"
+HINTS = f"""lb AS (SELECT src_ord AS row_id, {LABEL_TEXT} AS label, CASE WHEN src_ord % 3 = 0 THEN '' ELSE lpad(CAST((7000 * TRY_CAST(nullif({d.digits('item_number')}, '') AS BIGINT)) % 100000 AS VARCHAR), 5, '0') END AS last5, {d.name(LABEL_NAME)} AS name FROM {sql('placement')}),
 mx AS (SELECT src_ord AS product, {d.pad(d.digits('UPC'), 12)} AS upc12, right({d.digits('UPC')}, 5) AS last5, {d.name('NAME')} AS norm_name FROM {sql('matrix')}), rn AS (SELECT *, regexp_extract_all(label, '[0-9]{{4,14}}') AS a FROM lb),
 ks AS (SELECT row_id, name, 0 AS tier, 0 AS pos, last5 AS key, 'five' AS kind FROM lb WHERE last5 <> '' UNION ALL SELECT row_id, name, 1, p, x[p], 'upc' FROM (SELECT row_id, name, list_transform(list_filter(a, lambda v: length(v) >= 11), lambda v: lpad(right(v, 12), 12, '0')) AS x FROM rn), unnest(range(1, len(x) + 1)) t(p)
   UNION ALL SELECT row_id, name, 2, p, x[p], 'five' FROM (SELECT row_id, name, list_filter(list_transform(list_filter(a, lambda v: length(v) >= 5), lambda v: right(v, 5)), lambda v: v <> last5) AS x FROM rn), unnest(range(1, len(x) + 1)) t(p)),
@@ -117,18 +119,18 @@ ht AS (SELECT row_id, tier, pos, product, {SIM.format('name', 'norm_name')} AS s
 bs AS (SELECT row_id, product, tier FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY tier, pos, score DESC, product) AS q FROM ht) WHERE q = 1)"""
 
 
-PLACES = f"""{HINTS}, nm AS (SELECT DISTINCT name FROM lb WHERE name <> '' AND row_id NOT IN (SELECT row_id FROM bs)), {all_pairs('nm', 'mx', 0.55)}, nb AS (SELECT name, product FROM (SELECT name, product, row_number() OVER (PARTITION BY name ORDER BY score DESC, product) AS q FROM (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN mx USING (norm_name)) WHERE score >= 0.55) WHERE q = 1),
+PLACES = f"""{HINTS}, nm AS (SELECT DISTINCT name FROM lb WHERE name <> '' AND row_id NOT IN (SELECT row_id FROM bs)), {all_pairs('nm', 'mx', 0.78)}, nb AS (SELECT name, product FROM (SELECT name, product, row_number() OVER (PARTITION BY name ORDER BY score DESC, product) AS q FROM (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN mx USING (norm_name)) WHERE score >= 0.78) WHERE q = 1),
 ln AS (SELECT row_id, product, tier FROM bs UNION ALL SELECT row_id, product, 3 FROM lb JOIN nb USING (name) WHERE row_id NOT IN (SELECT row_id FROM bs)), pl AS (SELECT src_ord AS row_id, side, row, col FROM {sql('placement')}),
-pt AS (SELECT DISTINCT side, row, col, product, norm_name FROM ln JOIN pl USING (row_id) JOIN mx USING (product) WHERE side <> '3'), op AS (SELECT row_id, side, row, col, name, {d.name('label')} AS raw_name FROM lb JOIN pl USING (row_id) WHERE row_id NOT IN (SELECT row_id FROM ln)),
-ps AS (SELECT row_id, product, round({SIM.format('name', 'norm_name')}, 6) AS f, count(*) OVER (PARTITION BY row_id) AS n, row_number() OVER (PARTITION BY row_id ORDER BY {SIM.format('name', 'norm_name')} DESC, {SIM.format('raw_name', 'norm_name')} DESC, product) AS q FROM op JOIN pt USING (side, row, col)),
-po AS (SELECT op.* FROM op WHERE row_id NOT IN (SELECT row_id FROM ps WHERE q = 1 AND f >= 0.3)), pa AS (SELECT row_id, product, round({SIM.format('name', 'norm_name')}, 6) AS f, count(*) OVER (PARTITION BY row_id) AS n, row_number() OVER (PARTITION BY row_id ORDER BY {SIM.format('name', 'norm_name')} DESC, {SIM.format('raw_name', 'norm_name')} DESC, product) AS q FROM po JOIN (SELECT DISTINCT row, col, product, norm_name FROM pt) USING (row, col)),
-fd AS (SELECT row_id, product, tier, NULL::INT AS n, NULL::DOUBLE AS f FROM ln UNION ALL SELECT row_id, product, 4, n::INT, f FROM ps WHERE q = 1 AND f >= 0.3 UNION ALL SELECT po.row_id, CASE WHEN f >= 0.3 THEN product END, CASE WHEN f >= 0.3 THEN 5 END, coalesce(n, 0)::INT, f FROM po LEFT JOIN (SELECT * FROM pa WHERE q = 1) z ON z.row_id = po.row_id)"""
+pt AS (SELECT DISTINCT side, row, col, product, norm_name FROM ln JOIN pl USING (row_id) JOIN mx USING (product) WHERE side <> '3'), op AS (SELECT row_id, side, row, col, name, {d.name('label')} AS raw_name, CASE WHEN name <> '' THEN name ELSE {d.name('label')} END AS asked FROM lb JOIN pl USING (row_id) WHERE row_id NOT IN (SELECT row_id FROM ln)),
+ps AS (SELECT row_id, product, round({SIM.format('asked', 'norm_name')}, 6) AS f, count(*) OVER (PARTITION BY row_id) AS n, row_number() OVER (PARTITION BY row_id ORDER BY {SIM.format('asked', 'norm_name')} DESC, {SIM.format('raw_name', 'norm_name')} DESC, product) AS q FROM op JOIN pt USING (side, row, col)),
+po AS (SELECT op.* FROM op WHERE row_id NOT IN (SELECT row_id FROM ps WHERE q = 1 AND f >= 0.6)), pa AS (SELECT row_id, product, round({SIM.format('asked', 'norm_name')}, 6) AS f, count(*) OVER (PARTITION BY row_id) AS n, row_number() OVER (PARTITION BY row_id ORDER BY {SIM.format('asked', 'norm_name')} DESC, {SIM.format('raw_name', 'norm_name')} DESC, product) AS q FROM po JOIN (SELECT DISTINCT row, col, product, norm_name FROM pt) USING (row, col)),
+fd AS (SELECT row_id, product, tier, NULL::INT AS n, NULL::DOUBLE AS f FROM ln UNION ALL SELECT row_id, product, 4, n::INT, f FROM ps WHERE q = 1 AND f >= 0.6 UNION ALL SELECT po.row_id, CASE WHEN f >= 0.6 THEN product END, CASE WHEN f >= 0.6 THEN 5 END, coalesce(n, 0)::INT, f FROM po LEFT JOIN (SELECT * FROM pa WHERE q = 1) z ON z.row_id = po.row_id)"""
 
 
 def hinted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     five = F.lpad(((F.nullif(ids.digits_only("item_number"), F.lit("")).cast("long") * 7000) % 100000).cast("string"), 5, "0")
     rows = view(spark, sf_dir, "placement").select(
-        F.col("src_ord").alias("row_id"), F.expr(LABEL_TEXT).alias("label"), F.when(F.col("src_ord") % 3 == 0, "").otherwise(five).alias("last5"), text.norm_name("desc_1").alias("name"),
+        F.col("src_ord").alias("row_id"), F.expr(LABEL_TEXT).alias("label"), F.when(F.col("src_ord") % 3 == 0, "").otherwise(five).alias("last5"), text.norm_name(F.expr(LABEL_NAME)).alias("name"),
         "side", "row", F.col("col").alias("slot"), (F.col("side") != "3").alias("whole"), text.norm_name(F.expr(LABEL_TEXT)).alias("raw_name"),
     )
     products = view(spark, sf_dir, "matrix").select(F.col("src_ord").alias("product"), ids.coerce_upc12("UPC").alias("upc12"), F.right(ids.digits_only("UPC"), F.lit(5)).alias("last5"), text.norm_name("NAME").alias("norm_name"))
@@ -137,7 +139,7 @@ def hinted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @register("d18_hint_cascade", f"WITH {PLACES} SELECT row_id, product, CASE tier WHEN 0 THEN 'exact_last5' WHEN 1 THEN 'hint_upc' WHEN 2 THEN 'hint_last5' WHEN 3 THEN 'name' WHEN 4 THEN 'position_side' WHEN 5 THEN 'position_any' ELSE 'unresolved' END AS path, n AS n_candidates, f AS score FROM lb LEFT JOIN fd USING (row_id)")
 def d18_hint_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.hint_cascade(*hinted(spark, sf_dir), n.edit_ratio, 0.55, 0.3)
+    return b.hint_cascade(*hinted(spark, sf_dir), n.edit_ratio)
 
 
 @register("d18_hint_cascade_by_blocks")

@@ -143,6 +143,21 @@ def d17_rejections_by_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.name_fallback(*fallback_names(spark, sf_dir), n.edit_ratio, 0.3, 0.001)
 
 
+READ = "detected_text"
+for rule in PRICES:
+    READ = f"regexp_replace({READ}, '{rule}', ' ', 'g')"
+READ_FALLBACK = rf"""mx AS (SELECT src_ord AS product, {d.name('NAME')} AS norm_name, TRY_CAST(regexp_replace({d.txt('CPP')}, '\.0$', '') AS BIGINT) AS cpp FROM {sql('matrix')}), ok AS (SELECT * FROM mx WHERE cpp > 0 AND NOT {PACKED.format('norm_name')}),
+lb AS (SELECT * FROM (SELECT src_ord AS row_id, {d.name(READ)} AS name FROM {sql('catalog')} WHERE NOT {PACKED.format(d.name('detected_text'))}) WHERE name <> ''), {all_pairs('lb', 'ok', 0.72)},
+sn AS (SELECT name, product, {SIM.format('name', 'norm_name')} AS score FROM pr JOIN ok USING (norm_name)), tp AS (SELECT name, product, score, lead(score) OVER w AS next, row_number() OVER w AS k FROM sn WHERE score >= 0.72 WINDOW w AS (PARTITION BY name ORDER BY score DESC, product))"""
+
+
+@register("d17_name_fallback_by_edits", f"WITH {READ_FALLBACK} SELECT row_id, product, score, next FROM lb JOIN tp USING (name) WHERE k = 1 AND (next IS NULL OR next < score - 0.04)")
+def d17_name_fallback_by_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule's own limits with the edit ratio, over the texts read from images."""
+    rows = view(spark, sf_dir, "catalog").select(F.col("src_ord").alias("row_id"), F.col("detected_text").alias("raw_text"), F.col("detected_text").alias("name"))
+    return n.name_fallback(rows, fallback_names(spark, sf_dir)[1], n.edit_ratio)
+
+
 @register("d17_name_fallback")
 def d17_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts read from images as labels: they share brand and name with a product, not the rest, so the rule's own limits part links, rivals and strangers."""
