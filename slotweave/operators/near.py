@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from slotweave.functions import ids, text
 
+from .lineage import materialise
+
 REASONS = ["same core", "one digit changed, added or dropped", "extra digit at an end", "same middle digits"]
 
 
@@ -178,8 +180,9 @@ def similar_names(wanted: DataFrame, known: DataFrame, similarity, least: float,
     edit ratio are; it runs once per distinct pair of names that this bound lets through. A
     contained name counts at least `lift`, whatever its length.
     """
-    names = wanted.select("name").filter("name <> ''").distinct()
-    others = known.select("known_name").filter("known_name <> ''").distinct()
+    # read several times below: written once, so that what they come from runs once
+    names = materialise(wanted.select("name").filter("name <> ''").distinct(), "names-wanted")
+    others = materialise(known.select("known_name").filter("known_name <> ''").distinct(), "names-known")
     # ratios rounded to 6 places may be a little under the bound
     pairs = sharing_names(names, others, least - 1e-6)
     if lift is not None and lift >= least:
