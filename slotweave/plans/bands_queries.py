@@ -15,7 +15,7 @@ from slotweave.operators.layout import holders_by_side
 
 from . import duck as d
 from .layout_queries import spans
-from .near_queries import SIM, labels, matrix, all_pairs
+from .near_queries import SIM, all_pairs, labels, matrix
 from .quality_queries import TYPED, geometry, valid
 from .registry import register
 from .resolve_queries import LEGACY, PAIRS, best_images, review_top

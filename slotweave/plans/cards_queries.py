@@ -12,11 +12,12 @@ from slotweave.functions import ids, text
 from slotweave.operators import cards as k
 from slotweave.operators import near as n
 from slotweave.operators import resolve as r
+from slotweave.operators.jobs import match_report
 from slotweave.operators.lineage import shared_dir
 from slotweave.streaming.catalog import read_catalog, run_catalog_stream
 
 from . import duck as d
-from .near_queries import LINK, LINK_BASE, SIM, core, cores_sql, named_targets, all_pairs
+from .near_queries import LINK, LINK_BASE, SIM, all_pairs, core, cores_sql, named_targets
 from .quality_queries import kept, valid
 from .registry import register
 from .resolve_queries import CASCADE, IDENTITY, LIBRARY, library_index, steps
@@ -222,26 +223,13 @@ REPORT = rf"""{LIBRARY}, {LINK_BASE}, {LINK}, ids AS (SELECT DISTINCT upc FROM p
 nu AS (SELECT DISTINCT upc FROM ids JOIN (SELECT DISTINCT ltrim(image, '0') AS b FROM li) ON length(b) >= 10 AND b[1:9] = upc[1:9] AND ((b[1:10] = upc[1:10] AND abs((CASE WHEN length(b) = 12 THEN b[1:11] ELSE b END)::BIGINT - upc::BIGINT) <= 250) OR abs((CASE WHEN length(b) = 12 THEN b[1:11] ELSE b END)::BIGINT - upc::BIGINT) <= 100))"""
 
 
-def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per identifier: FOUND by key, FOUND_NEAR by name and near identifier, REVIEW_NUMERIC_NEAR, or MISSING."""
-    placed = view(spark, sf_dir, "placement").select(ids.digits_only("upc").alias("target"), text.norm_name("description").alias("name")).filter("target <> ''").distinct()
-    wanted = placed.select("target").distinct()
-    keys = ids.distinct_keys(F.array("target", ids.with_check(F.col("target")), F.right("target", F.lit(5))))
-    found = r.lookup(wanted, "target", keys, library_index(spark, sf_dir)).select("target", F.lit(1).alias("tier"))
-    files = view(spark, sf_dir, "library").select(F.explode(F.regexp_extract_all(ids.stem("path"), F.lit("([0-9]{5,14})"), 1)).alias("image"), text.name_from_filename(ids.stem("path")).alias("known_name")).distinct()
-    named = n.linked_by_name_and_id(placed, files, n.edit_ratio).select(F.col("name").alias("target"), F.lit(2).alias("tier"))
-    numeric = n.numeric_near(wanted, files.select("image").distinct()).select("target", F.lit(3).alias("tier"))
-    tiers = found.unionByName(named).unionByName(numeric).groupBy("target").agg(F.min("tier").alias("tier"))
-    names = F.array(*[F.lit(s) for s in ("FOUND", "FOUND_NEAR", "REVIEW_NUMERIC_NEAR")])
-    return wanted.join(tiers, "target", "left").select(F.col("target").alias("upc"), F.when(F.col("tier").isNotNull(), F.element_at(names, F.col("tier"))).otherwise("MISSING").alias("status"))
-
-
 @register(
     "e16_p06_match_report",
     f"WITH {REPORT} SELECT upc, CASE WHEN upc IN (SELECT upc FROM lk) THEN 'FOUND' WHEN upc IN (SELECT upc FROM nm) THEN 'FOUND_NEAR' WHEN upc IN (SELECT upc FROM nu) THEN 'REVIEW_NUMERIC_NEAR' ELSE 'MISSING' END AS status FROM ids",
 )
 def e16_p06_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_report(spark, sf_dir).orderBy("status", "upc")
+    placed, files = named_targets(spark, sf_dir)
+    return match_report(placed, files, library_index(spark, sf_dir), n.edit_ratio).orderBy("status", "upc")
 
 
 @register("h02_merged_indexes", f"WITH {LIBRARY} SELECT key, CASE WHEN length(key) % 2 = 0 THEN '/new/' || key ELSE path END AS path FROM lib")

@@ -161,3 +161,14 @@ def test_incremental_catalog(spark):
     new = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 2, 1), ("d", 1, 1)], "path string, size int, mtime int")
     reuse, process = ingest.split_unchanged(new, old)
     assert [r.path for r in reuse.collect()] == ["a"] and sorted(r.path for r in process.collect()) == ["b", "c", "d"]
+
+
+def test_match_report_takes_the_first_that_holds(spark):
+    """Key before name, name before number; a target with several names counts once."""
+    from slotweave.operators import jobs
+
+    placed = [("19674000017", "RED GEAR"), ("19674000017", ""), ("19674000108", "BLUE GEAR CARD"), ("19674009999", "GOLD"), ("555", "")]
+    files = [("19674000107", "BLUE GEAR CARD"), ("19674009990", "SILVER"), ("19674009990", "")]
+    index = spark.createDataFrame([("00017", "/lib/a.png", 1)], "key string, path string, src_ord int")
+    got = jobs.match_report(spark.createDataFrame(placed, "target string, name string"), spark.createDataFrame(files, "image string, known_name string"), index)
+    assert {r.upc: r.status for r in got.collect()} == {"19674000017": "FOUND", "19674000108": "FOUND_NEAR", "19674009999": "REVIEW_NUMERIC_NEAR", "555": "MISSING"} and got.count() == 4
