@@ -31,6 +31,7 @@ BRANDS = [
 ]
 OCR_BRANDS = [(b, [a for a in names if a not in ("PS", "APPLEBEE S", "MCDONALD S")]) for b, names in BRANDS] + [("DARDEN", ["DARDEN", "OLIVE GARDEN"])]
 CATALOG_BRANDS = [(b.lower(), [a.lower() for a in names if a not in ("APPLEBEE S", "MCDONALD S")]) for b, names in BRANDS]
+# Words and amounts that results must agree on.
 GENERIC_TOKENS = ["GIFT", "CARD", "CARDS", "HOLIDAY", "DIGITAL", "EGIFT", "VALUE", "VARIABLE", "ASSORTED", "ONLINE", "EXCHANGE", "BARCODE"]
 LEGACY_STOP = ["gift", "card", "cards", "digital", "egift", "the", "and", "for", "with"]
 NAME_STOP = ["A", "AN", "AND", "FOR", "IN", "OF", "ON", "OR", "THE", "TO", "WITH"]
