@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import ids, text
 
+from .lineage import materialise
+
 SLOT = ["pog", "side", "row", "col"]
 # The status words and the section that mark rows without an image.
 BLANK_STATUS = "INTENTIONAL BLANK"
@@ -118,8 +120,12 @@ def product_groups(df: DataFrame) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:
-    """1, 2, ... by a unique order column, without one task holding all rows."""
-    placed = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    """1, 2, ... by a unique order column, without one task holding all rows.
+
+    Ranges are drawn anew and merged by size each time a plan runs: rows are written once
+    with the range they are in, so that sizes and places are those of the same ranges.
+    """
+    placed = materialise(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row per task
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -172,3 +172,17 @@ def test_match_report_takes_the_first_that_holds(spark):
     index = spark.createDataFrame([("00017", "/lib/a.png", 1)], "key string, path string, src_ord int")
     got = jobs.match_report(spark.createDataFrame(placed, "target string, name string"), spark.createDataFrame(files, "image string, known_name string"), index)
     assert {r.upc: r.status for r in got.collect()} == {"19674000017": "FOUND", "19674000108": "FOUND_NEAR", "19674009999": "REVIEW_NUMERIC_NEAR", "555": "MISSING"} and got.count() == 4
+
+
+def test_global_rank_counts_every_row_of_many_ranges(spark):
+    rows = spark.range(300000, numPartitions=6).select(((F.col("id") * 7919) % 300000).alias("ord"), F.repeat(F.col("id").cast("string"), 20).alias("load"))
+    small = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    kept = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        ranked = quality.global_rank(rows, "ord", "rank")
+        assert ranked.agg(F.count("load"), F.count_if(F.col("rank") != F.col("ord") + 1), F.count_if(F.length("load") > 120)).first() == (300000, 0, 0)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
