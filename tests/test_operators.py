@@ -2,6 +2,7 @@ import difflib
 
 from pyspark.sql import functions as F
 
+from slotweave.functions import ids
 from slotweave.operators import layout, near, quality, resolve, review, score, spatial
 from slotweave.sources import ingest
 
@@ -186,3 +187,16 @@ def test_global_rank_counts_every_row_of_many_ranges(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def broadcasts(df) -> bool:
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_does_not_broadcast_the_index(spark, tmp_path):
+    spark.range(50).selectExpr("id AS src_ord", "concat('/lib/', 19674000000 + 7 * id, '.png') AS path").write.parquet(f"{tmp_path}/files")
+    index = resolve.key_index(spark.read.parquet(f"{tmp_path}/files"), ids.filename_keys("path"))
+    rows = spark.createDataFrame([(1, "19674000007"), (2, "19674000014"), (2, "x"), (3, None), (4, "5")], "k int, upc string")
+    got = resolve.lookup(rows, "k", "upc", ids.identifier_keys("upc"), index)
+    assert sorted((r.k, r.path) for r in got.collect()) == [(1, "/lib/19674000007.png"), (2, "/lib/19674000014.png")]
+    assert not broadcasts(got)
