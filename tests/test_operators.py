@@ -200,3 +200,11 @@ def test_lookup_does_not_broadcast_the_index(spark, tmp_path):
     got = resolve.lookup(rows, "k", "upc", ids.identifier_keys("upc"), index)
     assert sorted((r.k, r.path) for r in got.collect()) == [(1, "/lib/19674000007.png"), (2, "/lib/19674000014.png")]
     assert not broadcasts(got)
+
+
+def test_near_joins_do_not_broadcast_exploded_keys(spark, tmp_path):
+    spark.range(40).selectExpr("concat('/lib/', 19674000000 + 7 * id, ' RED CARD.png') AS path").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files").select(F.explode(F.regexp_extract_all("path", F.lit("([0-9]{5,14})"), 1)).alias("image"), F.lit("RED CARD").alias("known_name")).distinct()
+    wanted = spark.createDataFrame([("19674000007", "RED CARD")], "target string, name string")
+    for got in (near.near_reasons(wanted.select("target"), files.select("image")), near.numeric_near(wanted.select("target"), files.select("image")), near.scored_near_pairs(wanted, files, near.edit_ratio)):
+        assert got.filter("target = image").count() <= 1 and not broadcasts(got)
