@@ -208,3 +208,33 @@ def test_near_joins_do_not_broadcast_exploded_keys(spark, tmp_path):
     wanted = spark.createDataFrame([("19674000007", "RED CARD")], "target string, name string")
     for got in (near.near_reasons(wanted.select("target"), files.select("image")), near.numeric_near(wanted.select("target"), files.select("image")), near.scored_near_pairs(wanted, files, near.edit_ratio)):
         assert got.filter("target = image").count() <= 1 and not broadcasts(got)
+
+
+def counting(spark):
+    """A similarity that counts the pairs it is asked."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def ratio(a, b):
+        asked.add(1)
+        return difflib.SequenceMatcher(None, a, b).ratio()
+
+    return F.udf(ratio, "double").asNondeterministic(), asked
+
+
+def test_products_of_equal_names_are_compared_once(spark):
+    similarity, asked = counting(spark)
+    products = spark.createDataFrame([("00001", k, "RED CARD" if k % 2 else "BLUE CARD") for k in range(100)], "last5 string, src_ord long, norm_name string")
+    rows = spark.createDataFrame([(1, "00001", "RED CARDS"), (2, "00001", "BLUE"), (3, "00002", "RED"), (4, "00001", None)], "row_id int, last5 string, name string").filter("row_id < 4")
+    got = {r.row_id: r.src_ord for r in near.best_of_key(rows, products, similarity).collect()}
+    assert got == {1: 1, 2: 0, 3: None} and asked.value == 4
+
+
+def test_suggestions_keep_near_images_past_the_first_names(spark):
+    files = [(str(19674000000 + 7000 * k), "RED CARD") for k in range(30)] + [("19674900001", "RED CARD"), ("19674900005", "BLUE CARDS")]
+    missing = spark.createDataFrame([("19674900009", "RED CARDS"), ("19999999999", "RED CARDS")], "target string, name string")
+    numeric = spark.createDataFrame([], "target string, image string")
+    got = near.suggested_aliases(missing, spark.createDataFrame(files, "image string, known_name string"), numeric, near.edit_ratio).collect()
+    mine = {t: sorted((-r.confidence, r.image_name, r.suggested, r.reason) for r in got if r.current == t) for t in ("19674900009", "19999999999")}
+    assert all(len(v) == 5 for v in mine.values())
+    # equal confidence (a contained name, 0.88): the first identifiers; the near one differs only in its reason
+    assert [x[2] for x in mine["19999999999"]] == [i for i, _ in sorted(files)[:5]]
