@@ -238,3 +238,14 @@ def test_suggestions_keep_near_images_past_the_first_names(spark):
     assert all(len(v) == 5 for v in mine.values())
     # equal confidence (a contained name, 0.88): the first identifiers; the near one differs only in its reason
     assert [x[2] for x in mine["19999999999"]] == [i for i, _ in sorted(files)[:5]]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_products_carry_only_what_is_read(spark):
+    rows = [("19674000001", "B c", "7", 5), ("19674000001", None, "8", 2), ("4711", "x", "1", 1)]
+    got = ingest.load_matrix11(spark.createDataFrame(rows, "upc string, name string, cpp string, src_ord long"), "upc", "name", "cpp")
+    assert [tuple(r) for r in got.select("last5", "upc12", "src_ord", "norm_name", "cpp").collect()] == [("00001", "019674000001", 2, "", 8)]
+    assert "display_name" not in plan_of(got.select("last5", "upc12", "src_ord", "norm_name"))
