@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import ids
 
+from .lineage import dealt
+
 
 def key_index(files: DataFrame, keys: Column, path: str = "path", order: str = "src_ord") -> DataFrame:
     """key, path, conflicts: the first file per key and how many other files claim it."""
-    rows = files.select(F.explode(keys).alias("key"), F.col(path).alias("path"), F.col(order).alias("ord"))
+    rows = dealt(files, order).select(F.explode(keys).alias("key"), F.col(path).alias("path"), F.col(order).alias("ord"))
     return rows.groupBy("key").agg(F.min_by("path", "ord").alias("path"), (F.count_distinct("path") - 1).alias("conflicts"))
 
 
 def unambiguous_index(files: DataFrame, keys: Column, path: str = "path", order: str = "src_ord", short: int = 5) -> DataFrame:
     """Like key_index, but keys of at most `short` characters claimed twice are dropped."""
-    rows = files.select(F.explode(keys).alias("key"), F.col(path).alias("path"), F.col(order).alias("ord"))
+    rows = dealt(files, order).select(F.explode(keys).alias("key"), F.col(path).alias("path"), F.col(order).alias("ord"))
     counted = rows.groupBy("key").agg(F.min_by("path", "ord").alias("path"), F.count(F.lit(1)).alias("n"))
     return counted.filter((F.length("key") > short) | (F.col("n") == 1))
 

@@ -249,3 +249,11 @@ def test_repeated_products_carry_only_what_is_read(spark):
     got = ingest.load_matrix11(spark.createDataFrame(rows, "upc string, name string, cpp string, src_ord long"), "upc", "name", "cpp")
     assert [tuple(r) for r in got.select("last5", "upc12", "src_ord", "norm_name", "cpp").collect()] == [("00001", "019674000001", 2, "", 8)]
     assert "display_name" not in plan_of(got.select("last5", "upc12", "src_ord", "norm_name"))
+
+
+def test_files_are_dealt_before_their_keys_are_exploded(spark):
+    files = spark.createDataFrame([(2, "/b/0123.png"), (1, "/a/123.png")], "src_ord long, path string").coalesce(1)
+    got = resolve.key_index(files, ids.filename_keys("path"))
+    assert {r.key: (r.path, r.conflicts) for r in got.collect()}["123"] == ("/a/123.png", 1)
+    plan = plan_of(got)
+    assert "RepartitionByExpression" in plan and plan.index("Generate") < plan.index("RepartitionByExpression"), plan
