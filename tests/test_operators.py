@@ -257,3 +257,8 @@ def test_files_are_dealt_before_their_keys_are_exploded(spark):
     assert {r.key: (r.path, r.conflicts) for r in got.collect()}["123"] == ("/a/123.png", 1)
     plan = plan_of(got)
     assert "RepartitionByExpression" in plan and plan.index("Generate") < plan.index("RepartitionByExpression"), plan
+
+
+def test_images_are_dealt_before_they_are_prepared(spark):
+    one = spark.createDataFrame([(1, "/a/x.png", "", "Xbox $10", "", "", "")], "entry long, file_path string, filename_upc string, detected_text string, detected_brand string, detected_denomination string, detected_pack_quantity string")
+    assert "RepartitionByExpression" in plan_of(score.inverted_index(score.prepared_images(one.coalesce(1))))
