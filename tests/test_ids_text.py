@@ -62,3 +62,24 @@ def test_labels(spark):
     got = {r.k: (r.name, r.last5, r.qty) for r in text.parse_labels(spark.createDataFrame(rows, "k int, l string"), "l").collect()}
     assert got == {1: ("Foo Card", "12345", 6), 2: ("GIFT CARD", "12345", None), 3: ("", "", None)}
     assert one(spark, "The $25 card for you 3", text.compact_name("v")) == "$25 card you 3"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_parts_of_expressions_are_worked_out_once(spark):
+    """nullif gave every copy of first_filled a name of its own: the normal form stood in the plan once for each phrase."""
+    df = spark.createDataFrame([(" ", "x box 2 X $10"), ("Door_Dash", None)], "a string, b string")
+    plan = plan_of(df.select(text.brand(text.first_filled("a", "b")).alias("x")))
+    assert "_common_expr_" not in plan
+    assert [r[0] for r in df.select(text.brand(text.first_filled("a", "b"))).collect()] == ["X", "DOORDASH"]
+    assert [r[0] for r in df.select(text.joined("a", "b")).collect()] == ["x box 2 X $10", "Door_Dash"]
+    plan = plan_of(df.select(ids.identifier_keys("a").alias("x")))
+    assert plan.count(r"\.0$") == 1, plan
+
+
+def test_normal_forms_join_runs(spark):
+    df = spark.createDataFrame([(" $25 . 00_a--B\u00e9c!",), ("...",), (None,)], "a string")
+    rows = [tuple(r) for r in df.select(text.normalize_text("a"), text.normalize_lower("a"), text.norm_name("a")).collect()]
+    assert rows == [("$25 A B C", "$25 00 a b c", "25 00 A B C"), ("", "", ""), ("", "", "")]
