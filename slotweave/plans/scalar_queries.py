@@ -162,9 +162,10 @@ def b24_b25_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN lower({d.txt('footer')}) IN ('', 'nan', 'none', 'null') THEN 'Side: ' || side || ', Row: ' || row || ' - POG: ' || pog ELSE {d.txt('footer')} END AS footer_text FROM u""",
 )
 def b26_b28_display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price, size = text.price_parts("retail"), text.strip_length("length")
+    price, size = text.price_parts("retail", F.col("amount")), F.col("size")
     default = F.concat(F.lit("Side: "), "side", F.lit(", Row: "), "row", F.lit(" - POG: "), "pog")
-    return view(spark, sf_dir, "placement").select(
+    rows = view(spark, sf_dir, "placement").withColumns({"amount": text.price_amount("retail"), "size": text.strip_length("length")})  # columns of their own: worked out once a row
+    return rows.select(
         "src_ord", text.retail_format("retail").alias("retail_text"), text.cpp_format("cpp").alias("cpp_text"), price["dollars"].alias("dollars"), price["cents"].alias("cents"), size["width"].alias("width"), size["height"].alias("height"),
         F.coalesce(F.nullif(ids.text("description"), F.lit("")), F.nullif(text.joined("desc_1", "desc_2", "brand"), F.lit("")), F.lit("No description")).alias("shown"),
         F.when(F.lower(ids.text("footer")).isin("", "nan", "none", "null"), default).otherwise(ids.text("footer")).alias("footer_text"),
