@@ -138,18 +138,19 @@ def strip_groups(df: DataFrame) -> DataFrame:
     card = F.struct("col", "src_ord", "item_number", "retail")
     filled = lambda c: F.when(ids.text(c) != "", ids.text(c))
     first = lambda c: F.min_by(filled(c), F.when(ids.text(c) != "", F.struct("col", "src_ord")))
+    several = lambda c: F.coalesce(F.min(filled(c)) != F.max(filled(c)), F.lit(False))  # noqa: E731 - counts of distinct values would shuffle every card once for each count
     size = text.strip_length("first_length")
     return (
         df.groupBy("pog", "side", "row")
         .agg(
-            F.sort_array(F.collect_list(card)).alias("cards"), first("footer").alias("footer"), F.count_distinct(filled("footer")).alias("footers"),
-            first("length").alias("first_length"), F.count_distinct(filled("length")).alias("lengths"),
+            F.sort_array(F.collect_list(card)).alias("cards"), first("footer").alias("footer"), several("footer").alias("footers"),
+            first("length").alias("first_length"), several("length").alias("lengths"),
         )
         .select(
             "pog", "side", "row", F.size("cards").alias("n_cards"), F.array_join(F.transform("cards", lambda x: F.concat(x["col"].cast("string"), F.lit("="), x["item_number"])), ",").alias("cards"),
-            F.coalesce("footer", F.format_string("Side: %d, Row: %d - POG: %s", "side", "row", "pog")).alias("footer"), (F.col("footers") > 1).alias("footer_conflict"),
+            F.coalesce("footer", F.format_string("Side: %d, Row: %d - POG: %s", "side", "row", "pog")).alias("footer"), F.col("footers").alias("footer_conflict"),
             size["width"].alias("width"), size["height"].alias("height"),
-            F.when(F.col("first_length").isNull(), "missing").when(size.isNull(), "unparseable").when(F.col("lengths") > 1, "multiple").otherwise("ok").alias("length_state"),
+            F.when(F.col("first_length").isNull(), "missing").when(size.isNull(), "unparseable").when(F.col("lengths"), "multiple").otherwise("ok").alias("length_state"),
         )
     )
 
