@@ -262,3 +262,26 @@ def test_files_are_dealt_before_their_keys_are_exploded(spark):
 def test_images_are_dealt_before_they_are_prepared(spark):
     one = spark.createDataFrame([(1, "/a/x.png", "", "Xbox $10", "", "", "")], "entry long, file_path string, filename_upc string, detected_text string, detected_brand string, detected_denomination string, detected_pack_quantity string")
     assert "RepartitionByExpression" in plan_of(score.inverted_index(score.prepared_images(one.coalesce(1))))
+
+
+def test_best_products_go_to_the_rows(spark):
+    """Very many rows have few different names: the rows are not sorted by them, whatever Spark takes the names for."""
+    products = spark.createDataFrame([("00001", k, f"CARD {k}") for k in range(9)], "last5 string, src_ord long, norm_name string")
+    rows = spark.range(1000).selectExpr("id AS row_id", "'00001' AS last5", "concat('CARD ', id % 10) AS name")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near.best_of_key(rows, products, near.edit_ratio)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {(r.row_id % 10, r.src_ord) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == {(k, k) for k in range(9)} | {(9, 0)}
+    assert "Sort" not in plan and "hashpartitioning" not in plan, plan
+
+
+def test_more_names_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near, "BROADCAST_NAMES", 1)
+    products = spark.createDataFrame([("00001", 1, "RED"), ("00001", 2, "BLUE")], "last5 string, src_ord long, norm_name string")
+    rows = spark.createDataFrame([(1, "00001", "REDS"), (2, "00001", "BLUE"), (3, "00002", "RED"), (4, None, "RED")], "row_id int, last5 string, name string")
+    assert {r.row_id: r.src_ord for r in near.best_of_key(rows, products, near.edit_ratio).collect()} == {1: 1, 2: 2, 3: None, 4: None}
