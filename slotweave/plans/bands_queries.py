@@ -170,10 +170,10 @@ CPP = f"TRY_CAST(regexp_replace({d.txt('CPP')}, '\\.0$', '') AS BIGINT)"
     sc AS (SELECT last5, name, src_ord, {SIM.format('name', 'norm_name')} AS score FROM (SELECT DISTINCT last5, name FROM lb) JOIN mx USING (last5)), bs AS (SELECT last5, name, -(max((score, -src_ord)))[2] AS product FROM sc GROUP BY 1, 2) SELECT row_id, product, coalesce(qty, cpp) AS qty FROM lb LEFT JOIN bs USING (last5, name) LEFT JOIN mx ON mx.src_ord = product""",
 )
 def p04_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = n.best_of_key(labels(spark, sf_dir), matrix(spark, sf_dir), n.edit_ratio).select("row_id", F.col("src_ord").alias("product"))
-    qty = view(spark, sf_dir, "placement").select(F.col("src_ord").alias("row_id"), F.nullif(F.col("cpp"), F.lit("")).try_cast("long").alias("qty"))
-    cpp = view(spark, sf_dir, "matrix").select(F.col("src_ord").alias("product"), ids.coerce_int("CPP").alias("cpp"))
-    return best.join(qty, "row_id").join(cpp, "product", "left").select("row_id", "product", F.coalesce("qty", "cpp").alias("qty"))
+    rows = labels(spark, sf_dir, F.nullif(F.col("cpp"), F.lit("")).try_cast("long").alias("qty"))
+    cpp = view(spark, sf_dir, "matrix").select("src_ord", ids.coerce_int("CPP").alias("cpp"))
+    best = n.best_of_names(rows, matrix(spark, sf_dir), n.edit_ratio).join(cpp, "src_ord", "left")
+    return n.with_best(rows, best).select("row_id", F.col("src_ord").alias("product"), F.coalesce("qty", "cpp").alias("qty"))
 
 
 @register("p07_holders_by_side")

@@ -426,3 +426,11 @@ def test_display_selection_against_plain_code(spark):
                 want[c[1]] = (i, k + 1, "left" if k < 2 else "center" if k < 6 else "right", home[c[1]] != i, None)
     got = cards.display_selection(spark.createDataFrame(rows, "page_id int, cell int, x double, y double")).collect()
     assert {r.cell: (r.row, r.slot, r.block, r.moved, r.reason) for r in got} == want
+
+
+def test_label_rows_read_the_placements_once_for_all_columns(spark):
+    """The quantity comes along with the label: no join of all rows by their number."""
+    from slotweave.plans.bands_queries import p04_label_rows
+
+    plan = p04_label_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1, plan
