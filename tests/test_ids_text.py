@@ -83,3 +83,39 @@ def test_normal_forms_join_runs(spark):
     df = spark.createDataFrame([(" $25 . 00_a--B\u00e9c!",), ("...",), (None,)], "a string")
     rows = [tuple(r) for r in df.select(text.normalize_text("a"), text.normalize_lower("a"), text.norm_name("a")).collect()]
     assert rows == [("$25 A B C", "$25 00 a b c", "25 00 A B C"), ("", "", ""), ("", "", "")]
+
+
+def folded(lines):
+    """Lines without the placeholder, one after the other."""
+    kept, held, word = [], [], ""
+    for line in lines:
+        token = "".join(c for c in line.upper() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+        joined = word + token
+        if token not in ("WM", "GIFT", "GIFTCARD", "GIFTCA", "CARD", "RD"):
+            kept, held, word = [*kept, *held, line], [], ""
+        elif joined == "WMGIFTCARD":
+            held, word = [], ""
+        elif "WMGIFTCARD".startswith(joined):
+            held, word = [*held, line], joined
+        else:
+            kept, held, word = [*kept, *held, line], [], ""
+    return kept + held
+
+
+def test_placeholder_runs_as_read_line_by_line(spark):
+    import itertools
+    import random
+
+    draw = random.Random(7)
+    words = ["WM", "w-m", "Gift", "GIFT", "GiftCard", "gift ca", "CARD", "Card!", "RD", "x", "-", "WMGIFTCARD", "5"]
+    rows = [list(x) for n in range(5) for x in itertools.product(["WM", "GIFT", "GIFTCARD", "GIFTCA", "CARD", "RD", "x"], repeat=n)] + [[draw.choice(words) for _ in range(draw.randint(5, 14))] for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, l array<string>")
+    got = {r.k: r.x for r in df.select("k", text.without_placeholder(F.col("l")).alias("x")).collect()}
+    assert [got[k] for k in range(len(rows))] == [folded(x) for x in rows]
+    assert sum(folded(x) != x for x in rows) > 100
+
+
+def test_lines_are_not_folded_at_every_label(spark):
+    """A fold took the letters of each line five times over; without the placeholder's letters in a row nothing is taken."""
+    plan = plan_of(text.parse_labels(spark.createDataFrame([("a",)], "l string"), "l"))
+    assert "aggregate(" not in plan and plan.count("[^A-Z0-9],") == 1, plan
