@@ -285,3 +285,18 @@ def test_more_names_than_are_broadcast(spark, monkeypatch):
     products = spark.createDataFrame([("00001", 1, "RED"), ("00001", 2, "BLUE")], "last5 string, src_ord long, norm_name string")
     rows = spark.createDataFrame([(1, "00001", "REDS"), (2, "00001", "BLUE"), (3, "00002", "RED"), (4, None, "RED")], "row_id int, last5 string, name string")
     assert {r.row_id: r.src_ord for r in near.best_of_key(rows, products, near.edit_ratio).collect()} == {1: 1, 2: 2, 3: None, 4: None}
+
+
+def test_only_the_chosen_planograms_rows_are_compared(spark, monkeypatch):
+    from slotweave.operators import jobs
+
+    text_columns = ["item_number", "intentional_blank", "image_status", "merchant_category", "segment", "brand", "desc_1", "desc_2", "description", "retail", "cpp"]
+    schema = "src_ord long, pog string, side string, row string, col string, upc string, " + ", ".join(f"{c} string" for c in text_columns)
+    row = lambda k, pog, side, col, upc: (k, pog, side, "1", col, upc, *["x"] * len(text_columns))
+    rows = spark.createDataFrame([row(3, "B", "1", "1", "7"), row(1, " B", "1", "1", "8"), row(2, "B", "1", "2", "9"), row(4, "A", "1", "1", "7"), row(5, "A", "9", "1", "7"), row(6, "", "1", "1", "7"), row(7, "AA", "7", "1", "7")], schema)
+    index = spark.createDataFrame([("7", "/7.png"), ("8", "/8.png")], "key string, path string")
+    steps, compared, whole = [("library", F.array("upc"), index)], [], jobs.q.first_per_key
+    monkeypatch.setattr(jobs.q, "first_per_key", lambda df, *a: compared.append({r.pog for r in df.select("pog").distinct().collect()}) or whole(df, *a))
+    got = lambda pog: sorted((r.src_ord, r.col, r.status, r.path) for r in jobs.build_planogram(rows, ["upc"], steps, steps, pog).collect())
+    assert got("B") == [(1, 1, "resolved", "/8.png"), (2, 2, "unresolved", None)] and got("AA") == got(None) == [(4, 1, "resolved", "/7.png")]
+    assert compared == [{"B"}, {"A"}, {"A"}]
