@@ -129,3 +129,19 @@ def test_ids_of_any_type_and_kept_columns(spark):
     d = spark.createDataFrame([("x", "a b c", 1), (None, "a b c", 2), ("x", None, 3)], "doc_id string, text string, row long")
     got = dc.decontaminate(d, spark.createDataFrame([(7, "b")], "item_id long, text string"), "row").collect()
     assert {(r.row, r.doc_id, r.contaminated) for r in got} == {(1, "x", True), (2, None, True), (3, "x", False)}
+
+
+def test_what_a_task_remembers_does_not_grow_with_the_batch(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dc, "REMEMBERED", 50)
+    monkeypatch.setattr(dc, "SLICE", 100)
+    texts = [None, "", *[f"w{k} v{k} u{k}" for k in range(500)], "x" * 300, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    lexicon, most, parts = dc.Lexicon(), 0, list(dc.slices(batch, 1))
+    for part in parts:
+        lexicon.codes(part.column(1))
+        most = max(most, len(lexicon))
+    assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    assert most < 100 and max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts if p.num_rows > 1) <= 100
+    assert list(dc.slices(batch.slice(0, 0), 1)) == []
