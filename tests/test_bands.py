@@ -44,6 +44,13 @@ def test_placeholder_centers(spark):
     assert got == [(12.5, 4.0), (77.5, 4.0)]
 
 
+def test_placeholder_centers_of_split_words_and_pages(spark):
+    words = {1: ["w.m.", "Gift-Ca", "rd", "WM", None, "GIFT", "CARD"], 2: ["GIFT", "CARD", "WM"], 3: ["WM", "WM", "GIFTCARD", "RD"]}
+    rows = [(page, k, t, 10.0 * k, 0.0, 10.0 * k + 5, 8.0) for page, ts in words.items() for k, t in enumerate(ts)]
+    got = sorted((r.page_id, r.x, r.y) for r in bands.placeholder_centers(spark.createDataFrame(rows, WORD)).collect())
+    assert got == [(1, 12.5, 4.0)]  # a run that a further WM breaks off is not taken up again
+
+
 def test_proximity_groups_against_plain_sets(spark):
     rnd = random.Random(3)
     rows = []
