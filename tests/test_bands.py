@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from slotweave.operators import bands, cards, layout, spatial
+from slotweave.operators import bands, cards, layout, near, spatial
 from slotweave.streaming import catalog
 
 WORD = "page_id long, word_id long, text string, x0 double, top double, x1 double, bottom double"
@@ -206,6 +206,25 @@ def test_short_rows_merge(spark):
     assert per == {0: 8, 1: 8, 2: 1}  # 4+2+3 keep 8, then 8, then 1
 
 
+def test_best_standing_compares_different_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(near, "LEADING", 1)
+    rnd = random.Random(8)
+    text = lambda: "".join(rnd.choice("AB C") for _ in range(rnd.randrange(1, 7))).strip() or "A"
+    asks, stand = {(rnd.randrange(5), text()) for _ in range(60)}, {(rnd.randrange(5), text()): rnd.randrange(100) for _ in range(80)}
+    a = spark.createDataFrame(sorted(asks), "place int, asked string")
+    s = spark.createDataFrame(sorted((*k, v) for k, v in stand.items()), "place int, norm_name string, product int")
+    alike = near.alike_names(a, s, near.edit_ratio, 0.4)
+    assert alike.count() == alike.select("asked", "norm_name").distinct().count()
+    score = {(r.asked, r.norm_name): r.f for r in a.select("asked").distinct().crossJoin(s.select("norm_name").distinct()).withColumn("f", near.edit_ratio(F.col("asked"), F.col("norm_name"))).collect()}
+    want = set()
+    for place, asked in asks:
+        there = [(score[asked, n], n, v) for (p, n), v in stand.items() if p == place and score[asked, n] >= 0.4]
+        most = [x for x in there if x[0] == max(there)[0]]
+        want |= {(place, asked, n, v, f, len(most)) for f, n, v in most}
+    got = near.best_standing(a, s, alike, ["place"])
+    assert {(r.place, r.asked, r.norm_name, r["product"], r["first"], r.ties) for r in got.collect()} == want
+
+
 def test_hint_cascade(spark):
     labels = [
         (1, "x", "00001", "A", "A", "1", "1", True), (2, "id 000000000002", "", "B", "A", "1", "2", True), (3, "no 99903", "", "C", "A", "1", "3", True), (4, "z", "", "RED GEAR", "A", "1", "4", True),
